@@ -1,0 +1,92 @@
+"""Registered queries over the driver tables and their DuckDB oracle twins.
+
+Each entry of ``QUERIES`` takes ``(spark, sf_dir)`` and returns a DataFrame
+computed from whole tables; ``ORACLE`` holds an independent DuckDB formulation
+of the same result where one exists. Computed columns carry the same aliases
+on both sides; doubles are rounded to 6 digits on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factsift.operators import evidence as ev
+from factsift.plans import fixtures as fx
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, QueryFn] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn: QueryFn) -> QueryFn:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql.strip()
+        return fn
+    return deco
+
+
+# --------------------------------------------------------------------------
+# Shared oracle CTEs (DuckDB dialect), an independent formulation of the
+# fixture mapping: sentences are read straight from the document's lines
+# instead of going through an indexed page store.
+# --------------------------------------------------------------------------
+SQL_CLAIMS = """
+claims AS (
+  SELECT l.doc_id AS claim_id, split_part(d.text, chr(10), 1) AS claim,
+         CASE WHEN l.toxic = 1 THEN 'REFUTES' WHEN l.quality = 1 THEN 'SUPPORTS'
+              ELSE 'NOT ENOUGH INFO' END AS label,
+         d.lang, d.source, d.n_chars
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+SQL_EVIDENCE = SQL_CLAIMS + """,
+doc_lines AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10)) AS ls FROM documents),
+with_groups AS (SELECT * FROM claims WHERE lang <> 'de' AND label <> 'NOT ENOUGH INFO'),
+refs AS (
+  SELECT claim_id, 0 AS pos, 'doc_' || CAST(claim_id AS VARCHAR) AS title, 0 AS idx FROM with_groups
+  UNION ALL
+  SELECT claim_id, 1, CASE WHEN source = 'src0' THEN NULL
+                           ELSE 'doc_' || CAST(claim_id + n_chars AS VARCHAR) END, 1 FROM with_groups
+  UNION ALL
+  SELECT claim_id, 2, 'doc_' || CAST(claim_id AS VARCHAR), CAST(n_chars % 13 AS INTEGER)
+  FROM with_groups WHERE lang <> 'es'),
+resolved AS (
+  SELECT r.claim_id, r.pos,
+         CASE WHEN p.id IS NULL THEN '[Page not found: ' || coalesce(r.title, 'None') || ']'
+              WHEN r.idx >= len(p.ls) THEN '[Sentence index ' || CAST(r.idx AS VARCHAR) || ' not found in ' || r.title || ']'
+              ELSE p.ls[r.idx + 1] END AS sentence,
+         CASE WHEN p.id IS NULL THEN 2 WHEN r.idx >= len(p.ls) THEN 1 ELSE 0 END AS miss
+  FROM refs r LEFT JOIN doc_lines p ON r.title = p.id),
+per_claim AS (
+  SELECT claim_id, string_agg(sentence, ' ' ORDER BY pos) AS evidence_text, max(miss) AS worst
+  FROM resolved GROUP BY claim_id),
+evidence AS (
+  SELECT c.claim_id, c.claim, c.label, c.lang, c.source,
+         CASE WHEN c.lang = 'de' THEN '[No evidence provided]' ELSE coalesce(e.evidence_text, '') END AS evidence,
+         CASE WHEN c.lang = 'de' THEN 'no_evidence' WHEN e.claim_id IS NULL THEN 'no_usable_refs'
+              WHEN e.worst = 2 THEN 'page_miss' WHEN e.worst = 1 THEN 'sentence_miss'
+              ELSE 'resolved' END AS resolution
+  FROM claims c LEFT JOIN per_claim e ON c.claim_id = e.claim_id)"""
+
+
+def evidence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = fx.claims(spark, sf_dir)
+    pages = fx.page_store(spark, sf_dir)
+    return ev.resolve_evidence(claims, pages, keep=["claim", "label"])
+
+
+@register("q1_evidence_resolved_claims", "WITH " + SQL_EVIDENCE + """
+SELECT claim_id, claim, label, evidence, resolution FROM evidence""")
+def q1(spark, sf_dir):
+    return evidence_claims(spark, sf_dir)
+
+
+@register("q1b_resolution_summary", "WITH " + SQL_EVIDENCE + """
+SELECT resolution, CAST(count(*) AS BIGINT) AS n_claims FROM evidence GROUP BY resolution""")
+def q1b(spark, sf_dir):
+    return (evidence_claims(spark, sf_dir).groupBy("resolution")
+            .agg(F.count(F.lit(1)).alias("n_claims")))
