@@ -64,4 +64,4 @@ def render(claims: DataFrame, templates: DataFrame, dataset: str,
     c = claims.withColumn("dataset", F.lit(dataset))
     j = c.join(F.broadcast(t), "dataset")
     prompt = render_column(F.col("head"), F.col("claim"), F.col("mid"), F.col("evidence"), F.col("tail"))
-    return j.drop("head", "mid", "tail").withColumn("prompt", prompt)
+    return j.withColumn("prompt", prompt).drop("head", "mid", "tail")

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
+from pyspark.sql.types import StringType, StructField, StructType
 
 from factsift import constants as K
 
@@ -33,52 +34,70 @@ ScorerFactory = Callable[[], Scorer]
 MAX_EVIDENCE_CHARS = 1500
 
 
+class Vocabulary:
+    """The label words a verifier answers with, per dataset."""
+
+    def __init__(self, support: str, refute: str, unknown: str, budget: int):
+        self.support, self.refute, self.unknown, self.budget = support, refute, unknown, budget
+
+
+VOCABULARIES = {
+    "fever": Vocabulary("SUPPORTS", "REFUTES", "NOT ENOUGH INFO", MAX_EVIDENCE_CHARS),
+    "pubhealth": Vocabulary("TRUE", "FALSE", "UNPROVEN", 6000),
+}
+
+
 class LexicalVerifier:
     """Deterministic toy verifier with the output variety of a real model.
 
     Raises (-> ``ERROR``) when the evidence exceeds a context budget; otherwise
-    answers in several textual styles so every extraction policy is exercised.
+    answers in several textual styles so every extraction policy is exercised:
+    an ``Answer:`` prefix, lower case, padding whitespace, a label inside a
+    sentence, and a label glued into a longer word.
     """
 
-    def __init__(self, max_evidence_chars: int = MAX_EVIDENCE_CHARS):
-        self.max_evidence_chars = max_evidence_chars
+    def __init__(self, dataset: str = "fever"):
+        self.v = VOCABULARIES[dataset]
 
     def __call__(self, claim: str, evidence: str, prompt: str | None = None) -> str:
+        v = self.v
         claim = claim or ""
         evidence = evidence or ""
-        if len(evidence) > self.max_evidence_chars:
+        if len(evidence) > v.budget:
             raise ValueError(f"evidence of {len(evidence)} chars exceeds the context budget")
         if evidence == K.NO_EVIDENCE:
-            return "Answer: not enough info"
+            return f"Answer: {v.unknown.lower()}"
         if evidence == "":
             return "I cannot tell."
         if K.PAGE_NOT_FOUND_PREFIX in evidence:
-            return "NOT ENOUGH INFO - a cited page is missing"
+            return f"{v.unknown} - a cited page is missing"
         if K.SENTENCE_NOT_FOUND_PREFIX in evidence:
-            return " refutes "
+            return f" {v.refute.lower()} "
         head = claim.split(" ", 1)[0].lower()
         if head in evidence.lower():
-            return "Step 1: the evidence repeats the claim. So the final answer is: SUPPORTS"
-        return "UNSUPPORTS"
+            return f"Step 1: the evidence repeats the claim. So the final answer is: {v.support}"
+        return f"UN{v.support}"
 
 
-def lexical_verifier_column(claim: Column, evidence: Column) -> tuple[Column, Column]:
+def lexical_verifier_column(claim: Column, evidence: Column,
+                            dataset: str = "fever") -> tuple[Column, Column]:
     """The same rule as ``LexicalVerifier`` as column expressions -> (raw, error).
 
     Used to materialise a stored-outputs table without Python workers.
     """
+    v = VOCABULARIES[dataset]
     head = F.lower(F.substring_index(F.coalesce(claim, F.lit("")), " ", 1))
     ev = F.coalesce(evidence, F.lit(""))
-    too_long = F.length(ev) > MAX_EVIDENCE_CHARS
+    too_long = F.length(ev) > v.budget
     raw = (F.when(too_long, F.lit(None).cast("string"))
-           .when(ev == K.NO_EVIDENCE, F.lit("Answer: not enough info"))
+           .when(ev == K.NO_EVIDENCE, F.lit(f"Answer: {v.unknown.lower()}"))
            .when(ev == "", F.lit("I cannot tell."))
-           .when(F.instr(ev, K.PAGE_NOT_FOUND_PREFIX) > 0, F.lit("NOT ENOUGH INFO - a cited page is missing"))
-           .when(F.instr(ev, K.SENTENCE_NOT_FOUND_PREFIX) > 0, F.lit(" refutes "))
+           .when(F.instr(ev, K.PAGE_NOT_FOUND_PREFIX) > 0, F.lit(f"{v.unknown} - a cited page is missing"))
+           .when(F.instr(ev, K.SENTENCE_NOT_FOUND_PREFIX) > 0, F.lit(f" {v.refute.lower()} "))
            .when(F.instr(F.lower(ev), head) > 0,
-                 F.lit("Step 1: the evidence repeats the claim. So the final answer is: SUPPORTS"))
-           .otherwise(F.lit("UNSUPPORTS")))
-    error = F.when(too_long, F.concat(F.lit("evidence of "), F.length(ev).cast("string"),
+                 F.lit(f"Step 1: the evidence repeats the claim. So the final answer is: {v.support}"))
+           .otherwise(F.lit(f"UN{v.support}")))
+    error = F.when(too_long, F.concat(F.lit("ValueError: evidence of "), F.length(ev).cast("string"),
                                       F.lit(" chars exceeds the context budget")))
     return raw, error
 
@@ -116,7 +135,8 @@ def score(df: DataFrame, factory: ScorerFactory = LexicalVerifier, claim: str =
     if prompt is not None and prompt not in df.columns:
         prompt = None
     src = df.repartition(parallelism) if parallelism else df
-    schema = src.schema.add("raw", "string").add("error", "string")
+    schema = StructType(list(src.schema.fields) + [StructField("raw", StringType()),
+                                                   StructField("error", StringType())])
     return src.mapInPandas(_score_partitions(factory, claim, evidence, prompt), schema)
 
 

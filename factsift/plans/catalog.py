@@ -10,11 +10,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factsift import constants as K
+from factsift.functions import labels as L
+from factsift.functions.prompts import DEFAULT_TEMPLATES, render, templates_frame
+from factsift.functions.text import format3
+from factsift.operators import batches as B
+from factsift.operators import combine as C
 from factsift.operators import evidence as ev
+from factsift.operators import metrics as M
+from factsift.operators import sampling as S
+from factsift.operators import scoring as D
+from factsift.operators import validate as V
 from factsift.plans import fixtures as fx
+from factsift.plans import presets as P
+from factsift.session import shared_dir
+from factsift.sources import claims as SC
+from factsift.sources import results as R
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -73,12 +89,142 @@ evidence AS (
   FROM claims c LEFT JOIN per_claim e ON c.claim_id = e.claim_id)"""
 
 
+
+def _q(text: str) -> str:
+    """A DuckDB string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _in_list(labels) -> str:
+    return "(" + ", ".join(_q(x) for x in labels) + ")"
+
+
+def sql_verifier(claim: str, evidence: str, dataset: str = "fever") -> str:
+    """``LexicalVerifier`` as a DuckDB expression for the raw output (NULL = raised)."""
+    v = D.VOCABULARIES[dataset]
+    return f"""CASE WHEN length(coalesce({evidence}, '')) > {v.budget} THEN NULL
+      WHEN {evidence} = {_q(K.NO_EVIDENCE)} THEN {_q('Answer: ' + v.unknown.lower())}
+      WHEN coalesce({evidence}, '') = '' THEN 'I cannot tell.'
+      WHEN strpos({evidence}, {_q(K.PAGE_NOT_FOUND_PREFIX)}) > 0 THEN {_q(v.unknown + ' - a cited page is missing')}
+      WHEN strpos({evidence}, {_q(K.SENTENCE_NOT_FOUND_PREFIX)}) > 0 THEN {_q(' ' + v.refute.lower() + ' ')}
+      WHEN strpos(lower({evidence}), lower(split_part(coalesce({claim}, ''), ' ', 1))) > 0
+        THEN {_q('Step 1: the evidence repeats the claim. So the final answer is: ' + v.support)}
+      ELSE {_q('UN' + v.support)} END"""
+
+
+def sql_label(raw: str, policy: str, domain=K.FEVER_LABELS) -> str:
+    """Label extraction policies as DuckDB expressions (NULL raw = ERROR)."""
+    alt = "|".join(domain)
+    if policy == "raw":
+        body = f"upper(regexp_replace({raw}, '^\\s+|\\s+$', '', 'g'))"
+    elif policy == "lenient":
+        m = f"upper(regexp_extract({raw}, '(?i)(ANSWER[:：]?)?\\s*({alt})', 2))"
+        body = f"CASE WHEN {m} = '' THEN {_q(K.UNKNOWN)} ELSE {m} END"
+    else:
+        m = f"regexp_extract(upper({raw}), '\\b({alt})\\b', 1)"
+        body = f"CASE WHEN {m} = '' THEN {_q(K.NO_LABEL)} ELSE {m} END"
+    return f"CASE WHEN {raw} IS NULL THEN {_q(K.ERROR)} ELSE {body} END"
+
+
+SQL_OUTPUTS = SQL_EVIDENCE + f""",
+outputs AS (
+  SELECT *, {sql_verifier('claim', 'evidence')} AS raw FROM evidence),
+preds AS (
+  SELECT claim_id, label AS t, {sql_label('raw', 'raw')} AS p_raw,
+         {sql_label('raw', 'lenient')} AS p_lenient, {sql_label('raw', 'strict')} AS p_strict
+  FROM outputs)"""
+
+
+def sql_report(tp_sql: str, policy: str, labels=None) -> str:
+    """Per-class report in DuckDB over a CTE ``tp(t, p)`` defined by ``tp_sql``."""
+    if policy == "exclude_error":
+        filt = "SELECT t, coalesce(p, '') AS p FROM tp0 WHERE coalesce(t, '') <> 'ERROR' AND coalesce(p, '') <> 'ERROR'"
+    elif policy == "valid_only":
+        filt = f"SELECT t, p FROM tp0 WHERE p IN {_in_list(labels)}"
+    else:
+        filt = "SELECT t, p FROM tp0"
+    if labels is None:
+        dom = "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS ord FROM counts"
+    else:
+        dom = "SELECT * FROM (VALUES " + ", ".join(f"({_q(x)}, {i})" for i, x in enumerate(labels)) + ") v(label, ord)"
+    r = lambda c: f"round({c}, 6)"
+    return f"""{tp_sql},
+tp AS ({filt}),
+counts AS (
+  SELECT label, CAST(sum(sup) AS BIGINT) AS support, CAST(sum(pr) AS BIGINT) AS predicted, CAST(sum(hit) AS BIGINT) AS tp
+  FROM (SELECT t AS label, 1 AS sup, 0 AS pr, CASE WHEN t = p THEN 1 ELSE 0 END AS hit FROM tp
+        UNION ALL SELECT p, 0, 1, 0 FROM tp) z GROUP BY label),
+dom AS ({dom}),
+cls AS (
+  SELECT d.label, d.ord, coalesce(c.support, 0) AS support, coalesce(c.predicted, 0) AS predicted, coalesce(c.tp, 0) AS tp
+  FROM dom d LEFT JOIN counts c ON d.label = c.label),
+m AS (
+  SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(predicted AS DOUBLE) END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(support AS DOUBLE) END AS recall,
+         CASE WHEN predicted + support = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(predicted + support AS DOUBLE) END AS f1
+  FROM cls),
+tot AS (
+  SELECT sum(support) AS sup, sum(predicted) AS pr, sum(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr,
+         avg(f1) AS mf, sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf,
+         CAST(count(*) AS INTEGER) AS n,
+         (SELECT count(*) FROM tp) AS n_rows,
+         (SELECT count(*) FROM counts WHERE label NOT IN (SELECT label FROM dom)) > 0 AS uncovered
+  FROM m),
+mic AS (
+  SELECT *, CASE WHEN pr = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / pr END AS up,
+         CASE WHEN sup = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / sup END AS ur FROM tot)
+SELECT label, 'class' AS kind, ord, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1,
+       CAST(support AS BIGINT) AS support
+FROM m WHERE (SELECT n_rows FROM tot) > 0
+UNION ALL
+SELECT CASE WHEN uncovered THEN 'micro avg' ELSE 'accuracy' END, CASE WHEN uncovered THEN 'micro avg' ELSE 'accuracy' END,
+       n, CASE WHEN uncovered THEN {r('up')} END, CASE WHEN uncovered THEN {r('ur')} END,
+       CASE WHEN uncovered THEN {r('CASE WHEN up + ur = 0 THEN 0.0 ELSE 2 * up * ur / (up + ur) END')}
+            ELSE {r('CAST(tp AS DOUBLE) / n_rows')} END,
+       CAST(coalesce(sup, 0) AS BIGINT)
+FROM mic WHERE n_rows > 0
+UNION ALL
+SELECT 'macro avg', 'macro avg', n + 1, {r('mp')}, {r('mr')}, {r('mf')}, CAST(coalesce(sup, 0) AS BIGINT) FROM tot WHERE n_rows > 0
+UNION ALL
+SELECT 'weighted avg', 'weighted avg', n + 2,
+       {r('CASE WHEN sup = 0 THEN 0.0 ELSE wp / sup END')}, {r('CASE WHEN sup = 0 THEN 0.0 ELSE wr / sup END')},
+       {r('CASE WHEN sup = 0 THEN 0.0 ELSE wf / sup END')}, CAST(coalesce(sup, 0) AS BIGINT)
+FROM tot WHERE n_rows > 0"""
+
+
+def rounded(rep: DataFrame) -> DataFrame:
+    return rep.select("label", "kind", "ord", *[F.round(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1")],
+                      "support")
+
+
+# --------------------------------------------------------------------------
+# Spark-side building blocks shared by the queries
+# --------------------------------------------------------------------------
+
 def evidence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = fx.claims(spark, sf_dir)
     pages = fx.page_store(spark, sf_dir)
     return ev.resolve_evidence(claims, pages, keep=["claim", "label"])
 
 
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence-resolved claims with stored verifier outputs and all three
+    label policies: ``claim_id, t, p_raw, p_lenient, p_strict``."""
+    e = evidence_claims(spark, sf_dir)
+    raw, error = D.lexical_verifier_column(F.col("claim"), F.col("evidence"))
+    o = e.select("claim_id", "label", raw.alias("raw"), error.alias("error"))
+    return o.select("claim_id", F.col("label").alias("t"),
+                    *[L.extract_label("raw", "error", pol).alias(f"p_{pol}") for pol in L.POLICIES])
+
+
+def tp_frame(preds: DataFrame, policy: str) -> DataFrame:
+    return preds.select("t", F.col(f"p_{policy}").alias("p"))
+
+
+# --------------------------------------------------------------------------
+# Q1: evidence resolution and its parts
+# --------------------------------------------------------------------------
+
 @register("q1_evidence_resolved_claims", "WITH " + SQL_EVIDENCE + """
 SELECT claim_id, claim, label, evidence, resolution FROM evidence""")
 def q1(spark, sf_dir):
@@ -90,3 +236,401 @@ SELECT resolution, CAST(count(*) AS BIGINT) AS n_claims FROM evidence GROUP BY r
 def q1b(spark, sf_dir):
     return (evidence_claims(spark, sf_dir).groupBy("resolution")
             .agg(F.count(F.lit(1)).alias("n_claims")))
+
+
+@register("p3_f1_evidence_refs", "WITH " + SQL_EVIDENCE + """
+SELECT claim_id, CAST(pos AS INTEGER) AS pos, title, CAST(idx AS INTEGER) AS idx FROM refs""")
+def p3_refs(spark, sf_dir):
+    """P2 + P3 + F1: usable references of the first group, order kept."""
+    return ev.evidence_refs(fx.claims(spark, sf_dir))
+
+
+@register("x1_x2_page_sentences", """
+SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_sentences,
+       CAST(sum(length(l)) AS BIGINT) AS sentence_chars
+FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l FROM documents)
+GROUP BY doc_id, text""")
+def x1_page_sentences(spark, sf_dir):
+    """S3 + X1 + X2 + J2 over the whole page store: sentences per page."""
+    s = ev.page_sentences(ev.dedupe_pages(fx.page_store(spark, sf_dir)))
+    return s.groupBy("id").agg(F.count(F.lit(1)).alias("n_sentences"),
+                               F.sum(F.length("sentence")).cast("long").alias("sentence_chars"))
+
+
+# --------------------------------------------------------------------------
+# File sources round-tripped through Spark-written files
+# --------------------------------------------------------------------------
+
+def _jsonl_claims_for_file(spark, sf_dir):
+    """Claims as they would arrive in a JSONL file: some labels lower-case,
+    some omitted (P1 must restore both)."""
+    c = fx.claims(spark, sf_dir)
+    label = (F.when((F.col("label") == K.DEFAULT_JSONL_LABEL) & (F.col("lang") == "es"), F.lit(None).cast("string"))
+             .when(F.col("source") == "src1", F.lower("label")).otherwise(F.col("label")))
+    return c.select("claim_id", "claim", label.alias("label"), "evidence")
+
+
+@register("s1_claims_jsonl_scan", "WITH " + SQL_CLAIMS + """
+SELECT CAST(row_number() OVER (ORDER BY claim_id) - 1 AS BIGINT) AS seq, claim_id, claim, label,
+       CAST(CASE WHEN lang = 'de' THEN 0 WHEN label = 'NOT ENOUGH INFO' THEN 1 ELSE 2 END AS INTEGER) AS n_groups,
+       CAST(CASE WHEN lang = 'de' OR label = 'NOT ENOUGH INFO' THEN 0 WHEN lang = 'es' THEN 2 ELSE 3 END AS INTEGER) AS n_usable_refs
+FROM claims""")
+def s1_jsonl(spark, sf_dir):
+    """S1 + P1 + F1: write claims as JSON lines, read them back with the reader."""
+    path = shared_dir(spark, "claims-jsonl")
+    SC.write_claims_jsonl(_jsonl_claims_for_file(spark, sf_dir), path)
+    df = SC.read_claims_jsonl(spark, path)
+    clean, _ = SC.split_rejects(df)
+    first = F.get(F.col("evidence"), 0)
+    return clean.select("seq", "claim_id", "claim", "label",
+                        F.coalesce(F.size("evidence"), F.lit(0)).alias("n_groups"),
+                        F.coalesce(F.size(F.filter(first, ev.usable_ref)), F.lit(0)).alias("n_usable_refs"))
+
+
+SQL_TSV = """
+tsv AS (
+  SELECT d.doc_id, split_part(d.text, chr(10), 1) AS claim,
+         CASE WHEN strpos(d.text, chr(10)) > 0 THEN substr(d.text, strpos(d.text, chr(10)) + 1) ELSE '' END AS main_text,
+         CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.lang = 'es' THEN 'snopes'
+              WHEN l.quality = 1 AND l.toxic = 0 THEN 'true' WHEN l.quality = 0 AND l.toxic = 1 THEN 'FALSE'
+              WHEN l.quality = 1 AND l.toxic = 1 THEN 'mixture' ELSE 'unproven' END AS label
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+tsv_seq AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS seq, * FROM tsv),
+validated AS (
+  SELECT *, CASE WHEN coalesce(claim, '') = '' OR coalesce(main_text, '') = '' OR coalesce(label, '') = '' THEN 'missing fields'
+                 WHEN upper(label) NOT IN ('TRUE', 'FALSE', 'UNPROVEN', 'MIXTURE') THEN 'invalid label: ' || upper(label)
+            END AS reject_reason
+  FROM tsv_seq),
+clean AS (SELECT seq, claim, main_text AS evidence, upper(label) AS label FROM validated WHERE reject_reason IS NULL)"""
+
+
+def tsv_loaded(spark, sf_dir):
+    path = shared_dir(spark, "claims-tsv")
+    SC.write_claims_tsv(fx.tsv_claims(spark, sf_dir), path, order="doc_id")
+    return SC.read_claims_tsv(spark, path)
+
+
+@register("q2_validated_claims", "WITH " + SQL_TSV + """
+SELECT seq, claim, evidence, label FROM clean""")
+def q2(spark, sf_dir):
+    """Q2 = S2 + P1 + F2 + F3: TSV written by Spark, read back, validated."""
+    clean, _ = V.validate(tsv_loaded(spark, sf_dir))
+    return clean
+
+
+@register("q2b_reject_log", "WITH " + SQL_TSV + """
+SELECT seq, reject_reason FROM validated WHERE reject_reason IS NOT NULL""")
+def q2b(spark, sf_dir):
+    """reject log, missing-field test before the label test."""
+    _, rejects = V.validate(tsv_loaded(spark, sf_dir))
+    return rejects
+
+
+@register("q2c_reject_counts", "WITH " + SQL_TSV + """
+SELECT CASE WHEN reject_reason LIKE 'invalid label%' THEN 'invalid label' ELSE reject_reason END AS reason,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM validated WHERE reject_reason IS NOT NULL GROUP BY 1""")
+def q2c(spark, sf_dir):
+    _, rejects = V.validate(tsv_loaded(spark, sf_dir))
+    return V.reject_counts(rejects)
+
+
+# --------------------------------------------------------------------------
+# Q3: sampling
+# --------------------------------------------------------------------------
+
+def _sql_sample(n: int, cols: str) -> str:
+    return "WITH " + SQL_EVIDENCE + f""",
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(claim_id AS VARCHAR)), claim_id) AS rn
+  FROM evidence)
+SELECT {cols} FROM ranked WHERE rn <= {n}"""
+
+
+@register("q3_balanced_evaluation_set", _sql_sample(
+    666, "claim_id, claim, label, evidence, md5('42#' || CAST(claim_id AS VARCHAR)) AS shuffle_key"))
+def q3(spark, sf_dir):
+    """Q3 = W1 (cap 666, seed 42) + O1. Sampling needs only the label, so the
+    claim keys are drawn first and evidence is resolved for the sample only."""
+    claims = fx.claims(spark, sf_dir)
+    sample = S.stratified(claims, 666, seed=42, mode="cap")
+    resolved = ev.resolve_evidence(sample, fx.page_store(spark, sf_dir), keep=["claim", "label"])
+    return resolved.select("claim_id", "claim", "label", "evidence",
+                           S.shuffle_key(42, "claim_id").alias("shuffle_key"))
+
+
+@register("w1_stratified_sample_cap40", """WITH """ + SQL_CLAIMS + """,
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(claim_id AS VARCHAR)), claim_id) AS rn
+  FROM claims)
+SELECT claim_id, label FROM ranked WHERE rn <= 40""")
+def w1(spark, sf_dir):
+    return S.stratified(fx.claims(spark, sf_dir), 40, seed=42, mode="cap").select("claim_id", "label")
+
+
+@register("a2_class_sizes", "WITH " + SQL_CLAIMS + """
+SELECT label, CAST(count(*) AS BIGINT) AS n_rows FROM claims GROUP BY label""")
+def a2(spark, sf_dir):
+    return S.class_sizes(fx.claims(spark, sf_dir))
+
+
+@register("a10_class_guard_666", "WITH " + SQL_CLAIMS + """,
+req AS (SELECT * FROM (VALUES ('SUPPORTS', 0), ('REFUTES', 1), ('NOT ENOUGH INFO', 2)) v(label, ord)),
+sizes AS (SELECT label, count(*) AS n FROM claims GROUP BY label)
+SELECT r.label, CAST(r.ord AS INTEGER) AS ord, CAST(coalesce(s.n, 0) AS BIGINT) AS n_rows, coalesce(s.n, 0) >= 666 AS enough
+FROM req r LEFT JOIN sizes s ON r.label = s.label""")
+def a10(spark, sf_dir):
+    """A10: the strict preset's class-size guard, as a table (the run raises)."""
+    return S.class_guard(fx.claims(spark, sf_dir), K.FEVER_LABELS, 666)
+
+
+@register("o1_seeded_shuffle_order", "WITH " + SQL_CLAIMS + """
+SELECT claim_id, CAST(row_number() OVER (ORDER BY md5('42#' || CAST(claim_id AS VARCHAR)), claim_id) - 1 AS BIGINT) AS shuffle_pos
+FROM claims""")
+def o1(spark, sf_dir):
+    """O1 + W2 numbering: dense position of each claim in the seeded shuffle."""
+    c = fx.claims(spark, sf_dir).select("claim_id").withColumn("_k", S.shuffle_key(42, "claim_id"))
+    return B.assign_sequence(c, ["_k", "claim_id"], name="shuffle_pos")
+
+
+# --------------------------------------------------------------------------
+# Batches and resume
+# --------------------------------------------------------------------------
+
+@register("w2_batch_assignment", "WITH " + SQL_CLAIMS + """,
+s AS (SELECT claim_id, CAST(row_number() OVER (ORDER BY claim_id) - 1 AS BIGINT) AS seq FROM claims)
+SELECT claim_id, seq, CAST(seq // 300 AS BIGINT) AS batch_id FROM s""")
+def w2(spark, sf_dir):
+    c = fx.claims(spark, sf_dir).select("claim_id")
+    return B.assign_batches(B.assign_sequence(c, ["claim_id"]), 300).select("claim_id", "seq", "batch_id")
+
+
+@register("j4_resume_pending", "WITH " + SQL_EVIDENCE + """
+SELECT claim_id, label FROM evidence WHERE resolution <> 'resolved'""")
+def j4(spark, sf_dir):
+    """A previous session stored the fully resolved claims; the rest is pending."""
+    e = evidence_claims(spark, sf_dir)
+    done = e.where(F.col("resolution") == K.RES_RESOLVED).select("claim_id")
+    return B.pending(e, done).select("claim_id", "label")
+
+
+# --------------------------------------------------------------------------
+# Prompts, scoring, label extraction
+# --------------------------------------------------------------------------
+
+SQL_TEMPLATES = "(VALUES " + ", ".join(
+    "(" + ", ".join(_q(x) for x in row) + ")" for row in DEFAULT_TEMPLATES) + ") tpl(dataset, strategy, head, mid, tail)"
+
+
+@register("x4_rendered_prompts", "WITH " + SQL_EVIDENCE + f"""
+SELECT e.claim_id, tpl.strategy, tpl.head || coalesce(e.claim, '') || tpl.mid || coalesce(e.evidence, '') || tpl.tail AS prompt
+FROM evidence e JOIN {SQL_TEMPLATES} ON tpl.dataset = 'fever'""")
+def x4(spark, sf_dir):
+    """J6 + X4: every claim rendered for each of the dataset's strategies."""
+    p = render(evidence_claims(spark, sf_dir), templates_frame(spark), "fever")
+    return p.select("claim_id", "strategy", "prompt")
+
+
+@register("d1_scorer_map_in_pandas", "WITH " + SQL_EVIDENCE + f"""
+SELECT claim_id, {sql_verifier('claim', 'evidence')} AS raw,
+       CASE WHEN length(evidence) > {D.VOCABULARIES['fever'].budget} THEN 'ValueError: evidence of ' || CAST(length(evidence) AS VARCHAR) || ' chars exceeds the context budget' END AS error
+FROM evidence""")
+def d1(spark, sf_dir):
+    """D1 + X8: the pluggable scorer in mapInPandas, failures isolated per row."""
+    p = render(evidence_claims(spark, sf_dir), templates_frame(spark), "fever", ["eep"])
+    return D.score(p, D.LexicalVerifier).select("claim_id", "raw", "error")
+
+
+@register("x5_x8_label_policies", "WITH " + SQL_OUTPUTS + """
+SELECT claim_id, t, p_raw, p_lenient, p_strict FROM preds""")
+def x5_x8(spark, sf_dir):
+    """X5 raw / X6 lenient / X7 strict extraction with the X8 ERROR sentinel."""
+    return stored_predictions(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------
+# Q4: scored runs (write once, read back)
+# --------------------------------------------------------------------------
+
+@register("q4_scored_run_fever_eep", "WITH " + SQL_EVIDENCE + f""",
+s AS (SELECT *, CAST(row_number() OVER (ORDER BY claim_id) - 1 AS BIGINT) AS seq,
+             {sql_verifier('claim', 'evidence')} AS raw FROM evidence)
+SELECT 'eep' AS strategy, claim_id, seq, CAST(seq // 300 AS BIGINT) AS batch_id, claim AS Claim, evidence AS Evidence,
+       label AS True_Label, {sql_label('raw', 'raw')} AS Predicted_Label
+FROM s""")
+def q4_fever(spark, sf_dir):
+    """Q4, preset fever_eep_full: W2, J4, X4, D1, X5, X8, P4, K1, A11."""
+    out = shared_dir(spark, "run-fever-eep")
+    res, _ = P.scored_run(spark, evidence_claims(spark, sf_dir), P.PRESETS["fever_eep_full"], out)
+    return res.select("strategy", "claim_id", "seq", "batch_id", *K.RESULT_COLUMNS)
+
+
+@register("q4b_scored_run_pubhealth_eep", "WITH " + SQL_TSV + f""",
+c AS (SELECT seq AS claim_id, claim, evidence, label,
+             CAST(row_number() OVER (ORDER BY seq) - 1 AS BIGINT) AS wseq FROM clean),
+s AS (SELECT *, {sql_verifier('claim', 'evidence', 'pubhealth')} AS raw FROM c)
+SELECT 'eep' AS strategy, claim_id, wseq AS seq, CAST(wseq // 100 AS BIGINT) AS batch_id, claim AS Claim,
+       evidence AS Evidence, label AS True_Label, {sql_label('raw', 'raw', K.PUBHEALTH_LABELS)} AS Predicted_Label
+FROM s""")
+def q4_pubhealth(spark, sf_dir):
+    """Q4, preset pubhealth_eep: validated TSV claims, raw-text labels."""
+    clean, _ = V.validate(tsv_loaded(spark, sf_dir))
+    claims = clean.withColumnRenamed("seq", "claim_id")
+    out = shared_dir(spark, "run-pubhealth-eep")
+    res, _ = P.scored_run(spark, claims, P.PRESETS["pubhealth_eep"], out)
+    return res.select("strategy", "claim_id", "seq", "batch_id", *K.RESULT_COLUMNS)
+
+
+# --------------------------------------------------------------------------
+# Q5: combine result batches (CSV export -> scan -> union by name)
+# --------------------------------------------------------------------------
+
+# The CoT preset draws exactly 666 rows per class and aborts below that (A10);
+# the driver tables never hold 666 REFUTES rows, so the combine test scores
+# the CoT configuration over the full claim set instead.
+COT_FULL = dataclasses.replace(P.PRESETS["fever_cot"], name="fever_cot_full", sampling=None, per_class=None)
+
+
+def combined_results(spark, sf_dir) -> DataFrame:
+    claims = evidence_claims(spark, sf_dir)
+    frames = []
+    for preset in (P.PRESETS["fever_eep_full"], COT_FULL):
+        run_dir = shared_dir(spark, f"run-{preset.name}")
+        res, _ = P.scored_run(spark, claims, preset, run_dir)
+        csv_dir = shared_dir(spark, f"csv-{preset.name}")
+        R.write_batches(res.drop("strategy").withColumn("Strategy", F.lit(preset.strategy)), csv_dir, fmt="csv")
+        frames.append(R.read_batches(spark, csv_dir, fmt="csv"))
+    return C.combine(frames)
+
+
+SQL_COMBINED = SQL_OUTPUTS + """,
+s AS (SELECT *, CAST(row_number() OVER (ORDER BY claim_id) - 1 AS BIGINT) AS seq FROM outputs),
+combined AS (
+  SELECT 'eep' AS Strategy, CAST(claim_id AS VARCHAR) AS claim_id, CAST(seq AS VARCHAR) AS seq, CAST(seq // 300 AS BIGINT) AS batch_id,
+         claim AS Claim, evidence AS Evidence, label AS True_Label, """ + sql_label('raw', 'raw') + """ AS Predicted_Label,
+         CAST(NULL AS VARCHAR) AS Raw_Output
+  FROM s
+  UNION ALL
+  SELECT 'cot', CAST(claim_id AS VARCHAR), CAST(seq AS VARCHAR), CAST(seq // 500 AS BIGINT), claim, evidence, label,
+         """ + sql_label('raw', 'lenient') + """, coalesce(raw, 'ValueError: evidence of ' || CAST(length(evidence) AS VARCHAR) || ' chars exceeds the context budget')
+  FROM s)"""
+
+
+@register("q5_combined_results", "WITH " + SQL_COMBINED + """
+SELECT Strategy, claim_id, seq, batch_id, Claim, Evidence, True_Label, Predicted_Label, Raw_Output FROM combined""")
+def q5(spark, sf_dir):
+    """Q5 = K1 (CSV) + S4 + U1 + O2: 4- and 5-column batches unioned by name."""
+    df = combined_results(spark, sf_dir)
+    return C.batch_order(df.select("Strategy", "claim_id", "seq", F.col("batch_id").cast("long").alias("batch_id"),
+                                   *K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN), seq=None)
+
+
+@register("a9_combined_total_rows", "WITH " + SQL_COMBINED + """
+SELECT CAST(count(*) AS BIGINT) AS total_rows FROM combined""")
+def a9(spark, sf_dir):
+    return C.total_rows(combined_results(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Q6-Q9: reports under the four policies; A3, A8, K3/X9
+# --------------------------------------------------------------------------
+
+@register("q6_report_all", sql_report("WITH " + SQL_OUTPUTS + ", tp0 AS (SELECT t, p_raw AS p FROM preds)", "all") + "")
+def q6(spark, sf_dir):
+    """Q6: raw-text predictions, labels discovered from truth and prediction."""
+    return rounded(M.report(tp_frame(stored_predictions(spark, sf_dir), "raw"), "all"))
+
+
+@register("q7_report_fixed", sql_report("WITH " + SQL_OUTPUTS + ", tp0 AS (SELECT t, p_lenient AS p FROM preds)",
+                                        "fixed", K.FEVER_LABELS))
+def q7(spark, sf_dir):
+    """Q7: lenient predictions, fixed label list, ERROR/UNKNOWN rows kept."""
+    return rounded(M.report(tp_frame(stored_predictions(spark, sf_dir), "lenient"), "fixed", K.FEVER_LABELS))
+
+
+@register("q8_report_valid_only", sql_report("WITH " + SQL_OUTPUTS + ", tp0 AS (SELECT t, p_strict AS p FROM preds)",
+                                             "valid_only", K.FEVER_LABELS))
+def q8(spark, sf_dir):
+    """Q8: strict predictions; rows without a valid prediction leave both sides."""
+    return rounded(M.report(tp_frame(stored_predictions(spark, sf_dir), "strict"), "valid_only", K.FEVER_LABELS))
+
+
+@register("q9_report_exclude_error", sql_report(
+    "WITH " + SQL_COMBINED + ", tp0 AS (SELECT upper(True_Label) AS t, upper(Predicted_Label) AS p FROM combined WHERE Strategy = 'eep')",
+    "exclude_error"))
+def q9(spark, sf_dir):
+    """Q9 = S5 + P5 + P6 + F5 over the combined CSV of the EEP run."""
+    df = M.normalise_columns(combined_results(spark, sf_dir)).where(F.col("strategy") == "eep")
+    return rounded(M.report(M.normalise_labels(df, "true_label", "predicted_label"), "exclude_error"))
+
+
+@register("a3_confusion_counts", "WITH " + SQL_OUTPUTS + """
+SELECT t, p_lenient AS p, CAST(count(*) AS BIGINT) AS n FROM preds GROUP BY 1, 2""")
+def a3(spark, sf_dir):
+    return M.confusion(tp_frame(stored_predictions(spark, sf_dir), "lenient"))
+
+
+@register("a8_label_domain", "WITH " + SQL_OUTPUTS + """,
+u AS (SELECT t AS label FROM preds UNION SELECT p_raw FROM preds)
+SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS ord FROM u""")
+def a8(spark, sf_dir):
+    """A8 + U2 + O3: sorted distinct union of truth and prediction."""
+    return M.label_domain(tp_frame(stored_predictions(spark, sf_dir), "raw")).select(
+        "label", F.col("ord").cast("int").alias("ord"))
+
+
+@register("k3_report_text")
+def k3(spark, sf_dir):
+    """K3 + X9: the report rendered with three digits, written as text."""
+    rep = M.report(tp_frame(stored_predictions(spark, sf_dir), "raw"), "all")
+    lines = M.report_text(rep)
+    out = shared_dir(spark, "report")
+    R.write_report(rep, lines, out)
+    return spark.read.parquet(f"{out}/metrics").select(
+        "ord", "label", *[format3(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+# --------------------------------------------------------------------------
+# Strategy comparison
+# --------------------------------------------------------------------------
+
+STRATEGY_POLICY = {"eep": "raw", "cot": "lenient", "selfask": "strict"}
+
+
+@register("q10_strategy_comparison", "WITH " + SQL_OUTPUTS + """,
+long AS (
+  SELECT 'eep' AS strategy, t, p_raw AS p FROM preds UNION ALL
+  SELECT 'cot', t, p_lenient FROM preds UNION ALL
+  SELECT 'selfask', t, p_strict FROM preds),
+counts AS (
+  SELECT strategy, label, sum(sup) AS support, sum(pr) AS predicted, sum(hit) AS tp
+  FROM (SELECT strategy, t AS label, 1 AS sup, 0 AS pr, CASE WHEN t = p THEN 1 ELSE 0 END AS hit FROM long
+        UNION ALL SELECT strategy, p, 0, 1, 0 FROM long) z GROUP BY strategy, label),
+f AS (SELECT strategy, label, CASE WHEN predicted + support = 0 THEN 0.0
+                                   ELSE CAST(2 * tp AS DOUBLE) / CAST(predicted + support AS DOUBLE) END AS f1 FROM counts)
+SELECT 'fever' AS dataset, label,
+       round(max(CASE WHEN strategy = 'eep' THEN f1 END), 6) AS eep,
+       round(max(CASE WHEN strategy = 'cot' THEN f1 END), 6) AS cot,
+       round(max(CASE WHEN strategy = 'selfask' THEN f1 END), 6) AS selfask
+FROM f GROUP BY label""")
+def q10(spark, sf_dir):
+    """Q10 = A12: per-label F1 of the three strategies side by side.
+
+    One pass: each prediction row fans out to its three strategy predictions,
+    counts are grouped by (strategy, label), then pivoted on the listed
+    strategies."""
+    preds = stored_predictions(spark, sf_dir)
+    long = preds.select("t", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("strategy"), F.col(f"p_{pol}").alias("p")) for s, pol in STRATEGY_POLICY.items()
+    ])).alias("x")).select("x.strategy", "t", "x.p")
+    sides = F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.lit(1).alias("sup"), F.lit(0).alias("pr"),
+                 (F.col("t") == F.col("p")).cast("int").alias("tp")),
+        F.struct(F.col("p").alias("label"), F.lit(0).alias("sup"), F.lit(1).alias("pr"), F.lit(0).alias("tp"))))
+    counts = (long.select("strategy", sides.alias("s")).select("strategy", "s.*")
+              .groupBy("strategy", "label").agg(F.sum("sup").alias("sup"), F.sum("pr").alias("pr"), F.sum("tp").alias("tp")))
+    f1 = counts.select(F.lit("fever").alias("dataset"), "strategy", "label",
+                       F.coalesce(F.try_divide((2 * F.col("tp")).cast("double"), (F.col("pr") + F.col("sup")).cast("double")),
+                                  F.lit(0.0)).alias("f1"))
+    wide = C.compare_strategies(f1, "f1", list(STRATEGY_POLICY))
+    return wide.select("dataset", "label", *[F.round(F.col(s), 6).alias(s) for s in STRATEGY_POLICY])

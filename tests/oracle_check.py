@@ -57,9 +57,13 @@ def compare(spark, sf_dir, names=None):
     out = {}
     for name in names or sorted(qs):
         t0 = time.time()
-        df = qs[name](spark, sf_dir)
-        s_cols = df.columns
-        s_rows = [tuple(r) for r in df.collect()]
+        try:
+            df = qs[name](spark, sf_dir)
+            s_cols = df.columns
+            s_rows = [tuple(r) for r in df.collect()]
+        except Exception as exc:  # noqa: BLE001
+            out[name] = dict(error=str(exc).splitlines()[0][:400], hash=False)
+            continue
         t1 = time.time()
         if name not in sqls:
             out[name] = dict(rows=len(s_rows), oracle="rows-only", sec=round(t1 - t0, 2))
