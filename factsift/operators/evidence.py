@@ -8,6 +8,7 @@ Plan shape (all DataFrame built-ins, no UDF):
    that some claim cites are ever split into lines (the store is the big side).
 3. ``page_sentences`` - matched pages exploded into lines, index parsed
    tolerantly (X1, X2), first line per ``(id, idx)`` kept with ``min_by`` (J2).
+   Only lines whose ``(id, idx)`` is requested reach that aggregate.
 4. distinct ``(title, idx)`` keys resolved once each, with the two kinds of miss
    told apart (J3, X3); references then join the resolved keys (J1).
 5. ordered concat per claim (A1) and a left join back to the claims, so claims
@@ -59,24 +60,47 @@ def dedupe_pages(pages: DataFrame, id_col: str = "id", lines_col: str = "lines")
             .agg(F.min(F.col(lines_col)).alias("lines")))
 
 
-def page_sentences(pages: DataFrame) -> DataFrame:
-    """X1 + X2 + J2: ``(id, idx, sentence)``, first line wins per ``(id, idx)``."""
+def page_lines(pages: DataFrame) -> DataFrame:
+    """X1 + X2: ``(id, ln, idx, sentence)`` for every line with a tab and an
+    integer index."""
     lines = pages.select("id", F.posexplode(F.split(F.col("lines"), "\n")).alias("ln", "l"))
     idx_txt, sentence = page_line_parts(F.col("l"))
-    parsed = (lines.where(F.instr(F.col("l"), "\t") > 0)
-              .select("id", "ln", tolerant_int(idx_txt).alias("idx"), sentence.alias("sentence"))
-              .where(F.col("idx").isNotNull()))
-    return (parsed.groupBy("id", "idx")
+    return (lines.where(F.instr(F.col("l"), "\t") > 0)
+            .select("id", "ln", tolerant_int(idx_txt).alias("idx"), sentence.alias("sentence"))
+            .where(F.col("idx").isNotNull()))
+
+
+def first_sentence(lines: DataFrame) -> DataFrame:
+    """The first line per ``(id, idx)`` wins."""
+    return (lines.groupBy("id", "idx")
             .agg(F.min_by(F.col("sentence"), F.col("ln")).alias("sentence")))
 
 
-def resolve_keys(keys: DataFrame, pages: DataFrame) -> DataFrame:
-    """Resolve distinct ``(title, idx)`` keys against the page store."""
+def page_sentences(pages: DataFrame) -> DataFrame:
+    """X1 + X2 + J2 over a whole page store: ``(id, idx, sentence)``."""
+    return first_sentence(page_lines(pages))
+
+
+def resolve_keys(keys: DataFrame, pages: DataFrame, unique_ids: bool = True) -> DataFrame:
+    """Resolve distinct ``(title, idx)`` keys against the page store.
+
+    Only cited pages are split into lines, and only lines whose index is
+    actually requested reach the first-line aggregate, so the page store is
+    touched by one semi join and one map-side filter. ``unique_ids=False``
+    makes a store with repeated ids keep one deterministic row per id.
+    """
     titles = keys.select("title").distinct()
     cited = pages.join(titles, pages["id"] == titles["title"], "left_semi")
-    cited = dedupe_pages(cited)
+    if not unique_ids:
+        cited = dedupe_pages(cited)
     found = cited.select(F.col("id").alias("found_id"))
-    sentences = page_sentences(cited).withColumnRenamed("idx", "s_idx")
+    if not unique_ids:
+        found = found.distinct()
+    wanted = keys.select(F.col("title").alias("w_title"), F.col("idx").alias("w_idx"))
+    lines = page_lines(cited)
+    cited_lines = lines.join(wanted, (lines["id"] == wanted["w_title"]) & (lines["idx"] == wanted["w_idx"]),
+                             "left_semi")
+    sentences = first_sentence(cited_lines).withColumnRenamed("idx", "s_idx")
     k = keys.alias("k")
     out = (k.join(found, F.col("k.title") == F.col("found_id"), "left")
            .join(sentences, (F.col("k.title") == F.col("id")) & (F.col("k.idx") == F.col("s_idx")), "left"))
@@ -90,21 +114,19 @@ def resolve_keys(keys: DataFrame, pages: DataFrame) -> DataFrame:
                       text.alias("sentence"), status.alias("status"))
 
 
-def resolve_refs(refs: DataFrame, pages: DataFrame) -> DataFrame:
+def resolve_refs(refs: DataFrame, pages: DataFrame, unique_ids: bool = True) -> DataFrame:
     """J1-J3 per reference: ``(claim_id, pos, sentence, status)``.
 
-    A NULL title can never match (SQL equality), so those references get the
-    page-miss placeholder directly instead of all hashing to one join partition.
+    A NULL title never matches (SQL equality). Its rows stay in the same
+    left join, so the claims are derived once, and AQE's skew handling splits
+    the NULL-key partition should NULL titles be a large share of references.
     """
-    titled = refs.where(F.col("title").isNotNull())
-    untitled = refs.where(F.col("title").isNull()).select(
-        "claim_id", "pos", page_not_found(F.col("title")).alias("sentence"),
-        F.lit(K.RES_PAGE_MISS).alias("status"))
-    keys = titled.select("title", "idx").distinct()
-    resolved = resolve_keys(keys, pages)
-    joined = (titled.join(resolved, ["title", "idx"], "left")
-              .select("claim_id", "pos", "sentence", "status"))
-    return joined.unionByName(untitled)
+    keys = refs.where(F.col("title").isNotNull()).select("title", "idx").distinct()
+    resolved = resolve_keys(keys, pages, unique_ids).withColumnsRenamed({"title": "r_title", "idx": "r_idx"})
+    joined = refs.join(resolved, (refs["title"] == resolved["r_title"]) & (refs["idx"] == resolved["r_idx"]), "left")
+    sentence = F.coalesce(F.col("sentence"), page_not_found(F.col("title")))
+    status = F.coalesce(F.col("status"), F.lit(K.RES_PAGE_MISS))
+    return joined.select("claim_id", "pos", sentence.alias("sentence"), status.alias("status"))
 
 
 def concat_evidence(resolved: DataFrame) -> DataFrame:
@@ -118,7 +140,7 @@ def concat_evidence(resolved: DataFrame) -> DataFrame:
 
 
 def resolve_evidence(claims: DataFrame, pages: DataFrame, group: int = 0,
-                     keep: list[str] | None = None) -> DataFrame:
+                     keep: list[str] | None = None, unique_ids: bool = True) -> DataFrame:
     """Q1: claims with an ``evidence`` text and a ``resolution`` status.
 
     ``claims`` needs ``claim_id`` and ``evidence ARRAY<ARRAY<ARRAY<STRING>>>``;
@@ -126,7 +148,7 @@ def resolve_evidence(claims: DataFrame, pages: DataFrame, group: int = 0,
     """
     keep = keep if keep is not None else [c for c in ("claim", "label") if c in claims.columns]
     refs = evidence_refs(claims, group)
-    per_claim = concat_evidence(resolve_refs(refs, pages.select("id", "lines")))
+    per_claim = concat_evidence(resolve_refs(refs, pages.select("id", "lines"), unique_ids))
     base = claims.select("claim_id", *keep, has_groups(F.col("evidence")).alias("_has_groups"))
     j = base.join(per_claim, "claim_id", "left")
     evidence = (F.when(~F.col("_has_groups"), F.lit(K.NO_EVIDENCE))

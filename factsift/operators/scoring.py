@@ -17,6 +17,7 @@ model so runs, tests and benchmarks need no network.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -149,7 +150,7 @@ def score_stored(df: DataFrame, outputs: DataFrame, keys=("claim_id", "strategy"
 def observe_counters(df: DataFrame, name: str = "run_counters",
                      prediction: str = "Predicted_Label") -> tuple[DataFrame, Observation]:
     """Rows done and ERROR rows, collected as metrics on the write itself."""
-    obs = Observation(name)
+    obs = Observation(f"{name}_{uuid.uuid4().hex[:8]}")  # names must be unique per session
     out = df.observe(obs, F.count(F.lit(1)).alias("rows"),
                      F.count_if(F.col(prediction) == K.ERROR).alias("errors"))
     return out, obs

@@ -26,6 +26,7 @@ from factsift.operators import batches as B
 from factsift.operators import metrics as M
 from factsift.operators import sampling as S
 from factsift.operators.scoring import LexicalVerifier, observe_counters, score
+from factsift.session import path_exists
 from factsift.sources import results as R
 
 
@@ -96,10 +97,10 @@ def scored_run(spark: SparkSession, claims: DataFrame, preset: Preset, out_dir:
     """
     factory = scorer_factory or (lambda: LexicalVerifier(preset.dataset))
     work = working_set(claims, preset)
-    try:
-        done = R.read_batches(spark, out_dir)
-        todo = B.pending(work, done.where(F.col("strategy") == preset.strategy), "claim_id")
-    except Exception:  # noqa: BLE001 - no stored table yet
+    if path_exists(spark, out_dir):
+        done = R.read_batches(spark, out_dir).where(F.col("strategy") == preset.strategy)
+        todo = B.pending(work, done, "claim_id")
+    else:
         todo = work
     prompts = render(todo, templates_frame(spark), preset.dataset, [preset.strategy])
     scored = score(prompts, factory, parallelism=parallelism)

@@ -65,3 +65,11 @@ def shared_dir(spark: SparkSession, name: str, unique: bool = True) -> str:
     leaf = f"{name}-{uuid.uuid4().hex[:12]}" if unique else name
     path = os.path.join(root, "factsift", leaf) if "://" not in root else f"{root}/factsift/{leaf}"
     return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its (possibly remote) file system."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(jpath)
