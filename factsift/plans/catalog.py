@@ -634,3 +634,24 @@ def q10(spark, sf_dir):
                                   F.lit(0.0)).alias("f1"))
     wide = C.compare_strategies(f1, "f1", list(STRATEGY_POLICY))
     return wide.select("dataset", "label", *[F.round(F.col(s), 6).alias(s) for s in STRATEGY_POLICY])
+
+
+# --------------------------------------------------------------------------
+# Resumable scoring as a stream (run twice; the second run adds nothing)
+# --------------------------------------------------------------------------
+
+@register("t1_stream_resumable_scoring", "WITH " + SQL_OUTPUTS + f"""
+SELECT 'eep' AS strategy, claim_id, claim AS Claim, evidence AS Evidence, label AS True_Label,
+       {sql_label('raw', 'raw')} AS Predicted_Label
+FROM outputs""")
+def t1(spark, sf_dir):
+    """JSONL claim files -> readStream -> foreachBatch(resolve, score,
+    anti-join, append) with availableNow; a rerun over the same files appends
+    no rows."""
+    from factsift.streaming.resumable import stream_score
+    base = shared_dir(spark, "stream")
+    SC.write_claims_jsonl(fx.claims(spark, sf_dir), f"{base}/in")
+    pages = fx.page_store(spark, sf_dir)
+    for _ in range(2):
+        stream_score(spark, f"{base}/in", pages, f"{base}/out", f"{base}/checkpoint", max_files_per_trigger=4)
+    return spark.read.parquet(f"{base}/out").select("strategy", "claim_id", *K.RESULT_COLUMNS)
