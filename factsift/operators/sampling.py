@@ -2,20 +2,21 @@
 
 Draws are keyed by ``md5(seed || ':' || key)`` with the key as tie-break, so
 they do not depend on partitioning, task retries or executor loss (``rand``
-would). ``row_number() <= n`` per label is planned by Spark as a
-``WindowGroupLimit``: each map task keeps at most ``n`` rows per label before
-the shuffle, so even a label holding a third of all rows sends only
-``#partitions x n`` candidates to its final task, never the whole class.
+would). See ``stratified`` for how a class holding a third of all rows is
+sampled without ranking the class in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factsift.session import checkpoint_root
+
 
 def draw_key(seed: int | str, key: str, sep: str = ":") -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}{sep}"), F.col(key).cast("string")))
@@ -44,13 +45,46 @@ def check_class_sizes(df: DataFrame, labels: Sequence[str], n: int, label: str =
         raise ValueError(f"Not enough samples for {detail} (need {n})")
 
 
+# Exact top-n by hash without ranking whole classes. The draw order is
+# md5(seed:key); its first 15 hex digits are a uniform integer in [0, 16^15)
+# that preserves the order of the full digest (ties beyond 60 bits are
+# broken by the full digest and the key in the final ranking).
+_U_RANGE = 16 ** 15
+MAX_THRESHOLD_LABELS = 1_000
+
+
+def uniform_draw(seed: int | str, key: str) -> F.Column:
+    return F.conv(F.substring(draw_key(seed, key), 1, 15), 16, 10).cast("long")
+
+
+def _threshold(size: int, n: int, widen: int) -> int:
+    """Upper bound on the uniform draw so ~n + 10*sqrt(n) + 10 rows survive."""
+    if size <= n:
+        return _U_RANGE
+    want = (n + 10 * math.sqrt(n) + 10) * (4 ** widen)
+    return _U_RANGE if want >= size else int(_U_RANGE * want / size) + 1
+
+
+def _rank_top(df: DataFrame, n: int, seed, key: str, label: str) -> DataFrame:
+    w = Window.partitionBy(label).orderBy(draw_key(seed, key), F.col(key))
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_id",
                label: str = "label", mode: str = "cap",
                labels: Sequence[str] | None = None) -> DataFrame:
-    """``n`` rows per class without replacement.
+    """``n`` rows per class without replacement, exact and repeatable.
 
     ``cap``: ``min(size, n)`` for every label present (``n=None``: no cap).
     ``strict``: only ``labels``, each must hold ``n`` rows (A10) else raise.
+
+    Plan: class sizes (one aggregate, one row per label to the driver) ->
+    per-label threshold on the uniform draw -> map-side filter keeps about
+    ``n + 10*sqrt(n)`` rows per label -> the candidates are checkpointed and
+    checked (a label short of ``min(size, n)`` candidates gets a wider
+    threshold, so the result is exact) -> ``row_number() <= n`` over the
+    candidates only. A label holding a third of all rows never reaches a
+    single task; only its candidates do.
     """
     if mode not in ("cap", "strict"):
         raise ValueError("mode must be 'cap' or 'strict'")
@@ -61,8 +95,33 @@ def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_i
         check_class_sizes(df, labels, n, label)
     if n is None:
         return df
-    w = Window.partitionBy(label).orderBy(draw_key(seed, key), F.col(key))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    sizes_df = class_sizes(df, label)
+    sizes = {r[label]: r["n_rows"] for r in sizes_df.limit(MAX_THRESHOLD_LABELS + 1).collect()}
+    if len(sizes) > MAX_THRESHOLD_LABELS or None in sizes:
+        # Very many (or NULL) labels: rank directly; the partial
+        # WindowGroupLimit still caps every map task at n rows per label.
+        return _rank_top(df, n, seed, key, label)
+    checkpoint_root(df.sparkSession)
+    u = uniform_draw(seed, key)
+    widen = {lab: 0 for lab in sizes}
+    kept: DataFrame | None = None
+    for _ in range(8):
+        cases = None
+        for lab, size in sizes.items():
+            t = _threshold(size, n, widen[lab])
+            cond = F.col(label) == F.lit(lab)
+            cases = F.when(cond, F.lit(t)) if cases is None else cases.when(cond, F.lit(t))
+        cand = df.where(u < cases).checkpoint(eager=True)
+        got = {r[label]: r["n_rows"] for r in class_sizes(cand, label).collect()}
+        short = [lab for lab, size in sizes.items() if got.get(lab, 0) < min(size, n)]
+        if not short:
+            kept = cand
+            break
+        for lab in short:
+            widen[lab] += 1
+    if kept is None:  # practically unreachable; stay exact regardless
+        return _rank_top(df, n, seed, key, label)
+    return _rank_top(kept, n, seed, key, label)
 
 
 def shuffle_key(seed: int = 42, key: str = "claim_id") -> F.Column:

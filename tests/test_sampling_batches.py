@@ -72,3 +72,29 @@ def test_pending_anti_join(spark):
     todo = spark.range(10).withColumnRenamed("id", "claim_id")
     done = spark.createDataFrame([(1,), (3,), (3,)], "claim_id long")
     assert sorted(r.claim_id for r in B.pending(todo, done).collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
+
+
+def _brute_force(rows, n, seed=42):
+    import hashlib
+    by = {}
+    for cid, lab in rows:
+        by.setdefault(lab, []).append((hashlib.md5(f"{seed}:{cid}".encode()).hexdigest(), cid))
+    return sorted(cid for lab, xs in by.items() for _, cid in sorted(xs)[:n])
+
+
+def test_threshold_draw_equals_brute_force_on_a_hot_class(spark):
+    sizes = {"SUPPORTS": 6000, "REFUTES": 40, "NOT ENOUGH INFO": 300}
+    df = claims(spark, sizes)
+    rows = [(r.claim_id, r.label) for r in df.collect()]
+    got = sorted(r.claim_id for r in S.stratified(df, 60).collect())
+    assert got == _brute_force(rows, 60)
+
+
+def test_threshold_widening_keeps_result_exact(spark, monkeypatch):
+    df = claims(spark, {"SUPPORTS": 3000, "REFUTES": 500})
+    rows = [(r.claim_id, r.label) for r in df.collect()]
+    real = S._threshold
+    # start far too narrow: the first pass must come up short and widen
+    monkeypatch.setattr(S, "_threshold", lambda size, n, widen: real(size, n, widen) // (64 if widen == 0 else 1))
+    got = sorted(r.claim_id for r in S.stratified(df, 100).collect())
+    assert got == _brute_force(rows, 100)
