@@ -64,3 +64,37 @@ def test_order_invariant_under_repartition(spark):
     a = sorted(resolve_evidence(claims, pages).collect())
     b = sorted(resolve_evidence(claims.repartition(7), pages.repartition(3)).collect())
     assert a == b
+
+
+def _parents_of(plan: str, needle: str) -> list[str]:
+    lines = plan.splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if needle in line:
+            depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            for j in range(i - 1, -1, -1):
+                d = len(lines[j]) - len(lines[j].lstrip(" :+-*()0123456789"))
+                if d < depth:
+                    out.append(lines[j].strip())
+                    break
+    return out
+
+
+def test_bucketed_page_store_is_not_shuffled(spark, tmp):
+    from factsift.sources.pages import read_page_store, write_page_store
+    claims, pages = _frames(spark)
+    write_page_store(pages, f"{tmp}/pb", table="test_pages_bucketed", buckets=4)
+    store = read_page_store(spark, "test_pages_bucketed", table=True)
+    prev = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = resolve_evidence(claims, store)
+        got = {r.claim_id: r.evidence for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", prev or "10485760")
+    assert all(got[cid] == text for cid, _, text, _ in CASES)
+    parents = _parents_of(plan, "test_pages_bucketed")
+    assert parents and not any("Exchange" in p for p in parents), parents
