@@ -18,9 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from factsift import constants as K
+from factsift.operators.batches import assign_sequence
 from factsift.functions.text import format3
 
 POLICIES = ("all", "fixed", "valid_only", "exclude_error")
@@ -56,9 +55,14 @@ def confusion(df: DataFrame) -> DataFrame:
 
 
 def label_domain(df: DataFrame) -> DataFrame:
-    """A8 + U2 + O3: distinct union of truth and prediction, with sort order."""
+    """A8 + U2 + O3: distinct union of truth and prediction, with sort order.
+
+    The domain is not bounded in general (under the raw-text policy every
+    distinct output is a class), so the order is a distributed dense
+    numbering of the sorted labels, not a single-partition window.
+    """
     labels = df.select(F.col("t").alias("label")).union(df.select(F.col("p").alias("label"))).distinct()
-    return labels.withColumn("ord", F.dense_rank().over(Window.orderBy("label")) - 1)
+    return assign_sequence(labels, ["label"], name="ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def label_counts(df: DataFrame) -> DataFrame:
@@ -94,11 +98,14 @@ def _class_table(df: DataFrame, labels: Sequence[str] | None) -> DataFrame:
     """
     counts = label_counts(df)
     if labels is None:
-        t = counts.withColumn("ord", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+        t = assign_sequence(counts, ["label"], name="ord").withColumn("ord", F.col("ord").cast("int"))
     else:
         domain = F.broadcast(labels_frame(df.sparkSession, labels))
         t = domain.join(counts, "label", "full").na.fill(0, ["support", "predicted", "tp"])
-    return t.withColumn("total_rows", F.sum("support").over(Window.partitionBy()))
+    # Every row adds 1 to the support of its truth label, so this scalar
+    # subquery is the row count (no window over the label table, no join).
+    total = counts.select(F.coalesce(F.sum("support"), F.lit(0)).alias("n")).scalar()
+    return t.withColumn("total_rows", total)
 
 
 def _with_ratios(t: DataFrame) -> DataFrame:

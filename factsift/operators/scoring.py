@@ -27,6 +27,7 @@ from pyspark.sql.observation import Observation
 from pyspark.sql.types import StringType, StructField, StructType
 
 from factsift import constants as K
+from factsift.session import ship_package
 
 # Scorer contract: (claim, evidence, prompt) -> raw output text; may raise.
 Scorer = Callable[[str, str, str], str]
@@ -135,6 +136,7 @@ def score(df: DataFrame, factory: ScorerFactory = LexicalVerifier, claim: str =
     """
     if prompt is not None and prompt not in df.columns:
         prompt = None
+    ship_package(df.sparkSession)
     src = df.repartition(parallelism) if parallelism else df
     schema = StructType(list(src.schema.fields) + [StructField("raw", StringType()),
                                                    StructField("error", StringType())])
