@@ -559,11 +559,27 @@ def q8(spark, sf_dir):
     "WITH " + SQL_COMBINED + ", tp0 AS (SELECT upper(True_Label) AS t, upper(Predicted_Label) AS p FROM combined WHERE Strategy = 'eep')",
     "exclude_error"))
 def q9(spark, sf_dir):
-    """Q9 = S5 + P5 + P6 + F5 over the combined CSV of the EEP run."""
-    df = M.normalise_columns(combined_results(spark, sf_dir)).where(F.col("strategy") == "eep")
+    """Q9 = K2 + S5 + P5 + P6 + F5: the combined table is written as CSV,
+    read back with all-string columns, normalised and filtered."""
+    path = shared_dir(spark, "combined")
+    R.write_combined(combined_results(spark, sf_dir), path)
+    df = M.normalise_columns(R.read_combined(spark, path)).where(F.col("strategy") == "eep")
     return rounded(M.report(M.normalise_labels(df, "true_label", "predicted_label"), "exclude_error"))
 
 
+@register("a11_run_counters", "WITH " + SQL_OUTPUTS + """
+SELECT CAST(count(*) AS BIGINT) AS rows_done,
+       CAST(count(*) FILTER (WHERE p_raw = 'ERROR') AS BIGINT) AS error_rows
+FROM preds""")
+def a11(spark, sf_dir):
+    """A11 over the stored result table of a scored run (the same counters are
+    also observed on the write itself, see ``scoring.observe_counters``)."""
+    out = shared_dir(spark, "run-counters")
+    res, _ = P.scored_run(spark, evidence_claims(spark, sf_dir), P.PRESETS["fever_eep_full"], out)
+    return res.agg(F.count(F.lit(1)).alias("rows_done"),
+                   F.count_if(F.col("Predicted_Label") == K.ERROR).alias("error_rows"))
+
+
 @register("a3_confusion_counts", "WITH " + SQL_OUTPUTS + """
 SELECT t, p_lenient AS p, CAST(count(*) AS BIGINT) AS n FROM preds GROUP BY 1, 2""")
 def a3(spark, sf_dir):
