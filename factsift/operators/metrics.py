@@ -18,8 +18,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
 from factsift import constants as K
 from factsift.operators.batches import assign_sequence
+from factsift.session import checkpoint_root
 from factsift.functions.text import format3
 
 POLICIES = ("all", "fixed", "valid_only", "exclude_error")
@@ -54,15 +57,31 @@ def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_domain(df: DataFrame) -> DataFrame:
-    """A8 + U2 + O3: distinct union of truth and prediction, with sort order.
+# A label domain up to this size is ordered with a single-partition window
+# (its size is counted first); larger domains use the distributed numbering.
+SMALL_DOMAIN = 10_000
+
+
+def _order_labels(labels: DataFrame) -> DataFrame:
+    """Add ``ord`` = rank of ``label`` (distinct) in sorted order.
 
-    The domain is not bounded in general (under the raw-text policy every
-    distinct output is a class), so the order is a distributed dense
-    numbering of the sorted labels, not a single-partition window.
+    The table is checkpointed and counted first, so the single-task window is
+    only used when its input is proven small; the raw-text policy can make
+    every distinct output a class, and such domains are numbered in parallel.
     """
+    checkpoint_root(labels.sparkSession)
+    labels = labels.checkpoint(eager=True)
+    if labels.count() <= SMALL_DOMAIN:
+        ordered = labels.withColumn("ord", F.row_number().over(Window.orderBy("label")) - 1)
+    else:
+        ordered = assign_sequence(labels, ["label"], name="ord")
+    return ordered.withColumn("ord", F.col("ord").cast("int"))
+
+
+def label_domain(df: DataFrame) -> DataFrame:
+    """A8 + U2 + O3: distinct union of truth and prediction, with sort order."""
     labels = df.select(F.col("t").alias("label")).union(df.select(F.col("p").alias("label"))).distinct()
-    return assign_sequence(labels, ["label"], name="ord").withColumn("ord", F.col("ord").cast("int"))
+    return _order_labels(labels)
 
 
 def label_counts(df: DataFrame) -> DataFrame:
@@ -98,13 +117,18 @@ def _class_table(df: DataFrame, labels: Sequence[str] | None) -> DataFrame:
     """
     counts = label_counts(df)
     if labels is None:
-        t = assign_sequence(counts, ["label"], name="ord").withColumn("ord", F.col("ord").cast("int"))
+        t = _order_labels(counts)
     else:
         domain = F.broadcast(labels_frame(df.sparkSession, labels))
         t = domain.join(counts, "label", "full").na.fill(0, ["support", "predicted", "tp"])
+        # One row per label: materialise it once so the per-class rows, the
+        # summary rows and the total all read it instead of the whole input.
+        checkpoint_root(df.sparkSession)
+        t = t.checkpoint(eager=True)
     # Every row adds 1 to the support of its truth label, so this scalar
-    # subquery is the row count (no window over the label table, no join).
-    total = counts.select(F.coalesce(F.sum("support"), F.lit(0)).alias("n")).scalar()
+    # subquery over the per-label table is the row count (no window, no join,
+    # and no second pass over the rows).
+    total = t.select(F.coalesce(F.sum("support"), F.lit(0)).alias("n")).scalar()
     return t.withColumn("total_rows", total)
 
 

@@ -28,6 +28,7 @@ from factsift.operators import scoring as D
 from factsift.operators import validate as V
 from factsift.plans import fixtures as fx
 from factsift.plans import presets as P
+from factsift.plans import staging as st
 from factsift.session import shared_dir
 from factsift.sources import claims as SC
 from factsift.sources import results as R
@@ -202,8 +203,8 @@ def rounded(rep: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def evidence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = fx.claims(spark, sf_dir)
-    pages = fx.page_store(spark, sf_dir)
+    claims = st.load_claims(spark, sf_dir)
+    pages = st.load_pages(spark, sf_dir)
     return ev.resolve_evidence(claims, pages, keep=["claim", "label"])
 
 
@@ -242,7 +243,7 @@ def q1b(spark, sf_dir):
 SELECT claim_id, CAST(pos AS INTEGER) AS pos, title, CAST(idx AS INTEGER) AS idx FROM refs""")
 def p3_refs(spark, sf_dir):
     """P2 + P3 + F1: usable references of the first group, order kept."""
-    return ev.evidence_refs(fx.claims(spark, sf_dir))
+    return ev.evidence_refs(st.load_claims(spark, sf_dir))
 
 
 @register("x1_x2_page_sentences", """
@@ -252,7 +253,7 @@ FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l FROM documen
 GROUP BY doc_id, text""")
 def x1_page_sentences(spark, sf_dir):
     """S3 + X1 + X2 + J2 over the whole page store: sentences per page."""
-    s = ev.page_sentences(ev.dedupe_pages(fx.page_store(spark, sf_dir)))
+    s = ev.page_sentences(st.load_pages(spark, sf_dir))
     return s.groupBy("id").agg(F.count(F.lit(1)).alias("n_sentences"),
                                F.sum(F.length("sentence")).cast("long").alias("sentence_chars"))
 
@@ -305,9 +306,7 @@ clean AS (SELECT seq, claim, main_text AS evidence, upper(label) AS label FROM v
 
 
 def tsv_loaded(spark, sf_dir):
-    path = shared_dir(spark, "claims-tsv")
-    SC.write_claims_tsv(fx.tsv_claims(spark, sf_dir), path, order="doc_id")
-    return SC.read_claims_tsv(spark, path)
+    return st.load_tsv(spark, sf_dir)
 
 
 @register("q2_validated_claims", "WITH " + SQL_TSV + """
@@ -352,9 +351,9 @@ SELECT {cols} FROM ranked WHERE rn <= {n}"""
 def q3(spark, sf_dir):
     """Q3 = W1 (cap 666, seed 42) + O1. Sampling needs only the label, so the
     claim keys are drawn first and evidence is resolved for the sample only."""
-    claims = fx.claims(spark, sf_dir)
+    claims = st.load_claims(spark, sf_dir)
     sample = S.stratified(claims, 666, seed=42, mode="cap")
-    resolved = ev.resolve_evidence(sample, fx.page_store(spark, sf_dir), keep=["claim", "label"])
+    resolved = ev.resolve_evidence(sample, st.load_pages(spark, sf_dir), keep=["claim", "label"])
     return resolved.select("claim_id", "claim", "label", "evidence",
                            S.shuffle_key(42, "claim_id").alias("shuffle_key"))
 
@@ -365,13 +364,13 @@ ranked AS (
   FROM claims)
 SELECT claim_id, label FROM ranked WHERE rn <= 40""")
 def w1(spark, sf_dir):
-    return S.stratified(fx.claims(spark, sf_dir), 40, seed=42, mode="cap").select("claim_id", "label")
+    return S.stratified(st.load_claims(spark, sf_dir), 40, seed=42, mode="cap").select("claim_id", "label")
 
 
 @register("a2_class_sizes", "WITH " + SQL_CLAIMS + """
 SELECT label, CAST(count(*) AS BIGINT) AS n_rows FROM claims GROUP BY label""")
 def a2(spark, sf_dir):
-    return S.class_sizes(fx.claims(spark, sf_dir))
+    return S.class_sizes(st.load_claims(spark, sf_dir))
 
 
 @register("a10_class_guard_666", "WITH " + SQL_CLAIMS + """,
@@ -381,7 +380,7 @@ SELECT r.label, CAST(r.ord AS INTEGER) AS ord, CAST(coalesce(s.n, 0) AS BIGINT)
 FROM req r LEFT JOIN sizes s ON r.label = s.label""")
 def a10(spark, sf_dir):
     """A10: the strict preset's class-size guard, as a table (the run raises)."""
-    return S.class_guard(fx.claims(spark, sf_dir), K.FEVER_LABELS, 666)
+    return S.class_guard(st.load_claims(spark, sf_dir), K.FEVER_LABELS, 666)
 
 
 @register("o1_seeded_shuffle_order", "WITH " + SQL_CLAIMS + """
@@ -389,7 +388,7 @@ SELECT claim_id, CAST(row_number() OVER (ORDER BY md5('42#' || CAST(claim_id AS
 FROM claims""")
 def o1(spark, sf_dir):
     """O1 + W2 numbering: dense position of each claim in the seeded shuffle."""
-    c = fx.claims(spark, sf_dir).select("claim_id").withColumn("_k", S.shuffle_key(42, "claim_id"))
+    c = st.load_claims(spark, sf_dir).select("claim_id").withColumn("_k", S.shuffle_key(42, "claim_id"))
     return B.assign_sequence(c, ["_k", "claim_id"], name="shuffle_pos")
 
 
@@ -401,7 +400,7 @@ def o1(spark, sf_dir):
 s AS (SELECT claim_id, CAST(row_number() OVER (ORDER BY claim_id) - 1 AS BIGINT) AS seq FROM claims)
 SELECT claim_id, seq, CAST(seq // 300 AS BIGINT) AS batch_id FROM s""")
 def w2(spark, sf_dir):
-    c = fx.claims(spark, sf_dir).select("claim_id")
+    c = st.load_claims(spark, sf_dir).select("claim_id")
     return B.assign_batches(B.assign_sequence(c, ["claim_id"]), 300).select("claim_id", "seq", "batch_id")
 
 
@@ -666,10 +665,10 @@ def t1(spark, sf_dir):
     no rows."""
     from factsift.streaming.resumable import stream_score
     base = shared_dir(spark, "stream")
-    SC.write_claims_jsonl(fx.claims(spark, sf_dir), f"{base}/in")
-    pages = fx.page_store(spark, sf_dir)
+    source = st.claims_jsonl_path(spark, sf_dir)
+    pages = st.load_pages(spark, sf_dir)
     for _ in range(2):
-        stream_score(spark, f"{base}/in", pages, f"{base}/out", f"{base}/checkpoint", max_files_per_trigger=4)
+        stream_score(spark, source, pages, f"{base}/out", f"{base}/checkpoint", max_files_per_trigger=4)
     return spark.read.parquet(f"{base}/out").select("strategy", "claim_id", *K.RESULT_COLUMNS)
 
 
@@ -686,6 +685,6 @@ def s3_bucketed(spark, sf_dir):
     path = shared_dir(spark, "pages-bucketed")
     table = "factsift_pages_" + path.rsplit("-", 1)[-1]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    write_page_store(fx.page_store(spark, sf_dir), path, table=table, buckets=n)
+    write_page_store(st.load_pages(spark, sf_dir), path, table=table, buckets=n)
     pages = read_page_store(spark, table, table=True)
-    return ev.resolve_evidence(fx.claims(spark, sf_dir), pages, keep=["claim", "label"])
+    return ev.resolve_evidence(st.load_claims(spark, sf_dir), pages, keep=["claim", "label"])
