@@ -10,9 +10,9 @@ Exactly-once per claim across restarts comes from two mechanisms:
 
 * the streaming checkpoint records which input files each epoch consumed,
   so a restart continues with the files not yet processed;
-* each epoch anti-joins its claims against the stored result keys before
-  appending, so replaying an epoch after a crash between write and commit
-  appends nothing twice.
+* each epoch anti-joins its claims against the keys already stored in its
+  own ``epoch=<id>`` partition before appending, so replaying an epoch after
+  a crash between write and commit appends nothing twice.
 
 ``trigger(availableNow=True)`` processes everything present and stops, which
 is how the batch presets' "skip finished work" behaviour is reproduced.
@@ -52,7 +52,11 @@ def _epoch_writer(pages: DataFrame, output_dir: str, dataset: str, strategy: str
         spark = batch.sparkSession
         todo = batch
         if path_exists(spark, output_dir):
-            todo = B.pending(batch, spark.read.parquet(output_dir), "claim_id")
+            # A replayed epoch can only have written into its own partition, so
+            # the check reads that partition alone (partition pruning), not the
+            # whole, ever-growing result table.
+            done = spark.read.parquet(output_dir).where(F.col("epoch") == epoch_id)
+            todo = B.pending(batch, done, "claim_id")
         resolved = resolve_evidence(todo, pages, keep=["claim", "label"])
         prompts = render(resolved, templates_frame(spark), dataset, [strategy])
         scored = score(prompts, scorer_factory)

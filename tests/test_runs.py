@@ -95,3 +95,16 @@ def test_stream_second_run_adds_nothing(spark, tmp):
     n1 = spark.read.parquet(out).count()
     stream_score(spark, inp, pages, out, ck)
     assert n1 == 23 and spark.read.parquet(out).count() == 23
+
+
+def test_replayed_epoch_appends_nothing(spark, tmp):
+    from factsift.streaming.resumable import _epoch_writer
+    pages = spark.createDataFrame([("P", "0\tw1 text\n1\tother w2")], "id string, lines string")
+    out = os.path.join(tmp, "out")
+    write = _epoch_writer(pages, out, "fever", "eep", "raw", lambda: LexicalVerifier("fever"))
+    batch = _claims(spark, 10)
+    write(batch, 0)
+    write(batch, 0)          # replay of the same epoch after a crash
+    write(_claims(spark, 12).where("claim_id >= 10"), 1)
+    df = spark.read.parquet(out)
+    assert df.count() == 12 and df.select("claim_id").distinct().count() == 12
