@@ -612,43 +612,90 @@ def k3(spark, sf_dir):
 STRATEGY_POLICY = {"eep": "raw", "cot": "lenient", "selfask": "strict"}
 
 
-@register("q10_strategy_comparison", "WITH " + SQL_OUTPUTS + """,
+SQL_PUBHEALTH_PREDS = SQL_TSV + f""",
+ph_out AS (SELECT seq AS claim_id, label, {sql_verifier('claim', 'evidence', 'pubhealth')} AS raw FROM clean),
+ph AS (SELECT claim_id, label AS t, {sql_label('raw', 'raw', K.PUBHEALTH_LABELS)} AS p FROM ph_out)"""
+
+
+def pubhealth_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated TSV claims with stored verifier outputs, raw-text labels: ``t, p_raw``."""
+    clean, _ = V.validate(tsv_loaded(spark, sf_dir))
+    raw, error = D.lexical_verifier_column(F.col("claim"), F.col("evidence"), "pubhealth")
+    return clean.select(F.col("label").alias("t"),
+                        L.extract_label(raw, error, "raw", K.PUBHEALTH_LABELS).alias("p_raw"))
+
+
+@register("q6b_report_pubhealth", sql_report("WITH " + SQL_PUBHEALTH_PREDS + ", tp0 AS (SELECT t, p FROM ph)", "all"))
+def q6b(spark, sf_dir):
+    """Q6 for the TSV family (pubhealth presets): raw-text labels, labels discovered."""
+    return rounded(M.report(tp_frame(pubhealth_predictions(spark, sf_dir), "raw"), "all"))
+
+
+# The extraction policy each strategy's preset uses, per dataset.
+STRATEGY_POLICY = {
+    "fever": {"eep": "raw", "cot": "lenient", "selfask": "strict"},
+    "pubhealth": {"eep": "raw", "cot": "raw", "selfask": "raw"},
+}
+STRATEGIES = ["eep", "cot", "selfask"]
+
+
+@register("q10_strategy_comparison", "WITH " + SQL_OUTPUTS + ", " + SQL_PUBHEALTH_PREDS.strip() + """,
 long AS (
-  SELECT 'eep' AS strategy, t, p_raw AS p FROM preds UNION ALL
-  SELECT 'cot', t, p_lenient FROM preds UNION ALL
-  SELECT 'selfask', t, p_strict FROM preds),
+  SELECT 'fever' AS dataset, 'eep' AS strategy, t, p_raw AS p FROM preds UNION ALL
+  SELECT 'fever', 'cot', t, p_lenient FROM preds UNION ALL
+  SELECT 'fever', 'selfask', t, p_strict FROM preds UNION ALL
+  SELECT 'pubhealth', 'eep', t, p FROM ph UNION ALL
+  SELECT 'pubhealth', 'cot', t, p FROM ph UNION ALL
+  SELECT 'pubhealth', 'selfask', t, p FROM ph),
 counts AS (
-  SELECT strategy, label, sum(sup) AS support, sum(pr) AS predicted, sum(hit) AS tp
-  FROM (SELECT strategy, t AS label, 1 AS sup, 0 AS pr, CASE WHEN t = p THEN 1 ELSE 0 END AS hit FROM long
-        UNION ALL SELECT strategy, p, 0, 1, 0 FROM long) z GROUP BY strategy, label),
-f AS (SELECT strategy, label, CASE WHEN predicted + support = 0 THEN 0.0
+  SELECT dataset, strategy, label, sum(sup) AS support, sum(pr) AS predicted, sum(hit) AS tp
+  FROM (SELECT dataset, strategy, t AS label, 1 AS sup, 0 AS pr, CASE WHEN t = p THEN 1 ELSE 0 END AS hit FROM long
+        UNION ALL SELECT dataset, strategy, p, 0, 1, 0 FROM long) z GROUP BY dataset, strategy, label),
+f AS (SELECT dataset, strategy, label, CASE WHEN predicted + support = 0 THEN 0.0
                                    ELSE CAST(2 * tp AS DOUBLE) / CAST(predicted + support AS DOUBLE) END AS f1 FROM counts)
-SELECT 'fever' AS dataset, label,
+SELECT dataset, label,
        round(max(CASE WHEN strategy = 'eep' THEN f1 END), 6) AS eep,
        round(max(CASE WHEN strategy = 'cot' THEN f1 END), 6) AS cot,
        round(max(CASE WHEN strategy = 'selfask' THEN f1 END), 6) AS selfask
-FROM f GROUP BY label""")
+FROM f GROUP BY dataset, label""")
 def q10(spark, sf_dir):
-    """Q10 = A12: per-label F1 of the three strategies side by side.
-
-    One pass: each prediction row fans out to its three strategy predictions,
-    counts are grouped by (strategy, label), then pivoted on the listed
-    strategies."""
-    preds = stored_predictions(spark, sf_dir)
-    long = preds.select("t", F.explode(F.array(*[
-        F.struct(F.lit(s).alias("strategy"), F.col(f"p_{pol}").alias("p")) for s, pol in STRATEGY_POLICY.items()
-    ])).alias("x")).select("x.strategy", "t", "x.p")
+    """Q10 = A12: per-label F1 of the three strategies side by side, per dataset.
+
+    Each prediction row fans out to one record per strategy (the preset's
+    extraction policy), counts are grouped by (dataset, strategy, label) with
+    map-side partial aggregation, then pivoted on the listed strategies."""
+    def fan_out(preds: DataFrame, dataset: str) -> DataFrame:
+        return preds.select(F.lit(dataset).alias("dataset"), "t", F.explode(F.array(*[
+            F.struct(F.lit(s).alias("strategy"), F.col(f"p_{pol}").alias("p"))
+            for s, pol in STRATEGY_POLICY[dataset].items()])).alias("x")).select("dataset", "x.strategy", "t", "x.p")
+    long = fan_out(stored_predictions(spark, sf_dir), "fever").unionByName(
+        fan_out(pubhealth_predictions(spark, sf_dir), "pubhealth"))
     sides = F.explode(F.array(
         F.struct(F.col("t").alias("label"), F.lit(1).alias("sup"), F.lit(0).alias("pr"),
                  (F.col("t") == F.col("p")).cast("int").alias("tp")),
         F.struct(F.col("p").alias("label"), F.lit(0).alias("sup"), F.lit(1).alias("pr"), F.lit(0).alias("tp"))))
-    counts = (long.select("strategy", sides.alias("s")).select("strategy", "s.*")
-              .groupBy("strategy", "label").agg(F.sum("sup").alias("sup"), F.sum("pr").alias("pr"), F.sum("tp").alias("tp")))
-    f1 = counts.select(F.lit("fever").alias("dataset"), "strategy", "label",
+    counts = (long.select("dataset", "strategy", sides.alias("s")).select("dataset", "strategy", "s.*")
+              .groupBy("dataset", "strategy", "label")
+              .agg(F.sum("sup").alias("sup"), F.sum("pr").alias("pr"), F.sum("tp").alias("tp")))
+    f1 = counts.select("dataset", "strategy", "label",
                        F.coalesce(F.try_divide((2 * F.col("tp")).cast("double"), (F.col("pr") + F.col("sup")).cast("double")),
                                   F.lit(0.0)).alias("f1"))
-    wide = C.compare_strategies(f1, "f1", list(STRATEGY_POLICY))
-    return wide.select("dataset", "label", *[F.round(F.col(s), 6).alias(s) for s in STRATEGY_POLICY])
+    wide = C.compare_strategies(f1, "f1", STRATEGIES)
+    return wide.select("dataset", "label", *[F.round(F.col(s), 6).alias(s) for s in STRATEGIES])
+
+
+@register("d1b_stored_outputs_join", "WITH " + SQL_EVIDENCE + f"""
+SELECT claim_id, {sql_verifier('claim', 'evidence')} AS raw,
+       CASE WHEN length(evidence) > {D.VOCABULARIES['fever'].budget} THEN 'ValueError: evidence of ' || CAST(length(evidence) AS VARCHAR) || ' chars exceeds the context budget' END AS error
+FROM evidence""")
+def d1b(spark, sf_dir):
+    """D1, stored-output form: outputs written earlier as a table keyed by
+    ``(claim_id, strategy)`` are joined back instead of calling the scorer."""
+    e = evidence_claims(spark, sf_dir).withColumn("strategy", F.lit("eep"))
+    raw, error = D.lexical_verifier_column(F.col("claim"), F.col("evidence"))
+    path = shared_dir(spark, "stored-outputs")
+    e.select("claim_id", "strategy", raw.alias("raw"), error.alias("error")).write.parquet(path)
+    return D.score_stored(e, spark.read.parquet(path)).select("claim_id", "raw", "error")
 
 
 # --------------------------------------------------------------------------
