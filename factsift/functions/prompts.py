@@ -50,18 +50,32 @@ def render_column(head, claim, mid, evidence, tail):
                     F.coalesce(tail, F.lit("")))
 
 
+MAX_TEMPLATES = 64  # per dataset; a template table is configuration, not data
+
+
 def render(claims: DataFrame, templates: DataFrame, dataset: str,
            strategies: list[str] | None = None) -> DataFrame:
     """J6 + X4: one prompt per (claim, strategy) of ``dataset``.
 
-    The template table is a literal of a few rows per dataset, so it is
-    broadcast and joined on the dataset key (an equi join: each claim row
-    fans out to exactly the strategies asked for, never to all pairs).
+    The dataset's templates are read with a checked bound (at most
+    ``MAX_TEMPLATES`` rows) and become a literal array; each claim fans out
+    over it with ``explode``. No join is planned, the fan-out per row is
+    exactly the number of strategies asked for, and the prompt is a plain
+    ``concat`` inside whole-stage codegen.
     """
     t = templates.where(F.col("dataset") == dataset)
     if strategies:
         t = t.where(F.col("strategy").isin(strategies))
-    c = claims.withColumn("dataset", F.lit(dataset))
-    j = c.join(F.broadcast(t), "dataset")
-    prompt = render_column(F.col("head"), F.col("claim"), F.col("mid"), F.col("evidence"), F.col("tail"))
-    return j.withColumn("prompt", prompt).drop("head", "mid", "tail")
+    rows = t.select("strategy", "head", "mid", "tail").limit(MAX_TEMPLATES + 1).collect()
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates for dataset {dataset!r}")
+    if not rows:
+        raise ValueError(f"no templates for dataset {dataset!r} and strategies {strategies}")
+    options = F.array(*[F.struct(F.lit(r["strategy"]).alias("strategy"), F.lit(r["head"]).alias("head"),
+                                 F.lit(r["mid"]).alias("mid"), F.lit(r["tail"]).alias("tail"))
+                        for r in sorted(rows, key=lambda r: r["strategy"])])
+    fanned = claims.withColumn("_tpl", F.explode(options))
+    prompt = render_column(F.col("_tpl.head"), F.col("claim"), F.col("_tpl.mid"), F.col("evidence"),
+                           F.col("_tpl.tail"))
+    return fanned.select(*claims.columns, F.lit(dataset).alias("dataset"),
+                         F.col("_tpl.strategy").alias("strategy"), prompt.alias("prompt"))
