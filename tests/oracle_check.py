@@ -50,7 +50,7 @@ def duck(sf_dir):
     return con
 
 
-def compare(spark, sf_dir, names=None):
+def compare(spark, sf_dir, names=None, plans=None):
     import __spark_entry__ as E
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
@@ -61,6 +61,8 @@ def compare(spark, sf_dir, names=None):
             df = qs[name](spark, sf_dir)
             s_cols = df.columns
             s_rows = [tuple(r) for r in df.collect()]
+            if plans is not None:
+                plans[name] = df._jdf.queryExecution().executedPlan().toString()
         except Exception as exc:  # noqa: BLE001
             out[name] = dict(error=str(exc).splitlines()[0][:400], hash=False)
             continue
