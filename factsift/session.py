@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    # PySpark 4 records the Python call site of every column expression for
+    # error messages; that costs several driver round trips per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
