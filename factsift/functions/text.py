@@ -17,8 +17,10 @@ def _col(c: Column | str) -> Column:
 
 
 def tolerant_int(c: Column | str) -> Column:
-    """Integer parse that yields NULL instead of failing (ANSI-safe)."""
-    return _col(c).try_cast("int")
+    """Integer parse that yields NULL instead of failing (ANSI-safe).
+
+    64-bit, since the indexes being matched are unbounded integers upstream."""
+    return _col(c).try_cast("bigint")
 
 
 def page_line_parts(line: Column | str) -> tuple[Column, Column]:
@@ -57,7 +59,12 @@ def py_strip(c: Column | str) -> Column:
 
 
 def normalise_output(c: Column | str) -> Column:
-    """Strip, then upper-case (the raw-text label policy)."""
+    """Strip, then upper-case (the raw-text label policy).
+
+    Upstream lower-cases before upper-casing. Catalyst rewrites
+    ``upper(lower(x))`` to ``upper(x)``, and the two differ only for the few
+    characters whose lower-case form upper-cases to something else (dotted
+    capital I, the Kelvin sign); for those the raw-text class differs."""
     return F.upper(py_strip(c))
 
 

@@ -240,7 +240,7 @@ def q1b(spark, sf_dir):
 
 
 @register("p3_f1_evidence_refs", "WITH " + SQL_EVIDENCE + """
-SELECT claim_id, CAST(pos AS INTEGER) AS pos, title, CAST(idx AS INTEGER) AS idx FROM refs""")
+SELECT claim_id, CAST(pos AS INTEGER) AS pos, title, CAST(idx AS BIGINT) AS idx FROM refs""")
 def p3_refs(spark, sf_dir):
     """P2 + P3 + F1: usable references of the first group, order kept."""
     return ev.evidence_refs(st.load_claims(spark, sf_dir))

@@ -27,6 +27,7 @@ CASES = [
     (14, [[["1", "2", "P", "2.0"]]], "", K.RES_NO_USABLE),
     (15, [[["1", "2", "P", "true"]]], "", K.RES_NO_USABLE),
     (16, [[["1", "2", "P", "2"], ["1", "2", "Q", "0"]]], "two [Page not found: Q]", K.RES_PAGE_MISS),
+    (17, [[["1", "2", "P", "10000000000"]]], "[Sentence index 10000000000 not found in P]", K.RES_SENTENCE_MISS),
 ]
 
 

@@ -83,3 +83,11 @@ def test_error_column_wins(spark):
     df = spark.createDataFrame([("SUPPORTS", "boom"), ("SUPPORTS", None)], "raw string, error string")
     got = [r.p for r in df.select(extract_label("raw", "error", "strict").alias("p")).collect()]
     assert got == [K.ERROR, "SUPPORTS"]
+
+
+def test_raw_known_difference(spark):
+    """Documented: upper(lower(x)) is folded to upper(x) by Catalyst, so the
+    dotted capital I keeps its single code point under the raw policy."""
+    df = spark.createDataFrame([("İstanbul supports",)], "raw string")
+    got = df.select(extract_label(F.col("raw"), None, "raw").alias("p")).first().p
+    assert got == "İSTANBUL SUPPORTS" and got != "İstanbul supports".lower().upper()
