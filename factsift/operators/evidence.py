@@ -15,11 +15,13 @@ Plan shape (all DataFrame built-ins, no UDF):
    without groups or without usable references survive.
 
 Scale notes: the page store is touched by one semi join and one aggregate over
-the cited pages only. Every join is an equi join on a hash-partitioned key;
-AQE converts it to a broadcast at run time when the measured side is small and
-splits a hot ``(title, idx)`` partition (one page cited by a third of all
-claims) through skew-join handling. The per-claim concat groups by
-``claim_id``, whose groups are bounded by the length of one evidence group.
+the cited pages only. Every join is an equi join on a hash-partitioned key.
+The resolved keys are written to the shared folder before the references
+join them, so that join is planned from files: broadcast when the table is
+small, otherwise a sort-merge join whose hot ``(title, idx)`` partition (one
+page cited by a third of all claims) AQE splits across tasks. The per-claim
+concat groups by ``claim_id``, whose groups are bounded by the length of one
+evidence group.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsift import constants as K
+from factsift.session import shared_dir
 from factsift.functions.text import (page_line_parts, page_not_found,
                                      sentence_not_found, tolerant_int)
 
@@ -114,15 +117,33 @@ def resolve_keys(keys: DataFrame, pages: DataFrame, unique_ids: bool = True) ->
                       text.alias("sentence"), status.alias("status"))
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table under the shared checkpoint folder and read it back.
+
+    Used for the resolved keys: read from files, the join back to the
+    references gets a fresh exchange on both sides, so AQE can split a hot
+    ``(title, idx)`` key (skew join needs shuffle stages on both sides, and an
+    upstream hash partitioning would otherwise be reused), and the planner
+    knows the table's size to broadcast it when it is small.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, "resolved-keys")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def resolve_refs(refs: DataFrame, pages: DataFrame, unique_ids: bool = True) -> DataFrame:
     """J1-J3 per reference: ``(claim_id, pos, sentence, status)``.
 
-    A NULL title never matches (SQL equality). Its rows stay in the same
-    left join, so the claims are derived once, and AQE's skew handling splits
-    the NULL-key partition should NULL titles be a large share of references.
+    Each distinct ``(title, idx)`` is resolved once; the references then join
+    the resolved keys, which are materialised first (see ``_materialise``) so
+    that a key cited by a third of all references is split across tasks.
+    A NULL title never matches (SQL equality); such rows stay in the same
+    left join and take the page-miss placeholder.
     """
     keys = refs.where(F.col("title").isNotNull()).select("title", "idx").distinct()
-    resolved = resolve_keys(keys, pages, unique_ids).withColumnsRenamed({"title": "r_title", "idx": "r_idx"})
+    resolved = _materialise(resolve_keys(keys, pages, unique_ids))
+    resolved = resolved.withColumnsRenamed({"title": "r_title", "idx": "r_idx"})
     joined = refs.join(resolved, (refs["title"] == resolved["r_title"]) & (refs["idx"] == resolved["r_idx"]), "left")
     sentence = F.coalesce(F.col("sentence"), page_not_found(F.col("title")))
     status = F.coalesce(F.col("status"), F.lit(K.RES_PAGE_MISS))

@@ -90,12 +90,54 @@ def test_bucketed_page_store_is_not_shuffled(spark, tmp):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
+        from factsift.operators.evidence import resolve_keys
         df = resolve_evidence(claims, store)
         got = {r.claim_id: r.evidence for r in df.collect()}
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        keys = evidence_refs(claims).where("title IS NOT NULL").select("title", "idx").distinct()
+        resolved = resolve_keys(keys, store)
+        resolved.collect()
+        plan = resolved._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", prev or "10485760")
     assert all(got[cid] == text for cid, _, text, _ in CASES)
     parents = _parents_of(plan, "test_pages_bucketed")
     assert parents and not any("Exchange" in p for p in parents), parents
+
+
+def test_hot_key_join_is_skew_split(spark):
+    """A third of all references cite one (title, idx): the join back to the
+    resolved keys must be split by AQE, not land in one task."""
+    from pyspark.sql import functions as F
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 30000, 1, 8)
+        title = F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string")))
+        idx = F.when(F.col("id") % 3 == 0, F.lit("0")).otherwise((F.col("id") % 4).cast("string"))
+        claims = ids.select(F.col("id").alias("claim_id"), F.lit("c").alias("claim"), F.lit("SUPPORTS").alias("label"),
+                            F.array(F.array(F.array(F.col("id").cast("string"), F.lit("0"), title, idx))).alias("evidence"))
+        pages = spark.range(500).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"),
+                                        F.lit("0\ta\n1\tb\n2\tc\n3\td").alias("lines"))
+        pages = pages.union(spark.createDataFrame([("HOT", "0\thot")], "id string, lines string"))
+        df = resolve_evidence(claims, pages)
+        got = {r.evidence: r["count"] for r in df.groupBy("evidence").count().collect()}
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert got["hot"] == 10000 and sum(got.values()) == 30000
+    assert "SortMergeJoin(skew=true)" in plan

@@ -15,8 +15,12 @@ def _plan(df) -> str:
 
 
 def test_page_store_scans_are_column_pruned(spark):
-    plan = _plan(catalog.QUERIES["q1_evidence_resolved_claims"](spark, SF))
-    # the page store is the only Parquet input of Q1 (claims come from JSON lines)
+    from factsift.operators.evidence import evidence_refs, resolve_keys
+    from factsift.plans import staging
+    keys = (evidence_refs(staging.load_claims(spark, SF)).where("title IS NOT NULL")
+            .select("title", "idx").distinct())
+    plan = _plan(resolve_keys(keys, staging.load_pages(spark, SF)))
+    # the page store is the only Parquet input here (claims come from JSON lines)
     schemas = re.findall(r"FileScan parquet [^\n]*?ReadSchema: (struct<[^>]*>)", plan)
     assert schemas, plan
     assert all(s in ("struct<id:string>", "struct<id:string,lines:string>") for s in schemas), schemas
