@@ -104,17 +104,24 @@ def write_claims_jsonl(claims: DataFrame, path: str, order: str = "claim_id") ->
 TSV_OPTIONS = {"sep": "\t", "header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
-def read_claims_tsv(spark: SparkSession, path: str, with_seq: bool = True) -> DataFrame:
+def read_claims_tsv(spark: SparkSession, path: str, with_seq: bool = True,
+                    multiline: bool = True) -> DataFrame:
     """Header TSV with quoted fields, embedded newlines and tabs.
 
     All fields are read as strings by header name; short rows give NULL for
     missing fields, extra fields are ignored, blank lines yield no row.
     ``escape='"'`` makes doubled quotes inside quoted fields parse as in
     Python's csv module. Output: ``seq, claim, main_text, label``.
+
+    A file with quoted newlines cannot be split (record boundaries are only
+    known by reading from the start), so each file is read by one task; for
+    large inputs split the data into many files, or pass ``multiline=False``
+    when no field contains a newline, which makes every file splittable.
     """
     reader = spark.read
     for k, v in TSV_OPTIONS.items():
         reader = reader.option(k, v)
+    reader = reader.option("multiLine", "true" if multiline else "false")
     raw = reader.csv(path)
     for c in ("claim", "main_text", "label"):
         if c not in raw.columns:
