@@ -50,7 +50,9 @@ def write_batches(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def read_batches(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read back a K1 table; ``batch_id`` comes from partition discovery."""
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        # partition discovery infers the narrowest integer type; keep it 64-bit
+        df = spark.read.parquet(path)
+        return df.withColumn("batch_id", F.col("batch_id").cast("long"))
     # Column names from the header, every value a string (no type inference);
     # only the partition column is typed.
     df = _csv_reader(spark).option("inferSchema", "false").csv(path)
