@@ -6,8 +6,10 @@ they stay inside whole-stage codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factsift import constants as K
 
@@ -68,6 +70,24 @@ def normalise_output(c: Column | str) -> Column:
     return F.upper(py_strip(c))
 
 
+@F.pandas_udf(StringType())
+def _format3(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if pd.isna(v) else f"{v:.3f}")
+
+
 def format3(c: Column | str) -> Column:
-    """Three-digit rendering with half-even rounding (``0.0625 -> 0.062``)."""
-    return F.format_number(_col(c), 3)
+    """Three-digit rendering exactly as Python's ``'%.3f'``.
+
+    Python rounds the exact binary value (``0.0625 -> 0.062`` on an exact tie,
+    ``0.0005 -> 0.001`` because that double lies just above the tie); Spark's
+    ``format_number`` and ``format_string`` round a decimal rendering and get
+    one of the two wrong. This is applied to report tables only (one row per
+    label), so a small Arrow-batched pandas UDF does it.
+    """
+    from pyspark.sql import SparkSession
+
+    from factsift.session import ship_package
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+    return _format3(_col(c))

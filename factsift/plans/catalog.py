@@ -136,8 +136,10 @@ preds AS (
   FROM outputs)"""
 
 
-def sql_report(tp_sql: str, policy: str, labels=None) -> str:
-    """Per-class report in DuckDB over a CTE ``tp(t, p)`` defined by ``tp_sql``."""
+def sql_report(tp_sql: str, policy: str, labels=None, value=lambda c: f"round({c}, 6)") -> str:
+    """Per-class report in DuckDB over a CTE ``tp(t, p)`` defined by ``tp_sql``.
+
+    ``value`` renders each metric (rounded to 6 digits by default)."""
     if policy == "exclude_error":
         filt = "SELECT t, coalesce(p, '') AS p FROM tp0 WHERE coalesce(t, '') <> 'ERROR' AND coalesce(p, '') <> 'ERROR'"
     elif policy == "valid_only":
@@ -148,7 +150,7 @@ def sql_report(tp_sql: str, policy: str, labels=None) -> str:
         dom = "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS ord FROM counts"
     else:
         dom = "SELECT * FROM (VALUES " + ", ".join(f"({_q(x)}, {i})" for i, x in enumerate(labels)) + ") v(label, ord)"
-    r = lambda c: f"round({c}, 6)"
+    r = value
     return f"""{tp_sql},
 tp AS ({filt}),
 counts AS (
@@ -594,7 +596,9 @@ def a8(spark, sf_dir):
         "label", F.col("ord").cast("int").alias("ord"))
 
 
-@register("k3_report_text")
+@register("k3_report_text", "SELECT ord, label, precision, recall, f1, support FROM (" + sql_report(
+    "WITH " + SQL_OUTPUTS + ", tp0 AS (SELECT t, p_raw AS p FROM preds)", "all",
+    value=lambda c: f"printf('%.3f', {c})") + ")")
 def k3(spark, sf_dir):
     """K3 + X9: the report rendered with three digits, written as text."""
     rep = M.report(tp_frame(stored_predictions(spark, sf_dir), "raw"), "all")
