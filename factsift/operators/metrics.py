@@ -219,10 +219,39 @@ def report(df: DataFrame, policy: str = "all", labels: Sequence[str] | None = No
     return classes.unionByName(summary)
 
 
+# ---- fixed values: per-class report text layout ----------------------------
+REPORT_HEADERS = ["precision", "recall", "f1-score", "support"]
+REPORT_COLUMN_WIDTH = 9
+REPORT_MIN_LABEL_WIDTH = len("weighted avg")
+
+
 def report_text(rep: DataFrame) -> DataFrame:
-    """One formatted line per report row, ordered by ``ord``."""
-    fmt = lambda c: F.coalesce(format3(F.col(c)), F.lit(""))
-    line = F.concat_ws("  ", F.lpad(F.col("label"), 24, " "), F.lpad(fmt("precision"), 9, " "),
-                       F.lpad(fmt("recall"), 9, " "), F.lpad(fmt("f1"), 9, " "),
-                       F.lpad(F.col("support").cast("string"), 9, " "))
-    return rep.select("ord", line.alias("line")).orderBy("ord")
+    """The report as text lines ``(ord, line)`` in the usual layout.
+
+    Labels are right-aligned to the longest label (at least the width of
+    ``weighted avg``); every column is one space plus a right-aligned field of
+    9; a header line and blank lines frame the per-class block; the accuracy
+    row leaves precision and recall blank. Values use ``format3``.
+    The width is a scalar subquery over the report table (one row per label).
+    """
+    w = REPORT_COLUMN_WIDTH
+    width = F.greatest(rep.select(F.max(F.length("label"))).scalar(), F.lit(REPORT_MIN_LABEL_WIDTH))
+
+    def cell(c: Column) -> Column:
+        return F.concat(F.lit(" "), F.lpad(F.coalesce(c, F.lit("")), w, " "))
+
+    body = F.concat(F.lpad(F.col("label"), width, " "), F.lit(" "),
+                    cell(format3(F.col("precision"))), cell(format3(F.col("recall"))),
+                    cell(format3(F.col("f1"))), cell(F.col("support").cast("string")))
+    is_class = F.col("kind") == K.KIND_CLASS
+    rows = rep.select(F.when(is_class, F.col("ord")).otherwise(F.col("ord") + 1).cast("double").alias("ord"),
+                      body.alias("line"))
+    header = F.concat(F.lpad(F.lit(""), width, " "), F.lit(" "),
+                      *[F.lit(" " + h.rjust(w)) for h in REPORT_HEADERS])
+    # header, blank line, class rows, blank line, summary rows
+    frame = rep.where(is_class).agg(F.max("ord").alias("last")).select(
+        F.explode(F.array(
+            F.struct(F.lit(-2.0).alias("ord"), header.alias("line")),
+            F.struct(F.lit(-1.0).alias("ord"), F.lit("").alias("line")),
+            F.struct((F.col("last") + 1).cast("double").alias("ord"), F.lit("").alias("line")))).alias("x"))
+    return rows.unionByName(frame.select("x.ord", "x.line")).orderBy("ord")

@@ -609,6 +609,27 @@ def k3(spark, sf_dir):
         "ord", "label", *[format3(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+def _sql_report_lines(report_sql: str) -> str:
+    f3 = lambda c: f"lpad(coalesce(printf('%.3f', {c}), ''), 9, ' ')"
+    header = "".join(" " + h.rjust(M.REPORT_COLUMN_WIDTH) for h in M.REPORT_HEADERS)
+    return f"""WITH rep AS (SELECT * FROM ({report_sql})),
+w AS (SELECT CAST(greatest(max(length(label)), {M.REPORT_MIN_LABEL_WIDTH}) AS INTEGER) AS width FROM rep)
+SELECT CAST(CASE WHEN kind = 'class' THEN ord ELSE ord + 1 END AS DOUBLE) AS ord,
+       lpad(label, width, ' ') || ' ' || ' ' || {f3('precision')} || ' ' || {f3('recall')} || ' ' || {f3('f1')}
+         || ' ' || lpad(CAST(support AS VARCHAR), 9, ' ') AS line
+FROM rep, w
+UNION ALL SELECT -2.0, lpad('', width, ' ') || ' ' || {_q(header)} FROM w
+UNION ALL SELECT -1.0, ''
+UNION ALL SELECT CAST(max(ord) + 1 AS DOUBLE), '' FROM rep WHERE kind = 'class'"""
+
+
+@register("k3b_report_text_lines", _sql_report_lines(sql_report(
+    "WITH " + SQL_OUTPUTS + ", tp0 AS (SELECT t, p_raw AS p FROM preds)", "all", value=lambda c: c)))
+def k3b(spark, sf_dir):
+    """K3 + X9: the report as text lines in the usual per-class layout."""
+    return M.report_text(M.report(tp_frame(stored_predictions(spark, sf_dir), "raw"), "all"))
+
+
 # --------------------------------------------------------------------------
 # Strategy comparison
 # --------------------------------------------------------------------------
