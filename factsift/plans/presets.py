@@ -4,7 +4,8 @@ A preset fixes: dataset family and input format, sampling, batch size,
 label-extraction policy, result columns and the report policy. ``scored_run``
 assembles W2 -> J4 -> J6/X4 -> D1 -> X5-X8 -> P4 -> K1 (+ A11) and returns the
 stored result table read back from storage, so reports never re-run the
-scorer (results are keyed by ``(strategy, claim_id)``).
+scorer (results are keyed by ``(strategy, claim_id)``; ``batch_id`` is kept
+as a column for the per-batch export).
 
 Reference quirks fixed here on purpose: resume is by row key rather than by
 file-number prefix (a half-written batch is completed, a changed batch size
@@ -98,14 +99,20 @@ def scored_run(spark: SparkSession, claims: DataFrame, preset: Preset, out_dir:
     factory = scorer_factory or (lambda: LexicalVerifier(preset.dataset))
     work = working_set(claims, preset)
     if path_exists(spark, out_dir):
-        done = R.read_batches(spark, out_dir).where(F.col("strategy") == preset.strategy)
+        # explicit schema: a state folder without data files reads as empty
+        done = (spark.read.schema("strategy string, claim_id long").parquet(out_dir)
+                .where(F.col("strategy") == preset.strategy))
         todo = B.pending(work, done, "claim_id")
     else:
         todo = work
     prompts = render(todo, templates_frame(spark), preset.dataset, [preset.strategy])
     scored = score(prompts, factory, parallelism=parallelism)
     rows, obs = observe_counters(result_rows(scored, preset))
-    (rows.write.mode("append").partitionBy("batch_id").parquet(out_dir))
+    # One append-only table keyed by (strategy, claim_id); batch_id is a plain
+    # column. Per-batch folders would mean one folder per few hundred rows at
+    # scale; resume is by key, so they are only produced for the CSV export
+    # (sources.results.write_batches). Each append is atomic (job commit).
+    rows.sortWithinPartitions("batch_id", "seq").write.mode("append").parquet(out_dir)
     counters = obs.get
     return R.read_batches(spark, out_dir).where(F.col("strategy") == preset.strategy), counters
 

@@ -1,8 +1,10 @@
 """Result tables: batched sink (K1), combined sink (K2), report sink (K3) and
 the result-folder scans (S4, S5).
 
-State lives in Parquet partitioned by ``batch_id`` and rewritten with dynamic
-partition overwrite, so a rerun replaces only the batches it touches. CSV is
+Scored-run state lives in an append-only Parquet table with ``batch_id`` as
+a column (see ``plans.presets.scored_run``). ``write_batches`` writes one
+folder per batch, replacing only the batches it touches (dynamic partition
+overwrite), for exports in the reference's one-file-per-batch spirit. CSV is
 an export format: written and read with ``escape='"'``, no whitespace
 trimming and ``\\N`` for NULL, so padded text, quotes, newlines, the empty
 string and NULL all survive a round trip (Spark's CSV defaults trim text,
@@ -48,9 +50,9 @@ def write_batches(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read_batches(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read back a K1 table; ``batch_id`` comes from partition discovery."""
+    """Read back a K1 table (Parquet state, or the per-batch CSV export whose
+    ``batch_id`` comes from partition discovery)."""
     if fmt == "parquet":
-        # partition discovery infers the narrowest integer type; keep it 64-bit
         df = spark.read.parquet(path)
         return df.withColumn("batch_id", F.col("batch_id").cast("long"))
     # Column names from the header, every value a string (no type inference);
