@@ -1,7 +1,7 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB; compare.
 
-Mirrors the driver's gate: row count, column names, and an order-insensitive
-hash of the values (columns sorted by name, doubles rounded).
+Mirrors the driver's gate: row count, column names and types, and an
+order-insensitive hash of the values (columns sorted by name, doubles rounded).
 
     python tests/oracle_check.py [sf_dir] [name ...]
 """
@@ -20,6 +20,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -72,15 +76,18 @@ def compare(spark, sf_dir, names=None, plans=None):
             continue
         cur = con.execute(sqls[name])
         d_cols = [c[0] for c in cur.description]
+        d_types = {c[0]: str(c[1]) for c in cur.description}
         d_rows = cur.fetchall()
-        ok_cols = sorted(s_cols) == sorted(d_cols)
+        s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+        ok_cols = sorted(s_cols) == sorted(d_cols) and s_types == d_types
         ok_n = len(s_rows) == len(d_rows)
         ok_h = ok_cols and digest(s_cols, s_rows) == digest(d_cols, d_rows)
         out[name] = dict(rows=len(s_rows), oracle_rows=len(d_rows), cols=ok_cols, count=ok_n,
                          hash=ok_h, sec=round(t1 - t0, 2))
         if not ok_h:
-            out[name]["spark_cols"] = s_cols
-            out[name]["duck_cols"] = d_cols
+            out[name]["spark_types"] = s_types
+            out[name]["duck_types"] = d_types
     return out
 
 
