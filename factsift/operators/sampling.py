@@ -92,11 +92,16 @@ def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_i
         if labels is None or n is None:
             raise ValueError("strict mode needs labels and n")
         df = df.where(F.col(label).isin(list(labels)))
-        check_class_sizes(df, labels, n, label)
     if n is None:
         return df
+    # one aggregate serves the strict guard (A10) and the thresholds
     sizes_df = class_sizes(df, label)
     sizes = {r[label]: r["n_rows"] for r in sizes_df.limit(MAX_THRESHOLD_LABELS + 1).collect()}
+    if mode == "strict":
+        short = [lab for lab in labels if sizes.get(lab, 0) < n]
+        if short:
+            detail = ", ".join(f"{lab!r}: only {sizes.get(lab, 0)}" for lab in short)
+            raise ValueError(f"Not enough samples for {detail} (need {n})")
     if len(sizes) > MAX_THRESHOLD_LABELS or None in sizes:
         # Very many (or NULL) labels: rank directly; the partial
         # WindowGroupLimit still caps every map task at n rows per label.
