@@ -84,26 +84,32 @@ _SHIPPED: set[int] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``factsift`` importable by Python workers (once per SparkContext).
 
-    Equivalent to ``--py-files``: the package is zipped under the shared
-    folder and added with ``addPyFile``; clusters that install the package on
-    executors are unaffected.
+    Equivalent to ``--py-files``: the package is zipped in memory, written to
+    the shared folder through the Hadoop file system API (so it also works
+    for remote folders) and added with ``addPyFile``. Clusters that install
+    the package on executors are unaffected.
     """
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
+    import io
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = shared_dir(spark, "pyfiles")
-    local = target[len("file:"):] if target.startswith("file:") else target
-    if "://" in local:  # remote shared folder: build locally, Spark uploads it
-        local = tempfile.mkdtemp(prefix="factsift-pyfiles-")
-    os.makedirs(local, exist_ok=True)
-    zpath = os.path.join(local, "factsift.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(zpath)
+    target = shared_dir(spark, "pyfiles") + "/factsift.zip"
+    jvm = sc._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(jpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(id(sc))
