@@ -91,3 +91,28 @@ def test_raw_known_difference(spark):
     df = spark.createDataFrame([("İstanbul supports",)], "raw string")
     got = df.select(extract_label(F.col("raw"), None, "raw").alias("p")).first().p
     assert got == "İSTANBUL SUPPORTS" and got != "İstanbul supports".lower().upper()
+
+
+def test_extraction_parity_property(spark):
+    """Random outputs built from label fragments, separators and Unicode
+    letters: lenient and strict extraction agree with Python's ``re``."""
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    pieces = st.sampled_from(["SUPPORTS", "supports", "REFUTES", "Refutes", "NOT ENOUGH INFO", "not enough info",
+                              "NOT  ENOUGH INFO", "UN", "_", "é", "ſ", "answer", "ANSWER:", "：", " ", "\n", "\t",
+                              ".", "x", "1", "Ü", "-", "SUPPORT", "REFUTESS"])
+    texts = st.lists(st.lists(pieces, max_size=8).map("".join), min_size=50, max_size=50)
+
+    @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(texts)
+    def check(batch):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i int, raw string")
+        rows = (df.select("i", extract_label(F.col("raw"), None, "lenient").alias("le"),
+                          extract_label(F.col("raw"), None, "strict").alias("st"))
+                .orderBy("i").collect())
+        for r, t in zip(rows, batch):
+            assert r.le == py_lenient(t), t
+            assert r.st == py_strict(t), t
+
+    check()
