@@ -166,6 +166,9 @@ def resolve_evidence(claims: DataFrame, pages: DataFrame, group: int = 0,
 
     ``claims`` needs ``claim_id`` and ``evidence ARRAY<ARRAY<ARRAY<STRING>>>``;
     ``pages`` needs ``id`` and ``lines``. Columns in ``keep`` are carried over.
+    ``claim_id`` must identify one input row; for inputs that repeat ids, pass
+    the reader's file-order ``seq`` as ``claim_id`` so every row keeps its
+    own evidence.
     """
     keep = keep if keep is not None else [c for c in ("claim", "label") if c in claims.columns]
     refs = evidence_refs(claims, group)
