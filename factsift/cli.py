@@ -47,11 +47,12 @@ def cmd_run(args) -> None:
     if preset.source == "jsonl":
         if not args.pages:
             raise SystemExit("--pages is required for JSON-lines presets")
-        clean, rejects = SC.split_rejects(SC.read_claims_jsonl(spark, args.claims))
+        raw = V.limit_raw_rows(SC.read_claims_jsonl(spark, args.claims), args.limit)  # F7
+        clean, rejects = SC.split_rejects(raw)
         pages = read_page_store(spark, args.pages, fmt=args.pages_format)
         claims = resolve_evidence(clean, pages, keep=["claim", "label"])
     else:
-        clean, rejects = V.validate(SC.read_claims_tsv(spark, args.claims), preset.labels)
+        clean, rejects = V.validate(SC.read_claims_tsv(spark, args.claims), preset.labels, limit=args.limit)
         claims = clean.withColumnRenamed("seq", "claim_id")
     rejects.write.mode("overwrite").parquet(f"{args.out}/rejects")
     results, counters = scored_run(spark, claims, preset, f"{args.out}/results",
@@ -92,6 +93,8 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--out", required=True)
     r.add_argument("--scorer", help="module:factory returning a (claim, evidence, prompt) -> str callable")
     r.add_argument("--parallelism", type=int, default=None)
+    r.add_argument("--limit", type=int, default=None,
+                   help="only the first N input rows, counted before any validation (F7)")
     r.set_defaults(fn=cmd_run)
     c = sub.add_parser("combine", help="union result batches into one CSV")
     c.add_argument("--results", required=True)

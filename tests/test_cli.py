@@ -33,3 +33,13 @@ def test_run_tsv_preset(spark, tmp, capsys):
     text = capsys.readouterr().out
     assert "scored" in text and "accuracy" in text
     assert spark.read.parquet(f"{out}/rejects").count() > 0
+
+
+def test_run_with_raw_row_limit(spark, tmp, capsys):
+    out = os.path.join(tmp, "lim")
+    cli.main(["run", "--preset", "pubhealth_eep", "--claims", staging.claims_tsv_path(spark, SF),
+              "--out", out, "--limit", "40"])
+    capsys.readouterr()
+    scored = spark.read.parquet(f"{out}/results").count()
+    rejected = spark.read.parquet(f"{out}/rejects").count()
+    assert scored + rejected == 40          # the limit counts raw rows, before validation
