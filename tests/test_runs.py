@@ -138,3 +138,11 @@ def test_strict_preset_guard_raises(spark, tmp):
                                    "claim_id long, claim string, label string, evidence string")
     with pytest.raises(ValueError, match="Not enough samples"):
         P.scored_run(spark, claims, preset, os.path.join(tmp, "cot"))
+
+
+def test_state_table_has_no_per_batch_folders(spark, tmp):
+    preset = P.Preset(**{**P.PRESETS["fever_eep_sampled"].__dict__, "per_class": 5})   # batch size 5
+    out = os.path.join(tmp, "state")
+    res, _ = P.scored_run(spark, _resolved(spark), preset, out)
+    assert res.select("batch_id").distinct().count() == 2
+    assert not [d for d in os.listdir(out) if d.startswith("batch_id=")]
