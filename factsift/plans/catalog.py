@@ -677,14 +677,17 @@ counts AS (
   FROM (SELECT dataset, strategy, t AS label, 1 AS sup, 0 AS pr, CASE WHEN t = p THEN 1 ELSE 0 END AS hit FROM long
         UNION ALL SELECT dataset, strategy, p, 0, 1, 0 FROM long) z GROUP BY dataset, strategy, label),
 f AS (SELECT dataset, strategy, label, CASE WHEN predicted + support = 0 THEN 0.0
-                                   ELSE CAST(2 * tp AS DOUBLE) / CAST(predicted + support AS DOUBLE) END AS f1 FROM counts)
+                                   ELSE CAST(2 * tp AS DOUBLE) / CAST(predicted + support AS DOUBLE) END AS f1 FROM counts
+      UNION ALL
+      SELECT dataset, strategy, 'accuracy', CAST(sum(tp) AS DOUBLE) / CAST(sum(support) AS DOUBLE) FROM counts
+      GROUP BY dataset, strategy)
 SELECT dataset, label,
        round(max(CASE WHEN strategy = 'eep' THEN f1 END), 6) AS eep,
        round(max(CASE WHEN strategy = 'cot' THEN f1 END), 6) AS cot,
        round(max(CASE WHEN strategy = 'selfask' THEN f1 END), 6) AS selfask
 FROM f GROUP BY dataset, label""")
 def q10(spark, sf_dir):
-    """Q10 = A12: per-label F1 of the three strategies side by side, per dataset.
+    """Q10 = A12: per-label F1 and accuracy of the three strategies side by side, per dataset.
 
     Each prediction row fans out to one record per strategy (the preset's
     extraction policy), counts are grouped by (dataset, strategy, label) with
@@ -705,7 +708,12 @@ def q10(spark, sf_dir):
     f1 = counts.select("dataset", "strategy", "label",
                        F.coalesce(F.try_divide((2 * F.col("tp")).cast("double"), (F.col("pr") + F.col("sup")).cast("double")),
                                   F.lit(0.0)).alias("f1"))
-    wide = C.compare_strategies(f1, "f1", STRATEGIES)
+    # accuracy per (dataset, strategy) as one more row: every row adds 1 to
+    # the support of its truth label, so sum(tp) / sum(support) over labels
+    accuracy = counts.groupBy("dataset", "strategy").agg(
+        F.lit(K.KIND_ACCURACY).alias("label"),
+        (F.sum("tp").cast("double") / F.sum("sup").cast("double")).alias("f1"))
+    wide = C.compare_strategies(f1.unionByName(accuracy), "f1", STRATEGIES)
     return wide.select("dataset", "label", *[F.round(F.col(s), 6).alias(s) for s in STRATEGIES])
 
 
