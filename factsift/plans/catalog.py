@@ -1,9 +1,11 @@
 """Registered queries over the driver tables and their DuckDB oracle twins.
 
 Each entry of ``QUERIES`` takes ``(spark, sf_dir)`` and returns a DataFrame
-computed from whole tables; ``ORACLE`` holds an independent DuckDB formulation
-of the same result where one exists. Computed columns carry the same aliases
-on both sides; doubles are rounded to 6 digits on both sides.
+computed from whole tables, read through the real sources from the inputs
+``plans.staging`` writes once per application (claims JSONL, page store,
+claims TSV). ``ORACLE`` holds an independent DuckDB formulation of the same
+result over the base tables. Computed columns carry the same aliases and
+types on both sides; doubles are rounded to 6 digits on both sides.
 """
 
 from __future__ import annotations
