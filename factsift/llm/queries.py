@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factsift.llm import packing, token_store
+from factsift.llm import minhash_paths, packing, suffix_decontam, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_patterns": packing.query,
     "op6_token_planes": token_store.query,
+    "op7_chosen_paths": minhash_paths.query,
+    "op10_suffix_arrays": suffix_decontam.query,
 }
 
 ORACLE: dict[str, str] = {}
