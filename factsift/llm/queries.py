@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factsift.llm import minhash_paths, packing, pii_feistel, suffix_decontam, token_store, toxicity
+from factsift.llm import (html_rules, minhash_paths, packing, pii_feistel, suffix_decontam,
+                          token_store, toxicity, warc_index)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_grammar": toxicity.query,
     "op2_pack_patterns": packing.query,
+    "op3_warc_index": warc_index.query,
+    "op4_block_rules": html_rules.query,
     "op5_feistel_pii": pii_feistel.query,
     "op6_token_planes": token_store.query,
     "op7_chosen_paths": minhash_paths.query,
