@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factsift.llm import (html_rules, minhash_paths, packing, pii_feistel, suffix_decontam,
+from factsift.llm import (html_rules, license_scan, minhash_paths, packing, pii_feistel, suffix_decontam,
                           token_store, toxicity, warc_index)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,7 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_feistel_pii": pii_feistel.query,
     "op6_token_planes": token_store.query,
     "op7_chosen_paths": minhash_paths.query,
+    "op9_license_bands": license_scan.query,
     "op10_suffix_arrays": suffix_decontam.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_license_bands": license_scan.SQL}
