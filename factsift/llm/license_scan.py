@@ -90,7 +90,7 @@ def _windows(rows: DataFrame, stride: int, start: Column) -> DataFrame:
     """``rows`` (with ``words``) by window and band: ``band`` is the least hash of
     the window's shingles by that band's function."""
     last = F.size("words") - SHINGLE
-    at = rows.where(last >= 0).select("*", F.explode(F.sequence(start, last, F.lit(stride))).alias("at"))
+    at = rows.select("*", F.explode(F.when(last >= 0, F.sequence(start, last, F.lit(stride)))).alias("at"))
     window = F.struct(*[F.when(F.col("at") + j >= 0, shingle_at(F.col("words"), F.col("at") + j)).alias(f"h{j}") for j in range(STRIDE)])
     # generators pass their output on as it is, so nothing below hashes words again
     at = at.select(*rows.columns, F.explode(F.array(window)).alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factsift.llm import (html_rules, license_scan, minhash_paths, packing, pii_feistel, suffix_decontam,
-                          token_store, toxicity, warc_index)
+                          token_store, toxicity, vector_graph, warc_index)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_grammar": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_feistel_pii": pii_feistel.query,
     "op6_token_planes": token_store.query,
     "op7_chosen_paths": minhash_paths.query,
+    "op8_vector_graph": vector_graph.query,
     "op9_license_bands": license_scan.query,
     "op10_suffix_arrays": suffix_decontam.query,
 }
