@@ -3,8 +3,8 @@
 Texts become sets of ``SHINGLE``-word shingles; equal sets are one vertex, so
 exact copies are never compared. The join then grows ``TREES`` independent
 trees. A tree's root branches a vertex by one of its minwise tokens; below, a
-node chooses ``BRANCHES`` tokens (by a hash of its path) and sends each member
-to the child of its value there. Two sets of similarity ``s`` stay together in
+node chooses one token, or two with probability ``SECOND`` (by a hash of its
+path), and sends each member to the child of its value there. Two sets of similarity ``s`` stay together in
 a child with probability ``s``, others are soon parted.
 
 * A node of at most ``LEAF`` members is compared exhaustively.
@@ -46,9 +46,9 @@ from factsift.llm import common, components, words
 SHINGLE = 5
 PERCENT = 85
 TOKENS = 64
-TREES = 6
-BRANCHES = 2
-LEAF = 400
+TREES = 8
+SECOND = 0.5
+LEAF = 500
 SEPARATORS = words.separators("space")
 _MULTIPLY = np.array([common.seed64("minwise", i) | 1 for i in range(TOKENS)], dtype=np.uint64)
 
@@ -113,7 +113,7 @@ def vertices(sketched: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sid, shingles`` (packed) for the vertices in ``wanted(sid, doc_id, text_key, key)``."""
+    """``sid, sig, shingles`` (packed) for the vertices in ``wanted(sid, doc_id, text_key, key, sig)``."""
     def run(batches):
         for b in batches:
             sets = list(_sets(b.column(2)))
@@ -124,7 +124,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows, need = _texts(docs), wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     rows = rows.join(need, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = rows.mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    return wanted.select("sid", "key").join(sets, "key").select("sid", "shingles")
+    return wanted.select("sid", "key", "sig").join(sets, "key").select("sid", "sig", "shingles")
 
 
 def _unpacked(batches):
@@ -169,8 +169,7 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
         large = level.where(F.col("size") > LEAF).select("node", "sid", "linked")
         if hot is None:
             wanted = verts.join(large.select("sid").distinct(), "sid", "left_semi")
-            packed = full_sets(docs, wanted).join(verts.select("sid", "sig"), "sid").select("sid", "sig", "shingles")
-            hot = common.store(packed.mapInArrow(_unpacked, "sid long, sig binary, members array<long>"), "hot-sets")
+            hot = common.store(full_sets(docs, wanted).mapInArrow(_unpacked, "sid long, sig binary, members array<long>"), "hot-sets")
         order = F.struct(F.col("linked").isNotNull(), F.xxhash64("node", "sid"))
         pivots = large.groupBy("node").agg(F.min_by("sid", order).alias("sid"))
         pivots = pivots.join(hot, "sid").select("node", F.col("sid").alias("pivot"), F.col("members").alias("pivot_members"))
@@ -186,8 +185,9 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
             (F.col("sid") != F.col("pivot"))
             & (~F.col("close") | (F.col("distance") + far + 1e-9 >= F.col("nearest"))))
         child = [F.xxhash64("node", F.lit(j), _token("sig", F.pmod(F.xxhash64("node", F.lit(-j - 1)), F.lit(TOKENS)).cast("int")))
-                 for j in range(BRANCHES)]
-        rows = rest.select(F.explode(F.array(*child)).alias("node"), "sid",
+                 for j in range(2)]
+        forks = F.pmod(F.xxhash64("node", F.lit(-9)), F.lit(1000)) < int(1000 * SECOND)
+        rows = rest.select(F.explode(F.when(forks, F.array(*child)).otherwise(F.array(child[0]))).alias("node"), "sid",
                            F.when(F.col("close"), F.col("pivot")).otherwise(F.col("linked")).alias("linked"))
         rows = common.store(rows, "children")
         level = common.store(rows.join(_nodes(rows), "node"), "paths")
@@ -287,49 +287,48 @@ def likely(leaf: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
     return common.store(rows.mapInArrow(run, "grp long, sid long").distinct(), "groups")
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of sorted distinct arrays."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` on full sets, as many as connect each group's members."""
+    """Links ``(a, b)`` on full sets, as many as connect each group's members.
+
+    Likely pairs are taken by falling agreement; a pair whose members are
+    connected already is not looked at again."""
+    least = agreeing(percent)
+
     def run(batches):
         a, b = [], []
-        for _, sid, packed in _runs(batches, 3):
-            ids = sid.to_pylist()
+        for _, sid, sig, packed in _runs(batches, 4):
+            ids, n = sid.to_pylist(), len(sid)
+            s = np.frombuffer(b"".join(sig.to_pylist()), "<u4").reshape(n, TOKENS)
             sets_ = [np.frombuffer(p, "<u8") for p in packed.to_pylist()]
-            forest, n = Forest(len(ids)), len(ids)
-            if n <= 12:
-                for i in range(n):
-                    for j in range(i + 1, n):
-                        x, y = sets_[i], sets_[j]
-                        if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)) or forest.find(i) == forest.find(j):
-                            continue
-                        both = np.isin(x, y, assume_unique=True).sum()
-                        if both * 100 >= (len(x) + len(y) - both) * percent and forest.join(i, j):
-                            a.append(ids[i])
-                            b.append(ids[j])
-                continue
-            # counts of shared shingles for all members at once, in blocks
-            sizes = np.array([len(x) for x in sets_])
-            member = np.repeat(np.arange(n), sizes)
-            _, column, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-            use = times[column] > 1
-            _, column = np.unique(column[use], return_inverse=True)
-            member = member[use]
-            order = np.argsort(column, kind="stable")
-            column, member = column[order], member[order]
-            shared = np.zeros((n, n), dtype=np.float64)
-            width = 8192
-            for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-                u, v = np.searchsorted(column, [lo, lo + width])
-                grid = np.zeros((n, width), dtype=np.float32)
-                grid[member[u:v], column[u:v] - lo] = 1
-                shared += grid @ grid.T
-            union = sizes[:, None] + sizes[None, :] - shared
-            for i, j in zip(*np.nonzero(np.triu(shared * 100 >= union * percent, 1))):
-                if forest.join(int(i), int(j)):
+            size = np.array([len(x) for x in sets_])
+            pairs = []
+            for i in range(n - 1):
+                same = (s[i + 1:] == s[i]).sum(axis=1)
+                lo, hi = np.minimum(size[i + 1:], size[i]), np.maximum(size[i + 1:], size[i])
+                j = np.flatnonzero((same >= least) & (lo * 100 >= hi * percent))
+                pairs.append(np.stack([same[j], np.full(len(j), i), j + i + 1], axis=1))
+            pairs = np.concatenate(pairs)
+            forest = Forest(n)
+            for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+                if forest.find(i) == forest.find(j):
+                    continue
+                both = _shared(sets_[i], sets_[j])
+                if both * 100 >= (size[i] + size[j] - both) * percent:
+                    forest.join(i, j)
                     a.append(ids[i])
                     b.append(ids[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    rows = groups.join(sets, "sid").select("grp", "sid", "shingles")
+    rows = groups.join(sets, "sid").select("grp", "sid", "sig", "shingles")
     rows = rows.repartition(common.shuffle_partitions(groups.sparkSession), "grp").sortWithinPartitions("grp", "sid")
     return rows.mapInArrow(run, "a long, b long")
 
