@@ -268,5 +268,9 @@ def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document with pseudonyms, and how many of each kind."""
     found = report(common.table(spark, sf_dir, "documents"))
-    kinds = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).alias(f"n_{k}") for k in KINDS]
+
+    def of_kind(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).alias(f"n_{kind}")
+
+    kinds = [of_kind(k) for k in KINDS]
     return found.select("doc_id", "text", "n_found", *kinds)
