@@ -3,16 +3,17 @@
 Equal vectors of a label are one vertex with a count. Vertices of a label are
 cut into cluster shards: centroids are fitted on a bounded sample of a node
 (``SAMPLE`` vectors a centroid), every vertex goes to its nearest centroid (its
-home) and as a guest to the next ``GUESTS``; shards over ``CAP`` are cut again,
-up to ``LEVELS`` times. What is then still larger than ``CAP`` is so dense that
-centroids can't part it: it is dealt into blocks, and every pair of blocks is
+home) and as a guest to the next ``GUESTS``; centroids within ``MERGE`` of each
+other count as one, so a dense group is not cut; shards over ``CAP`` are cut again,
+up to ``LEVELS`` times. What hardly shrinks, or is larger than ``CAP`` after that, is so
+dense that centroids can't part it: it is dealt into blocks, and every pair of blocks is
 one shard, so nothing is left out and no task holds more than ``2 CAP``.
 
 Each shard builds a graph by robust pruning (``DEGREE``, ``ALPHA``); adjacency
 lists of a vertex are united over all shards it is in. Every vertex is a query
 in its home shard: a beam search from the shard's medoid and the query's own
-entry, then range expansion through every vertex within ``SLACK`` of the
-threshold. Links are verified in double precision. A shard returns each query's
+entry, then range expansion, in blocks of alike queries, through every vertex
+within ``SLACK`` of the threshold of one of them. Links are verified in double precision. A shard returns each query's
 link count and as many links as connect its vertices; components come from a
 distributed contraction. ``audit`` measures recall against brute force.
 
@@ -37,13 +38,14 @@ from factsift.llm import common, components
 from factsift.llm.minhash_paths import Forest
 
 THRESHOLD = 0.93
+MERGE = 0.75              # cosine of centroids that are not told apart
 SLACK = 0.10
-TARGET = 1_500
-CAP = 4_000
+TARGET = 600
+CAP = 800
 FANOUT = 64
 SAMPLE = 48
 GUESTS = 3
-LEVELS = 3
+LEVELS = 6
 DEGREE = 24
 ALPHA = 1.2
 CANDIDATES = 96
@@ -100,66 +102,101 @@ def robust_prune(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, threshold: float):
-    """Pairs (query place, row) found within ``threshold``, the query left out."""
+class Adjacency:
+    """Neighbour lists of a shard's rows, one after another."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.start = np.append(0, np.cumsum([len(a) for a in lists])).astype(np.int64)
+        self.flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All neighbours of ``rows``, and which of ``rows`` each is from."""
+        size = self.start[rows + 1] - self.start[rows]
+        which = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + self.start[rows][which]
+        return self.flat[at], which
+
+
+def greedy(x: np.ndarray, graph: Adjacency, q: np.ndarray) -> np.ndarray:
+    """Beam search of every query from the medoid and its own entry; the
+    vertices seen within ``SLACK`` of the threshold by some query."""
     medoid = int(np.argmax(x @ x.mean(axis=0)))
-    found_q, found_v = [], []
-    for lo in range(0, len(queries), 512):
-        q = queries[lo:lo + 512]
-        nq, n = len(q), len(x)
-        seen = np.zeros((nq, n), dtype=bool)
-        best = np.full((nq, BEAM), -2.0)
-        who = np.full((nq, BEAM), -1, dtype=np.int64)
-        open_ = np.zeros((nq, BEAM), dtype=bool)
-        wide_q, wide_v = [], []
-
-        def visit(qi: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """New (query, vertex) pairs with their similarity."""
-            ok = v >= 0
-            key = np.unique(qi[ok] * n + v[ok])
-            qi, v = key // n, key % n
-            new = ~seen[qi, v]
-            qi, v = qi[new], v[new]
-            seen[qi, v] = True
-            sim = np.einsum("ij,ij->i", x[q[qi]], x[v])
-            near = sim >= threshold - SLACK
-            wide_q.append(qi[near])
-            wide_v.append(v[near])
-            hit = (sim >= threshold) & (v != q[qi])
-            found_q.append(lo + qi[hit])
-            found_v.append(v[hit])
-            return qi, v, sim
-
-        def merge(qi, v, sim) -> None:
-            """Keep each query's best ``BEAM`` visited vertices."""
-            order = np.lexsort((-sim, qi))
-            qi, v, sim = qi[order], v[order], sim[order]
-            at = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            keep = at < BEAM
-            more_s, more_v = np.full((nq, BEAM), -2.0), np.full((nq, BEAM), -1, dtype=np.int64)
-            more_s[qi[keep], at[keep]], more_v[qi[keep], at[keep]] = sim[keep], v[keep]
-            s, w = np.concatenate([best, more_s], axis=1), np.concatenate([who, more_v], axis=1)
-            o = np.concatenate([open_, more_v >= 0], axis=1)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :BEAM]
-            r = np.arange(nq)[:, None]
-            best[:], who[:], open_[:] = s[r, top], w[r, top], o[r, top]
-
-        start = np.arange(nq)
-        merge(*visit(np.concatenate([start, start]), np.concatenate([np.full(nq, medoid), q])))
-        while open_.any():                  # greedy: every query opens its best unopened vertex
-            live = np.flatnonzero(open_.any(axis=1))
-            slot = np.argmax(open_[live], axis=1)
-            open_[live, slot] = False
-            merge(*visit(np.repeat(live, graph.shape[1]), graph[who[live, slot]].ravel()))
-        # range expansion: everything near the threshold is opened too
-        while sum(map(len, wide_q)):
-            qi, v = np.concatenate(wide_q), np.concatenate(wide_v)
-            wide_q, wide_v = [], []
-            for a in range(0, len(qi), 50_000):
-                visit(np.repeat(qi[a:a + 50_000], graph.shape[1]), graph[v[a:a + 50_000]].ravel())
-    if not found_q:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(found_q), np.concatenate(found_v)
+    nq, n = len(q), len(x)
+    seen = np.zeros((nq, n), dtype=bool)
+    best = np.full((nq, BEAM), -2.0)
+    who = np.full((nq, BEAM), -1, dtype=np.int64)
+    open_ = np.zeros((nq, BEAM), dtype=bool)
+    close = np.zeros(n, dtype=bool)
+
+    def visit(qi: np.ndarray, v: np.ndarray) -> None:
+        new = ~seen[qi, v]
+        key = np.unique(qi[new] * n + v[new])
+        qi, v = key // n, key % n
+        seen[qi, v] = True
+        sim = np.einsum("ij,ij->i", x[q[qi]], x[v])
+        close[v[sim >= THRESHOLD - SLACK]] = True
+        order = np.lexsort((-sim, qi))
+        qi, v, sim = qi[order], v[order], sim[order]
+        at = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        keep = at < BEAM
+        more_s, more_v = np.full((nq, BEAM), -2.0), np.full((nq, BEAM), -1, dtype=np.int64)
+        more_s[qi[keep], at[keep]], more_v[qi[keep], at[keep]] = sim[keep], v[keep]
+        s, w = np.concatenate([best, more_s], axis=1), np.concatenate([who, more_v], axis=1)
+        o = np.concatenate([open_, more_v >= 0], axis=1)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :BEAM]
+        r = np.arange(nq)[:, None]
+        best[:], who[:], open_[:] = s[r, top], w[r, top], o[r, top]
+
+    start = np.arange(nq)
+    visit(np.concatenate([start, start]), np.concatenate([np.full(nq, medoid), q]))
+    while open_.any():                      # every query opens its best unopened vertex
+        live = np.flatnonzero(open_.any(axis=1))
+        slot = np.argmax(open_[live], axis=1)
+        open_[live, slot] = False
+        v, which = graph.of(who[live, slot])
+        visit(live[which], v)
+    return np.flatnonzero(close)
+
+
+def search(x: np.ndarray, graph: Adjacency, queries: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows each query is linked with, as a table of booleans.
+
+    Queries are taken in blocks of alike ones. After the greedy phase a block
+    expands its range together: the neighbours of every vertex near one of its
+    queries are compared with the block, until no near vertex is left."""
+    linked = np.zeros((len(queries), len(x)), dtype=bool)
+    some = x[:: max(1, len(x) // 32)]
+    sims = x[queries] @ some.T
+    order = np.lexsort((-sims.max(axis=1), sims.argmax(axis=1)))
+    for lo in range(0, len(queries), 256):
+        block = order[lo:lo + 256]
+        q = queries[block]
+        done = np.zeros(len(x), dtype=bool)
+        fresh = greedy(x, graph, q)
+        while len(fresh):
+            done[fresh] = True
+            sims = x[q] @ x[fresh].T
+            linked[block[:, None], fresh[None, :]] = sims >= threshold
+            near = fresh[(sims >= threshold - SLACK).any(axis=0)]
+            fresh = np.unique(graph.of(near)[0])
+            fresh = fresh[~done[fresh]]
+    linked[np.arange(len(queries)), queries] = False
+    return linked
+
+
+def connecting(linked: np.ndarray, queries: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """As many links as connect what all of them connect."""
+    label, out = np.arange(n), []
+    for i, q in enumerate(queries.tolist()):
+        v = np.flatnonzero(linked[i])
+        if not len(v):
+            continue
+        labels, first = np.unique(label[v], return_index=True)
+        for other, k in zip(labels.tolist(), first.tolist()):
+            if other != label[q]:
+                out.append((q, int(v[k])))
+                label[label == other] = label[q]
+    return out
 
 
 # ---- Spark jobs ---------------------------------------------------------------------
@@ -189,17 +226,20 @@ def shards(verts: DataFrame) -> DataFrame:
     """``shard, sid, home, side``: every vertex in its home shard and as a guest in others."""
     spark = verts.sparkSession
     common.prepare(spark)
-    level = verts.select("node", "sid", F.lit(True).alias("home"), "vector")
-    done = []
-    for depth in range(LEVELS):
+    level = verts.select("node", "sid", F.lit(True).alias("home"), "vector", F.lit(None).cast("long").alias("was"))
+    done, dense = [], []
+    for depth in range(LEVELS + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         sized = common.store(level.join(sizes, "node"), f"shards-{depth}")
+        guests = GUESTS if depth == 0 else 1
         done.append(sized.where(F.col("n") <= CAP))
-        large = sized.where(F.col("n") > CAP)
+        # a node that hardly shrank can't be parted
+        stuck = F.coalesce(F.col("n") > 0.9 * F.col("was"), F.lit(False)) | F.lit(depth == LEVELS)
+        dense.append(sized.where((F.col("n") > CAP) & stuck))
+        large = sized.where((F.col("n") > CAP) & ~stuck)
         if large.isEmpty():
-            level = None
             break
-        k = F.least(F.lit(FANOUT), F.ceil(F.col("n") / TARGET))
+        k = F.least(F.lit(FANOUT), F.ceil(F.col("n") * (guests + 1) / TARGET))
         # a bounded sample of each node, whatever its size
         share = F.least(F.lit(1.0), k * SAMPLE / F.col("n"))
         sample = large.where(F.pmod(F.xxhash64("sid", F.lit(depth)), F.lit(1_000_000)) < share * 1_000_000)
@@ -207,41 +247,46 @@ def shards(verts: DataFrame) -> DataFrame:
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("sid")
             c = lloyd(unit(pdf["vector"]), int(pdf["k"].iloc[0]))
-            return pd.DataFrame({"node": pdf["node"].iloc[0], "child": range(len(c)), "center": list(c)})
+            # centroids close enough for links across their border are one child
+            forest = Forest(len(c))
+            for i, j in zip(*np.nonzero(np.triu(c @ c.T >= MERGE, 1))):
+                forest.join(int(i), int(j))
+            child = [forest.find(i) for i in range(len(c))]
+            return pd.DataFrame({"node": pdf["node"].iloc[0], "child": child, "center": list(c)})
 
         uri = common.shared_uri(spark, f"centroids-{depth}")
         (sample.withColumn("k", k.cast("int")).groupBy("node")
          .applyInPandas(fit, "node long, child int, center array<double>").write.parquet(uri))
-        guests = GUESTS if depth == 0 else 1
 
         def assign(batches):
             for pdf in batches:
                 for node, part in pdf.groupby("node", sort=False):
-                    centers, _ = _centroids(uri, int(node))
-                    near = np.argsort(-(unit(part["vector"]) @ centers.T), axis=1, kind="stable")[:, :guests + 1]
+                    centers, child = _centroids(uri, int(node))
+                    # a child is as near as the nearest of its centroids
+                    names, first = np.unique(child, return_index=True)
+                    sims = np.maximum.reduceat(unit(part["vector"]) @ centers.T, first, axis=1)
+                    near = np.argsort(-sims, axis=1, kind="stable")[:, :guests + 1]
                     for j in range(near.shape[1]):
-                        yield pd.DataFrame({"node": part["node"].to_numpy(), "child": near[:, j], "sid": part["sid"].to_numpy(),
-                                            "home": part["home"].to_numpy() & (j == 0), "vector": part["vector"].to_numpy()})
+                        yield pd.DataFrame({"node": part["node"].to_numpy(), "child": names[near[:, j]], "sid": part["sid"].to_numpy(),
+                                            "home": part["home"].to_numpy() & (j == 0), "vector": part["vector"].to_numpy(),
+                                            "was": part["n"].to_numpy()})
 
-        level = (large.select("node", "sid", "home", "vector")
-                 .mapInPandas(assign, "node long, child int, sid long, home boolean, vector array<float>")
-                 .select(F.xxhash64("node", "child").alias("node"), "sid", "home", "vector"))
+        level = (large.select("node", "sid", "home", "vector", "n")
+                 .mapInPandas(assign, "node long, child int, sid long, home boolean, vector array<float>, was long")
+                 .select(F.xxhash64("node", "child").alias("node"), "sid", "home", "vector", "was"))
         # a guest that is also at home counts once
-        level = common.store(level.groupBy("node", "sid").agg(F.max("home").alias("home"), F.first("vector").alias("vector")), "level")
+        level = common.store(level.groupBy("node", "sid").agg(F.max("home").alias("home"), F.first("vector").alias("vector"),
+                                                            F.max("was").alias("was")), "level")
     cols = ["shard", "sid", "home", "side", "vector"]
     parts = [d.select(F.col("node").alias("shard"), "sid", "home", F.lit(0).alias("side"), "vector") for d in done]
-    if level is not None:
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        sized = level.join(sizes, "node")
-        parts.append(sized.where(F.col("n") <= CAP).select(F.col("node").alias("shard"), "sid", "home", F.lit(0).alias("side"), "vector"))
-        # too dense to part: every pair of blocks is a shard
-        n_blocks = F.ceil(F.col("n") / CAP).cast("int")
-        dense = (sized.where(F.col("n") > CAP).withColumn("blocks", n_blocks)
-                 .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-                 .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
-        pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-        parts.append(dense.select(pair.alias("shard"), "sid", "home", side.alias("side"), "vector"))
+    # too dense to part: every pair of blocks is a shard
+    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    for d in dense:
+        blocked = (d.withColumn("blocks", F.ceil(F.col("n") / CAP).cast("int"))
+                   .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+                   .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+        parts.append(blocked.select(pair.alias("shard"), "sid", "home", side.alias("side"), "vector"))
     out = parts[0].select(cols)
     for p in parts[1:]:
         out = out.unionByName(p.select(cols))
@@ -275,19 +320,14 @@ def links(placed: DataFrame, graph: DataFrame, copies: DataFrame, threshold: flo
         place = np.searchsorted(sid, flat)
         ok = (place < len(sid)) & (sid[np.minimum(place, len(sid) - 1)] == flat)
         which, place = which[ok], place[ok]
-        width = max(1, int(np.bincount(which, minlength=len(sid)).max(initial=1)))
-        near = np.full((len(sid), width), -1, dtype=np.int64)
-        near[which, np.arange(len(which)) - np.searchsorted(which, which)] = place
+        graph = Adjacency(np.split(place, np.searchsorted(which, np.arange(1, len(sid)))))
         queries = np.flatnonzero(pdf["home"].to_numpy())
-        q, v = search(x, near, queries, threshold)
-        cross = (side[queries[q]] != side[v]) | (side[v] == 0)
-        q, v = q[cross], v[cross]
-        count = np.bincount(q, weights=times[v], minlength=len(queries)).astype(np.int64)
-        forest, a, b = Forest(len(sid)), [], []
-        for i, j in zip(queries[q].tolist(), v.tolist()):
-            if forest.join(i, j):
-                a.append(sid[i])
-                b.append(sid[j])
+        linked = search(x, graph, queries, threshold)
+        # of a pair of blocks only the links across; those within have a shard of their own
+        linked &= (side[queries][:, None] != side[None, :]) | (side[None, :] == 0)
+        count = linked @ times.astype(np.int64)
+        edges = connecting(linked, queries, len(sid))
+        a, b = [sid[i] for i, _ in edges], [sid[j] for _, j in edges]
         return pd.concat([pd.DataFrame({"sid": sid[queries], "other": pd.array([None] * len(queries), dtype="Int64"), "n": count}),
                           pd.DataFrame({"sid": np.array(a, dtype=np.int64), "other": pd.array(b, dtype="Int64"),
                                         "n": np.zeros(len(a), dtype=np.int64)})])
