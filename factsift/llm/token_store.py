@@ -112,7 +112,7 @@ class ShardReader:
         index = np.frombuffer(self.unzip.decompress(f.read(length)), dtype="<i8")
         docs = index[len(index) - 3 * n_docs:].reshape(-1, 3)
         self.doc_ids, self.known, self.n_tokens = docs[:, 0], docs[:, 1].astype(bool), docs[:, 2]
-        self.chunks = index[:len(index) - 3 * n_docs].reshape(n_chunks, -1)
+        self.chunks = index[:len(index) - 3 * n_docs].reshape(n_chunks, -1 if n_chunks else 2)
         self.first = np.append(0, np.cumsum(self.chunks[:, 1])) if n_chunks else np.zeros(1, dtype=np.int64)
 
     def chunk(self, k: int) -> np.ndarray:
