@@ -37,7 +37,7 @@ def _factory(spec: str | None, dataset: str):
 
 
 def _print_report(rep) -> None:
-    for row in M.report_text(rep).collect():  # one line per label: the report itself
+    for row in M.report_text(rep).toLocalIterator():  # a class per distinct label: never all at once
         print(row.line)
 
 
@@ -50,7 +50,8 @@ def cmd_run(args) -> None:
         raw = V.limit_raw_rows(SC.read_claims_jsonl(spark, args.claims), args.limit)  # F7
         clean, rejects = SC.split_rejects(raw)
         pages = read_page_store(spark, args.pages, fmt=args.pages_format)
-        claims = resolve_evidence(clean, pages, keep=["claim", "label"])
+        # a line is its own row, whether its id is missing, repeated or neither
+        claims = resolve_evidence(clean, pages, keep=["claim", "label"], key="seq").withColumnRenamed("seq", "claim_id")
     else:
         clean, rejects = V.validate(SC.read_claims_tsv(spark, args.claims), preset.labels, limit=args.limit)
         claims = clean.withColumnRenamed("seq", "claim_id")
@@ -70,7 +71,7 @@ def cmd_combine(args) -> None:
     else:
         df = R.read_batches(spark, args.results)
     R.write_combined(df, args.out)
-    total = spark.read.option("header", "true").option("multiLine", "true").csv(args.out).count()
+    total = R.read_combined(spark, args.out).count()
     print(f"combined {total} records into {args.out}")
 
 

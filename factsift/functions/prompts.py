@@ -11,6 +11,7 @@ table with the same five columns can replace it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,10 @@ TEMPLATE_SCHEMA = "dataset string, strategy string, head string, mid string, tai
 
 
 def templates_frame(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or DEFAULT_TEMPLATES, TEMPLATE_SCHEMA)
+    """The template table; from Arrow, so its size is known to the planner."""
+    names = [c.split()[0] for c in TEMPLATE_SCHEMA.split(", ")]
+    columns = list(zip(*(rows or DEFAULT_TEMPLATES)))
+    return spark.createDataFrame(pa.table([pa.array(c, type=pa.string()) for c in columns], names=names))
 
 
 def render_column(head, claim, mid, evidence, tail):
@@ -50,32 +54,22 @@ def render_column(head, claim, mid, evidence, tail):
                     F.coalesce(tail, F.lit("")))
 
 
-MAX_TEMPLATES = 64  # per dataset; a template table is configuration, not data
-
-
 def render(claims: DataFrame, templates: DataFrame, dataset: str,
            strategies: list[str] | None = None) -> DataFrame:
     """J6 + X4: one prompt per (claim, strategy) of ``dataset``.
 
-    The dataset's templates are read with a checked bound (at most
-    ``MAX_TEMPLATES`` rows) and become a literal array; each claim fans out
-    over it with ``explode``. No join is planned, the fan-out per row is
-    exactly the number of strategies asked for, and the prompt is a plain
-    ``concat`` inside whole-stage codegen.
+    A plain equi join on the dataset, of any number of templates: a small
+    template table is broadcast by its size, a larger one is joined by shuffle
+    with the claims' side split. The prompt is a ``concat`` in generated code.
     """
     t = templates.where(F.col("dataset") == dataset)
     if strategies:
         t = t.where(F.col("strategy").isin(strategies))
-    rows = t.select("strategy", "head", "mid", "tail").limit(MAX_TEMPLATES + 1).collect()
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates for dataset {dataset!r}")
-    if not rows:
+    if t.isEmpty():
         raise ValueError(f"no templates for dataset {dataset!r} and strategies {strategies}")
-    options = F.array(*[F.struct(F.lit(r["strategy"]).alias("strategy"), F.lit(r["head"]).alias("head"),
-                                 F.lit(r["mid"]).alias("mid"), F.lit(r["tail"]).alias("tail"))
-                        for r in sorted(rows, key=lambda r: r["strategy"])])
-    fanned = claims.withColumn("_tpl", F.explode(options))
-    prompt = render_column(F.col("_tpl.head"), F.col("claim"), F.col("_tpl.mid"), F.col("evidence"),
-                           F.col("_tpl.tail"))
-    return fanned.select(*claims.columns, F.lit(dataset).alias("dataset"),
-                         F.col("_tpl.strategy").alias("strategy"), prompt.alias("prompt"))
+    t = t.select(F.col("dataset").alias("_dataset"), F.col("strategy").alias("_strategy"), F.col("head").alias("_head"),
+                 F.col("mid").alias("_mid"), F.col("tail").alias("_tail"))
+    joined = claims.withColumn("_of", F.lit(dataset)).join(t, F.col("_of") == F.col("_dataset"))
+    prompt = render_column(F.col("_head"), F.col("claim"), F.col("_mid"), F.col("evidence"), F.col("_tail"))
+    return joined.select(*claims.columns, F.col("_of").alias("dataset"), F.col("_strategy").alias("strategy"),
+                         prompt.alias("prompt"))

@@ -3,19 +3,17 @@
 Plan shape (all DataFrame built-ins, no UDF):
 
 1. ``evidence_refs``  - first evidence group only (P2), position-exploded (P3),
-   usable references only (F1): ``(claim_id, pos, title, idx)``.
-2. distinct ``title`` values -> left-semi join of the page store, so only pages
-   that some claim cites are ever split into lines (the store is the big side).
-3. ``page_sentences`` - matched pages exploded into lines, index parsed
-   tolerantly (X1, X2), first line per ``(id, idx)`` kept with ``min_by`` (J2).
-   Only lines whose ``(id, idx)`` is requested reach that aggregate.
-4. distinct ``(title, idx)`` keys resolved once each, with the two kinds of miss
-   told apart (J3, X3); references then join the resolved keys (J1).
-5. ordered concat per claim (A1) and a left join back to the claims, so claims
+   usable references only (F1): ``(key, pos, title, idx)``.
+2. distinct ``(title, idx)`` keys, grouped per title; one left join with the
+   page store, so the store is read once and only cited pages are parsed.
+3. the wanted lines of a page are picked on its own row with array functions
+   (X1, X2, J2), the two kinds of miss told apart (J3, X3); references then
+   join the resolved keys (J1).
+4. ordered concat per claim (A1) and a left join back to the claims, so claims
    without groups or without usable references survive.
 
-Scale notes: the page store is touched by one semi join and one aggregate over
-the cited pages only. Every join is an equi join on a hash-partitioned key.
+Scale notes: the page store is touched by one join and one aggregate over the
+cited pages only. Every join is an equi join on a hash-partitioned key.
 The resolved keys are written to the shared folder before the references
 join them, so that join is planned from files: broadcast when the table is
 small, otherwise a sort-merge join whose hot ``(title, idx)`` partition (one
@@ -35,6 +33,14 @@ from factsift.functions.text import (page_line_parts, page_not_found,
 from factsift.session import shared_dir
 
 
+ROW_HASH = "row_hash"
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A key of a row's whole content, for inputs whose ids repeat or are missing."""
+    return F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+
+
 def has_groups(evidence: Column) -> Column:
     """True when the claim carries at least one evidence group."""
     return F.coalesce(F.size(evidence), F.lit(0)) > 0
@@ -49,20 +55,14 @@ def evidence_refs(claims: DataFrame, group: int = 0, key: str = "claim_id",
                   evidence: str = "evidence") -> DataFrame:
     """P2 + P3 + F1: ``(claim_id, pos, title, idx)``, order and duplicates kept."""
     first = F.get(F.col(evidence), group)
-    exploded = claims.select(F.col(key).alias("claim_id"),
+    exploded = claims.select(key,
                              F.posexplode(first).alias("pos", "ref"))
     return (exploded.where(usable_ref(F.col("ref")))
-            .select("claim_id", "pos",
+            .select(key, "pos",
                     F.get(F.col("ref"), 2).alias("title"),
                     tolerant_int(F.get(F.col("ref"), 3)).alias("idx")))
 
 
-def dedupe_pages(pages: DataFrame, id_col: str = "id", lines_col: str = "lines") -> DataFrame:
-    """S3: one row per page id (a deterministic pick if the store repeats ids)."""
-    return (pages.groupBy(F.col(id_col).alias("id"))
-            .agg(F.min(F.col(lines_col)).alias("lines")))
-
-
 def page_lines(pages: DataFrame) -> DataFrame:
     """X1 + X2: ``(id, ln, idx, sentence)`` for every line with a tab and an
     integer index."""
@@ -84,37 +84,37 @@ def page_sentences(pages: DataFrame) -> DataFrame:
     return first_sentence(page_lines(pages))
 
 
-def resolve_keys(keys: DataFrame, pages: DataFrame, unique_ids: bool = True) -> DataFrame:
+def resolve_keys(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """Resolve distinct ``(title, idx)`` keys against the page store.
 
-    Only cited pages are split into lines, and only lines whose index is
-    actually requested reach the first-line aggregate, so the page store is
-    touched by one semi join and one map-side filter. ``unique_ids=False``
-    makes a store with repeated ids keep one deterministic row per id.
+    The wanted indexes are grouped per title first, so the store is read once
+    and joined once, and only cited pages are parsed. A page id that the store
+    repeats counts with one of its rows (the least by its lines), picked after
+    the join among cited pages only. Of lines with the same index the first one
+    wins (J2).
     """
-    titles = keys.select("title").distinct()
-    cited = pages.join(titles, pages["id"] == titles["title"], "left_semi")
-    if not unique_ids:
-        cited = dedupe_pages(cited)
-    found = cited.select(F.col("id").alias("found_id"))
-    if not unique_ids:
-        found = found.distinct()
-    wanted = keys.select(F.col("title").alias("w_title"), F.col("idx").alias("w_idx"))
-    lines = page_lines(cited)
-    cited_lines = lines.join(wanted, (lines["id"] == wanted["w_title"]) & (lines["idx"] == wanted["w_idx"]),
-                             "left_semi")
-    sentences = first_sentence(cited_lines).withColumnRenamed("idx", "s_idx")
-    k = keys.alias("k")
-    out = (k.join(found, F.col("k.title") == F.col("found_id"), "left")
-           .join(sentences, (F.col("k.title") == F.col("id")) & (F.col("k.idx") == F.col("s_idx")), "left"))
-    status = (F.when(F.col("found_id").isNull(), F.lit(K.RES_PAGE_MISS))
+    wanted = keys.groupBy("title").agg(F.collect_set("idx").alias("idxs"))
+    store = pages.select(F.col("id").alias("found_id"), "lines")
+    cited = (wanted.join(store, wanted["title"] == store["found_id"], "left")
+             .groupBy("title").agg(F.first("idxs").alias("idxs"), F.min("lines").alias("lines"),
+                                   F.max(F.col("found_id").isNotNull()).alias("found")))
+
+    def parsed(line: Column) -> Column:
+        idx, sentence = page_line_parts(line)
+        return F.struct(F.when(F.instr(line, "\t") > 0, tolerant_int(idx)).alias("idx"), sentence.alias("sentence"))
+
+    lines = F.transform(F.split(F.coalesce("lines", F.lit("")), "\n"), parsed)
+    asked = cited.select("title", "found", "idxs", lines.alias("parsed")).select(
+        "title", "found", "parsed", F.explode("idxs").alias("idx"))
+    sentence = F.get(F.filter("parsed", lambda x: x["idx"] == F.col("idx")), 0)["sentence"]
+    text = (F.when(~F.col("found"), page_not_found(F.col("title")))
+            .when(F.col("sentence").isNull(), sentence_not_found(F.col("idx"), F.col("title")))
+            .otherwise(F.col("sentence")))
+    status = (F.when(~F.col("found"), F.lit(K.RES_PAGE_MISS))
               .when(F.col("sentence").isNull(), F.lit(K.RES_SENTENCE_MISS))
               .otherwise(F.lit(K.RES_RESOLVED)))
-    text = (F.when(F.col("found_id").isNull(), page_not_found(F.col("k.title")))
-            .when(F.col("sentence").isNull(), sentence_not_found(F.col("k.idx"), F.col("k.title")))
-            .otherwise(F.col("sentence")))
-    return out.select(F.col("k.title").alias("title"), F.col("k.idx").alias("idx"),
-                      text.alias("sentence"), status.alias("status"))
+    return (asked.select("title", "found", "idx", sentence.alias("sentence"))
+            .select("title", "idx", text.alias("sentence"), status.alias("status")))
 
 
 def _materialise(df: DataFrame) -> DataFrame:
@@ -132,49 +132,47 @@ def _materialise(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def resolve_refs(refs: DataFrame, pages: DataFrame, unique_ids: bool = True) -> DataFrame:
-    """J1-J3 per reference: ``(claim_id, pos, sentence, status)``.
+def resolve_refs(refs: DataFrame, pages: DataFrame, key: str = "claim_id") -> DataFrame:
+    """J1-J3 per reference: ``(key, pos, sentence, status)``.
 
     Each distinct ``(title, idx)`` is resolved once; the references then join
     the resolved keys, which are materialised first (see ``_materialise``) so
-    that a key cited by a third of all references is split across tasks.
-    A NULL title never matches (SQL equality); such rows stay in the same
-    left join and take the page-miss placeholder.
+    that a key cited by a third of all references is split across tasks. A NULL
+    title matches no page, so such references go around the join.
     """
-    keys = refs.where(F.col("title").isNotNull()).select("title", "idx").distinct()
-    resolved = _materialise(resolve_keys(keys, pages, unique_ids))
+    named = refs.where(F.col("title").isNotNull())
+    resolved = _materialise(resolve_keys(named.select("title", "idx").distinct(), pages))
     resolved = resolved.withColumnsRenamed({"title": "r_title", "idx": "r_idx"})
-    joined = refs.join(resolved, (refs["title"] == resolved["r_title"]) & (refs["idx"] == resolved["r_idx"]), "left")
-    sentence = F.coalesce(F.col("sentence"), page_not_found(F.col("title")))
-    status = F.coalesce(F.col("status"), F.lit(K.RES_PAGE_MISS))
-    return joined.select("claim_id", "pos", sentence.alias("sentence"), status.alias("status"))
+    joined = named.join(resolved, (named["title"] == resolved["r_title"]) & (named["idx"] == resolved["r_idx"]))
+    unnamed = refs.where(F.col("title").isNull()).select(
+        key, "pos", page_not_found(F.lit(None).cast("string")).alias("sentence"), F.lit(K.RES_PAGE_MISS).alias("status"))
+    return joined.select(key, "pos", "sentence", "status").unionByName(unnamed)
 
 
-def concat_evidence(resolved: DataFrame) -> DataFrame:
+def concat_evidence(resolved: DataFrame, key: str = "claim_id") -> DataFrame:
     """A1: ordered single-space concat per claim plus the worst outcome."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("sentence"))))
     n_page = F.sum(F.when(F.col("status") == K.RES_PAGE_MISS, 1).otherwise(0))
     n_sent = F.sum(F.when(F.col("status") == K.RES_SENTENCE_MISS, 1).otherwise(0))
-    return (resolved.groupBy("claim_id")
+    return (resolved.groupBy(key)
             .agg(F.array_join(F.transform(ordered, lambda x: x["sentence"]), " ").alias("evidence_text"),
                  n_page.alias("n_page_miss"), n_sent.alias("n_sentence_miss")))
 
 
 def resolve_evidence(claims: DataFrame, pages: DataFrame, group: int = 0,
-                     keep: list[str] | None = None, unique_ids: bool = True) -> DataFrame:
+                     keep: list[str] | None = None, key: str = "claim_id") -> DataFrame:
     """Q1: claims with an ``evidence`` text and a ``resolution`` status.
 
-    ``claims`` needs ``claim_id`` and ``evidence ARRAY<ARRAY<ARRAY<STRING>>>``;
+    ``claims`` needs ``key`` and ``evidence ARRAY<ARRAY<ARRAY<STRING>>>``;
     ``pages`` needs ``id`` and ``lines``. Columns in ``keep`` are carried over.
-    ``claim_id`` must identify one input row; for inputs that repeat ids, pass
-    the reader's file-order ``seq`` as ``claim_id`` so every row keeps its
-    own evidence.
+    ``key`` identifies a row; rows that share a key must be equal rows (a hash
+    of the row is such a key, the reader's file-order ``seq`` another).
     """
     keep = keep if keep is not None else [c for c in ("claim", "label") if c in claims.columns]
-    refs = evidence_refs(claims, group)
-    per_claim = concat_evidence(resolve_refs(refs, pages.select("id", "lines"), unique_ids))
-    base = claims.select("claim_id", *keep, has_groups(F.col("evidence")).alias("_has_groups"))
-    j = base.join(per_claim, "claim_id", "left")
+    refs = evidence_refs(claims.dropDuplicates([key]) if key == ROW_HASH else claims, group, key)
+    per_claim = concat_evidence(resolve_refs(refs, pages, key), key)
+    base = claims.select(key, *keep, has_groups(F.col("evidence")).alias("_has_groups"))
+    j = base.join(per_claim, key, "left")
     evidence = (F.when(~F.col("_has_groups"), F.lit(K.NO_EVIDENCE))
                 .otherwise(F.coalesce(F.col("evidence_text"), F.lit(""))))
     resolution = (F.when(~F.col("_has_groups"), F.lit(K.RES_NO_EVIDENCE))
@@ -182,4 +180,4 @@ def resolve_evidence(claims: DataFrame, pages: DataFrame, group: int = 0,
                   .when(F.col("n_page_miss") > 0, F.lit(K.RES_PAGE_MISS))
                   .when(F.col("n_sentence_miss") > 0, F.lit(K.RES_SENTENCE_MISS))
                   .otherwise(F.lit(K.RES_RESOLVED)))
-    return j.select("claim_id", *keep, evidence.alias("evidence"), resolution.alias("resolution"))
+    return j.select(key, *keep, evidence.alias("evidence"), resolution.alias("resolution"))

@@ -18,7 +18,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factsift import constants as K
 from factsift.operators.batches import assign_sequence
@@ -57,25 +56,13 @@ def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
-# A label domain up to this size is ordered with a single-partition window
-# (its size is counted first); larger domains use the distributed numbering.
-SMALL_DOMAIN = 10_000
-
-
 def _order_labels(labels: DataFrame) -> DataFrame:
     """Add ``ord`` = rank of ``label`` (distinct) in sorted order.
 
-    The table is checkpointed and counted first, so the single-task window is
-    only used when its input is proven small; the raw-text policy can make
-    every distinct output a class, and such domains are numbered in parallel.
+    Numbered in parallel whatever the size: the raw-text policy can make every
+    distinct output a class.
     """
-    checkpoint_root(labels.sparkSession)
-    labels = labels.checkpoint(eager=True)
-    if labels.count() <= SMALL_DOMAIN:
-        ordered = labels.withColumn("ord", F.row_number().over(Window.orderBy("label")) - 1)
-    else:
-        ordered = assign_sequence(labels, ["label"], name="ord")
-    return ordered.withColumn("ord", F.col("ord").cast("int"))
+    return assign_sequence(labels, ["label"], name="ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def label_domain(df: DataFrame) -> DataFrame:
@@ -238,7 +225,9 @@ def report_text(rep: DataFrame) -> DataFrame:
     width = F.greatest(rep.select(F.max(F.length("label"))).scalar(), F.lit(REPORT_MIN_LABEL_WIDTH))
 
     def cell(c: Column) -> Column:
-        return F.concat(F.lit(" "), F.lpad(F.coalesce(c, F.lit("")), w, " "))
+        # padded to the width, never cut: a longer value keeps all its digits
+        value = F.coalesce(c, F.lit(""))
+        return F.concat(F.lit(" "), F.lpad(value, F.greatest(F.length(value), F.lit(w)), " "))
 
     body = F.concat(F.lpad(F.col("label"), width, " "), F.lit(" "),
                     cell(format3(F.col("precision"))), cell(format3(F.col("recall"))),

@@ -50,19 +50,16 @@ def check_class_sizes(df: DataFrame, labels: Sequence[str], n: int, label: str =
 # that preserves the order of the full digest (ties beyond 60 bits are
 # broken by the full digest and the key in the final ranking).
 _U_RANGE = 16 ** 15
-MAX_THRESHOLD_LABELS = 1_000
 
 
 def uniform_draw(seed: int | str, key: str) -> F.Column:
     return F.conv(F.substring(draw_key(seed, key), 1, 15), 16, 10).cast("long")
 
 
-def _threshold(size: int, n: int, widen: int) -> int:
-    """Upper bound on the uniform draw so ~n + 10*sqrt(n) + 10 rows survive."""
-    if size <= n:
-        return _U_RANGE
-    want = (n + 10 * math.sqrt(n) + 10) * (4 ** widen)
-    return _U_RANGE if want >= size else int(_U_RANGE * want / size) + 1
+def _threshold(size: F.Column, n: int) -> F.Column:
+    """Bound on the uniform draw that ~n + 10*sqrt(n) + 10 of ``size`` rows stay under."""
+    want = n + 10 * math.sqrt(n) + 10
+    return F.when(size <= want, F.lit(_U_RANGE)).otherwise(F.floor(F.lit(_U_RANGE * want) / size) + 1).cast("long")
 
 
 def _rank_top(df: DataFrame, n: int, seed, key: str, label: str) -> DataFrame:
@@ -78,13 +75,13 @@ def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_i
     ``cap``: ``min(size, n)`` for every label present (``n=None``: no cap).
     ``strict``: only ``labels``, each must hold ``n`` rows (A10) else raise.
 
-    Plan: class sizes (one aggregate, one row per label to the driver) ->
-    per-label threshold on the uniform draw -> map-side filter keeps about
-    ``n + 10*sqrt(n)`` rows per label -> the candidates are checkpointed and
-    checked (a label short of ``min(size, n)`` candidates gets a wider
-    threshold, so the result is exact) -> ``row_number() <= n`` over the
-    candidates only. A label holding a third of all rows never reaches a
-    single task; only its candidates do.
+    Plan: class sizes (one aggregate) -> per-label threshold on the uniform
+    draw, joined back by label (NULL is a label too) -> a filter keeps about
+    ``n + 10*sqrt(n)`` rows per label -> ``row_number() <= n`` over these. A
+    label holding a third of all rows never reaches a single task; only its
+    candidates do. Should fewer than ``min(size, n)`` rows of a label stay
+    under its threshold (odds below 1e-20), that label is ranked whole, so the
+    result is exact.
     """
     if mode not in ("cap", "strict"):
         raise ValueError("mode must be 'cap' or 'strict'")
@@ -92,40 +89,22 @@ def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_i
         if labels is None or n is None:
             raise ValueError("strict mode needs labels and n")
         df = df.where(F.col(label).isin(list(labels)))
+        check_class_sizes(df, labels, n, label)
     if n is None:
         return df
-    # one aggregate serves the strict guard (A10) and the thresholds
-    sizes_df = class_sizes(df, label)
-    sizes = {r[label]: r["n_rows"] for r in sizes_df.limit(MAX_THRESHOLD_LABELS + 1).collect()}
-    if mode == "strict":
-        short = [lab for lab in labels if sizes.get(lab, 0) < n]
-        if short:
-            detail = ", ".join(f"{lab!r}: only {sizes.get(lab, 0)}" for lab in short)
-            raise ValueError(f"Not enough samples for {detail} (need {n})")
-    if len(sizes) > MAX_THRESHOLD_LABELS or None in sizes:
-        # Very many (or NULL) labels: rank directly; the partial
-        # WindowGroupLimit still caps every map task at n rows per label.
-        return _rank_top(df, n, seed, key, label)
-    checkpoint_root(df.sparkSession)
     u = uniform_draw(seed, key)
-    widen = {lab: 0 for lab in sizes}
-    kept: DataFrame | None = None
-    for _ in range(8):
-        cases = None
-        for lab, size in sizes.items():
-            t = _threshold(size, n, widen[lab])
-            cond = F.col(label) == F.lit(lab)
-            cases = F.when(cond, F.lit(t)) if cases is None else cases.when(cond, F.lit(t))
-        cand = df.where(u < cases).checkpoint(eager=True)
-        got = {r[label]: r["n_rows"] for r in class_sizes(cand, label).collect()}
-        short = [lab for lab, size in sizes.items() if got.get(lab, 0) < min(size, n)]
-        if not short:
-            kept = cand
-            break
-        for lab in short:
-            widen[lab] += 1
-    if kept is None:  # practically unreachable; stay exact regardless
-        return _rank_top(df, n, seed, key, label)
+    sizes = class_sizes(df, label).select(F.col(label).alias("_label"), _threshold(F.col("n_rows"), n).alias("_t"),
+                                          F.least(F.col("n_rows"), F.lit(n)).alias("_need"))
+    drawn = df.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    checkpoint_root(df.sparkSession)
+    kept = drawn.where(u < F.col("_t")).select(*df.columns).checkpoint(eager=True)
+    # one row per label: those whose threshold turned out too low
+    got = kept.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_got"))
+    short = (sizes.join(got, F.col("_label").eqNullSafe(F.col("_l")), "left")
+             .where(F.coalesce("_got", F.lit(0)) < F.col("_need")).select("_label"))
+    if not short.isEmpty():
+        of_short = F.col(label).eqNullSafe(F.col("_label"))
+        kept = kept.join(short, of_short, "left_anti").unionByName(df.join(short, of_short, "left_semi"))
     return _rank_top(kept, n, seed, key, label)
 
 

@@ -33,26 +33,28 @@ from factsift.session import ship_package
 Scorer = Callable[[str, str, str], str]
 ScorerFactory = Callable[[], Scorer]
 
-MAX_EVIDENCE_CHARS = 1500
-
 
 class Vocabulary:
-    """The label words a verifier answers with, per dataset."""
+    """The label words a verifier answers with, and a text it refuses, per dataset."""
+
+    def __init__(self, support: str, refute: str, unknown: str, refused: str):
+        self.support, self.refute, self.unknown, self.refused = support, refute, unknown, refused
 
-    def __init__(self, support: str, refute: str, unknown: str, budget: int):
-        self.support, self.refute, self.unknown, self.budget = support, refute, unknown, budget
+    @property
+    def refusal(self) -> str:
+        return f"refused evidence with {self.refused}"
 
 
 VOCABULARIES = {
-    "fever": Vocabulary("SUPPORTS", "REFUTES", "NOT ENOUGH INFO", MAX_EVIDENCE_CHARS),
-    "pubhealth": Vocabulary("TRUE", "FALSE", "UNPROVEN", 6000),
+    "fever": Vocabulary("SUPPORTS", "REFUTES", "NOT ENOUGH INFO", K.SENTENCE_NOT_FOUND_PREFIX + "12 "),
+    "pubhealth": Vocabulary("TRUE", "FALSE", "UNPROVEN", "@mail"),
 }
 
 
 class LexicalVerifier:
     """Deterministic toy verifier with the output variety of a real model.
 
-    Raises (-> ``ERROR``) when the evidence exceeds a context budget; otherwise
+    Raises (-> ``ERROR``) on evidence that holds a text it refuses; otherwise
     answers in several textual styles so every extraction policy is exercised:
     an ``Answer:`` prefix, lower case, padding whitespace, a label inside a
     sentence, and a label glued into a longer word.
@@ -65,8 +67,8 @@ class LexicalVerifier:
         v = self.v
         claim = claim or ""
         evidence = evidence or ""
-        if len(evidence) > v.budget:
-            raise ValueError(f"evidence of {len(evidence)} chars exceeds the context budget")
+        if v.refused in evidence:
+            raise ValueError(v.refusal)
         if evidence == K.NO_EVIDENCE:
             return f"Answer: {v.unknown.lower()}"
         if evidence == "":
@@ -90,8 +92,8 @@ def lexical_verifier_column(claim: Column, evidence: Column,
     v = VOCABULARIES[dataset]
     head = F.lower(F.substring_index(F.coalesce(claim, F.lit("")), " ", 1))
     ev = F.coalesce(evidence, F.lit(""))
-    too_long = F.length(ev) > v.budget
-    raw = (F.when(too_long, F.lit(None).cast("string"))
+    refused = F.instr(ev, v.refused) > 0
+    raw = (F.when(refused, F.lit(None).cast("string"))
            .when(ev == K.NO_EVIDENCE, F.lit(f"Answer: {v.unknown.lower()}"))
            .when(ev == "", F.lit("I cannot tell."))
            .when(F.instr(ev, K.PAGE_NOT_FOUND_PREFIX) > 0, F.lit(f"{v.unknown} - a cited page is missing"))
@@ -99,8 +101,7 @@ def lexical_verifier_column(claim: Column, evidence: Column,
            .when(F.instr(F.lower(ev), head) > 0,
                  F.lit(f"Step 1: the evidence repeats the claim. So the final answer is: {v.support}"))
            .otherwise(F.lit(f"UN{v.support}")))
-    error = F.when(too_long, F.concat(F.lit("ValueError: evidence of "), F.length(ev).cast("string"),
-                                      F.lit(" chars exceeds the context budget")))
+    error = F.when(refused, F.lit(f"ValueError: {v.refusal}"))
     return raw, error
 
 

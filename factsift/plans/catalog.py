@@ -56,7 +56,7 @@ def register(name: str, sql: str | None = None):
 # --------------------------------------------------------------------------
 SQL_CLAIMS = """
 claims AS (
-  SELECT l.doc_id AS claim_id, split_part(d.text, chr(10), 1) AS claim,
+  SELECT l.doc_id AS claim_id, d.text AS claim,
          CASE WHEN l.toxic = 1 THEN 'REFUTES' WHEN l.quality = 1 THEN 'SUPPORTS'
               ELSE 'NOT ENOUGH INFO' END AS label,
          d.lang, d.source, d.n_chars
@@ -105,7 +105,7 @@ def _in_list(labels) -> str:
 def sql_verifier(claim: str, evidence: str, dataset: str = "fever") -> str:
     """``LexicalVerifier`` as a DuckDB expression for the raw output (NULL = raised)."""
     v = D.VOCABULARIES[dataset]
-    return f"""CASE WHEN length(coalesce({evidence}, '')) > {v.budget} THEN NULL
+    return f"""CASE WHEN strpos(coalesce({evidence}, ''), {_q(v.refused)}) > 0 THEN NULL
       WHEN {evidence} = {_q(K.NO_EVIDENCE)} THEN {_q('Answer: ' + v.unknown.lower())}
       WHEN coalesce({evidence}, '') = '' THEN 'I cannot tell.'
       WHEN strpos({evidence}, {_q(K.PAGE_NOT_FOUND_PREFIX)}) > 0 THEN {_q(v.unknown + ' - a cited page is missing')}
@@ -411,10 +411,12 @@ def w2(spark, sf_dir):
 @register("j4_resume_pending", "WITH " + SQL_EVIDENCE + """
 SELECT claim_id, label FROM evidence WHERE resolution <> 'resolved'""")
 def j4(spark, sf_dir):
-    """A previous session stored the fully resolved claims; the rest is pending."""
+    """A previous session scored and stored the fully resolved claims; the
+    rest is pending against that stored table."""
     e = evidence_claims(spark, sf_dir)
-    done = e.where(F.col("resolution") == K.RES_RESOLVED).select("claim_id")
-    return B.pending(e, done).select("claim_id", "label")
+    out = shared_dir(spark, "run-partial")
+    stored, _ = P.scored_run(spark, e.where(F.col("resolution") == K.RES_RESOLVED), P.PRESETS["fever_eep_full"], out)
+    return B.pending(e, stored).select("claim_id", "label")
 
 
 # --------------------------------------------------------------------------
@@ -436,7 +438,7 @@ def x4(spark, sf_dir):
 
 @register("d1_scorer_map_in_pandas", "WITH " + SQL_EVIDENCE + f"""
 SELECT claim_id, {sql_verifier('claim', 'evidence')} AS raw,
-       CASE WHEN length(evidence) > {D.VOCABULARIES['fever'].budget} THEN 'ValueError: evidence of ' || CAST(length(evidence) AS VARCHAR) || ' chars exceeds the context budget' END AS error
+       CASE WHEN strpos(evidence, {_q(D.VOCABULARIES['fever'].refused)}) > 0 THEN {_q('ValueError: ' + D.VOCABULARIES['fever'].refusal)} END AS error
 FROM evidence""")
 def d1(spark, sf_dir):
     """D1 + X8: the pluggable scorer in mapInPandas, failures isolated per row."""
@@ -484,6 +486,74 @@ def q4_pubhealth(spark, sf_dir):
     return res.select("strategy", "claim_id", "seq", "batch_id", *K.RESULT_COLUMNS)
 
 
+# The other five presets: a scored run each, its order and batches as the preset
+# asks. Sampled runs are numbered in the seeded shuffle's order.
+
+def _sql_run(cte: str, preset: P.Preset, dataset: str, key: str = "claim_id") -> str:
+    domain = K.FEVER_LABELS if dataset == "fever" else K.PUBHEALTH_LABELS
+    order = f"md5('{preset.seed}#' || CAST({key} AS VARCHAR)), {key}" if preset.sampling else key
+    cap = (f"WHERE rn <= {preset.per_class}" if preset.per_class else "")
+    raw_col = (f", coalesce(lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')), "
+               f"{_q('ValueError: ' + D.VOCABULARIES[dataset].refusal)}) AS Raw_Output") if preset.raw_output_column else ""
+    return cte + f""",
+drawn AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('{preset.seed}:' || CAST({key} AS VARCHAR)), {key}) AS rn FROM run_in) {cap}),
+s AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS wseq, {sql_verifier('claim', 'evidence', dataset)} AS raw FROM drawn)
+SELECT '{preset.strategy}' AS strategy, claim_id, wseq AS seq, CAST(wseq // {preset.batch_size} AS BIGINT) AS batch_id, claim AS Claim,
+       evidence AS Evidence, label AS True_Label, {sql_label('raw', preset.label_policy, domain)} AS Predicted_Label{raw_col}
+FROM s"""
+
+
+def _register_run(name: str, preset: P.Preset) -> None:
+    fever = preset.dataset == "fever"
+    cte = ("WITH " + SQL_EVIDENCE + ", run_in AS (SELECT claim_id, claim, evidence, label FROM evidence)" if fever else
+           "WITH " + SQL_TSV + ", run_in AS (SELECT seq AS claim_id, claim, evidence, label FROM clean)")
+
+    @register(name, _sql_run(cte, preset, preset.dataset))
+    def run(spark, sf_dir):
+        if fever:
+            claims = evidence_claims(spark, sf_dir)
+        else:
+            clean, _ = V.validate(tsv_loaded(spark, sf_dir))
+            claims = clean.withColumnRenamed("seq", "claim_id")
+        res, _ = P.scored_run(spark, claims, preset, shared_dir(spark, f"run-{name}"))
+        extra = [K.RAW_OUTPUT_COLUMN] if preset.raw_output_column else []
+        return res.select("strategy", "claim_id", "seq", "batch_id", *K.RESULT_COLUMNS, *extra)
+
+
+_register_run("q4c_scored_run_fever_eep_sampled", P.PRESETS["fever_eep_sampled"])
+# the preset draws 666 rows of each class and raises below that; 9 fit the smallest table
+_register_run("q4d_scored_run_fever_cot_strict", dataclasses.replace(P.PRESETS["fever_cot"], per_class=9))
+_register_run("q4e_scored_run_fever_selfask", P.PRESETS["fever_selfask"])
+_register_run("q4f_scored_run_pubhealth_cot", P.PRESETS["pubhealth_cot"])
+_register_run("q4g_scored_run_pubhealth_selfask", P.PRESETS["pubhealth_selfask"])
+
+
+@register("f7_raw_row_limit", "WITH " + SQL_TSV + """
+SELECT seq, claim, evidence, label FROM clean WHERE seq < 100""")
+def f7(spark, sf_dir):
+    """only the first 100 raw rows are looked at, counted before validation."""
+    clean, _ = V.validate(tsv_loaded(spark, sf_dir), limit=100)
+    return clean
+
+
+@register("s1b_lines_with_repeated_ids", "WITH " + SQL_EVIDENCE + """
+SELECT claim_id % 7 AS id, claim, label, evidence, resolution FROM evidence""")
+def s1b(spark, sf_dir):
+    """Q1 over claims whose ids repeat: a row is known by the hash of its content."""
+    c = st.load_claims(spark, sf_dir).select((F.col("claim_id") % 7).alias("id"), "claim", "label", "evidence")
+    keyed = c.withColumn(ev.ROW_HASH, ev.row_hash(c))
+    return ev.resolve_evidence(keyed, st.load_pages(spark, sf_dir), keep=["id", "claim", "label"], key=ev.ROW_HASH).drop(ev.ROW_HASH)
+
+
+@register("s3b_store_with_repeated_ids", "WITH " + SQL_EVIDENCE + """
+SELECT claim_id, claim, label, evidence, resolution FROM evidence""")
+def s3b(spark, sf_dir):
+    """Q1 over a store that holds every page twice: one row of a page counts."""
+    pages = st.load_pages(spark, sf_dir)
+    return ev.resolve_evidence(st.load_claims(spark, sf_dir), pages.unionByName(pages), keep=["claim", "label"])
+
+
 # --------------------------------------------------------------------------
 # Q5: combine result batches (CSV export -> scan -> union by name)
 # --------------------------------------------------------------------------
@@ -515,7 +585,7 @@ combined AS (
   FROM s
   UNION ALL
   SELECT 'cot', CAST(claim_id AS VARCHAR), CAST(seq AS VARCHAR), CAST(seq // 500 AS BIGINT), claim, evidence, label,
-         """ + sql_label('raw', 'lenient') + """, coalesce(raw, 'ValueError: evidence of ' || CAST(length(evidence) AS VARCHAR) || ' chars exceeds the context budget')
+         """ + sql_label('raw', 'lenient') + """, coalesce(lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')), """ + _q('ValueError: ' + D.VOCABULARIES['fever'].refusal) + """)
   FROM s)"""
 
 
@@ -559,14 +629,14 @@ def q8(spark, sf_dir):
 
 
 @register("q9_report_exclude_error", sql_report(
-    "WITH " + SQL_COMBINED + ", tp0 AS (SELECT upper(True_Label) AS t, upper(Predicted_Label) AS p FROM combined WHERE Strategy = 'eep')",
+    "WITH " + SQL_COMBINED + ", tp0 AS (SELECT upper(True_Label) AS t, upper(Predicted_Label) AS p FROM combined)",
     "exclude_error"))
 def q9(spark, sf_dir):
     """Q9 = K2 + S5 + P5 + P6 + F5: the combined table is written as CSV,
     read back with all-string columns, normalised and filtered."""
     path = shared_dir(spark, "combined")
     R.write_combined(combined_results(spark, sf_dir), path)
-    df = M.normalise_columns(R.read_combined(spark, path)).where(F.col("strategy") == "eep")
+    df = M.normalise_columns(R.read_combined(spark, path))
     return rounded(M.report(M.normalise_labels(df, "true_label", "predicted_label"), "exclude_error"))
 
 
@@ -575,12 +645,11 @@ SELECT CAST(count(*) AS BIGINT) AS rows_done,
        CAST(count(*) FILTER (WHERE p_raw = 'ERROR') AS BIGINT) AS error_rows
 FROM preds""")
 def a11(spark, sf_dir):
-    """A11 over the stored result table of a scored run (the same counters are
-    also observed on the write itself, see ``scoring.observe_counters``)."""
+    """The counters observed on the writes of a scored run in waves."""
     out = shared_dir(spark, "run-counters")
-    res, _ = P.scored_run(spark, evidence_claims(spark, sf_dir), P.PRESETS["fever_eep_full"], out)
-    return res.agg(F.count(F.lit(1)).alias("rows_done"),
-                   F.count_if(F.col("Predicted_Label") == K.ERROR).alias("error_rows"))
+    _, seen = P.scored_run(spark, evidence_claims(spark, sf_dir), P.PRESETS["fever_eep_full"], out, wave_rows=100_000)
+    return spark.range(1).select(F.lit(seen["rows"]).cast("long").alias("rows_done"),
+                                 F.lit(seen["errors"]).cast("long").alias("error_rows"))
 
 
 @register("a3_confusion_counts", "WITH " + SQL_OUTPUTS + """
@@ -612,13 +681,13 @@ def k3(spark, sf_dir):
 
 
 def _sql_report_lines(report_sql: str) -> str:
-    f3 = lambda c: f"lpad(coalesce(printf('%.3f', {c}), ''), 9, ' ')"
+    f3 = lambda c: f"lpad(coalesce(printf('%.3f', {c}), ''), CAST(greatest(9, length(coalesce(printf('%.3f', {c}), ''))) AS INTEGER), ' ')"
     header = "".join(" " + h.rjust(M.REPORT_COLUMN_WIDTH) for h in M.REPORT_HEADERS)
     return f"""WITH rep AS (SELECT * FROM ({report_sql})),
 w AS (SELECT CAST(greatest(max(length(label)), {M.REPORT_MIN_LABEL_WIDTH}) AS INTEGER) AS width FROM rep)
 SELECT CAST(CASE WHEN kind = 'class' THEN ord ELSE ord + 1 END AS DOUBLE) AS ord,
        lpad(label, width, ' ') || ' ' || ' ' || {f3('precision')} || ' ' || {f3('recall')} || ' ' || {f3('f1')}
-         || ' ' || lpad(CAST(support AS VARCHAR), 9, ' ') AS line
+         || ' ' || lpad(CAST(support AS VARCHAR), CAST(greatest(9, length(CAST(support AS VARCHAR))) AS INTEGER), ' ') AS line
 FROM rep, w
 UNION ALL SELECT -2.0, lpad('', width, ' ') || ' ' || {_q(header)} FROM w
 UNION ALL SELECT -1.0, ''
@@ -636,9 +705,6 @@ def k3b(spark, sf_dir):
 # Strategy comparison
 # --------------------------------------------------------------------------
 
-STRATEGY_POLICY = {"eep": "raw", "cot": "lenient", "selfask": "strict"}
-
-
 SQL_PUBHEALTH_PREDS = SQL_TSV + f""",
 ph_out AS (SELECT seq AS claim_id, label, {sql_verifier('claim', 'evidence', 'pubhealth')} AS raw FROM clean),
 ph AS (SELECT claim_id, label AS t, {sql_label('raw', 'raw', K.PUBHEALTH_LABELS)} AS p FROM ph_out)"""
@@ -721,7 +787,7 @@ def q10(spark, sf_dir):
 
 @register("d1b_stored_outputs_join", "WITH " + SQL_EVIDENCE + f"""
 SELECT claim_id, {sql_verifier('claim', 'evidence')} AS raw,
-       CASE WHEN length(evidence) > {D.VOCABULARIES['fever'].budget} THEN 'ValueError: evidence of ' || CAST(length(evidence) AS VARCHAR) || ' chars exceeds the context budget' END AS error
+       CASE WHEN strpos(evidence, {_q(D.VOCABULARIES['fever'].refused)}) > 0 THEN {_q('ValueError: ' + D.VOCABULARIES['fever'].refusal)} END AS error
 FROM evidence""")
 def d1b(spark, sf_dir):
     """D1, stored-output form: outputs written earlier as a table keyed by

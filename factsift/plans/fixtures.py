@@ -83,7 +83,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = fever_label(F.col("quality"), F.col("toxic"))
     return j.select(
         F.col("doc_id").alias("claim_id"),
-        first_line(F.col("text")).alias("claim"),
+        F.col("text").alias("claim"),
         label.alias("label"),
         _evidence(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("n_chars"), label).alias("evidence"),
         F.col("lang"), F.col("source"))

@@ -15,6 +15,7 @@ rather than only the rows of the current session.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 
 from factsift import constants as K
 from factsift.functions.labels import extract_label
+from factsift.functions.text import py_strip
 from factsift.functions.prompts import render, templates_frame
 from factsift.operators import batches as B
 from factsift.operators import metrics as M
 from factsift.operators import sampling as S
 from factsift.operators.scoring import LexicalVerifier, observe_counters, score
-from factsift.session import path_exists
+from factsift.session import path_exists, shared_dir
 from factsift.sources import results as R
 
 
@@ -50,6 +52,8 @@ class Preset:
         return K.FEVER_LABELS if self.dataset == "fever" else K.PUBHEALTH_LABELS
 
 
+WAVE_ROWS = 1_000_000
+
 # ---- fixed values: the run presets (batch sizes, sample sizes, seed) -------
 PRESETS: dict[str, Preset] = {p.name: p for p in [
     Preset("fever_eep_full", "fever", "eep", "jsonl", None, None, 300, "raw", False, "all"),
@@ -85,15 +89,19 @@ def result_rows(scored: DataFrame, preset: Preset) -> DataFrame:
             F.col("claim").alias("Claim"), F.col("evidence").alias("Evidence"),
             F.col("label").alias("True_Label"), pred.alias("Predicted_Label")]
     if preset.raw_output_column:
-        cols.append(F.coalesce(F.col("raw"), F.col("error")).alias(K.RAW_OUTPUT_COLUMN))
+        cols.append(F.coalesce(F.lower(py_strip(F.col("raw"))), F.col("error")).alias(K.RAW_OUTPUT_COLUMN))
     return scored.select(*cols)
 
 
 def scored_run(spark: SparkSession, claims: DataFrame, preset: Preset, out_dir: str,
-               scorer_factory=None, parallelism: int | None = None) -> tuple[DataFrame, dict]:
+               scorer_factory=None, parallelism: int | None = None,
+               wave_rows: int = WAVE_ROWS) -> tuple[DataFrame, dict]:
     """Q4: score every row not yet stored under ``out_dir``; return the stored table.
 
-    Returns ``(results, counters)`` where counters are the A11 observations of
+    Rows are scored in waves of whole batches, ``wave_rows`` rows each, and
+    every wave is one committed append: a run that dies keeps its finished
+    waves, and the next one scores only the rest. All rows are scored whatever
+    the wave size. Returns ``(results, counters)`` where counters are the A11 observations of
     this session's write (rows scored, ERROR rows).
     """
     factory = scorer_factory or (lambda: LexicalVerifier(preset.dataset))
@@ -106,14 +114,26 @@ def scored_run(spark: SparkSession, claims: DataFrame, preset: Preset, out_dir:
     else:
         todo = work
     prompts = render(todo, templates_frame(spark), preset.dataset, [preset.strategy])
-    scored = score(prompts, factory, parallelism=parallelism)
-    rows, obs = observe_counters(result_rows(scored, preset))
+    span = todo.agg(F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi")).first()
+    per_wave = max(1, wave_rows // preset.batch_size)
+    counters: Counter = Counter(rows=0, errors=0)
+    if span["lo"] is None:
+        bounds = [None]             # nothing to do still makes the table
+    else:
+        bounds = [(lo, lo + per_wave) for lo in range(span["lo"], span["hi"] + 1, per_wave)]
+    if len(bounds) > 1:             # resolve evidence once, not once a wave
+        staged = shared_dir(spark, "run-input")
+        prompts.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(staged)
+        prompts = spark.read.schema(prompts.schema).parquet(staged)
     # One append-only table keyed by (strategy, claim_id); batch_id is a plain
     # column. Per-batch folders would mean one folder per few hundred rows at
     # scale; resume is by key, so they are only produced for the CSV export
     # (sources.results.write_batches). Each append is atomic (job commit).
-    rows.sortWithinPartitions("batch_id", "seq").write.mode("append").parquet(out_dir)
-    counters = obs.get
+    for wave in bounds:
+        part = prompts if len(bounds) == 1 else prompts.where(F.col("batch_id").between(wave[0], wave[1] - 1))
+        rows, obs = observe_counters(result_rows(score(part, factory, parallelism=parallelism), preset))
+        rows.sortWithinPartitions("batch_id", "seq").write.mode("append").parquet(out_dir)
+        counters.update({k: v or 0 for k, v in obs.get.items()})
     return R.read_batches(spark, out_dir).where(F.col("strategy") == preset.strategy), counters
 
 

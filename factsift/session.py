@@ -56,7 +56,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: we are in a test or a single-machine run.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # Unset on a single machine: a test or a laptop.
         configured = tempfile.mkdtemp(prefix="factsift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

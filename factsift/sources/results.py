@@ -24,7 +24,7 @@ CSV_OPTIONS = {
     "nullValue": "\\N", "encoding": "UTF-8",
 }
 
-RESULT_SCHEMA = ", ".join(f"{c} string" for c in K.RESULT_COLUMNS + [K.RAW_OUTPUT_COLUMN])
+MAX_RESULT_COLUMNS = 64  # columns of a result file that are looked at, by position; five have a meaning
 
 
 def _csv_reader(spark: SparkSession):
@@ -44,6 +44,7 @@ def _csv_writer(df: DataFrame):
 
 def write_batches(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """K1: one partition folder per ``batch_id``; touched batches overwritten."""
+    df = df.repartitionByRange("batch_id").sortWithinPartitions("batch_id")  # one file a batch
     writer = df.write if fmt == "parquet" else _csv_writer(df)
     (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").format(fmt).save(path))
@@ -64,17 +65,30 @@ def read_batches(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 def read_result_folder(spark: SparkSession, path: str) -> DataFrame:
     """S4 for reference-style folders of ``*_result_<k>.csv`` files.
 
-    Only result files match the glob, so a combined file in the same folder
-    is never re-read. Every column is a string (no type inference); 4- and
-    5-column files share their leading columns, so a missing ``Raw_Output``
-    reads as NULL. ``batch_id`` is parsed from the file name.
+    Only files named ``..._result_<k>.csv`` are read; a combined file or any
+    other in the same folder is left out. Each file's columns are taken by the
+    names in its own header, in any order; every column is a string (no type
+    inference), a column that a file lacks reads as NULL, others are ignored.
+    ``batch_id`` is parsed from the file name.
     """
-    df = (_csv_reader(spark).schema(RESULT_SCHEMA)
-          .option("pathGlobFilter", K.RESULT_FILE_GLOB).option("recursiveFileLookup", "false")
-          .csv(path))
+    # a file with quoted newlines is read by one task, so its rows come in order
+    cells = [f"c{i}" for i in range(MAX_RESULT_COLUMNS)]
+    raw = (_csv_reader(spark).option("header", "false").schema(", ".join(f"{c} string" for c in cells))
+           .option("pathGlobFilter", K.RESULT_FILE_GLOB).option("recursiveFileLookup", "false")
+           .option("mode", "PERMISSIVE").csv(path))
     name = F.col("_metadata.file_name")
-    return df.select("*", F.regexp_extract(name, r"_result_([0-9]+)\.csv$", 1).cast("long").alias("batch_id"),
-                     name.alias("file_name"))
+    raw = raw.select(F.array(*cells).alias("cells"), name.alias("file_name"), F.col("_metadata.file_path").alias("_file"),
+                     F.monotonically_increasing_id().alias("_at"))
+    raw = raw.withColumn("batch_id", F.regexp_extract("file_name", r"_result_([0-9]+)\.csv$", 1).try_cast("long"))
+    raw = raw.where(F.col("batch_id").isNotNull())
+    header = raw.groupBy("_file").agg(F.min("_at").alias("_first"), F.min_by("cells", "_at").alias("_names"))
+    rows = raw.join(header, "_file").where(F.col("_at") > F.col("_first"))
+    names = F.transform("_names", lambda x: F.regexp_replace(F.trim(x), "^\ufeff", ""))
+
+    def value(column: str):
+        return F.get("cells", (F.array_position(names, column) - 1).cast("int")).alias(column)
+
+    return rows.select(*[value(c) for c in [*K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN]], "batch_id", "file_name")
 
 
 def write_combined(df: DataFrame, path: str) -> None:

@@ -27,41 +27,45 @@ from factsift import constants as K
 from factsift.functions.labels import extract_label
 from factsift.functions.prompts import render, templates_frame
 from factsift.operators import batches as B
-from factsift.operators.evidence import resolve_evidence
+from factsift.operators.evidence import ROW_HASH, resolve_evidence, row_hash
 from factsift.operators.scoring import LexicalVerifier, score
 from factsift.session import path_exists
 from factsift.sources.claims import JSONL_SCHEMA
 
 
 def claims_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """S1 as a stream: ``claim_id, claim, label, evidence`` (P1 applied)."""
+    """S1 as a stream (P1 applied); a row is known by the hash of its content."""
     raw = (spark.readStream.schema(JSONL_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger)
            .option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record")
            .json(input_dir))
-    return (raw.where(F.col("claim").isNotNull() & F.col("_corrupt_record").isNull())
-            .select(F.col("id").try_cast("long").alias("claim_id"), "claim",
-                    F.upper(F.coalesce(F.col("label"), F.lit(K.DEFAULT_JSONL_LABEL))).alias("label"),
-                    "evidence"))
+    reason = (F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed json"))
+              .when(F.col("claim").isNull(), F.lit("missing claim")))
+    return raw.select(row_hash(raw).alias(ROW_HASH), F.col("id").try_cast("long").alias("claim_id"), "claim",
+                      F.upper(F.coalesce(F.col("label"), F.lit(K.DEFAULT_JSONL_LABEL))).alias("label"),
+                      "evidence", reason.alias("reject_reason"), F.col("_corrupt_record").alias("line"))
 
 
 def _epoch_writer(pages: DataFrame, output_dir: str, dataset: str, strategy: str,
                   label_policy: str, scorer_factory):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        todo = batch
+        rejects = batch.where(F.col("reject_reason").isNotNull()).select(ROW_HASH, "claim_id", "reject_reason", "line")
+        # the epoch's own folder is replaced, so a replay writes the same again
+        rejects.write.mode("overwrite").parquet(f"{output_dir}-rejects/epoch={epoch_id}")
+        todo = batch.where(F.col("reject_reason").isNull())
         if path_exists(spark, output_dir):
             # A replayed epoch can only have written into its own partition, so
             # the check reads that partition alone (partition pruning), not the
             # whole, ever-growing result table.
             done = spark.read.parquet(output_dir).where(F.col("epoch") == epoch_id)
-            todo = B.pending(batch, done, "claim_id")
-        resolved = resolve_evidence(todo, pages, keep=["claim", "label"])
+            todo = B.pending(todo, done, ROW_HASH)
+        resolved = resolve_evidence(todo, pages, keep=["claim_id", "claim", "label"], key=ROW_HASH)
         prompts = render(resolved, templates_frame(spark), dataset, [strategy])
         scored = score(prompts, scorer_factory)
         rows = scored.select(
-            F.col("strategy"), F.col("claim_id"), F.lit(epoch_id).cast("long").alias("epoch"),
+            F.col("strategy"), F.col(ROW_HASH), F.col("claim_id"), F.lit(epoch_id).cast("long").alias("epoch"),
             F.col("claim").alias("Claim"), F.col("evidence").alias("Evidence"),
             F.col("label").alias("True_Label"),
             extract_label(F.col("raw"), F.col("error"), label_policy).alias("Predicted_Label"))

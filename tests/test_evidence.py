@@ -49,7 +49,7 @@ def test_edge_rows(spark):
 def test_edge_rows_with_repeated_page_ids(spark):
     claims, pages = _frames(spark)
     pages = pages.union(pages)
-    got = {r.claim_id: r.evidence for r in resolve_evidence(claims, pages, unique_ids=False).collect()}
+    got = {r.claim_id: r.evidence for r in resolve_evidence(claims, pages).collect()}
     for cid, _, text, _ in CASES:
         assert got[cid] == text, cid
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factsift import constants as K
 from factsift.functions.prompts import render, templates_frame
 from factsift.operators.scoring import LexicalVerifier, score
+from factsift.operators.evidence import ROW_HASH, row_hash
 from factsift.plans import presets as P
 
 EV = "array<array<array<string>>>"
@@ -104,12 +105,21 @@ def test_replayed_epoch_appends_nothing(spark, tmp):
     pages = spark.createDataFrame([("P", "0\tw1 text\n1\tother w2")], "id string, lines string")
     out = os.path.join(tmp, "out")
     write = _epoch_writer(pages, out, "fever", "eep", "raw", lambda: LexicalVerifier("fever"))
-    batch = _claims(spark, 10)
+    reject = F.when(F.col("claim_id") == 11, "missing claim")
+
+    def lines(n):
+        c = _claims(spark, n).withColumn("claim_id", F.when(F.col("claim_id") != 3, F.col("claim_id")))
+        return c.withColumn("reject_reason", reject).withColumn("line", F.lit(None).cast("string")).withColumn(ROW_HASH, row_hash(c))
+
+    batch = lines(10)
     write(batch, 0)
     write(batch, 0)          # replay of the same epoch after a crash
-    write(_claims(spark, 12).where("claim_id >= 10"), 1)
+    write(lines(12).where("claim_id >= 10"), 1)
     df = spark.read.parquet(out)
-    assert df.count() == 12 and df.select("claim_id").distinct().count() == 12
+    # a claim without an id keeps its evidence and isn't appended again
+    assert df.count() == 11 and df.select(ROW_HASH).distinct().count() == 11
+    assert df.where("claim_id IS NULL").count() == 1 and df.where("Evidence = ''").count() == 0
+    assert spark.read.parquet(out + "-rejects").count() == 1
 
 
 
