@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (both.join(least, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+                 .select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(lowest, "u").where(F.col("v") != F.col("m"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))

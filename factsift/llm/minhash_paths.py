@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ PERCENT = 85
 TOKENS = 64
 TREES = 8
 SECOND = 0.5
-LEAF = 500
+LEAF = 1_000
 SEPARATORS = words.separators("space")
 _MULTIPLY = np.array([common.seed64("minwise", i) | 1 for i in range(TOKENS)], dtype=np.uint64)
 
@@ -152,24 +153,29 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return open_.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node", "size")
 
 
-def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Grow all trees: ``(leaf rows (node, sid), pivot links (a, b))``."""
+def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Grow all trees: likely groups ``(grp, sid)`` of their leaves, links ``(a, b)``
+    to pivots, and the full sets of all vertices in either.
+
+    Texts are read again once, for the vertices that have a likely partner in a
+    leaf at a root or are in a larger node."""
     spark = docs.sparkSession
     places = [common.seed64("root", i) % TOKENS for i in range(64)]
     places = list(dict.fromkeys(places))[:TREES]
     root = F.explode(F.array(*[F.xxhash64(F.lit(i), _token("sig", p)) for i, p in enumerate(places)]))
     rows = verts.select("sid", root.alias("node")).withColumn("linked", F.lit(None).cast("long"))
     level = common.store(rows.join(_nodes(rows), "node"), "paths")
-    leaves = [level.where(F.col("size") <= LEAF).select("node", "sid")]
-    links = [spark.createDataFrame([], "a long, b long")]
-    hot = None
+    groups = likely(level.where(F.col("size") <= LEAF).select("node", "sid"), verts, percent)
+    large = level.where(F.col("size") > LEAF).select("node", "sid", "linked")
+    wanted = groups.select("sid").unionByName(large.select("sid")).distinct()
+    sets = common.store(full_sets(docs, verts.join(wanted, "sid", "left_semi")), "sets")
+    leaves, links, hot = [], [spark.createDataFrame([], "a long, b long")], None
     # a link needs distance <= far; beyond two such steps nothing can link
     far = 1 - percent / 100
-    while not level.where(F.col("size") > LEAF).isEmpty():
-        large = level.where(F.col("size") > LEAF).select("node", "sid", "linked")
+    while not large.isEmpty():
         if hot is None:
-            wanted = verts.join(large.select("sid").distinct(), "sid", "left_semi")
-            hot = common.store(full_sets(docs, wanted).mapInArrow(_unpacked, "sid long, sig binary, members array<long>"), "hot-sets")
+            packed = sets.join(large.select("sid").distinct(), "sid", "left_semi").select("sid", "sig", "shingles")
+            hot = common.store(packed.mapInArrow(_unpacked, "sid long, sig binary, members array<long>"), "hot-sets")
         order = F.struct(F.col("linked").isNotNull(), F.xxhash64("node", "sid"))
         pivots = large.groupBy("node").agg(F.min_by("sid", order).alias("sid"))
         pivots = pivots.join(hot, "sid").select("node", F.col("sid").alias("pivot"), F.col("members").alias("pivot_members"))
@@ -192,13 +198,10 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
         rows = common.store(rows, "children")
         level = common.store(rows.join(_nodes(rows), "node"), "paths")
         leaves.append(level.where(F.col("size") <= LEAF).select("node", "sid"))
-    link = links[0]
-    for x in links[1:]:
-        link = link.unionByName(x)
-    leaf = leaves[0]
-    for x in leaves[1:]:
-        leaf = leaf.unionByName(x)
-    return leaf, link
+        large = level.where(F.col("size") > LEAF).select("node", "sid", "linked")
+    if leaves:
+        groups = groups.unionByName(likely(reduce(DataFrame.unionByName, leaves), verts, percent)).distinct()
+    return groups, reduce(DataFrame.unionByName, links), sets
 
 
 def _runs(batches, n_columns: int):
@@ -337,10 +340,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: ``doc_id, text_key, n_shingles, component, component_id, kept``."""
     sketched = sketch(docs)
     verts = vertices(sketched)
-    leaf, pivot_links = grow(docs, verts, percent)
-    groups = likely(leaf, verts, percent)
-    wanted = verts.join(groups.select("sid").distinct(), "sid", "left_semi")
-    links = confirm(groups, full_sets(docs, wanted), percent).unionByName(pivot_links)
+    groups, pivot_links, sets = grow(docs, verts, percent)
+    links = confirm(groups, sets, percent).unionByName(pivot_links)
     found = components.connected_components(links)
     of_set = (verts.select("sid", "key").join(found.withColumnRenamed("id", "sid"), "sid", "left")
               .select("key", F.coalesce("component", "sid").alias("component")))
