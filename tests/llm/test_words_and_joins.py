@@ -90,9 +90,9 @@ def test_dense_group_is_done_by_its_pivot(spark, monkeypatch):
     texts = [(i, LONG[:6000] + f" end{i}") for i in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     verts = minhash_paths.vertices(minhash_paths.sketch(docs))
-    leaf, link = minhash_paths.grow(docs, verts, 85)
+    groups, link, _ = minhash_paths.grow(docs, verts, 85)
     # each tree links the whole group to a pivot and is done: no leaves, no pairs
-    assert leaf.count() == 0 and link.count() <= 59 * minhash_paths.TREES
+    assert groups.count() == 0 and link.count() <= 59 * minhash_paths.TREES
     assert components.connected_components(link).select("component").distinct().count() == 1
 
 
