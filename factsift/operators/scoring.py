@@ -51,6 +51,18 @@ VOCABULARIES = {
 }
 
 
+# Which word of the claim the verifier looks up in the evidence, by the strategy
+# its prompt asks for.
+LOOKED_UP = {"eep": 1, "cot": 2, "selfask": 3}
+PROMPT_MARKS = {"step by step": "cot", "follow-up questions": "selfask"}
+
+
+def asked_strategy(prompt: str | None) -> str:
+    """The strategy a prompt's opening asks for."""
+    opening = (prompt or "")[:80]
+    return next((s for mark, s in PROMPT_MARKS.items() if mark in opening), "eep")
+
+
 class LexicalVerifier:
     """Deterministic toy verifier with the output variety of a real model.
 
@@ -77,20 +89,21 @@ class LexicalVerifier:
             return f"{v.unknown} - a cited page is missing"
         if K.SENTENCE_NOT_FOUND_PREFIX in evidence:
             return f" {v.refute.lower()} "
-        head = claim.split(" ", 1)[0].lower()
+        words, k = claim.split(" "), LOOKED_UP[asked_strategy(prompt)]
+        head = words[k - 1].lower() if len(words) >= k else ""
         if head in evidence.lower():
             return f"Step 1: the evidence repeats the claim. So the final answer is: {v.support}"
         return f"UN{v.support}"
 
 
 def lexical_verifier_column(claim: Column, evidence: Column,
-                            dataset: str = "fever") -> tuple[Column, Column]:
+                            dataset: str = "fever", strategy: str = "eep") -> tuple[Column, Column]:
     """The same rule as ``LexicalVerifier`` as column expressions -> (raw, error).
 
     Used to materialise a stored-outputs table without Python workers.
     """
     v = VOCABULARIES[dataset]
-    head = F.lower(F.substring_index(F.coalesce(claim, F.lit("")), " ", 1))
+    head = F.lower(F.split_part(F.coalesce(claim, F.lit("")), F.lit(" "), F.lit(LOOKED_UP[strategy])))
     ev = F.coalesce(evidence, F.lit(""))
     refused = F.instr(ev, v.refused) > 0
     raw = (F.when(refused, F.lit(None).cast("string"))

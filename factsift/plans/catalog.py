@@ -102,7 +102,7 @@ def _in_list(labels) -> str:
     return "(" + ", ".join(_q(x) for x in labels) + ")"
 
 
-def sql_verifier(claim: str, evidence: str, dataset: str = "fever") -> str:
+def sql_verifier(claim: str, evidence: str, dataset: str = "fever", strategy: str = "eep") -> str:
     """``LexicalVerifier`` as a DuckDB expression for the raw output (NULL = raised)."""
     v = D.VOCABULARIES[dataset]
     return f"""CASE WHEN strpos(coalesce({evidence}, ''), {_q(v.refused)}) > 0 THEN NULL
@@ -110,7 +110,7 @@ def sql_verifier(claim: str, evidence: str, dataset: str = "fever") -> str:
       WHEN coalesce({evidence}, '') = '' THEN 'I cannot tell.'
       WHEN strpos({evidence}, {_q(K.PAGE_NOT_FOUND_PREFIX)}) > 0 THEN {_q(v.unknown + ' - a cited page is missing')}
       WHEN strpos({evidence}, {_q(K.SENTENCE_NOT_FOUND_PREFIX)}) > 0 THEN {_q(' ' + v.refute.lower() + ' ')}
-      WHEN strpos(lower({evidence}), lower(split_part(coalesce({claim}, ''), ' ', 1))) > 0
+      WHEN strpos(lower({evidence}), lower(split_part(coalesce({claim}, ''), ' ', {D.LOOKED_UP[strategy]}))) > 0
         THEN {_q('Step 1: the evidence repeats the claim. So the final answer is: ' + v.support)}
       ELSE {_q('UN' + v.support)} END"""
 
@@ -498,7 +498,7 @@ def _sql_run(cte: str, preset: P.Preset, dataset: str, key: str = "claim_id") ->
     return cte + f""",
 drawn AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('{preset.seed}:' || CAST({key} AS VARCHAR)), {key}) AS rn FROM run_in) {cap}),
-s AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS wseq, {sql_verifier('claim', 'evidence', dataset)} AS raw FROM drawn)
+s AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS wseq, {sql_verifier('claim', 'evidence', dataset, preset.strategy)} AS raw FROM drawn)
 SELECT '{preset.strategy}' AS strategy, claim_id, wseq AS seq, CAST(wseq // {preset.batch_size} AS BIGINT) AS batch_id, claim AS Claim,
        evidence AS Evidence, label AS True_Label, {sql_label('raw', preset.label_policy, domain)} AS Predicted_Label{raw_col}
 FROM s"""
@@ -577,7 +577,8 @@ def combined_results(spark, sf_dir) -> DataFrame:
 
 
 SQL_COMBINED = SQL_OUTPUTS + """,
-s AS (SELECT *, CAST(row_number() OVER (ORDER BY claim_id) - 1 AS BIGINT) AS seq FROM outputs),
+s AS (SELECT *, CAST(row_number() OVER (ORDER BY claim_id) - 1 AS BIGINT) AS seq, """ + sql_verifier('claim', 'evidence', 'fever', 'cot') + """ AS raw_cot
+      FROM outputs),
 combined AS (
   SELECT 'eep' AS Strategy, CAST(claim_id AS VARCHAR) AS claim_id, CAST(seq AS VARCHAR) AS seq, CAST(seq // 300 AS BIGINT) AS batch_id,
          claim AS Claim, evidence AS Evidence, label AS True_Label, """ + sql_label('raw', 'raw') + """ AS Predicted_Label,
@@ -585,7 +586,7 @@ combined AS (
   FROM s
   UNION ALL
   SELECT 'cot', CAST(claim_id AS VARCHAR), CAST(seq AS VARCHAR), CAST(seq // 500 AS BIGINT), claim, evidence, label,
-         """ + sql_label('raw', 'lenient') + """, coalesce(lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')), """ + _q('ValueError: ' + D.VOCABULARIES['fever'].refusal) + """)
+         """ + sql_label('raw_cot', 'lenient') + """, coalesce(lower(regexp_replace(raw_cot, '^\\s+|\\s+$', '', 'g')), """ + _q('ValueError: ' + D.VOCABULARIES['fever'].refusal) + """)
   FROM s)"""
 
 
@@ -729,17 +730,37 @@ STRATEGY_POLICY = {
     "fever": {"eep": "raw", "cot": "lenient", "selfask": "strict"},
     "pubhealth": {"eep": "raw", "cot": "raw", "selfask": "raw"},
 }
+DOMAINS = {"fever": K.FEVER_LABELS, "pubhealth": K.PUBHEALTH_LABELS}
 STRATEGIES = ["eep", "cot", "selfask"]
 
 
-@register("q10_strategy_comparison", "WITH " + SQL_OUTPUTS + ", " + SQL_PUBHEALTH_PREDS.strip() + """,
-long AS (
-  SELECT 'fever' AS dataset, 'eep' AS strategy, t, p_raw AS p FROM preds UNION ALL
-  SELECT 'fever', 'cot', t, p_lenient FROM preds UNION ALL
-  SELECT 'fever', 'selfask', t, p_strict FROM preds UNION ALL
-  SELECT 'pubhealth', 'eep', t, p FROM ph UNION ALL
-  SELECT 'pubhealth', 'cot', t, p FROM ph UNION ALL
-  SELECT 'pubhealth', 'selfask', t, p FROM ph),
+def _sql_strategy_long() -> str:
+    """``dataset, strategy, t, p``: every strategy's own output under its own policy."""
+    parts = []
+    for dataset, source in (("fever", "evidence"), ("pubhealth", "clean")):
+        for strategy, policy in STRATEGY_POLICY[dataset].items():
+            raw = sql_verifier("claim", "evidence", dataset, strategy)
+            parts.append(f"SELECT '{dataset}' AS dataset, '{strategy}' AS strategy, label AS t, "
+                         f"{sql_label('raw', policy, DOMAINS[dataset])} AS p FROM (SELECT *, {raw} AS raw FROM {source})")
+    return " UNION ALL ".join(parts)
+
+
+def stored_strategy_outputs(claims: DataFrame, dataset: str) -> DataFrame:
+    """Every strategy's outputs over the same claims, stored and read back:
+    ``dataset, strategy, t, p``."""
+    spark = claims.sparkSession
+    scored = []
+    for strategy, policy in STRATEGY_POLICY[dataset].items():
+        raw, error = D.lexical_verifier_column(F.col("claim"), F.col("evidence"), dataset, strategy)
+        scored.append(F.struct(F.lit(strategy).alias("strategy"), F.col("label").alias("t"),
+                               L.extract_label(raw, error, policy, DOMAINS[dataset]).alias("p")))
+    path = shared_dir(spark, f"strategy-outputs-{dataset}")
+    claims.select(F.lit(dataset).alias("dataset"), F.inline(F.array(*scored))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("q10_strategy_comparison", "WITH " + SQL_EVIDENCE + ", " + SQL_TSV.strip() + """,
+long AS (""" + _sql_strategy_long() + """),
 counts AS (
   SELECT dataset, strategy, label, sum(sup) AS support, sum(pr) AS predicted, sum(hit) AS tp
   FROM (SELECT dataset, strategy, t AS label, 1 AS sup, 0 AS pr, CASE WHEN t = p THEN 1 ELSE 0 END AS hit FROM long
@@ -755,22 +776,19 @@ SELECT dataset, label,
        round(max(CASE WHEN strategy = 'selfask' THEN f1 END), 6) AS selfask
 FROM f GROUP BY dataset, label""")
 def q10(spark, sf_dir):
-    """Q10 = A12: per-label F1 and accuracy of the three strategies side by side, per dataset.
-
-    Each prediction row fans out to one record per strategy (the preset's
-    extraction policy), counts are grouped by (dataset, strategy, label) with
-    map-side partial aggregation, then pivoted on the listed strategies."""
-    def fan_out(preds: DataFrame, dataset: str) -> DataFrame:
-        return preds.select(F.lit(dataset).alias("dataset"), "t", F.explode(F.array(*[
-            F.struct(F.lit(s).alias("strategy"), F.col(f"p_{pol}").alias("p"))
-            for s, pol in STRATEGY_POLICY[dataset].items()])).alias("x")).select("dataset", "x.strategy", "t", "x.p")
-    long = fan_out(stored_predictions(spark, sf_dir), "fever").unionByName(
-        fan_out(pubhealth_predictions(spark, sf_dir), "pubhealth"))
+    """Q10 = A12: per-label F1 and accuracy of the three strategies side by side,
+    per dataset, from each strategy's own stored outputs. Rows are counted by
+    (dataset, strategy, truth, prediction) first (A3, partial aggregation);
+    everything after works on that small table."""
+    clean, _ = V.validate(tsv_loaded(spark, sf_dir))
+    long = stored_strategy_outputs(evidence_claims(spark, sf_dir), "fever").unionByName(
+        stored_strategy_outputs(clean, "pubhealth"))
+    pairs = long.groupBy("dataset", "strategy", "t", "p").agg(F.count(F.lit(1)).alias("n"))
     sides = F.explode(F.array(
-        F.struct(F.col("t").alias("label"), F.lit(1).alias("sup"), F.lit(0).alias("pr"),
-                 (F.col("t") == F.col("p")).cast("int").alias("tp")),
-        F.struct(F.col("p").alias("label"), F.lit(0).alias("sup"), F.lit(1).alias("pr"), F.lit(0).alias("tp"))))
-    counts = (long.select("dataset", "strategy", sides.alias("s")).select("dataset", "strategy", "s.*")
+        F.struct(F.col("t").alias("label"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("pr"),
+                 F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("sup"), F.col("n").alias("pr"), F.lit(0).cast("long").alias("tp"))))
+    counts = (pairs.select("dataset", "strategy", sides.alias("s")).select("dataset", "strategy", "s.*")
               .groupBy("dataset", "strategy", "label")
               .agg(F.sum("sup").alias("sup"), F.sum("pr").alias("pr"), F.sum("tp").alias("tp")))
     f1 = counts.select("dataset", "strategy", "label",
