@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     tops = state.select(F.col("v").alias("id")).distinct()
     return (state.select(F.col("u").alias("id"), F.col("v").alias("component"))
             .unionByName(tops.select("id", F.col("id").alias("component"))))
+
+
+def connecting(linked: np.ndarray, rows: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """As few links as connect what all of ``linked`` connect: ``linked[i, j]``
+    says whether ``rows[i]`` and ``j`` (of 0 .. n - 1) are linked."""
+    label, out = np.arange(n), []
+    for i, q in enumerate(rows.tolist()):
+        v = np.flatnonzero(linked[i])
+        if not len(v):
+            continue
+        labels, first = np.unique(label[v], return_index=True)
+        for other, k in zip(labels.tolist(), first.tolist()):
+            if other != label[q]:
+                out.append((q, int(v[k])))
+                label[label == other] = label[q]
+    return out

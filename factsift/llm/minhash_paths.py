@@ -108,9 +108,8 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def vertices(sketched: DataFrame) -> DataFrame:
     """One row per distinct set: ``sid, doc_id, text_key, n_shingles, key, sig``."""
-    first = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("row").alias("sid"))
-    rows = sketched.select(F.col("row").alias("sid"), "doc_id", "text_key", "n_shingles", "sig")
-    return common.store(first.join(rows, "sid"), "vertices")
+    first = F.min(F.struct(F.col("row").alias("sid"), "doc_id", "text_key", "n_shingles", "sig")).alias("v")
+    return common.store(sketched.where(F.col("key").isNotNull()).groupBy("key").agg(first).select("v.*", "key"), "vertices")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -122,10 +121,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array([_key(s) for s in sets], type=pa.binary()),
                  pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["key", "shingles"])
 
-    rows, need = _texts(docs), wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    rows, need = _texts(docs), wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).hint("merge")
     rows = rows.join(need, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = rows.mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    return wanted.select("sid", "key", "sig").join(sets, "key").select("sid", "sig", "shingles")
+    return wanted.select("sid", "key", "sig").hint("merge").join(sets, "key").select("sid", "sig", "shingles")
 
 
 def _unpacked(batches):
@@ -167,14 +166,14 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
     level = common.store(rows.join(_nodes(rows), "node"), "paths")
     groups = likely(level.where(F.col("size") <= LEAF).select("node", "sid"), verts, percent)
     large = level.where(F.col("size") > LEAF).select("node", "sid", "linked")
-    wanted = groups.select("sid").unionByName(large.select("sid")).distinct()
+    wanted = groups.select("sid").unionByName(large.select("sid")).hint("merge")
     sets = common.store(full_sets(docs, verts.join(wanted, "sid", "left_semi")), "sets")
     leaves, links, hot = [], [spark.createDataFrame([], "a long, b long")], None
     # a link needs distance <= far; beyond two such steps nothing can link
     far = 1 - percent / 100
     while not large.isEmpty():
         if hot is None:
-            packed = sets.join(large.select("sid").distinct(), "sid", "left_semi").select("sid", "sig", "shingles")
+            packed = sets.join(large.select("sid"), "sid", "left_semi").select("sid", "sig", "shingles")
             hot = common.store(packed.mapInArrow(_unpacked, "sid long, sig binary, members array<long>"), "hot-sets")
         order = F.struct(F.col("linked").isNotNull(), F.xxhash64("node", "sid"))
         pivots = large.groupBy("node").agg(F.min_by("sid", order).alias("sid"))
@@ -251,6 +250,35 @@ class Forest:
         return i != j
 
 
+def agreement(s: np.ndarray) -> np.ndarray:
+    """In how many places each two signatures agree; 0 with itself."""
+    n = len(s)
+    out = np.zeros((n, n), dtype=np.int8)
+    for place in range(TOKENS):
+        out += s[:, place][:, None] == s[:, place][None, :]
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def shared_counts(sets_: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets: products of their incidence
+    tables, in blocks of the members that more than one set has."""
+    n = len(sets_)
+    member = np.repeat(np.arange(n), [len(x) for x in sets_])
+    _, column, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    use = times[column] > 1
+    _, column = np.unique(column[use], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[use][order]
+    shared, width = np.zeros((n, n)), 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        u, v = np.searchsorted(column, [lo, lo + width])
+        grid = np.zeros((n, width), dtype=np.float32)
+        grid[member[u:v], column[u:v] - lo] = 1
+        shared += grid @ grid.T
+    return shared
+
+
 def likely(leaf: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
     """``grp, sid``: members of leaves, in groups that agreeing signatures connect."""
     least = agreeing(percent)
@@ -260,11 +288,11 @@ def likely(leaf: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
         for _, sid, sig in _runs(batches, 3):
             s = np.frombuffer(b"".join(sig.to_pylist()), "<u4").reshape(len(sid), TOKENS)
             ids = sid.to_numpy()
-            forest, any_ = Forest(len(ids)), False
-            for i in range(len(ids) - 1):
-                for j in (np.flatnonzero((s[i + 1:] == s[i]).sum(axis=1) >= least) + i + 1).tolist():
-                    any_ |= forest.join(i, j)
-            if not any_:
+            forest = Forest(len(ids))
+            pairs = components.connecting(agreement(s) >= least, np.arange(len(ids)), len(ids))
+            for i, j in pairs:
+                forest.join(i, j)
+            if not pairs:
                 continue
             groups: dict[int, list[int]] = {}
             for i, x in enumerate(ids.tolist()):
@@ -281,11 +309,7 @@ def likely(leaf: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out]), pa.array([m for _, m in out])], names=["grp", "sid"])
 
-    # one of the leaves with the same members, also those of other levels
-    stats = leaf.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"),
-                                     F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
-    one = stats.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
-    rows = leaf.join(one, "node", "left_semi").join(verts.select("sid", "sig"), "sid").select("node", "sid", "sig")
+    rows = leaf.hint("merge").join(verts.select("sid", "sig"), "sid").select("node", "sid", "sig")
     rows = rows.repartition(common.shuffle_partitions(leaf.sparkSession), "node").sortWithinPartitions("node", "sid")
     return common.store(rows.mapInArrow(run, "grp long, sid long").distinct(), "groups")
 
@@ -300,38 +324,25 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` on full sets, as many as connect each group's members.
-
-    Likely pairs are taken by falling agreement; a pair whose members are
-    connected already is not looked at again."""
-    least = agreeing(percent)
-
+    """Links ``(a, b)`` on full sets, as few as connect each group's members."""
     def run(batches):
         a, b = [], []
-        for _, sid, sig, packed in _runs(batches, 4):
-            ids, n = sid.to_pylist(), len(sid)
-            s = np.frombuffer(b"".join(sig.to_pylist()), "<u4").reshape(n, TOKENS)
+        for _, sid, packed in _runs(batches, 3):
+            ids = sid.to_pylist()
             sets_ = [np.frombuffer(p, "<u8") for p in packed.to_pylist()]
             size = np.array([len(x) for x in sets_])
-            pairs = []
-            for i in range(n - 1):
-                same = (s[i + 1:] == s[i]).sum(axis=1)
-                lo, hi = np.minimum(size[i + 1:], size[i]), np.maximum(size[i + 1:], size[i])
-                j = np.flatnonzero((same >= least) & (lo * 100 >= hi * percent))
-                pairs.append(np.stack([same[j], np.full(len(j), i), j + i + 1], axis=1))
-            pairs = np.concatenate(pairs)
-            forest = Forest(n)
-            for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
-                if forest.find(i) == forest.find(j):
-                    continue
-                both = _shared(sets_[i], sets_[j])
-                if both * 100 >= (size[i] + size[j] - both) * percent:
-                    forest.join(i, j)
-                    a.append(ids[i])
-                    b.append(ids[j])
+            if len(ids) == 2:
+                shared = np.array([[0, _shared(*sets_)], [0, 0]])
+            else:
+                shared = shared_counts(sets_)
+            linked = shared * 100 >= (size[:, None] + size[None, :] - shared) * percent
+            linked[np.tril_indices(len(ids))] = False
+            for i, j in components.connecting(linked, np.arange(len(ids)), len(ids)):
+                a.append(ids[i])
+                b.append(ids[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    rows = groups.join(sets, "sid").select("grp", "sid", "sig", "shingles")
+    rows = groups.hint("merge").join(sets, "sid").select("grp", "sid", "shingles")
     rows = rows.repartition(common.shuffle_partitions(groups.sparkSession), "grp").sortWithinPartitions("grp", "sid")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -343,9 +354,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups, pivot_links, sets = grow(docs, verts, percent)
     links = confirm(groups, sets, percent).unionByName(pivot_links)
     found = components.connected_components(links)
-    of_set = (verts.select("sid", "key").join(found.withColumnRenamed("id", "sid"), "sid", "left")
+    of_set = (verts.select("sid", "key").join(found.withColumnRenamed("id", "sid").hint("merge"), "sid", "left")
               .select("key", F.coalesce("component", "sid").alias("component")))
-    rows = (sketched.select("row", "doc_id", "text_key", "n_shingles", "key").join(of_set, "key", "left")
+    rows = (sketched.select("row", "doc_id", "text_key", "n_shingles", "key").join(of_set.hint("merge"), "key", "left")
             .select("doc_id", "text_key", "n_shingles", F.coalesce("component", F.col("row")).alias("component")))
     rows = common.store(rows, "classes")
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))

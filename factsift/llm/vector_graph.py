@@ -184,21 +184,6 @@ def search(x: np.ndarray, graph: Adjacency, queries: np.ndarray, threshold: floa
     return linked
 
 
-def connecting(linked: np.ndarray, queries: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """As many links as connect what all of them connect."""
-    label, out = np.arange(n), []
-    for i, q in enumerate(queries.tolist()):
-        v = np.flatnonzero(linked[i])
-        if not len(v):
-            continue
-        labels, first = np.unique(label[v], return_index=True)
-        for other, k in zip(labels.tolist(), first.tolist()):
-            if other != label[q]:
-                out.append((q, int(v[k])))
-                label[label == other] = label[q]
-    return out
-
-
 # ---- Spark jobs ---------------------------------------------------------------------
 def vertices(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, verts)``: rows ``vec_id, sid`` of all usable vectors, vertices
@@ -326,7 +311,7 @@ def links(placed: DataFrame, graph: DataFrame, copies: DataFrame, threshold: flo
         # of a pair of blocks only the links across; those within have a shard of their own
         linked &= (side[queries][:, None] != side[None, :]) | (side[None, :] == 0)
         count = linked @ times.astype(np.int64)
-        edges = connecting(linked, queries, len(sid))
+        edges = components.connecting(linked, queries, len(sid))
         a, b = [sid[i] for i, _ in edges], [sid[j] for _, j in edges]
         return pd.concat([pd.DataFrame({"sid": sid[queries], "other": pd.array([None] * len(queries), dtype="Int64"), "n": count}),
                           pd.DataFrame({"sid": np.array(a, dtype=np.int64), "other": pd.array(b, dtype="Int64"),
