@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from factsift.llm import common
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` and no ``v`` is a ``u``: then all is done."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+    uses = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return uses.where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every id of ``edges(a, b)``: the smallest id it reaches.
 
@@ -22,8 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = (edges.where(F.col("a") != F.col("b"))
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = common.store(pairs, "edges")
-    mark = None
-    while True:
+    while not _stars(state):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (both.join(least, "u").where(F.col("v") > F.col("u"))
@@ -33,10 +40,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         state = common.store(small, "edges")
-        seen = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if seen == mark:
-            break
-        mark = seen
     tops = state.select(F.col("v").alias("id")).distinct()
     return (state.select(F.col("u").alias("id"), F.col("v").alias("component"))
             .unionByName(tops.select("id", F.col("id").alias("component"))))
