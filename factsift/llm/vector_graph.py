@@ -1,20 +1,26 @@
 """Near-duplicate embeddings on a robust-pruned flat graph (operator 8).
 
-Equal vectors of a label are one vertex with a count. Vertices of a label are
-cut into cluster shards: centroids are fitted on a bounded sample of a node
-(``SAMPLE`` vectors a centroid), every vertex goes to its nearest centroid (its
-home) and as a guest to the next ``GUESTS``; centroids within ``MERGE`` of each
-other count as one, so a dense group is not cut; shards over ``CAP`` are cut again,
-up to ``LEVELS`` times. What hardly shrinks, or is larger than ``CAP`` after that, is so
-dense that centroids can't part it: it is dealt into blocks, and every pair of blocks is
-one shard, so nothing is left out and no task holds more than ``2 CAP``.
+Equal vectors of a label are one vertex with a count. A label of at most ``CAP``
+vertices is one cell. A larger one is cut by ``TREES`` trees: at every depth a node
+has ``FANOUT`` random directions, fixed by tree and depth and never by the data, and
+every vertex goes to the ``NEAREST`` it points along most, until a cell holds at most
+``CAP``. As the directions don't know the data, two vectors of cosine ``THRESHOLD``
+lose each other with a chance of ``MISS`` a depth of a tree, whatever else the label
+holds: of such pairs ``(depth * MISS) ** TREES`` share no cell, 4 in a million at
+depth 1 (up to some 17,000 sparse vectors a label) and 3 in 100,000 at depth 2 (some
+360,000); closer pairs fewer. A node whose cut would leave more than ``PAYS`` of its
+pairs to compare (a dense group falls to the same directions) is a cell uncut, and
+loses none: it is dealt into blocks of about ``TARGET``, and every pair of blocks is
+one shard, so no task holds much more than ``2 TARGET``.
 
 Each shard builds a graph by robust pruning (``DEGREE``, ``ALPHA``); adjacency
 lists of a vertex are united over all shards it is in. Every vertex is a query
-in its home shard: a beam search from the shard's medoid and the query's own
+in all its shards: a beam search from the shard's medoid and the query's own
 entry, then range expansion, in blocks of alike queries, through every vertex
-within ``SLACK`` of the threshold of one of them. Links are verified in double precision. A shard returns each query's
-link count and as many links as connect its vertices; components come from a
+within ``SLACK`` of the threshold of one of them. Links are verified in double precision
+and hold if either end finds them; of the cells that two vertices share the least one
+counts their link, so each is counted once. A shard returns its vertices'
+link counts and as many links as connect its vertices; components come from a
 distributed contraction. ``audit`` measures recall against brute force.
 
 Labels that are null, vectors that are null, empty, zero or hold null or
@@ -26,26 +32,22 @@ give no rows. Extra columns are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
-import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsift.llm import common, components
-from factsift.llm.minhash_paths import Forest
 
 THRESHOLD = 0.93
-MERGE = 0.75              # cosine of centroids that are not told apart
 SLACK = 0.10
 TARGET = 600
 CAP = 800
 FANOUT = 64
-SAMPLE = 48
-GUESTS = 3
-LEVELS = 6
+NEAREST = 3
+TREES = 3
+MISS = 0.0155             # of pairs at the threshold, of one cut; see the tests
+PAYS = 0.75
 DEGREE = 24
 ALPHA = 1.2
 CANDIDATES = 96
@@ -58,21 +60,28 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def lloyd(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means centroids; starts spread out, rows come in a fixed order."""
-    centers = [x[0]]
-    near = x @ x[0]
-    for _ in range(1, min(k, len(x))):
-        centers.append(x[int(np.argmin(near))])
-        near = np.maximum(near, x @ centers[-1])
-    c = np.array(centers)
-    for _ in range(rounds):
-        home = np.argmax(x @ c.T, axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, home, x)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c)
-    return c
+def nearest(x: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """The ``NEAREST`` of a cut's directions for every row."""
+    directions = np.random.default_rng(common.seed64("direction", tree, depth)).normal(size=(FANOUT, x.shape[1]))
+    return np.argpartition(-(x @ directions.T), NEAREST - 1, axis=1)[:, :NEAREST]
+
+
+def met_before(cells: list, cell: int, rows: np.ndarray) -> np.ndarray:
+    """Which pairs of ``rows`` share a cell that is less than ``cell``."""
+    flat = np.concatenate([np.asarray(cells[r], dtype=np.int64) for r in rows])
+    which = np.repeat(np.arange(len(rows)), [len(cells[r]) for r in rows])
+    which, flat = which[flat < cell], flat[flat < cell]
+    names, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    met = np.zeros((len(rows), len(rows)), dtype=bool)
+    for lo in range(0, len(shared), 1024):
+        place = np.full(len(names), -1)
+        place[shared[lo:lo + 1024]] = np.arange(len(shared[lo:lo + 1024]))
+        ok = place[code] >= 0
+        member = np.zeros((len(rows), len(shared[lo:lo + 1024])), dtype=np.float32)
+        member[which[ok], place[code[ok]]] = 1
+        met |= member @ member.T > 0
+    return met
 
 
 def robust_prune(x: np.ndarray) -> np.ndarray:
@@ -199,86 +208,54 @@ def vertices(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return common.store(rows, "vector-rows"), verts.select("sid", "node", "vector", "copies")
 
 
-@lru_cache(maxsize=32)
-def _centroids(uri: str, node: int) -> tuple[np.ndarray, list[int]]:
-    fs, path = common.open_fs(uri)
-    t = pads.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=True).to_table(filter=pads.field("node") == node)
-    t = t.sort_by("child")
-    return np.array(t["center"].to_pylist(), dtype=np.float64), t["child"].to_pylist()
-
-
 def shards(verts: DataFrame) -> DataFrame:
-    """``shard, sid, home, side``: every vertex in its home shard and as a guest in others."""
+    """``shard, cell, sid, side``: every vertex in all its shards."""
     spark = verts.sparkSession
     common.prepare(spark)
-    level = verts.select("node", "sid", F.lit(True).alias("home"), "vector", F.lit(None).cast("long").alias("was"))
-    done, dense = [], []
-    for depth in range(LEVELS + 1):
+    level = verts.select("node", F.lit(-1).alias("tree"), "sid")
+    cells, depth = [], 0
+    while True:
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         sized = common.store(level.join(sizes, "node"), f"shards-{depth}")
-        guests = GUESTS if depth == 0 else 1
-        done.append(sized.where(F.col("n") <= CAP))
-        # a node that hardly shrank can't be parted
-        stuck = F.coalesce(F.col("n") > 0.9 * F.col("was"), F.lit(False)) | F.lit(depth == LEVELS)
-        dense.append(sized.where((F.col("n") > CAP) & stuck))
-        large = sized.where((F.col("n") > CAP) & ~stuck)
+        cells.append(sized.where(F.col("n") <= CAP).select(F.col("node").alias("cell"), "sid", F.lit(1).alias("blocks")))
+        large = sized.where(F.col("n") > CAP)
         if large.isEmpty():
             break
-        k = F.least(F.lit(FANOUT), F.ceil(F.col("n") * (guests + 1) / TARGET))
-        # a bounded sample of each node, whatever its size
-        share = F.least(F.lit(1.0), k * SAMPLE / F.col("n"))
-        sample = large.where(F.pmod(F.xxhash64("sid", F.lit(depth)), F.lit(1_000_000)) < share * 1_000_000)
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("sid")
-            c = lloyd(unit(pdf["vector"]), int(pdf["k"].iloc[0]))
-            # centroids close enough for links across their border are one child
-            forest = Forest(len(c))
-            for i, j in zip(*np.nonzero(np.triu(c @ c.T >= MERGE, 1))):
-                forest.join(int(i), int(j))
-            child = [forest.find(i) for i in range(len(c))]
-            return pd.DataFrame({"node": pdf["node"].iloc[0], "child": child, "center": list(c)})
-
-        uri = common.shared_uri(spark, f"centroids-{depth}")
-        (sample.withColumn("k", k.cast("int")).groupBy("node")
-         .applyInPandas(fit, "node long, child int, center array<double>").write.parquet(uri))
-
-        def assign(batches):
+
+        def assign(batches, depth=depth):
             for pdf in batches:
-                for node, part in pdf.groupby("node", sort=False):
-                    centers, child = _centroids(uri, int(node))
-                    # a child is as near as the nearest of its centroids
-                    names, first = np.unique(child, return_index=True)
-                    sims = np.maximum.reduceat(unit(part["vector"]) @ centers.T, first, axis=1)
-                    near = np.argsort(-sims, axis=1, kind="stable")[:, :guests + 1]
-                    for j in range(near.shape[1]):
-                        yield pd.DataFrame({"node": part["node"].to_numpy(), "child": names[near[:, j]], "sid": part["sid"].to_numpy(),
-                                            "home": part["home"].to_numpy() & (j == 0), "vector": part["vector"].to_numpy(),
-                                            "was": part["n"].to_numpy()})
-
-        level = (large.select("node", "sid", "home", "vector", "n")
-                 .mapInPandas(assign, "node long, child int, sid long, home boolean, vector array<float>, was long")
-                 .select(F.xxhash64("node", "child").alias("node"), "sid", "home", "vector", "was"))
-        # a guest that is also at home counts once
-        level = common.store(level.groupBy("node", "sid").agg(F.max("home").alias("home"), F.first("vector").alias("vector"),
-                                                            F.max("was").alias("was")), "level")
-    cols = ["shard", "sid", "home", "side", "vector"]
-    parts = [d.select(F.col("node").alias("shard"), "sid", "home", F.lit(0).alias("side"), "vector") for d in done]
-    # too dense to part: every pair of blocks is a shard
-    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+                size = pdf["vector"].str.len()
+                for (tree, _), part in pdf.groupby(["tree", size], sort=False):
+                    x = unit(part["vector"])
+                    for t in range(TREES) if tree < 0 else [int(tree)]:
+                        yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), NEAREST), "tree": t,
+                                            "direction": nearest(x, t, depth).ravel(), "sid": np.repeat(part["sid"].to_numpy(), NEAREST)})
+
+        child = F.xxhash64("node", "tree", "direction").alias("child")
+        cut = common.store(large.select("node", "tree", "sid").join(verts.select("sid", "vector"), "sid")
+                           .select("node", "tree", "sid", "vector").mapInPandas(assign, "node long, tree int, direction int, sid long")
+                           .select("node", "tree", "sid", child), f"cut-{depth}")
+        # pairs left to compare, of a node's own
+        work = (cut.groupBy("node", "child").agg(F.count(F.lit(1)).cast("double").alias("m"))
+                .groupBy("node").agg(F.sum(F.col("m") * F.col("m")).alias("work")))
+        paying = common.store(work.join(sizes, "node").where(F.col("work") <= PAYS * F.col("n").cast("double") * F.col("n"))
+                              .select("node"), f"paying-{depth}")
+        cells.append(large.join(paying, "node", "left_anti")
+                     .select(F.col("node").alias("cell"), "sid", F.ceil(F.col("n") / TARGET).cast("int").alias("blocks")))
+        level = cut.join(paying, "node", "left_semi").select(F.col("child").alias("node"), "tree", "sid")
+        depth += 1
+    out = cells[0]
+    for c in cells[1:]:
+        out = out.unionByName(c)
+    # every pair of a cell's blocks is a shard
+    pair = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    for d in dense:
-        blocked = (d.withColumn("blocks", F.ceil(F.col("n") / CAP).cast("int"))
-                   .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-                   .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
-        parts.append(blocked.select(pair.alias("shard"), "sid", "home", side.alias("side"), "vector"))
-    out = parts[0].select(cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(cols))
-    return common.store(out, "shards")
-
-
-def flat_graph(placed: DataFrame) -> DataFrame:
+    blocked = (out.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+               .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+    return common.store(blocked.select(pair.alias("shard"), "cell", "sid", side.alias("side")), "shards")
+
+
+def flat_graph(placed: DataFrame, verts: DataFrame) -> DataFrame:
     """``sid, near``: adjacency lists united over all shards."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sid")
@@ -287,13 +264,14 @@ def flat_graph(placed: DataFrame) -> DataFrame:
         r, c = np.nonzero(out >= 0)
         return pd.DataFrame({"sid": sid[r], "near": sid[out[r, c]]})
 
-    edges = placed.select("shard", "sid", "vector").groupBy("shard").applyInPandas(build, "sid long, near long")
+    rows = placed.select("shard", "sid").join(verts.select("sid", "vector"), "sid")
+    edges = rows.groupBy("shard").applyInPandas(build, "sid long, near long")
     both = edges.unionByName(edges.select(F.col("near").alias("sid"), F.col("sid").alias("near")))
     return common.store(both.groupBy("sid").agg(F.collect_set("near").alias("near")), "flat-graph")
 
 
-def links(placed: DataFrame, graph: DataFrame, copies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``sid, other, n``: a row with ``n`` for each query's linked vectors (``other``
+def links(placed: DataFrame, graph: DataFrame, verts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``sid, other, n``: rows with ``n`` for a vertex's linked vectors in a shard (``other``
     null), and rows with ``other`` for the links that connect a shard's vertices."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sid").reset_index(drop=True)
@@ -306,18 +284,25 @@ def links(placed: DataFrame, graph: DataFrame, copies: DataFrame, threshold: flo
         ok = (place < len(sid)) & (sid[np.minimum(place, len(sid) - 1)] == flat)
         which, place = which[ok], place[ok]
         graph = Adjacency(np.split(place, np.searchsorted(which, np.arange(1, len(sid)))))
-        queries = np.flatnonzero(pdf["home"].to_numpy())
+        queries = np.arange(len(sid))
         linked = search(x, graph, queries, threshold)
+        linked |= linked.T
         # of a pair of blocks only the links across; those within have a shard of their own
-        linked &= (side[queries][:, None] != side[None, :]) | (side[None, :] == 0)
+        linked &= (side[:, None] != side[None, :]) | (side[None, :] == 0)
+        some = np.flatnonzero(linked.any(axis=1))
+        if len(some):
+            linked[np.ix_(some, some)] &= ~met_before(pdf["cells"].tolist(), int(pdf["cell"].iloc[0]), some)
         count = linked @ times.astype(np.int64)
+        some = np.flatnonzero(count)
         edges = components.connecting(linked, queries, len(sid))
         a, b = [sid[i] for i, _ in edges], [sid[j] for _, j in edges]
-        return pd.concat([pd.DataFrame({"sid": sid[queries], "other": pd.array([None] * len(queries), dtype="Int64"), "n": count}),
+        return pd.concat([pd.DataFrame({"sid": sid[some], "other": pd.array([None] * len(some), dtype="Int64"), "n": count[some]}),
                           pd.DataFrame({"sid": np.array(a, dtype=np.int64), "other": pd.array(b, dtype="Int64"),
                                         "n": np.zeros(len(a), dtype=np.int64)})])
 
-    rows = placed.join(graph, "sid", "left").join(copies, "sid").select("shard", "sid", "home", "side", "vector", "near", "copies")
+    cells = placed.groupBy("sid").agg(F.collect_set("cell").alias("cells"))
+    about = verts.select("sid", "vector", "copies").join(cells, "sid").join(graph, "sid", "left")
+    rows = placed.join(about, "sid").select("shard", "cell", "sid", "side", "vector", "near", "copies", "cells")
     return common.store(rows.groupBy("shard").applyInPandas(run, "sid long, other long, n long"), "links")
 
 
@@ -325,7 +310,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """Per row: ``vec_id, n_links, component_id, kept``."""
     rows, verts = vertices(vectors)
     placed = shards(verts)
-    found = links(placed, flat_graph(placed), verts.select("sid", "copies"), threshold)
+    found = links(placed, flat_graph(placed, verts), verts, threshold)
     joined = components.connected_components(
         found.where(F.col("other").isNotNull()).select(F.col("sid").alias("a"), F.col("other").alias("b")))
     counts = found.where(F.col("other").isNull()).groupBy("sid").agg(F.sum("n").alias("n"))

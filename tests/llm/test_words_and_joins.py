@@ -209,6 +209,49 @@ def test_vector_graph_equals_brute_force(spark, monkeypatch, cap):
         assert vector_graph.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def sparse_vectors(n, pairs, seed=11, size=64):
+    """Strangers, and pairs of cosine 0.93 to 0.96."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.normal(size=(pairs, size))
+    other -= (other * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.9301, 0.96, size=(pairs, 1))
+    x[n - pairs:] = cos * x[:pairs] + np.sqrt(1 - cos ** 2) * other
+    return x
+
+
+def test_sparse_links_survive_deep_cuts(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "CAP", 60)
+    monkeypatch.setattr(vector_graph, "TARGET", 45)
+    x = sparse_vectors(2000, 500).astype(np.float32).astype(float)
+    sims = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    np.fill_diagonal(sims, 0)
+    vectors = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = vector_graph.near_duplicates(vectors)
+    assert {r.vec_id: r.n_links for r in found.collect()} == dict(enumerate((sims >= 0.93).sum(axis=1).tolist()))
+
+
+def test_cuts_meet_their_bound():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(50_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    lost = np.ones(len(a), dtype=bool)
+    for tree in range(vector_graph.TREES):
+        alone = np.zeros(len(a), dtype=bool)
+        for depth in range(2):
+            u, v = vector_graph.nearest(a, tree, depth), vector_graph.nearest(b, tree, depth)
+            apart = ~(u[:, :, None] == v[:, None, :]).any(axis=(1, 2))
+            assert apart.mean() <= 1.25 * vector_graph.MISS
+            alone |= apart
+        lost &= alone
+    assert lost.mean() <= 2e-4
+
+
 # ---- licenses -----------------------------------------------------------------------
 def test_licenses(spark, awkward, nothing):
     body = "some words before it and many more words that go on "
