@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each group of near duplicates stays."""
-    return minhash_paths.deduplicate(docs)
+    """Operator 7: one document of each group of near duplicates (similarity 0.8 or more) stays."""
+    return minhash_paths.deduplicate(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,3 +191,11 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(str(r.doc_id) for r in out.collect()) == kept["personal_data"]
     assert len({r.sequence_id for r in out.collect()}) == 1 and np.isclose(sum(r.length for r in out.collect()), max(r.offset + r.length for r in out.collect()))
+
+
+def test_pipeline_drops_copies_of_080_to_085(spark):
+    words = [f"word{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:55] + [f"other{i}" for i in range(5)])),      # 51 of 61 shingles
+            (3, " ".join(words[:53] + [f"third{i}" for i in range(7)]))]                            # 49 of 63
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
