@@ -1,10 +1,13 @@
 """Personal data replaced by format-preserving pseudonyms (operator 5).
 
 Found and validated: card numbers (13 to 19 digits, Luhn), social security
-numbers, phone numbers, IPv4 addresses, dates (real calendar days), e-mail
+numbers, phone numbers, IPv4 addresses, dates (real calendar days; month first
+with slashes and day first with dots, unless only the other order is a date), e-mail
 addresses, IBANs (mod 97) and secret values of 32 or more hex digits given to a
 token, key or secret. Other long digit groups that look like account numbers
-(16 digits that fail Luhn) are replaced too, as numbers of that length.
+(16 digits that fail Luhn) are replaced too, as numbers of that length. Of a match
+that holds more than the value (a number or word next to it) the part that is valid is
+replaced (``reading``), and if none is, the search goes on from its next group.
 
 A value is cut into its free parts, these are one number below ``n``, and a
 keyed Feistel network permutes the numbers below ``n`` (cycle walking keeps it
@@ -12,7 +15,8 @@ in range); the result is written back in the same format: same length,
 separators, letter case and kind of character, and valid in the same way (check
 digits are set anew, dates stay dates). Equal values have equal pseudonyms in
 every document, different values of a format different ones. The mapping is
-undone with the key (``reverse=True``).
+undone with the key (``reverse=True``). A value whose pseudonym would be read
+otherwise beside what follows it takes the next one of its cycle, there only.
 
 The work is local to a row; nothing is shuffled. Null texts stay null, empty
 ones empty; null and repeated doc_ids are rows like others; an empty table
@@ -42,16 +46,25 @@ DAYS = datetime.date(2099, 12, 31).toordinal() - DAY_ZERO + 1
 
 # ---- fixed values: the formats looked for ---------------------------------------
 FORMATS = re.compile(r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9À-ÿ][\wÀ-ÿ.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
+    (?P<email>(?<![\w.+-])[.+-]*\w[\wÀ-ÿ.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))
   | (?P<secret>(?i:(?:token|secret|api[_-]?key|key|password)["']?\s*[=:]\s*["']?)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))
   | (?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))
   | (?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+])\+[0-9]{8,15}(?![\w]))
+  | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+])\+[0-9]{8,15}(?![\w])
+      |(?<![\w+])\+[0-9]{1,3}(?:[ ./-]?\([0-9]{1,5}\)|[ ./-][0-9]{1,8})(?:[ ./-]?[0-9]{2,8}){1,6}(?![\w]))
   | (?P<card>(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))
 """, re.VERBOSE)
 
+# characters of an account number by country, where it is fixed (ISO 13616)
+IBAN_CHARS = {c: int(n) for n, names in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in names.split(",")}
+# how cards are written in groups
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
+
 # every format has one of these in it
 ANY = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}")
 
@@ -132,6 +145,54 @@ def iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+def valid(kind: str, text: str) -> bool:
+    """Whether a card, account, IBAN or phone number is one."""
+    bare = "".join(c for c in text if c.isascii() and c.isalnum())
+    if kind == "iban":
+        return 15 <= len(bare) <= 34 and iban_rest(bare) == 1
+    if kind == "phone":
+        return 7 <= len(bare) <= (15 if text[0] == "+" else 16)
+    return 13 <= len(bare) <= 19 and (luhn(bare) == 0 or len(bare) == 16)
+
+
+def reading(kind: str, text: str) -> tuple[int, int] | None:
+    """Where in a match the value is; None if no reading of it is valid.
+
+    Cards: as they are written in groups, then the whole match, then numbers of 16
+    digits that fail the check, then any valid run of groups, longest and leftmost
+    first. IBANs: the country's length, then others from the longest. Phone numbers:
+    as many groups as a number can have."""
+    if kind not in ("card", "iban", "phone"):
+        return 0, len(text)
+    runs = [m.span() for m in re.finditer(r"[0-9A-Za-z]+", text)]
+    if kind == "card":
+        sizes = [b - a for a, b in runs]
+        good, written, whole, account = [], [], [], []
+        for i in range(len(runs)):
+            for j in range(i, len(runs)):
+                n = sum(sizes[i:j + 1])
+                if n > 19:
+                    break
+                span = runs[i][0], runs[j][1]
+                if not valid(kind, text[slice(*span)]):
+                    continue
+                usual, all_ = tuple(sizes[i:j + 1]) in CARD_GROUPS, j - i + 1 == len(runs)
+                if luhn("".join(c for c in text[slice(*span)] if c.isdigit())) == 0:
+                    (written if usual else whole if all_ else good).append((-n, span))
+                elif usual or all_:
+                    account.append((0, span))
+        found = [*sorted(written, key=lambda x: x[1]), *whole, *account, *sorted(good)]
+        return found[0][1] if found else None
+    ends = [b for _, b in runs]
+    if kind == "phone":
+        ends = [b + (text[b:b + 1] == ")") for b in ends]
+    ends.reverse()
+    if kind == "iban":
+        # the country's own length first
+        ends.sort(key=lambda b: len(text[:b].replace(" ", "")) != IBAN_CHARS.get(text[:2]))
+    return next(((0, b) for b in ends if valid(kind, text[:b])), None)
+
+
 def pseudonym(kind: str, text: str, key: bytes = KEY, reverse: bool = False) -> str | None:
     """The pseudonym of a found value; None if it isn't valid."""
     digits = "".join(c for c in text if "0" <= c <= "9")
@@ -158,6 +219,8 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, reverse: bool = False) ->
         area += 1 + (area >= 665)
         return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
+        if not valid(kind, text):
+            return None
         plus = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
         at = plus.end() if plus else 0      # a country code that is set apart stays
         return text[:at] + permute_chars(text[at:], "phone", key, reverse)
@@ -171,6 +234,9 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, reverse: bool = False) ->
         sep = next(c for c in text if not c.isdigit())
         parts = text.split(sep)
         day_first = sep == "."
+        # a month over 12 is a day: the other order, among the dates that show it too
+        other = sep != "-" and int(parts[1 if day_first else 0]) > 12
+        day_first ^= other
         y, m, d = parts if sep == "-" else (parts[2], parts[1], parts[0]) if day_first else (parts[2], parts[0], parts[1])
         try:
             ordinal = datetime.date(int(y), int(m), int(d)).toordinal() - DAY_ZERO
@@ -178,19 +244,24 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, reverse: bool = False) ->
             return None
         if not 0 <= ordinal < DAYS:
             return None
-        new = datetime.date.fromordinal(DAY_ZERO + permute(ordinal, DAYS, "date", key, reverse))
+        while True:
+            ordinal = permute(ordinal, DAYS, "date/other" if other else "date", key, reverse)
+            new = datetime.date.fromordinal(DAY_ZERO + ordinal)
+            if not other or new.day > 12:
+                break
         if sep == "-":
             return new.isoformat()
-        return f"{new.day:02d}.{new.month:02d}.{new.year}" if day_first else f"{new.month:02d}/{new.day:02d}/{new.year}"
+        a, b = (new.day, new.month) if day_first else (new.month, new.day)
+        return f"{a:02d}{sep}{b:02d}{sep}{new.year}"
     if kind == "email":
         user, domain = text.rsplit("@", 1)
         labels = domain.split(".")
         free = user + "@" + ".".join(labels[:-2]) if len(labels) > 2 else user
         return permute_chars(free, "email", key, reverse) + ("." if len(labels) > 2 else "@") + ".".join(labels[-2:])
     if kind == "iban":
-        bare = text.replace(" ", "")
-        if not 15 <= len(bare) <= 34 or iban_rest(bare) != 1:
+        if not valid(kind, text):
             return None
+        bare = text.replace(" ", "")
         body = permute_chars(bare[4:], "iban/" + bare[:2], key, reverse)
         bare = bare[:2] + f"{98 - iban_rest(bare[:2] + '00' + body):02d}" + body
         it = iter(bare)
@@ -204,21 +275,27 @@ def replace(text: str | None, key: bytes = KEY, reverse: bool = False) -> tuple[
     """The text with pseudonyms, and ``(kind, start, end, new start, new end)`` of each."""
     if not text or not ANY.search(text):
         return text, []
-    out, spans, at, grown = [], [], 0, 0
-    for m in FORMATS.finditer(text):
-        kind, value = m.lastgroup, m.group()
-        tail = ""
+    out, spans, at, grown, pos = [], [], 0, 0, 0
+    while m := FORMATS.search(text, pos):
+        kind, match, start = m.lastgroup, m.group(), m.start()
         if kind == "email":
-            bare = value.rstrip(".-")
-            value, tail = bare, value[len(bare):]
-        new = pseudonym(kind, value, key, reverse)
+            match = match.rstrip(".-")
+        span = reading(kind, match)
+        new = pseudonym(kind, match[slice(*span)], key, reverse) if span else None
         if new is None:
+            # go on from the match's next group
+            pos = start + max(1, re.match(r"\W*[^\W_]*", match).end())
             continue
-        if kind == "card" and luhn("".join(filter(str.isdigit, value))):
+        # read back, the new match must show its value at the same place
+        while span != (0, len(match)) and reading(kind, match[:span[0]] + new + match[span[1]:]) != span:
+            new = pseudonym(kind, new, key, reverse)
+        start, end = start + span[0], start + span[1]
+        if kind == "card" and luhn("".join(filter(str.isdigit, text[start:end]))):
             kind = "account"
-        out += [text[at:m.start()], new, tail]
-        spans.append((kind, m.start(), m.start() + len(value), m.start() + grown, m.start() + grown + len(new)))
-        at, grown = m.end(), grown + len(new) - len(value)
+        out += [text[at:start], new]
+        spans.append((kind, start, end, start + grown, start + grown + len(new)))
+        at = pos = end
+        grown += len(new) - (end - start)
     return "".join([*out, text[at:]]) if spans else text, spans
 
 

@@ -86,6 +86,30 @@ def test_what_is_not_valid_stays(text):
     assert pii_feistel.replace(text) == (text, [])
 
 
+@pytest.mark.parametrize("kind,value,text", [
+    ("card", "4111 1111 1111 1111", "pay {} 12/27"), ("card", "4111111111111111", "{} 123"), ("card", "4111 1111 1111 1111", "row 12 {}"),
+    ("card", "3782 822463 10005", "7 {} 99"), ("account", "9807 9157 6280 4490", "no 5 {} 1"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", "to {} IS"), ("iban", "ES91 2100 0418 4502 0005 1332", "AB12 {} ISBN 12"),
+    ("date", "31/12/1999", "on {}."), ("date", "12.31.1999", "on {}"), ("phone", "+49 30 901820", "call {}, or"),
+    ("phone", "+33 1 23 45 67 89", "call {}"), ("phone", "+49 (30) 9018 2011", "call {}"), ("email", "_jane.roe@mail.example.com", "at {}"),
+    ("email", "-jane.roe@example.com", "at {}"), ("email", "łucja@example.com", "at {}")])
+def test_values_beside_other_groups_are_found(kind, value, text):
+    text = text.format(value)
+    new, spans = pii_feistel.replace(text)
+    assert [(s[0], text[s[1]:s[2]]) for s in spans] == [(kind, value)] and value not in new
+    assert pii_feistel.replace(new, reverse=True)[0] == text
+
+
+def test_values_beside_other_groups_are_undone():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        body = "".join(map(str, rng.integers(0, 10, 15)))
+        card = body + str(-pii_feistel.luhn(body + "0") % 10)
+        text = f"{rng.integers(1, 99)} {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} {rng.integers(1, 99)}"
+        new, spans = pii_feistel.replace(text)
+        assert card[:8] not in new.replace(" ", "") and pii_feistel.replace(new, reverse=True)[0] == text
+
+
 def test_pseudonymise_keeps_rows_and_columns(spark, awkward, nothing):
     out = pii_feistel.pseudonymise(awkward)
     assert out.schema == awkward.schema and sorted(map(str, out.collect())) == sorted(map(str, awkward.collect()))
