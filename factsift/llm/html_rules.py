@@ -2,13 +2,17 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what a
 block's stop-word density, length, link density and enclosing elements tell:
-navigation, page headers and footers, asides, forms, adverts, notices and
-comments are boilerplate; a long block with many stop words and few links is
-text. Blocks that are short, or have few stop words, stay ambiguous. In the
+navigation, page headers and footers, asides and forms are boilerplate; a long
+block with many stop words and few links is text. A class or id is evidence only:
+within an article an element named like a layout part (``LAYOUT``) is boilerplate
+if no block of it is text by its words (headings stay ambiguous), and elements
+named as adverts, menus or comments are boilerplate unless the page has no text
+outside them; then the one of most text counts as if it had no name. Blocks that are short, or have few stop words, stay ambiguous. In the
 second pass these take the label of the nearest decided block of the same
 container (``article`` or ``main`` if the page has one). A container without
 any decided block is text if it is an article, else boilerplate. If an article
-has decided text, blocks outside articles are boilerplate.
+has decided text, and the articles hold most of the page's, blocks outside them
+are boilerplate.
 
 Scripts, styles, comments and markup are dropped, character references are
 decoded, white space within a block (``br`` too) becomes one space, blocks are
@@ -52,6 +56,9 @@ NAMES = set("ad ads adv advert adverts advertisement advertising banner breadcru
             "consent cookie cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation "
             "newsletter notice notices overlay pagination pager popup promo promoted related reply replies respond "
             "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+# names that elements of an article's own text have, too
+LAYOUT = set("header masthead banner widget widgets related notice notices social overlay modal disclaimer".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 STOP_WORDS = frozenset((
     "a an and are as at be been but by can do for from had has have he her his i if in is it its more not of on or our she so "
@@ -76,6 +83,9 @@ class Block:
     linked: int
     boilerplate: bool
     container: int            # number of the article it is in; 0: none
+    named: tuple = ()         # enclosing elements of boilerplate names, from the outermost: (number, whether of LAYOUT)
+    layout: int = 0           # number of the enclosing LAYOUT element of its article; 0: none
+    heading: bool = False
     label: str = field(default="")
 
 
@@ -85,20 +95,25 @@ class Element:
     boilerplate: bool
     container: int
     linked: bool
+    named: tuple = ()
+    layout: int = 0
+    heading: bool = False
 
 
-def names_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether class, id or role call an element boilerplate."""
+def names_boilerplate(tag: str, attributes: str) -> str:
+    """What class, id or role call an element: ``boilerplate`` (hidden, or by its
+    role), ``named`` or ``layout``; else empty."""
     if tag in ("html", "body", "main", "article") or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return ""
+    found = set()
     for m in ATTRIBUTE.finditer(attributes):
         name = m.group(1).lower()
         value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if name == "hidden" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and any(p in NAMES for p in re.split(r"[\s_-]+", value)):
-            return True
-    return False
+            return "boilerplate"
+        if name in ("class", "id"):
+            found.update(p for p in re.split(r"[\s_-]+", value) if p in NAMES or p in LAYOUT)
+    return "" if not found else "layout" if found <= LAYOUT else "named"
 
 
 def blocks(html: str) -> list[Block]:
@@ -107,14 +122,15 @@ def blocks(html: str) -> list[Block]:
     stack: list[Element] = [Element("", False, 0, False)]
     opened: Counter = Counter()
     parts: list[str] = []
-    linked = n_articles = 0
+    linked = n_articles = n_named = 0
     at, size = 0, len(html)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, stack[-1].boilerplate, stack[-1].container))
+            e = stack[-1]
+            out.append(Block(text, linked, e.boilerplate, e.container, e.named, e.layout, e.heading))
         parts.clear()
         linked = 0
 
@@ -183,15 +199,23 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID:
             continue
         top = stack[-1]
-        boilerplate = (top.boilerplate or tag in BOILERPLATE or tag == "header" and not top.container
-                       or names_boilerplate(tag, attributes))
+        name = names_boilerplate(tag, attributes)
+        boilerplate = top.boilerplate or tag in BOILERPLATE or tag == "header" and not top.container or name == "boilerplate"
+        named, layout = top.named, top.layout
+        if name in ("named", "layout"):
+            n_named += 1
+            if name == "layout" and top.container:
+                # a header of an article is one of its own, with a class or without
+                layout = layout if tag == "header" else n_named
+            else:
+                named = (*named, (n_named, name == "layout"))
         container = top.container
         if tag in CONTENT and not boilerplate and not container:
             n_articles += 1
             container = n_articles
-        if boilerplate != top.boilerplate:
+        if (boilerplate, named, layout) != (top.boilerplate, top.named, top.layout):
             flush()
-        stack.append(Element(tag, boilerplate, container, top.linked or tag == "a"))
+        stack.append(Element(tag, boilerplate, container, top.linked or tag == "a", named, layout, top.heading or tag in HEADINGS))
         opened[tag] += 1
     flush()
     return out
@@ -212,11 +236,39 @@ def first_pass(block: Block) -> str:
     return "ambiguous"
 
 
+def weigh_names(found: list[Block]) -> None:
+    """Blocks of elements with boilerplate names become boilerplate, or are let off."""
+    texts = [b for b in found if b.label == "text"]
+    while texts and all(b.named for b in texts):
+        if any(weak for b in texts for _, weak in b.named):
+            for b in found:
+                b.named = tuple(x for x in b.named if not x[1])
+            continue
+        held = Counter()
+        for b in texts:
+            held[b.named[0]] += len(b.text)
+        free = max(held, key=lambda x: (held[x], -x[0]))
+        for b in found:
+            b.named = tuple(x for x in b.named if x != free)
+    own = {b.layout for b in texts if not b.named}
+    for b in found:
+        if b.named:
+            b.boilerplate, b.label = True, "boilerplate"
+        elif b.layout and b.layout not in own and b.label == "ambiguous" and not b.heading:
+            b.label = "boilerplate"
+            b.boilerplate = True
+
+
 def second_pass(found: list[Block]) -> None:
     """Ambiguous blocks take the label of the nearest decided one in their container."""
     by: dict[int, list[Block]] = {}
     for b in found:
         b.label = first_pass(b)
+    weigh_names(found)
+    decided = Counter()
+    for b in found:
+        if b.label == "text":
+            decided[b.container > 0] += len(b.text)
         if not b.boilerplate:
             by.setdefault(b.container, []).append(b)
     for container, members in by.items():
@@ -238,7 +290,7 @@ def second_pass(found: list[Block]) -> None:
                 b.label = near.pop() if len(near) == 1 else ("text" if inside else "boilerplate")
             else:
                 b.label = labels[k - before[k]] if before[k] < after[k] else labels[k + after[k]]
-    if any(b.container and b.label == "text" for b in found):
+    if any(b.container and b.label == "text" for b in found) and decided[True] >= decided[False]:
         for b in found:
             if not b.container:
                 b.label = "boilerplate"

@@ -134,6 +134,27 @@ def test_rules_without_an_article():
     assert html_rules.main_text(page) == f"{PROSE}\n\nnear\n\n{PROSE}"
 
 
+@pytest.mark.parametrize("name", ["elementor-widget elementor-widget-text-editor", "related-story", "notice", "post-header", "social"])
+def test_names_within_an_article_are_evidence_only(name):
+    page = f"""<body><div class="sidebar widget">{PROSE}</div><article><header class="entry-header"><h1>Head</h1></header>
+<div class="{name}"><p>{PROSE}</p><p>Short.</p></div><div class="social share">Tell others</div><div class="social">Follow us</div>
+<div id="comments"><p>{PROSE} {PROSE} {PROSE}</p></div></article></body>"""
+    assert html_rules.main_text(page) == f"Head\n\n{PROSE}\n\nShort."
+
+
+def test_a_name_around_all_text_counts_nothing():
+    page = f"<body><div class='page has-sidebar'><div class=widget><p>{PROSE}</p></div><div class=comments><p>{PROSE} x</p></div></div></body>"
+    assert html_rules.main_text(page) == PROSE
+
+
+def test_story_beside_teaser_articles():
+    cards = "".join(f"<article><p>{PROSE} {i}</p></article>" for i in range(2))
+    page = f"<body><div>{(f'<p>{PROSE}</p>') * 5}</div>{cards}</body>"
+    assert html_rules.main_text(page).count(PROSE) == 7
+    page = f"<body><div><p>{PROSE}</p></div><article>{(f'<p>{PROSE}</p>') * 5}</article></body>"
+    assert html_rules.main_text(page).count(PROSE) == 5
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "<!--", "<script>", "</p></p>", "<a b='", "&#xD800;&", "<b>" * 5000 + "x"])
 def test_broken_pages(html):
     assert isinstance(html_rules.main_text(html), str)
