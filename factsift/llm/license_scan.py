@@ -36,8 +36,8 @@ MISS = 1e-4
 BANDS = math.ceil(math.log(MISS) / math.log(1 - 1 / STRIDE))
 CONTAINMENT = 0.8
 
-# ---- fixed values: license notices (license, text); those that differ in a name or
-# number only are of one family (the license up to its first digit or "-") ---------------------------------
+# ---- fixed values: license notices (license, text); only those of one family are
+# held to be one notice where they match the same words (the license up to its first digit or "-") ---------------------------------
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance "
@@ -106,7 +106,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, template, license, family, containment`` of every match."""
+    """``doc_id, text_key, template, license, family, matched, containment`` of every match."""
     known = templates(docs.sparkSession)
     # windows of a template at every word, also those that overlap its start
     band_table = _windows(known.select("template", "words"), 1, F.lit(1 - STRIDE)).select("template", "band").distinct()
@@ -116,9 +116,11 @@ def scan(docs: DataFrame) -> DataFrame:
     retrieved = (_windows(rows, STRIDE, F.lit(0)).join(F.broadcast(band_table), "band")
                  .groupBy("doc_id", "text_key", "template").agg(F.first("words").alias("words")))
     needles = known.select("template", "license", shingles(F.col("words")).alias("needle"))
-    share = F.size(F.array_intersect("needle", shingles(F.col("words")))) / F.size("needle")
+    matched = F.array_intersect("needle", shingles(F.col("words"))).alias("matched")
     return (retrieved.join(F.broadcast(needles), "template")
-            .select("doc_id", "text_key", "template", "license", family(F.col("license")).alias("family"), share.alias("containment"))
+            .select("doc_id", "text_key", "template", "license", "needle", matched)
+            .select("doc_id", "text_key", "template", "license", family(F.col("license")).alias("family"), "matched",
+                    (F.size("matched") / F.size("needle")).alias("containment"))
             .where(F.col("containment") >= CONTAINMENT))
 
 
@@ -127,10 +129,15 @@ def family(license: Column) -> Column:
 
 
 def best(found: DataFrame) -> DataFrame:
-    """Of a family's matches in a text the most contained (notices that differ in
-    a version or clause contain most of each other)."""
-    top = Window.partitionBy("doc_id", "text_key", "family")
-    return found.withColumn("top", F.max("containment").over(top)).where("containment = top").drop("top")
+    """A text's matches without those that a more contained one of the family
+    explains: all shingles they match are matched by it, so at the same places
+    (notices that differ in a version contain most of each other)."""
+    # as many as there are templates at most
+    family = Window.partitionBy("doc_id", "text_key", "family")
+    explained = F.exists("others", lambda o: (o["containment"] > F.col("containment"))
+                         & (F.size(F.array_except("matched", o["matched"])) == 0))
+    return (found.withColumn("others", F.collect_list(F.struct("containment", "matched")).over(family))
+            .where(~explained).drop("others", "matched"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -266,5 +266,15 @@ def test_licenses(spark, awkward, nothing):
     assert license_scan.report(nothing).count() == 0
 
 
+def test_other_terms_of_a_family_are_reported(spark):
+    by, sa = "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International Licence."
+    gpl = "This work is licensed under the GNU General Public License, version "
+    rows = [(1, f"{by} and the rest: {sa}", "cc-by-4.0,cc-by-sa-4.0"), (2, f"some {gpl}2.", "gpl-2.0"),
+            (3, f"{gpl}2. or {gpl}3.", "gpl-2.0,gpl-3.0"), (4, f"only {sa}", "cc-by-sa-4.0")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_licenses) for r in license_scan.report(docs).collect()}
+    assert got == {i: (names, names.count(",") + 1) for i, _, names in rows}
+
+
 def test_license_bands_meet_their_bound():
     assert (1 - 1 / license_scan.STRIDE) ** license_scan.BANDS <= license_scan.MISS
