@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factsift.llm import (chat_format, html_rules, license_scan, minhash_paths, packing, pii_feistel, suffix_decontam,
+from factsift.llm import (chat_format, html_rules, lexical_search, license_scan, minhash_paths, packing, pii_feistel, suffix_decontam,
                           token_store, toxicity, vector_graph, warc_index)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_bands": license_scan.query,
     "op10_suffix_arrays": suffix_decontam.query,
     "op12_grammar_round_trip": chat_format.query,
+    "op13_fp_tree_search": lexical_search.query,
 }
 
 ORACLE: dict[str, str] = {
     "op9_license_bands": license_scan.SQL,
     "op12_grammar_round_trip": chat_format.SQL,
+    "op13_fp_tree_search": lexical_search.SQL,
 }
