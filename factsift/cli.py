@@ -21,7 +21,7 @@ import sys
 from factsift.operators import metrics as M
 from factsift.operators import validate as V
 from factsift.operators.evidence import resolve_evidence
-from factsift.operators.scoring import LexicalVerifier
+from factsift.operators.scoring import Calls, LexicalVerifier
 from factsift.plans.presets import PRESETS, run_report, scored_run
 from factsift.session import get_spark
 from factsift.sources import claims as SC
@@ -57,7 +57,8 @@ def cmd_run(args) -> None:
         claims = clean.withColumnRenamed("seq", "claim_id")
     rejects.write.mode("overwrite").parquet(f"{args.out}/rejects")
     results, counters = scored_run(spark, claims, preset, f"{args.out}/results",
-                                   _factory(args.scorer, preset.dataset), args.parallelism)
+                                   _factory(args.scorer, preset.dataset), args.parallelism,
+                                   Calls(retries=args.retries, per_second=args.calls_per_second))
     print(f"scored {counters.get('rows', 0)} rows this session, {counters.get('errors', 0)} errors")
     rep = run_report(results, preset)
     R.write_report(rep, M.report_text(rep), f"{args.out}/report")
@@ -93,7 +94,9 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--pages-format", default="parquet")
     r.add_argument("--out", required=True)
     r.add_argument("--scorer", help="module:factory returning a (claim, evidence, prompt) -> str callable")
-    r.add_argument("--parallelism", type=int, default=None)
+    r.add_argument("--parallelism", type=int, default=None, help="scorer calls in flight over all tasks")
+    r.add_argument("--retries", type=int, default=0, help="further attempts of a call that fails")
+    r.add_argument("--calls-per-second", type=float, default=None, help="calls that one task starts in a second, at most")
     r.add_argument("--limit", type=int, default=None,
                    help="only the first N input rows, counted before any validation (F7)")
     r.set_defaults(fn=cmd_run)

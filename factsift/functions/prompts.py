@@ -37,6 +37,7 @@ DEFAULT_TEMPLATES = [
      "\nFinish with the label. " + _PUBHEALTH_ANSWER),
 ]
 
+TEMPLATE_BYTES = 1 << 20  # template text that a plan carries as a literal
 TEMPLATE_SCHEMA = "dataset string, strategy string, head string, mid string, tail string"
 
 
@@ -54,22 +55,38 @@ def render_column(head, claim, mid, evidence, tail):
                     F.coalesce(tail, F.lit("")))
 
 
+def _template_blocks(templates: DataFrame):
+    """The templates as lists of at most TEMPLATE_BYTES of text (one template at least)."""
+    held, size = [], 0
+    for row in templates.select("strategy", "head", "mid", "tail").toLocalIterator():
+        own = sum(len(x.encode()) for x in row if x is not None)
+        if held and size + own > TEMPLATE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += own
+    if held:
+        yield held
+
+
 def render(claims: DataFrame, templates: DataFrame, dataset: str,
            strategies: list[str] | None = None) -> DataFrame:
     """J6 + X4: one prompt per (claim, strategy) of ``dataset``.
 
-    A plain equi join on the dataset, of any number of templates: a small
-    template table is broadcast by its size, a larger one is joined by shuffle
-    with the claims' side split. The prompt is a ``concat`` in generated code.
+    The asked templates are a literal array that each claim explodes on its own
+    row: no join and no shuffle. A set of templates larger than TEMPLATE_BYTES
+    is taken in blocks of that size, each a pass over the claims.
     """
     t = templates.where(F.col("dataset") == dataset)
     if strategies:
         t = t.where(F.col("strategy").isin(strategies))
-    if t.isEmpty():
+    out = None
+    for block in _template_blocks(t):
+        literal = F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for c, x in row.asDict().items()]) for row in block])
+        filled = claims.select(*claims.columns, F.lit(dataset).alias("dataset"), F.explode(literal).alias("_t"))
+        prompt = render_column(F.col("_t.head"), F.col("claim"), F.col("_t.mid"), F.col("evidence"), F.col("_t.tail"))
+        part = filled.select(*claims.columns, "dataset", F.col("_t.strategy").alias("strategy"), prompt.alias("prompt"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         raise ValueError(f"no templates for dataset {dataset!r} and strategies {strategies}")
-    t = t.select(F.col("dataset").alias("_dataset"), F.col("strategy").alias("_strategy"), F.col("head").alias("_head"),
-                 F.col("mid").alias("_mid"), F.col("tail").alias("_tail"))
-    joined = claims.withColumn("_of", F.lit(dataset)).join(t, F.col("_of") == F.col("_dataset"))
-    prompt = render_column(F.col("_head"), F.col("claim"), F.col("_mid"), F.col("evidence"), F.col("_tail"))
-    return joined.select(*claims.columns, F.col("_of").alias("dataset"), F.col("_strategy").alias("strategy"),
-                         prompt.alias("prompt"))
+    return out

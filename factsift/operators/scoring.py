@@ -4,9 +4,11 @@
 Arrow batches of the claim rows, the scorer is built once per task and
 called once per row (the unit a remote verifier charges for), and any
 exception becomes ``(raw=NULL, error=<message>)`` for that row only, so one
-bad row never fails the task. Results should be written once and read back
-(see ``operators.batches.write_batches``): a lazily recomputed frame would
-call the scorer again.
+bad row never fails the task. ``Calls`` sets how many calls a task has in
+flight, how failures are retried and how fast calls start.
+
+``store_scored`` is the form that runs use: each batch is stored as soon as its
+last call ends, so that no call is repeated for a finished batch.
 
 ``score_stored`` is the same contract over a table of previously stored
 outputs ``(claim_id, strategy, raw, error)``: a plain left join.
@@ -17,10 +19,17 @@ model so runs, tests and benchmarks need no network.
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
@@ -28,6 +37,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from factsift import constants as K
 from factsift.session import ship_package
+from factsift.sources import files
 
 # Scorer contract: (claim, evidence, prompt) -> raw output text; may raise.
 Scorer = Callable[[str, str, str], str]
@@ -59,7 +69,7 @@ PROMPT_MARKS = {"step by step": "cot", "follow-up questions": "selfask"}
 
 def asked_strategy(prompt: str | None) -> str:
     """The strategy a prompt's opening asks for."""
-    opening = (prompt or "")[:80]
+    opening = (prompt or "").split("\n", 1)[0]
     return next((s for mark, s in PROMPT_MARKS.items() if mark in opening), "eep")
 
 
@@ -118,43 +128,171 @@ def lexical_verifier_column(claim: Column, evidence: Column,
     return raw, error
 
 
-def _score_partitions(factory: ScorerFactory, claim: str, evidence: str, prompt: str | None):
+@dataclass(frozen=True)
+class Calls:
+    """How a task calls its scorer.
+
+    ``concurrency`` calls are in flight in a task at a time (threads: a remote
+    scorer waits for its answer); a call that raises one of ``transient`` is
+    repeated up to ``retries`` times, after ``backoff`` seconds that double each
+    time; ``per_second`` bounds the calls that a task starts in a second.
+    """
+
+    concurrency: int = 1
+    retries: int = 0
+    backoff: float = 0.5
+    per_second: float | None = None
+    transient: tuple[type[BaseException], ...] = (Exception,)
+
+
+class Caller:
+    """A scorer with the window, retries and rate limit of ``Calls`` around it."""
+
+    def __init__(self, factory: ScorerFactory, calls: Calls):
+        self.scorer, self.calls = factory(), calls  # built once per task
+        self.pool = ThreadPoolExecutor(calls.concurrency) if calls.concurrency > 1 else None
+        self.lock, self.next_start = threading.Lock(), 0.0
+
+    def _wait_turn(self) -> None:
+        if self.calls.per_second:
+            with self.lock:
+                start = max(self.next_start, time.monotonic())
+                self.next_start = start + 1 / self.calls.per_second
+            time.sleep(max(0.0, start - time.monotonic()))
+
+    def call(self, claim, evidence, prompt) -> tuple[str | None, str | None]:
+        """``(raw, error)`` of one row; only failures of the scorer itself are caught."""
+        attempt = 0
+        while True:
+            self._wait_turn()
+            try:
+                return self.scorer(claim, evidence, prompt), None
+            except Exception as exc:  # noqa: BLE001 - isolate any scorer failure
+                if attempt == self.calls.retries or not isinstance(exc, self.calls.transient):
+                    return None, f"{type(exc).__name__}: {exc}"
+            time.sleep(self.calls.backoff * 2 ** attempt)
+            attempt += 1
+
+    def start(self, *row) -> Future:
+        """Begin a call; without a window it is over when this returns."""
+        if self.pool is not None:
+            return self.pool.submit(self.call, *row)
+        over: Future = Future()
+        over.set_result(self.call(*row))
+        return over
+
+    def close(self) -> None:
+        if self.pool is not None:
+            self.pool.shutdown(wait=False, cancel_futures=True)
+
+
+def _score_partitions(factory: ScorerFactory, claim: str, evidence: str, prompt: str | None, keep: list[str], calls: Calls):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = factory()  # built once per task
-        for pdf in batches:
-            raws, errors = [], []
-            claims = pdf[claim].tolist()
-            evidences = pdf[evidence].tolist()
-            prompts = pdf[prompt].tolist() if prompt else [None] * len(pdf)
-            for c, e, p in zip(claims, evidences, prompts):
-                try:
-                    raws.append(scorer(c, e, p))
-                    errors.append(None)
-                except Exception as exc:  # noqa: BLE001 - isolate any scorer failure
-                    raws.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-            out = pdf.copy()
-            out["raw"] = pd.Series(raws, index=pdf.index, dtype="object")
-            out["error"] = pd.Series(errors, index=pdf.index, dtype="object")
-            yield out
+        caller = Caller(factory, calls)
+        try:
+            for pdf in batches:
+                prompts = pdf[prompt].tolist() if prompt else [None] * len(pdf)
+                waits = [caller.start(*row) for row in zip(pdf[claim].tolist(), pdf[evidence].tolist(), prompts)]
+                outcomes = [call.result() for call in waits]
+                out = pdf[keep].copy()
+                out["raw"] = pd.Series([raw for raw, _ in outcomes], index=pdf.index, dtype="object")
+                out["error"] = pd.Series([error for _, error in outcomes], index=pdf.index, dtype="object")
+                yield out
+        finally:
+            caller.close()
     return run
 
 
 def score(df: DataFrame, factory: ScorerFactory = LexicalVerifier, claim: str = "claim",
           evidence: str = "evidence", prompt: str | None = "prompt",
-          parallelism: int | None = None) -> DataFrame:
-    """Append ``raw`` and ``error`` columns produced by the scorer.
+          keep: list[str] | None = None, calls: Calls = Calls()) -> DataFrame:
+    """``raw`` and ``error`` of each row by the scorer, with the columns ``keep``.
 
-    ``parallelism`` caps concurrent scorer calls (``repartition``), for
-    rate-limited remote scorers; by default the input partitioning is kept.
+    Name the keys in ``keep`` where the texts are not needed behind the scorer;
+    by default all columns but the prompt come back. Calls run as ``calls`` says.
     """
     if prompt is not None and prompt not in df.columns:
         prompt = None
+    keep = keep if keep is not None else [c for c in df.columns if c != prompt]
     ship_package(df.sparkSession)
-    src = df.repartition(parallelism) if parallelism else df
-    schema = StructType(list(src.schema.fields) + [StructField("raw", StringType()),
-                                                   StructField("error", StringType())])
-    return src.mapInPandas(_score_partitions(factory, claim, evidence, prompt), schema)
+    used = df.select(*dict.fromkeys([*keep, claim, evidence, *([prompt] if prompt else [])]))
+    schema = StructType([df.schema[c] for c in keep] + [StructField("raw", StringType()), StructField("error", StringType())])
+    return used.mapInPandas(_score_partitions(factory, claim, evidence, prompt, keep, calls), schema)
+
+
+#: What a task stores of each row it scored: the result row and what the scorer said.
+SCORED = "strategy string, claim_id long, seq long, batch_id long, claim string, evidence string, label string, raw string, error string"
+_SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
+
+
+def _store_batches(factory: ScorerFactory, folder: str, calls: Calls):
+    """Score rows that come by batch; each batch is a file as soon as its last
+    call has ended. At most one batch and ``concurrency`` further rows are held."""
+    arrow = pa.schema([(n, pa.int64() if n in ("claim_id", "seq", "batch_id") else pa.string()) for n in _SCORED_NAMES])
+
+    def commit(batch: int, calls_of: list) -> dict:
+        rows = [(*row, *call.result()) for row, call in calls_of]
+        table = pa.Table.from_pydict(dict(zip(_SCORED_NAMES, zip(*rows))), schema=arrow)
+        files.write_whole(f"{folder}/batch-{batch}.parquet", lambda stream: pq.write_table(table, stream))
+        return {"batch_id": batch, "rows": len(rows)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller = Caller(factory, calls)
+        held: deque[tuple[int, list]] = deque()     # batches that are not stored yet, the oldest first
+        waiting: deque[Future] = deque()            # the window of calls, the oldest first
+        marks = pa.schema([("batch_id", pa.int64()), ("rows", pa.int64())])
+        skipped = None
+        try:
+            for record in batches:
+                stored = []
+                *columns, prompts = (c.to_pylist() for c in record.columns)
+                for row, prompt in zip(zip(*columns), prompts):
+                    batch = row[3]
+                    if batch == skipped:
+                        continue
+                    if not held or held[-1][0] != batch:
+                        if files.exists(f"{folder}/batch-{batch}.parquet"):  # by an earlier attempt of this task
+                            skipped = batch
+                            continue
+                        held.append((batch, []))
+                    while len(held) > 1 and held[0][1][-1][1].done() and all(c.done() for _, c in held[0][1]):
+                        stored.append(commit(*held.popleft()))
+                    call = caller.start(row[4], row[5], prompt)
+                    held[-1][1].append((row, call))
+                    waiting.append(call)
+                    if len(waiting) > calls.concurrency:
+                        waiting.popleft().result()
+                yield pa.RecordBatch.from_pylist(stored, marks)
+            yield pa.RecordBatch.from_pylist([commit(*b) for b in held], marks)
+        finally:
+            caller.close()
+
+    return run
+
+
+def store_scored(prompts: DataFrame, factory: ScorerFactory, folder: str, concurrency: int | None = None,
+                 calls: Calls = Calls()) -> int:
+    """D1 + K1: score ``prompts`` and store every batch under ``folder`` as it ends;
+    the number of rows scored.
+
+    A batch lies whole in one task, in order of ``seq``; its file appears when
+    its last call ends, so a run that dies keeps every finished batch, and a
+    task that is tried again leaves out the batches it had finished. With
+    ``concurrency`` that many calls are in flight over all tasks, whatever
+    their number: tasks share it as windows of ``Calls.concurrency``.
+    """
+    spark = prompts.sparkSession
+    ship_package(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if concurrency:
+        tasks = min(tasks, concurrency)
+        at_once = min(tasks, spark.sparkContext.defaultParallelism)
+        calls = replace(calls, concurrency=-(-concurrency // at_once))
+    rows = prompts.select("strategy", F.col("claim_id").cast("long"), F.col("seq").cast("long"), F.col("batch_id").cast("long"),
+                          "claim", "evidence", "label", "prompt")
+    dealt = rows.repartition(tasks, "batch_id").sortWithinPartitions("batch_id", "seq")
+    marks = dealt.mapInArrow(_store_batches(factory, files.qualified(spark, folder), calls), "batch_id long, rows long")
+    return marks.agg(F.sum("rows")).first()[0] or 0
 
 
 def score_stored(df: DataFrame, outputs: DataFrame, keys=("claim_id", "strategy")) -> DataFrame:

@@ -443,7 +443,7 @@ FROM evidence""")
 def d1(spark, sf_dir):
     """D1 + X8: the pluggable scorer in mapInPandas, failures isolated per row."""
     p = render(evidence_claims(spark, sf_dir), templates_frame(spark), "fever", ["eep"])
-    return D.score(p, D.LexicalVerifier).select("claim_id", "raw", "error")
+    return D.score(p, D.LexicalVerifier, keep=["claim_id"])
 
 
 @register("x5_x8_label_policies", "WITH " + SQL_OUTPUTS + """
@@ -646,9 +646,9 @@ SELECT CAST(count(*) AS BIGINT) AS rows_done,
        CAST(count(*) FILTER (WHERE p_raw = 'ERROR') AS BIGINT) AS error_rows
 FROM preds""")
 def a11(spark, sf_dir):
-    """The counters observed on the writes of a scored run in waves."""
+    """The counters observed on the write of a scored run."""
     out = shared_dir(spark, "run-counters")
-    _, seen = P.scored_run(spark, evidence_claims(spark, sf_dir), P.PRESETS["fever_eep_full"], out, wave_rows=100_000)
+    _, seen = P.scored_run(spark, evidence_claims(spark, sf_dir), P.PRESETS["fever_eep_full"], out)
     return spark.range(1).select(F.lit(seen["rows"]).cast("long").alias("rows_done"),
                                  F.lit(seen["errors"]).cast("long").alias("error_rows"))
 

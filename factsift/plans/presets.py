@@ -15,6 +15,7 @@ rather than only the rows of the current session.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,8 +29,9 @@ from factsift.functions.prompts import render, templates_frame
 from factsift.operators import batches as B
 from factsift.operators import metrics as M
 from factsift.operators import sampling as S
-from factsift.operators.scoring import LexicalVerifier, observe_counters, score
-from factsift.session import path_exists, shared_dir
+from factsift.operators.scoring import SCORED, Calls, LexicalVerifier, observe_counters, store_scored
+from factsift.session import path_exists
+from factsift.sources import files
 from factsift.sources import results as R
 
 
@@ -52,8 +54,6 @@ class Preset:
         return K.FEVER_LABELS if self.dataset == "fever" else K.PUBHEALTH_LABELS
 
 
-WAVE_ROWS = 1_000_000
-
 # ---- fixed values: the run presets (batch sizes, sample sizes, seed) -------
 PRESETS: dict[str, Preset] = {p.name: p for p in [
     Preset("fever_eep_full", "fever", "eep", "jsonl", None, None, 300, "raw", False, "all"),
@@ -93,47 +93,69 @@ def result_rows(scored: DataFrame, preset: Preset) -> DataFrame:
     return scored.select(*cols)
 
 
+def _open_folder(out_dir: str, preset: Preset) -> str:
+    """Where finished batches lie until they join the result table (hidden from its readers)."""
+    return f"{out_dir}/_open/{preset.strategy}"
+
+
+def collect_open(spark: SparkSession, preset: Preset, out_dir: str) -> dict:
+    """K1: append all batches that tasks have finished to the result table.
+
+    One atomic append of result rows (X5-X8, P4) in files of the usual size;
+    rows that the table has already (of a session that died between the append
+    and the deletion) are left out. Returns the A11 counters of the append.
+    """
+    folder = _open_folder(out_dir, preset)
+    if not path_exists(spark, folder):
+        return {}
+    scored = spark.read.schema(SCORED).option("recursiveFileLookup", "true").parquet(folder)
+    paths = scored.inputFiles()
+    if not paths:
+        return {}
+    rows = result_rows(spark.read.schema(SCORED).parquet(*paths), preset)
+    done = stored_keys(spark, preset, out_dir)
+    if done is not None:
+        rows = B.pending(rows, done, "claim_id")
+    rows, obs = observe_counters(rows)
+    rows.sortWithinPartitions("batch_id", "seq").write.mode("append").parquet(out_dir)
+    files.delete_files(spark, paths)
+    return obs.get
+
+
+def stored_keys(spark: SparkSession, preset: Preset, out_dir: str) -> DataFrame | None:
+    """Keys of this strategy's rows in the result table; None without a table."""
+    if not path_exists(spark, out_dir):
+        return None
+    # explicit schema: a table without data files reads as empty
+    return (spark.read.schema("strategy string, claim_id long").parquet(out_dir)
+            .where(F.col("strategy") == preset.strategy).select("claim_id"))
+
+
 def scored_run(spark: SparkSession, claims: DataFrame, preset: Preset, out_dir: str,
                scorer_factory=None, parallelism: int | None = None,
-               wave_rows: int = WAVE_ROWS) -> tuple[DataFrame, dict]:
+               calls: Calls = Calls()) -> tuple[DataFrame, dict]:
     """Q4: score every row not yet stored under ``out_dir``; return the stored table.
 
-    Rows are scored in waves of whole batches, ``wave_rows`` rows each, and
-    every wave is one committed append: a run that dies keeps its finished
-    waves, and the next one scores only the rest. All rows are scored whatever
-    the wave size. Returns ``(results, counters)`` where counters are the A11 observations of
-    this session's write (rows scored, ERROR rows).
+    Every batch is stored when its last call ends (``operators.scoring.store_scored``)
+    and joins the result table with the other finished ones when the run ends,
+    well or not, or when the next one begins: a run that dies keeps all batches
+    it has finished, and the next one scores only the rest. ``parallelism`` is
+    the number of calls in flight over all tasks. Returns ``(results, counters)``;
+    the counters are the A11 observations of what this session stored.
     """
     factory = scorer_factory or (lambda: LexicalVerifier(preset.dataset))
+    collect_open(spark, preset, out_dir)                # of a session that was cut off
     work = working_set(claims, preset)
-    if path_exists(spark, out_dir):
-        # explicit schema: a state folder without data files reads as empty
-        done = (spark.read.schema("strategy string, claim_id long").parquet(out_dir)
-                .where(F.col("strategy") == preset.strategy))
-        todo = B.pending(work, done, "claim_id")
-    else:
-        todo = work
+    done = stored_keys(spark, preset, out_dir)
+    todo = work if done is None else B.pending(work, done, "claim_id")
     prompts = render(todo, templates_frame(spark), preset.dataset, [preset.strategy])
-    span = todo.agg(F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi")).first()
-    per_wave = max(1, wave_rows // preset.batch_size)
     counters: Counter = Counter(rows=0, errors=0)
-    if span["lo"] is None:
-        bounds = [None]             # nothing to do still makes the table
-    else:
-        bounds = [(lo, lo + per_wave) for lo in range(span["lo"], span["hi"] + 1, per_wave)]
-    if len(bounds) > 1:             # resolve evidence once, not once a wave
-        staged = shared_dir(spark, "run-input")
-        prompts.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(staged)
-        prompts = spark.read.schema(prompts.schema).parquet(staged)
-    # One append-only table keyed by (strategy, claim_id); batch_id is a plain
-    # column. Per-batch folders would mean one folder per few hundred rows at
-    # scale; resume is by key, so they are only produced for the CSV export
-    # (sources.results.write_batches). Each append is atomic (job commit).
-    for wave in bounds:
-        part = prompts if len(bounds) == 1 else prompts.where(F.col("batch_id").between(wave[0], wave[1] - 1))
-        rows, obs = observe_counters(result_rows(score(part, factory, parallelism=parallelism), preset))
-        rows.sortWithinPartitions("batch_id", "seq").write.mode("append").parquet(out_dir)
-        counters.update({k: v or 0 for k, v in obs.get.items()})
+    try:
+        store_scored(prompts, factory, f"{_open_folder(out_dir, preset)}/{uuid.uuid4().hex}", parallelism, calls)
+    finally:
+        counters.update({k: v or 0 for k, v in collect_open(spark, preset, out_dir).items()})
+    if not counters["rows"] and stored_keys(spark, preset, out_dir) is None:  # nothing to do still makes the table
+        result_rows(spark.createDataFrame([], SCORED), preset).write.mode("append").parquet(out_dir)
     return R.read_batches(spark, out_dir).where(F.col("strategy") == preset.strategy), counters
 
 

@@ -63,7 +63,7 @@ def _epoch_writer(pages: DataFrame, output_dir: str, dataset: str, strategy: str
             todo = B.pending(todo, done, ROW_HASH)
         resolved = resolve_evidence(todo, pages, keep=["claim_id", "claim", "label"], key=ROW_HASH)
         prompts = render(resolved, templates_frame(spark), dataset, [strategy])
-        scored = score(prompts, scorer_factory)
+        scored = score(prompts, scorer_factory, keep=["strategy", ROW_HASH, "claim_id", "claim", "evidence", "label"])
         rows = scored.select(
             F.col("strategy"), F.col(ROW_HASH), F.col("claim_id"), F.lit(epoch_id).cast("long").alias("epoch"),
             F.col("claim").alias("Claim"), F.col("evidence").alias("Evidence"),

@@ -1,5 +1,9 @@
 """Runs that die, result files of any shape, and values longer than their column."""
 
+import dataclasses
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,10 +12,9 @@ from factsift.operators import metrics as M
 from factsift.operators import sampling as S
 from factsift.operators.evidence import ROW_HASH, resolve_evidence, row_hash
 from factsift.plans import presets as P
+from factsift.operators import scoring as D
 from factsift.sources import results as R
 
-import dataclasses
-
 
 class DiesAt:
     def __init__(self, claim):
@@ -23,18 +26,83 @@ class DiesAt:
         return "SUPPORTS"
 
 
-def test_a_dead_run_keeps_its_finished_waves(spark, tmp):
+def _run_claims(spark, n):
+    return spark.createDataFrame([(i, f"c{i}", "e", "SUPPORTS") for i in range(n)],
+                                 "claim_id long, claim string, evidence string, label string")
+
+
+@pytest.mark.parametrize("parallelism", [1, 6])
+def test_a_dead_run_keeps_its_finished_batches(spark, tmp, parallelism):
+    """Default settings, one task: the scorer takes the worker down on the last row."""
+    preset = dataclasses.replace(P.PRESETS["fever_eep_full"], batch_size=10)
+    claims, out = _run_claims(spark, 400), f"{tmp}/run"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with pytest.raises(Exception):
+            P.scored_run(spark, claims, preset, out, lambda: DiesAt("c399"), parallelism=parallelism)
+        kept = spark.read.parquet(out)
+        assert kept.count() == 390 and kept.select("batch_id").distinct().count() == 39
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    results, seen = P.scored_run(spark, claims, preset, out, lambda: DiesAt(None), parallelism=parallelism)
+    assert results.count() == 400 and seen["rows"] == 10
+    assert results.select("claim_id").distinct().count() == 400
+
+
+def test_batches_of_a_session_that_was_cut_off_are_kept(spark, tmp, monkeypatch):
+    """The driver dies before, and once more behind, the append of the finished batches."""
     preset = dataclasses.replace(P.PRESETS["fever_eep_full"], batch_size=10)
-    claims = spark.createDataFrame([(i, f"c{i}", "e", "SUPPORTS") for i in range(100)],
-                                   "claim_id long, claim string, evidence string, label string")
-    out = f"{tmp}/run"
-    with pytest.raises(Exception):
-        P.scored_run(spark, claims, preset, out, lambda: DiesAt("c75"), wave_rows=20)
-    kept = spark.read.parquet(out)
-    assert kept.count() == 60 and kept.agg(F.max("batch_id")).first()[0] == 5
-    results, seen = P.scored_run(spark, claims, preset, out, lambda: DiesAt(None), wave_rows=20)
-    assert results.count() == 100 and seen["rows"] == 40
-    assert results.select("claim_id").distinct().count() == 100
+    claims, out = _run_claims(spark, 60), f"{tmp}/run"
+    with monkeypatch.context() as m:
+        m.setattr(P, "collect_open", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()) if a[2] in started else started.append(a[2]) or {})
+        started = []
+        with pytest.raises(KeyboardInterrupt):
+            P.scored_run(spark, claims, preset, out)
+    with monkeypatch.context() as m:
+        m.setattr(P.files, "delete_files", lambda *a: None)
+        P.collect_open(spark, preset, out)
+    results, seen = P.scored_run(spark, claims, preset, out, lambda: DiesAt("c5"))    # nothing is left to score
+    assert results.count() == 60 and seen["rows"] == 0
+
+
+class Slow:
+    """Counts the calls that are in flight at once, in one process."""
+    lock, now, most = threading.Lock(), 0, 0
+
+    def __call__(self, claim, evidence, prompt):
+        with Slow.lock:
+            Slow.now += 1
+            Slow.most = max(Slow.most, Slow.now)
+        time.sleep(0.02)
+        with Slow.lock:
+            Slow.now -= 1
+        return f"{Slow.most}"
+
+
+def test_calls_in_flight_do_not_depend_on_tasks(spark, tmp):
+    preset = dataclasses.replace(P.PRESETS["fever_cot"], sampling=None, batch_size=50)
+    begin = time.monotonic()
+    results, _ = P.scored_run(spark, _run_claims(spark, 1600), preset, f"{tmp}/r", Slow, parallelism=64)
+    seen = [int(r[0]) for r in results.select(K.RAW_OUTPUT_COLUMN).collect()]
+    assert max(seen) == 64 // 4 and len(seen) == 1600            # four tasks at once, 16 calls each
+    assert time.monotonic() - begin < 20                        # 32 s of calls, one at a time
+
+
+def test_retries_and_rate():
+    tries = []
+
+    class Flaky:
+        def __call__(self, claim, evidence, prompt):
+            tries.append(time.monotonic())
+            if len(tries) < 3:
+                raise TimeoutError("busy")
+            if claim == "bad":
+                raise ValueError("no")
+            return "TRUE"
+
+    caller = D.Caller(Flaky, D.Calls(retries=2, backoff=0.01, per_second=50, transient=(TimeoutError,)))
+    assert caller.call("c", "e", None) == ("TRUE", None) and len(tries) == 3
+    assert tries[1] - tries[0] >= 0.02 and caller.call("bad", "e", None) == (None, "ValueError: no") and len(tries) == 4
 
 
 def test_rows_without_their_own_id_keep_their_own_evidence(spark):
