@@ -47,13 +47,13 @@ def cmd_run(args) -> None:
     if preset.source == "jsonl":
         if not args.pages:
             raise SystemExit("--pages is required for JSON-lines presets")
-        raw = V.limit_raw_rows(SC.read_claims_jsonl(spark, args.claims), args.limit)  # F7
+        raw = SC.read_claims_jsonl(spark, args.claims, limit=args.limit)  # F7
         clean, rejects = SC.split_rejects(raw)
         pages = read_page_store(spark, args.pages, fmt=args.pages_format)
         # a line is its own row, whether its id is missing, repeated or neither
         claims = resolve_evidence(clean, pages, keep=["claim", "label"], key="seq").withColumnRenamed("seq", "claim_id")
     else:
-        clean, rejects = V.validate(SC.read_claims_tsv(spark, args.claims), preset.labels, limit=args.limit)
+        clean, rejects = V.validate(SC.read_claims_tsv(spark, args.claims, limit=args.limit), preset.labels)
         claims = clean.withColumnRenamed("seq", "claim_id")
     rejects.write.mode("overwrite").parquet(f"{args.out}/rejects")
     results, counters = scored_run(spark, claims, preset, f"{args.out}/results",

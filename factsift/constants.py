@@ -27,6 +27,7 @@ NULL_TITLE_TEXT = "None"
 RESULT_COLUMNS = ["Claim", "Evidence", "True_Label", "Predicted_Label"]
 RAW_OUTPUT_COLUMN = "Raw_Output"
 RESULT_FILE_GLOB = "*_result_*.csv"
+RESULT_FILE_NUMBER = r"_result_([0-9]+)\.csv$"
 
 # ---- fixed values: per-claim evidence resolution status --------------------
 RES_NO_EVIDENCE = "no_evidence"

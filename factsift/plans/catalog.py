@@ -533,7 +533,7 @@ _register_run("q4g_scored_run_pubhealth_selfask", P.PRESETS["pubhealth_selfask"]
 SELECT seq, claim, evidence, label FROM clean WHERE seq < 100""")
 def f7(spark, sf_dir):
     """only the first 100 raw rows are looked at, counted before validation."""
-    clean, _ = V.validate(tsv_loaded(spark, sf_dir), limit=100)
+    clean, _ = V.validate(st.load_tsv(spark, sf_dir, limit=100))
     return clean
 
 

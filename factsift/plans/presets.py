@@ -109,7 +109,7 @@ def collect_open(spark: SparkSession, preset: Preset, out_dir: str) -> dict:
     if not path_exists(spark, folder):
         return {}
     scored = spark.read.schema(SCORED).option("recursiveFileLookup", "true").parquet(folder)
-    paths = scored.inputFiles()
+    paths = files.input_paths(scored)
     if not paths:
         return {}
     rows = result_rows(spark.read.schema(SCORED).parquet(*paths), preset)

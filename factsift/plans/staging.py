@@ -61,6 +61,6 @@ def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_page_store(spark, pages_path(spark, sf_dir))
 
 
-def load_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_tsv(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """TSV claims with their file-order ``seq``."""
-    return SC.read_claims_tsv(spark, claims_tsv_path(spark, sf_dir))
+    return SC.read_claims_tsv(spark, claims_tsv_path(spark, sf_dir), limit=limit)

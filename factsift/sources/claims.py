@@ -2,54 +2,87 @@
 
 Spark has no implicit row order, yet raw-row limits (F7), batch numbers (W2)
 and reject logs refer to file order. Readers therefore carry an explicit
-``seq``: rows are ordered by ``(file path, block start, position in block)``
-using the hidden ``_metadata`` columns, then numbered densely and in parallel
-by ``operators.batches.assign_sequence``.
+``seq``, the row's place by file path and position. JSON lines are numbered per
+file block as they are read (``operators.batches.number_file_rows``), TSV
+records while their quoting is followed (``sources.delimited``); no row is
+sorted or stored for it, and files of any size are read by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsift import constants as K
-from factsift.operators.batches import assign_sequence
+from factsift.operators.batches import number_file_rows
+from factsift.sources.delimited import read_delimited
+from factsift.sources.files import input_paths
 
 EVIDENCE_TYPE = "array<array<array<string>>>"
 JSONL_SCHEMA = (f"id string, claim string, label string, evidence {EVIDENCE_TYPE}, "
                 "_corrupt_record string")
+# evidence with the JSON type of each value
+TYPED_SCHEMA = JSONL_SCHEMA.replace(EVIDENCE_TYPE, "variant")
+_JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+INDEX_AT = 3  # fixed value: the sentence index's place in a reference
 
 
-def _file_order(df: DataFrame) -> DataFrame:
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"))
+def typed_evidence(evidence: Column) -> Column:
+    """a variant as evidence groups whose index is null unless it is a JSON
+    integer: ``0`` stays, ``"0"``, ``0.0``, ``true`` and ``null`` don't (nor does an
+    integer beyond 64 bits). What isn't a list of lists of lists is null there."""
+    def value(x: Column, i: Column) -> Column:
+        return F.when((i != INDEX_AT) | (F.schema_of_variant(x) == "BIGINT"), F.try_variant_get(x, "$", "string"))
 
+    def ref(r: Column) -> Column:
+        return F.transform(F.try_variant_get(r, "$", "array<variant>"), value)
 
-def read_claims_jsonl(spark: SparkSession, path: str, with_seq: bool = True) -> DataFrame:
+    return F.transform(F.try_variant_get(evidence, "$", "array<array<variant>>"), lambda g: F.transform(g, ref))
+
+
+def _leading_lines(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
+    """Non-blank lines below ``path``; with ``limit`` of as many leading files (in
+    doubling numbers) as hold that many."""
+    def lines(of):
+        return spark.read.text(of).where(F.col("value").rlike(r"[^ \t\r\n]"))
+
+    found, taken = lines(path), 1
+    if limit is None:
+        return found
+    paths = input_paths(found)
+    while taken < len(paths) and lines(paths[:taken]).limit(limit).count() < limit:
+        taken *= 2
+    return lines(paths[:taken]) if paths else found
+
+
+def read_claims_jsonl(spark: SparkSession, path: str, with_seq: bool = True, strict: bool = True,
+                      limit: int | None = None) -> DataFrame:
     """S1 + P1: ``seq, claim_id, claim, label, evidence, reject_reason``.
 
     Blank lines are skipped; malformed lines and lines without ``claim`` are
     kept with a ``reject_reason`` instead of aborting the load (see
     ``split_rejects``). A missing or NULL ``label`` defaults to
     ``NOT ENOUGH INFO``; labels are upper-cased without trimming. Mixed-type
-    reference arrays such as ``[10, 20, "T", 3]`` read as strings.
+    reference arrays such as ``[10, 20, "T", 3]`` read as strings. ``strict``
+    (F1) keeps a sentence index only if it is a JSON integer, see
+    ``typed_evidence``; without it a quoted one counts too. ``limit`` (F7, with
+    ``with_seq``) reads the first lines only.
     """
-    raw = (spark.read.schema(JSONL_SCHEMA)
-           .option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .json(path))
-    df = _file_order(raw)
+    schema = TYPED_SCHEMA if strict else JSONL_SCHEMA
     if with_seq:
-        df = assign_sequence(df, ["_file", "_block", "_pos"])
+        numbered = number_file_rows(_leading_lines(spark, path, limit))
+        if limit is not None:
+            numbered = numbered.where(F.col("seq") < limit)
+        df = numbered.select("seq", F.from_json("value", schema, _JSON_OPTIONS).alias("r")).select("seq", "r.*")
+    else:
+        df = spark.read.schema(schema).options(**_JSON_OPTIONS).json(path)
     reason = (F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed json"))
               .when(F.col("claim").isNull(), F.lit("missing claim")))
     claim_id = F.coalesce(F.col("id").try_cast("long"), F.col("seq")) if with_seq else F.col("id").try_cast("long")
+    evidence = typed_evidence(F.col("evidence")) if strict else F.col("evidence")
     cols = [claim_id.alias("claim_id"), F.col("claim"),
             F.upper(F.coalesce(F.col("label"), F.lit(K.DEFAULT_JSONL_LABEL))).alias("label"),
-            F.col("evidence"), reason.alias("reject_reason")]
+            evidence.alias("evidence"), reason.alias("reject_reason")]
     if with_seq:
         cols.insert(0, F.col("seq"))
     return df.select(*cols)
@@ -101,36 +134,20 @@ def write_claims_jsonl(claims: DataFrame, path: str, order: str = "claim_id") ->
      .write.mode("overwrite").option("compression", "none").text(path))
 
 
-TSV_OPTIONS = {"sep": "\t", "header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+TSV_COLUMNS = ("claim", "main_text", "label")
 
 
-def read_claims_tsv(spark: SparkSession, path: str, with_seq: bool = True,
-                    multiline: bool = True) -> DataFrame:
+def read_claims_tsv(spark: SparkSession, path: str, with_seq: bool = True, limit: int | None = None) -> DataFrame:
     """Header TSV with quoted fields, embedded newlines and tabs.
 
-    All fields are read as strings by header name; short rows give NULL for
-    missing fields, extra fields are ignored, blank lines yield no row.
-    ``escape='"'`` makes doubled quotes inside quoted fields parse as in
-    Python's csv module. Output: ``seq, claim, main_text, label``.
-
-    A file with quoted newlines cannot be split (record boundaries are only
-    known by reading from the start), so each file is read by one task; for
-    large inputs split the data into many files, or pass ``multiline=False``
-    when no field contains a newline, which makes every file splittable.
+    All fields are read as strings by header name, as Python's csv module reads
+    them; short rows give NULL for missing fields, extra fields are ignored,
+    blank lines yield no row. Output: ``seq, claim, main_text, label``. Files of
+    any size are split (``sources.delimited``); ``limit`` (F7) reads the first
+    records only.
     """
-    reader = spark.read
-    for k, v in TSV_OPTIONS.items():
-        reader = reader.option(k, v)
-    reader = reader.option("multiLine", "true" if multiline else "false")
-    raw = reader.csv(path)
-    for c in ("claim", "main_text", "label"):
-        if c not in raw.columns:
-            raw = raw.withColumn(c, F.lit(None).cast("string"))
-    df = _file_order(raw.select("claim", "main_text", "label"))
-    if with_seq:
-        df = assign_sequence(df, ["_file", "_block", "_pos"])
-        return df.select("seq", "claim", "main_text", "label")
-    return df.select("claim", "main_text", "label")
+    df = read_delimited(spark, path, TSV_COLUMNS, sep="\t", limit=limit)
+    return df.select("seq", *TSV_COLUMNS) if with_seq else df.select(*TSV_COLUMNS)
 
 
 def write_claims_tsv(df: DataFrame, path: str, order: str | None = None) -> None:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -21,6 +22,11 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file://" + full[len("file:"):] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
+def input_paths(df: DataFrame) -> list[str]:
+    """The files a frame reads, sorted, as paths that can be read again."""
+    return sorted(unquote(path) for path in df.inputFiles())
+
+
 def exists(uri: str) -> bool:
     fs, path = pafs.FileSystem.from_uri(uri)
     return fs.get_file_info(path).type != pafs.FileType.NotFound

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsift import constants as K
+from factsift.sources.delimited import read_delimited
 
 CSV_OPTIONS = {
     "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
@@ -24,8 +25,6 @@ CSV_OPTIONS = {
     "nullValue": "\\N", "encoding": "UTF-8",
 }
 
-MAX_RESULT_COLUMNS = 64  # columns of a result file that are looked at, by position; five have a meaning
-
 
 def _csv_reader(spark: SparkSession):
     r = spark.read
@@ -67,28 +66,17 @@ def read_result_folder(spark: SparkSession, path: str) -> DataFrame:
 
     Only files named ``..._result_<k>.csv`` are read; a combined file or any
     other in the same folder is left out. Each file's columns are taken by the
-    names in its own header, in any order; every column is a string (no type
-    inference), a column that a file lacks reads as NULL, others are ignored.
-    ``batch_id`` is parsed from the file name.
+    names in its own header, in any order and of any number; every column is a
+    string (no type inference), a column that a file lacks reads as NULL, others
+    are ignored. ``batch_id`` is parsed from the file name. Large files are split.
     """
-    # a file with quoted newlines is read by one task, so its rows come in order
-    cells = [f"c{i}" for i in range(MAX_RESULT_COLUMNS)]
-    raw = (_csv_reader(spark).option("header", "false").schema(", ".join(f"{c} string" for c in cells))
-           .option("pathGlobFilter", K.RESULT_FILE_GLOB).option("recursiveFileLookup", "false")
-           .option("mode", "PERMISSIVE").csv(path))
-    name = F.col("_metadata.file_name")
-    raw = raw.select(F.array(*cells).alias("cells"), name.alias("file_name"), F.col("_metadata.file_path").alias("_file"),
-                     F.monotonically_increasing_id().alias("_at"))
-    raw = raw.withColumn("batch_id", F.regexp_extract("file_name", r"_result_([0-9]+)\.csv$", 1).try_cast("long"))
-    raw = raw.where(F.col("batch_id").isNotNull())
-    header = raw.groupBy("_file").agg(F.min("_at").alias("_first"), F.min_by("cells", "_at").alias("_names"))
-    rows = raw.join(header, "_file").where(F.col("_at") > F.col("_first"))
-    names = F.transform("_names", lambda x: F.regexp_replace(F.trim(x), "^\ufeff", ""))
-
-    def value(column: str):
-        return F.get("cells", (F.array_position(names, column) - 1).cast("int")).alias(column)
-
-    return rows.select(*[value(c) for c in [*K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN]], "batch_id", "file_name")
+    rows = read_delimited(spark, path, [*K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN], sep=",", glob=K.RESULT_FILE_GLOB,
+                          null=CSV_OPTIONS["nullValue"])
+    name = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return (rows.withColumn("file_name", name)
+            .withColumn("batch_id", F.regexp_extract("file_name", K.RESULT_FILE_NUMBER, 1).try_cast("long"))
+            .where(F.col("batch_id").isNotNull()).drop("file", "seq")
+            .select(*K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN, "batch_id", "file_name"))
 
 
 def write_combined(df: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,26 @@ def test_threshold_widening_keeps_result_exact(spark, monkeypatch):
     monkeypatch.setattr(S, "_threshold", lambda size, n: F.floor(real(size, n) / 64).cast("long"))
     got = sorted(r.claim_id for r in S.stratified(df, 100).collect())
     assert got == _brute_force(rows, 100)
+
+
+def test_sequence_of_repeated_and_null_keys(spark):
+    rows = [(i % 7 if i % 5 else None, f"t{i % 11}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, text string").repartition(6)
+    got = B.assign_sequence(df, ["k"]).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(300)) and sorted((r.k, r.text) for r in got if r.k is not None) == sorted(x for x in rows if x[0] is not None)
+    assert [r.k is not None and r.k for r in got] == [k is not None and k for k in sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))]
+    assert B.assign_sequence(df.limit(0), ["k"]).count() == 0
+
+
+def test_numbering_moves_no_text_through_sorts_or_checkpoints(spark, tmp):
+    """Plans hold no text in a sort, a range exchange or a checkpointed scan."""
+    from factsift.sources import claims as SC
+    df = spark.range(2000).select("id", F.repeat(F.lit("word "), 50).alias("text"))
+    df.write.parquet(f"{tmp}/t")
+    (df.select(F.to_json(F.struct(F.col("text").alias("claim"))).alias("value"))).write.text(f"{tmp}/j")
+    for out in (B.assign_sequence(spark.read.parquet(f"{tmp}/t"), ["id"]), SC.read_claims_jsonl(spark, f"{tmp}/j")):
+        out.count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        for node in re.findall(r"(?:Sort|RangePartitioning|rangepartitioning|Scan ExistingRDD)[^\n]*", plan):
+            assert "text" not in node and "value" not in node, node
+    assert out.agg(F.max("seq")).first()[0] == 1999
