@@ -18,6 +18,10 @@ import argparse
 import importlib
 import sys
 
+from pyspark.sql import functions as F
+
+from factsift import constants as K
+from factsift.operators import combine as C
 from factsift.operators import metrics as M
 from factsift.operators import validate as V
 from factsift.operators.evidence import resolve_evidence
@@ -26,6 +30,7 @@ from factsift.plans.presets import PRESETS, run_report, scored_run
 from factsift.session import get_spark
 from factsift.sources import claims as SC
 from factsift.sources import results as R
+from factsift.sources.batch_files import write_batch_files
 from factsift.sources.pages import read_page_store
 
 
@@ -60,18 +65,24 @@ def cmd_run(args) -> None:
                                    _factory(args.scorer, preset.dataset), args.parallelism,
                                    Calls(retries=args.retries, per_second=args.calls_per_second))
     print(f"scored {counters.get('rows', 0)} rows this session, {counters.get('errors', 0)} errors")
+    if args.batch_files:
+        columns = [*K.RESULT_COLUMNS, *([K.RAW_OUTPUT_COLUMN] if preset.raw_output_column else [])]
+        write_batch_files(results.select("batch_id", "seq", *columns), f"{args.out}/batches", args.batch_files)
     rep = run_report(results, preset)
     R.write_report(rep, M.report_text(rep), f"{args.out}/report")
     _print_report(rep)
 
 
 def cmd_combine(args) -> None:
+    """Folders in the order given, batches by number, rows in their order."""
     spark = get_spark()
-    if args.reference_layout:
-        df = R.read_result_folder(spark, args.results).drop("file_name")
-    else:
-        df = R.read_batches(spark, args.results)
-    R.write_combined(df, args.out)
+    frames = []
+    for k, folder in enumerate(args.results):
+        df = R.read_result_folder(spark, folder, position=True).drop("file_name") if args.reference_layout else R.read_batches(spark, folder)
+        frames.append(df.withColumn("_folder", F.lit(k)))
+    together = C.combine(frames)
+    ordered = C.batch_order(together, ["_folder", "batch_id"]).drop("_folder", *(["seq"] if args.reference_layout else []))
+    R.write_combined(ordered, args.out)
     total = R.read_combined(spark, args.out).count()
     print(f"combined {total} records into {args.out}")
 
@@ -95,13 +106,14 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--out", required=True)
     r.add_argument("--scorer", help="module:factory returning a (claim, evidence, prompt) -> str callable")
     r.add_argument("--parallelism", type=int, default=None, help="scorer calls in flight over all tasks")
+    r.add_argument("--batch-files", metavar="NAME", help="also write <out>/batches/NAME_result_<k>.csv, a file per batch")
     r.add_argument("--retries", type=int, default=0, help="further attempts of a call that fails")
     r.add_argument("--calls-per-second", type=float, default=None, help="calls that one task starts in a second, at most")
     r.add_argument("--limit", type=int, default=None,
                    help="only the first N input rows, counted before any validation (F7)")
     r.set_defaults(fn=cmd_run)
     c = sub.add_parser("combine", help="union result batches into one CSV")
-    c.add_argument("--results", required=True)
+    c.add_argument("--results", required=True, nargs="+", help="one or more result folders, combined in this order")
     c.add_argument("--out", required=True)
     c.add_argument("--reference-layout", action="store_true", help="a folder of *_result_<k>.csv files")
     c.set_defaults(fn=cmd_combine)

@@ -26,6 +26,7 @@ NULL_TITLE_TEXT = "None"
 # ---- fixed values: result-file layout --------------------------------------
 RESULT_COLUMNS = ["Claim", "Evidence", "True_Label", "Predicted_Label"]
 RAW_OUTPUT_COLUMN = "Raw_Output"
+RESULT_FILE_NAME = "{name}_result_{batch}.csv"
 RESULT_FILE_GLOB = "*_result_*.csv"
 RESULT_FILE_NUMBER = r"_result_([0-9]+)\.csv$"
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factsift.operators.batches import assign_sequence
+
 
 def combine(frames: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL by column name; columns missing from a frame become NULL."""
@@ -16,12 +18,19 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def batch_order(df: DataFrame, batch: str = "batch_id", seq: str | None = "seq") -> DataFrame:
+def batch_order(df: DataFrame, batch: str | list[str] = "batch_id", seq: str | None = "seq") -> DataFrame:
     """O2: batches in numeric order (rows inside a batch by ``seq`` when present)."""
-    keys = [batch] + ([seq] if seq and seq in df.columns else [])
+    keys = ([batch] if isinstance(batch, str) else list(batch)) + ([seq] if seq and seq in df.columns else [])
     return df.orderBy(*keys)
 
 
+def batch_position(df: DataFrame, batch: str = "batch_id", seq: str = "seq", name: str = "position") -> DataFrame:
+    """O2 as a column: each row's dense place in batch order, by ``seq`` inside a batch.
+
+    Only the distinct ``(batch, seq)`` keys are sorted and numbered, over all tasks."""
+    return assign_sequence(df, [batch, seq], name)
+
+
 def total_rows(df: DataFrame) -> DataFrame:
     """The record count of the combined table, as a one-row frame."""
     return df.agg(F.count(F.lit(1)).alias("total_rows"))

@@ -33,7 +33,9 @@ from factsift.plans import presets as P
 from factsift.plans import staging as st
 from factsift.session import shared_dir
 from factsift.sources import claims as SC
+from factsift.sources import files
 from factsift.sources import results as R
+from factsift.sources.batch_files import write_batch_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -292,6 +294,26 @@ def s1_jsonl(spark, sf_dir):
                         F.coalesce(F.size(F.filter(first, ev.usable_ref)), F.lit(0)).alias("n_usable_refs"))
 
 
+_KINDS = ("0", '"0"', "0.0", "true")
+
+
+@register("f1_typed_references", """
+SELECT doc_id AS claim_id, CAST(n_chars % 4 AS INTEGER) AS kind, 'doc_' || doc_id AS title,
+       CAST(0 AS BIGINT) AS idx
+FROM documents WHERE n_chars % 4 = 0""")
+def f1_typed(spark, sf_dir):
+    """F1, strict: every document cites itself by an index that is a JSON integer, a
+    quoted one, a float or a boolean in turn; only the integer counts."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 4).cast("int").alias("kind"))
+    index = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), F.col("kind") + 1)
+    line = F.format_string('{"id": %d, "claim": "%d", "evidence": [[[0, 0, "doc_%d", %s]]]}', "doc_id", "kind", "doc_id", index)
+    path = shared_dir(spark, "claims-kinds")
+    docs.select(line.alias("value")).write.text(path)
+    claims, _ = SC.split_rejects(SC.read_claims_jsonl(spark, path))
+    refs = ev.evidence_refs(claims).join(claims.select("claim_id", F.col("claim").cast("int").alias("kind")), "claim_id")
+    return refs.select("claim_id", "kind", "title", "idx")
+
+
 SQL_TSV = """
 tsv AS (
   SELECT d.doc_id, split_part(d.text, chr(10), 1) AS claim,
@@ -489,10 +511,10 @@ def q4_pubhealth(spark, sf_dir):
 # The other five presets: a scored run each, its order and batches as the preset
 # asks. Sampled runs are numbered in the seeded shuffle's order.
 
-def _sql_run(cte: str, preset: P.Preset, dataset: str, key: str = "claim_id") -> str:
+def _sql_run(cte: str, preset: P.Preset, dataset: str, key: str = "claim_id", per_class: str | None = None) -> str:
     domain = K.FEVER_LABELS if dataset == "fever" else K.PUBHEALTH_LABELS
     order = f"md5('{preset.seed}#' || CAST({key} AS VARCHAR)), {key}" if preset.sampling else key
-    cap = (f"WHERE rn <= {preset.per_class}" if preset.per_class else "")
+    cap = (f"WHERE rn <= {per_class or preset.per_class}" if preset.per_class else "")
     raw_col = (f", coalesce(lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')), "
                f"{_q('ValueError: ' + D.VOCABULARIES[dataset].refusal)}) AS Raw_Output") if preset.raw_output_column else ""
     return cte + f""",
@@ -504,26 +526,31 @@ SELECT '{preset.strategy}' AS strategy, claim_id, wseq AS seq, CAST(wseq // {pre
 FROM s"""
 
 
-def _register_run(name: str, preset: P.Preset) -> None:
+def _register_run(name: str, preset: P.Preset, per_class: str | None = None) -> None:
     fever = preset.dataset == "fever"
     cte = ("WITH " + SQL_EVIDENCE + ", run_in AS (SELECT claim_id, claim, evidence, label FROM evidence)" if fever else
            "WITH " + SQL_TSV + ", run_in AS (SELECT seq AS claim_id, claim, evidence, label FROM clean)")
 
-    @register(name, _sql_run(cte, preset, preset.dataset))
-    def run(spark, sf_dir):
+    @register(name, _sql_run(cte, preset, preset.dataset, per_class=per_class))
+    def run(spark, sf_dir, preset=preset):
         if fever:
             claims = evidence_claims(spark, sf_dir)
         else:
             clean, _ = V.validate(tsv_loaded(spark, sf_dir))
             claims = clean.withColumnRenamed("seq", "claim_id")
+        if per_class:
+            least = S.class_sizes(claims).agg(F.min("n_rows")).first()[0]
+            preset = dataclasses.replace(preset, per_class=min(preset.per_class, least))
         res, _ = P.scored_run(spark, claims, preset, shared_dir(spark, f"run-{name}"))
         extra = [K.RAW_OUTPUT_COLUMN] if preset.raw_output_column else []
         return res.select("strategy", "claim_id", "seq", "batch_id", *K.RESULT_COLUMNS, *extra)
 
 
 _register_run("q4c_scored_run_fever_eep_sampled", P.PRESETS["fever_eep_sampled"])
-# the preset draws 666 rows of each class and raises below that; 9 fit the smallest table
-_register_run("q4d_scored_run_fever_cot_strict", dataclasses.replace(P.PRESETS["fever_cot"], per_class=9))
+# the preset draws 666 rows of each class and raises below that; a table whose least
+# class is smaller gives as many of each as that class has
+_register_run("q4d_scored_run_fever_cot_strict", P.PRESETS["fever_cot"],
+              per_class=f"(SELECT least({P.PRESETS['fever_cot'].per_class}, min(n)) FROM (SELECT count(*) AS n FROM run_in GROUP BY label))")
 _register_run("q4e_scored_run_fever_selfask", P.PRESETS["fever_selfask"])
 _register_run("q4f_scored_run_pubhealth_cot", P.PRESETS["pubhealth_cot"])
 _register_run("q4g_scored_run_pubhealth_selfask", P.PRESETS["pubhealth_selfask"])
@@ -605,6 +632,34 @@ def a9(spark, sf_dir):
     return C.total_rows(combined_results(spark, sf_dir))
 
 
+@register("s4_result_folder", "WITH " + SQL_COMBINED + """
+SELECT Claim, Evidence, True_Label, Predicted_Label, Raw_Output, batch_id,
+       'fever_' || Strategy || '_result_' || batch_id || '.csv' AS file_name
+FROM combined""")
+def s4_folder(spark, sf_dir):
+    """K1 + S4 + U1: one CSV file a batch, of 4 columns for one strategy and of 70 for
+    the other, next to a combined file that isn't one; read back by header."""
+    claims, folder = evidence_claims(spark, sf_dir), shared_dir(spark, "result-folder")
+    for preset in (P.PRESETS["fever_eep_full"], COT_FULL):
+        res, _ = P.scored_run(spark, claims, preset, shared_dir(spark, f"run-{preset.name}"))
+        columns = [*K.RESULT_COLUMNS, *([K.RAW_OUTPUT_COLUMN] if preset.raw_output_column else [])]
+        wide = [F.lit(None).cast("string").alias(f"note_{i}") for i in range(70 - len(columns))] if preset.raw_output_column else []
+        write_batch_files(res.select("batch_id", "seq", *wide, *columns), folder, f"fever_{preset.strategy}")
+    files.write_whole(f"{files.qualified(spark, folder)}/fever_dev_combined.csv", lambda f: f.write(b"Claim,Evidence\r\nnot,read\r\n"))
+    return R.read_result_folder(spark, folder)
+
+
+@register("o2_batch_order", "WITH " + SQL_COMBINED + """
+SELECT Strategy, claim_id, batch_id,
+       CAST(row_number() OVER (ORDER BY batch_id, Strategy, CAST(claim_id AS BIGINT)) - 1 AS BIGINT) AS position
+FROM combined""")
+def o2(spark, sf_dir):
+    """O2: the place of every combined row in numeric batch order, as a column."""
+    df = combined_results(spark, sf_dir).select("Strategy", "claim_id", "batch_id")
+    keyed = df.withColumn("_row", F.struct("Strategy", F.col("claim_id").cast("long")))
+    return C.batch_position(keyed, seq="_row")
+
+
 # --------------------------------------------------------------------------
 # Q6-Q9: reports under the four policies; A3, A8, K3/X9
 # --------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def read_batches(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return df.withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
-def read_result_folder(spark: SparkSession, path: str) -> DataFrame:
+def read_result_folder(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
     """S4 for reference-style folders of ``*_result_<k>.csv`` files.
 
     Only files named ``..._result_<k>.csv`` are read; a combined file or any
@@ -69,14 +69,15 @@ def read_result_folder(spark: SparkSession, path: str) -> DataFrame:
     names in its own header, in any order and of any number; every column is a
     string (no type inference), a column that a file lacks reads as NULL, others
     are ignored. ``batch_id`` is parsed from the file name. Large files are split.
+    With ``position`` a column ``seq`` follows file names and rows in them.
     """
     rows = read_delimited(spark, path, [*K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN], sep=",", glob=K.RESULT_FILE_GLOB,
                           null=CSV_OPTIONS["nullValue"])
     name = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
     return (rows.withColumn("file_name", name)
             .withColumn("batch_id", F.regexp_extract("file_name", K.RESULT_FILE_NUMBER, 1).try_cast("long"))
-            .where(F.col("batch_id").isNotNull()).drop("file", "seq")
-            .select(*K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN, "batch_id", "file_name"))
+            .where(F.col("batch_id").isNotNull())
+            .select(*K.RESULT_COLUMNS, K.RAW_OUTPUT_COLUMN, "batch_id", "file_name", *(["seq"] if position else [])))
 
 
 def write_combined(df: DataFrame, path: str) -> None:

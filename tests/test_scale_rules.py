@@ -1,6 +1,8 @@
 """Runs that die, result files of any shape, and values longer than their column."""
 
+import csv
 import dataclasses
+import os
 import threading
 import time
 
@@ -14,6 +16,7 @@ from factsift.operators.evidence import ROW_HASH, resolve_evidence, row_hash
 from factsift.plans import presets as P
 from factsift.operators import scoring as D
 from factsift.sources import results as R
+from factsift.sources.batch_files import write_batch_files
 
 
 class DiesAt:
@@ -145,3 +148,26 @@ def test_batch_export_has_a_file_per_batch(spark, tmp):
     R.write_batches(df, f"{tmp}/b", fmt="csv")
     files = [r[0] for r in spark.read.option("header", "true").csv(f"{tmp}/b").select(F.input_file_name()).distinct().collect()]
     assert len(files) == 20
+
+
+def test_batch_files_are_named_whole_and_replaced(spark, tmp):
+    df = spark.range(0, 400, 1, 8).select((F.col("id") % 20).alias("batch_id"), F.col("id").alias("seq"),
+                                          F.concat(F.lit('say "x",\n'), "id").alias("Claim"), F.lit(None).cast("string").alias("Evidence"),
+                                          F.lit("").alias("True_Label"), F.lit(" p ").alias("Predicted_Label"))
+    write_batch_files(df, f"{tmp}/b", "dev")
+    names = sorted(os.listdir(f"{tmp}/b"))
+    assert names == sorted(f"dev_result_{k}.csv" for k in range(20))
+    with open(f"{tmp}/b/dev_result_3.csv", encoding="utf-8", newline="") as f:
+        rows = list(csv.reader(f))
+    assert rows[0] == K.RESULT_COLUMNS and [r[0] for r in rows[1:]] == [f'say "x",\n{i}' for i in range(3, 400, 20)]
+    write_batch_files(df.where("seq = 3"), f"{tmp}/b", "dev")                     # only the batch it holds
+    back = R.read_result_folder(spark, f"{tmp}/b")
+    assert back.count() == 381 and back.where("batch_id = 3").count() == 1
+    assert tuple(back.select("Evidence", "True_Label", "Predicted_Label").distinct().collect()[0]) == (None, "", " p ")
+
+
+def test_a_failed_write_of_batch_files_leaves_nothing(spark, tmp):
+    bad = F.when(F.col("id") == 399, F.raise_error(F.lit("no"))).otherwise("x").alias("Claim")
+    with pytest.raises(Exception):
+        write_batch_files(spark.range(0, 400, 1, 4).select((F.col("id") % 7).alias("batch_id"), bad), f"{tmp}/b", "dev")
+    assert not os.path.isdir(f"{tmp}/b") or not os.listdir(f"{tmp}/b")
