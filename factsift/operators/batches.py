@@ -52,6 +52,18 @@ def number_file_rows(df: DataFrame, name: str = "seq") -> DataFrame:
     return rows.select(*df.columns, (F.col("_id") + own).cast("long").alias(name))
 
 
+def number_keys(keys: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """``assign_sequence`` for a frame that is itself a table of keys: it is
+    range-sorted and checkpointed once, and nothing is looked up."""
+    checkpoint_root(keys.sparkSession)
+    tagged = keys.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftright("_id", _LOCAL_BITS)
+    offsets = _running(tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")), ["_part"], "_n", "_before")
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    return (tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .select(*keys.columns, place.cast("long").alias(name)))
+
+
 def assign_sequence(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """Dense ``seq`` (0..n-1) following the columns ``order`` (null first); those
     that start with an underscore (helper columns) are dropped.

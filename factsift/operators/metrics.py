@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsift import constants as K
-from factsift.operators.batches import assign_sequence
+from factsift.operators.batches import number_keys
 from factsift.session import checkpoint_root
 from factsift.functions.text import format3
 
@@ -62,7 +62,7 @@ def _order_labels(labels: DataFrame) -> DataFrame:
     Numbered in parallel whatever the size: the raw-text policy can make every
     distinct output a class.
     """
-    return assign_sequence(labels, ["label"], name="ord").withColumn("ord", F.col("ord").cast("int"))
+    return number_keys(labels, ["label"], name="ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def label_domain(df: DataFrame) -> DataFrame:
