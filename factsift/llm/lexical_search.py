@@ -81,7 +81,7 @@ def vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(restrict, "doc_id long, n long, terms array<int>, tfs array<long>")
+    return rows.mapInArrow(common.released(restrict), "doc_id long, n long, terms array<int>, tfs array<long>")
 
 
 # ---- the trie of a block of documents --------------------------------------
@@ -296,7 +296,7 @@ def _search(found: DataFrame, items: list, weight: np.ndarray, df: np.ndarray, n
                     [pa.array([key] * len(top.score), type=pa.int64()), pa.array(top.doc, mask=top.null), pa.array(top.score)],
                     names=["key", "doc_id", "score"])
 
-    return found.mapInArrow(run, "key long, doc_id long, score long")
+    return found.mapInArrow(common.released(run), "key long, doc_id long, score long")
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
 
     common.prepare(items.sparkSession)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    sets = rows.mapInArrow(split, "item_id long, hashes array<long>")
+    sets = rows.mapInArrow(common.released(split), "item_id long, hashes array<long>")
     return (sets.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
             .where(F.size("hashes") > 0))
 

@@ -102,7 +102,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(n, type=pa.int64()), pa.array(keys, type=pa.binary()),
                  pa.array(sigs, type=pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "sig"])
 
-    out = _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, key binary, sig binary")
+    out = _texts(docs).mapInArrow(common.released(run), "doc_id long, text_key long, n_shingles long, key binary, sig binary")
     return common.store(out.withColumn("row", F.monotonically_increasing_id()), "sketch")
 
 
@@ -123,7 +123,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows, need = _texts(docs), wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).hint("merge")
     rows = rows.join(need, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = rows.mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = rows.mapInArrow(common.released(run), "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     return wanted.select("sid", "key", "sig").hint("merge").join(sets, "key").select("sid", "sig", "shingles")
 
 
@@ -174,7 +174,7 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
     while not large.isEmpty():
         if hot is None:
             packed = sets.join(large.select("sid"), "sid", "left_semi").select("sid", "sig", "shingles")
-            hot = common.store(packed.mapInArrow(_unpacked, "sid long, sig binary, members array<long>"), "hot-sets")
+            hot = common.store(packed.mapInArrow(common.released(_unpacked), "sid long, sig binary, members array<long>"), "hot-sets")
         order = F.struct(F.col("linked").isNotNull(), F.xxhash64("node", "sid"))
         pivots = large.groupBy("node").agg(F.min_by("sid", order).alias("sid"))
         pivots = pivots.join(hot, "sid").select("node", F.col("sid").alias("pivot"), F.col("members").alias("pivot_members"))
@@ -311,7 +311,7 @@ def likely(leaf: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
 
     rows = leaf.hint("merge").join(verts.select("sid", "sig"), "sid").select("node", "sid", "sig")
     rows = rows.repartition(common.shuffle_partitions(leaf.sparkSession), "node").sortWithinPartitions("node", "sid")
-    return common.store(rows.mapInArrow(run, "grp long, sid long").distinct(), "groups")
+    return common.store(rows.mapInArrow(common.released(run), "grp long, sid long").distinct(), "groups")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -344,7 +344,7 @@ def confirm(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     rows = groups.hint("merge").join(sets, "sid").select("grp", "sid", "shingles")
     rows = rows.repartition(common.shuffle_partitions(groups.sparkSession), "grp").sortWithinPartitions("grp", "sid")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(common.released(cut), PIECES)
 
 
 # ---- the plan: constant work on a histogram of at most ``size`` numbers ----------

@@ -317,7 +317,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, reverse: bool = False) -> Da
                 columns[size] = pa.array([n if x == y else len(y) for n, x, y in zip(kept, old, new)], type=columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)
 
 
 REPORT = ("doc_id long, text string, n_found long, "
@@ -339,7 +339,7 @@ def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 names=["doc_id", "text", "n_found", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, REPORT)
+    return rows.mapInArrow(common.released(run), REPORT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, REPORT)
+    return rows.mapInArrow(common.released(scan), REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -272,7 +272,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 yield b.filter(pa.array(keep[:b.num_rows]))
                 keep = keep[b.num_rows:]
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(common.released(clean), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

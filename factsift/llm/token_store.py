@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, block: int = BLOC
     tie = F.xxhash64("text")
     ordered = (rows.repartitionByRange(common.shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), tie)
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie))
-    manifest = ordered.mapInArrow(write, "shard long, uri string, size long, n_docs long, n_ids long")
+    manifest = ordered.mapInArrow(common.released(write), "shard long, uri string, size long, n_docs long, n_ids long")
     return common.store(manifest, "token-manifest")
 
 
@@ -219,7 +219,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("shard", "uri", "size", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return (based.repartition(common.shuffle_partitions(spark), "shard")
-            .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+            .mapInArrow(common.released(read), "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None,

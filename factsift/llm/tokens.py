@@ -6,8 +6,10 @@ first word's ids followed by those of `` word`` for each later word. Each
 distinct word is encoded by the library once per worker (all words of a batch
 that are not known yet go through it as one string; a token that starts with
 the space byte marks the next word), and texts are put together from the known
-words with numpy. Texts with other white space after a space go through the
-library whole. The result equals ``Tokenizer.encode`` id for id.
+words with numpy. Texts with other white space after a space, and texts that
+hold one of the tokenizer's added tokens (``<|endoftext|>``), go through the
+library whole. The result equals ``Tokenizer.encode`` id for id. Texts of any
+length are encoded whole, in slices of rows of SLICE_BYTES (one row at least).
 """
 
 from __future__ import annotations
@@ -20,21 +22,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 12_000_000      # text encoded at once
-KNOWN_WORDS = 700_000         # known words before a worker starts afresh; memory only
+KNOWN_BYTES = 64_000_000      # memory of known words before a worker starts afresh
+WORD_BYTES = 160              # what a known word takes besides its characters
 JOIN_CHARS = 200_000          # characters given to the library at once
 END_ID = 2
 # what follows a space that does not simply start the next word
 _ODD = r"^(?:[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]|$)"
-_STEM_TAIL = r"^(?P<stem>\p{L}+)(?P<tail>(?s:.*))$"
 
 
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
@@ -43,6 +43,7 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int | None = END_ID):
         self.tok = load_tokenizer(path)
         self.end = [] if end_id is None else [end_id]
+        self.added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values() if t.content)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
@@ -52,11 +53,10 @@ class WordEncoder:
     def _forget(self) -> None:
         """Start with no known words; their ids lie in one pool, by slot."""
         self.words: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
         self.pool = np.empty(1 << 20, dtype=np.uint32)
         self.start = np.empty(1 << 18, dtype=np.int64)
         self.size = np.empty(1 << 18, dtype=np.int64)
-        self.filled = self.slots = 0
+        self.filled = self.slots = self.known_bytes = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -76,7 +76,7 @@ class WordEncoder:
         self.slots += len(sizes)
         return at
 
-    def _learn_plain(self, words: list[str]) -> int:
+    def _learn(self, words: list[str]) -> int:
         """Slots (consecutive, from the returned one) of `` word`` for each word."""
         ids, sizes = [], []
         at = 0
@@ -105,28 +105,9 @@ class WordEncoder:
         if not len(new):
             return slots
         names = [words[i] for i in new.tolist()]
-        # letters, then whatever follows them: the tail starts a piece of its own
-        cut = pc.extract_regex(pa.array(names), _STEM_TAIL)
-        stems, tails = pc.struct_field(cut, 0).to_pylist(), pc.struct_field(cut, 1).to_pylist()
-        plain = [n if s is None else s for n, s in zip(names, stems)]
-        fresh = [w for w in dict.fromkeys(plain) if w not in known]
-        first = self._learn_plain(fresh)
-        known.update(zip(fresh, range(first, first + len(fresh))))
-        todo = [t for t in dict.fromkeys(t for t in tails if t) if t not in self.tails]
-        for t in todo:
-            ids = self._ids(t)
-            self.tails[t] = self._add(ids, np.array([len(ids)]))
-        stem_slot = np.fromiter(map(known.__getitem__, plain), dtype=np.int64, count=len(plain))
-        tail_slot = np.fromiter((self.tails[t] if t else -1 for t in tails), dtype=np.int64, count=len(tails))
-        both = np.flatnonzero(tail_slot >= 0)
-        if len(both):
-            a, b = stem_slot[both], tail_slot[both]
-            pairs = np.stack([a, b], axis=1).ravel()
-            ids = self._gather(pairs)
-            at = self._add(ids, self.size[a] + self.size[b])
-            stem_slot[both] = at + np.arange(len(both))
-            known.update(zip([names[i] for i in both.tolist()], stem_slot[both].tolist()))
-        slots[new] = stem_slot
+        slots[new] = np.arange(len(names)) + self._learn(names)
+        known.update(zip(names, slots[new].tolist()))
+        self.known_bytes += WORD_BYTES * len(names) + sum(map(len, names))
         return slots
 
     def _gather(self, slots: np.ndarray) -> np.ndarray:
@@ -145,7 +126,7 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows (null is empty), each with the end id, and row offsets."""
-        if len(self.words) > KNOWN_WORDS:
+        if self.known_bytes > KNOWN_BYTES:
             self._forget()
         column = column.fill_null("") if column.null_count else column
         n = len(column)
@@ -160,7 +141,13 @@ class WordEncoder:
         later = np.ones(len(index), dtype=bool)
         later[begin[:-1]] = False
         odd = pc.match_substring_regex(coded.dictionary, _ODD).to_numpy(zero_copy_only=False)
-        rows = np.unique(np.searchsorted(begin, np.flatnonzero(odd[index] & later), side="right") - 1)
+        strange = odd[index] & later
+        for token in self.added:
+            strange |= pc.match_substring(coded.dictionary, token).to_numpy(zero_copy_only=False)[index]
+        if any(" " in token for token in self.added):
+            held = [pc.match_substring(column, t).to_numpy(zero_copy_only=False) for t in self.added if " " in t]
+            strange[begin[:-1]] |= np.logical_or.reduce(held)
+        rows = np.unique(np.searchsorted(begin, np.flatnonzero(strange), side="right") - 1)
         whole = {r: column[r].as_py() for r in rows.tolist()}
         if whole:  # these rows keep only a first word, and that is the whole text
             keep = np.ones(len(index), dtype=bool)

@@ -250,7 +250,7 @@ def _lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
 
     def counted(toxic: bool, names):
         rows = sample.where(F.col("half") & (F.col("toxic") == toxic)).select("text")
-        return (rows.mapInArrow(tally(names), "word string, whole boolean, n long")
+        return (rows.mapInArrow(common.released(tally(names)), "word string, whole boolean, n long")
                 .groupBy("word", "whole").agg(F.sum("n").alias("n")))
 
     size = {r["toxic"]: r["n"] for r in sample.where("half").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -310,7 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
             f = [scorer(plain).features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, type=pa.list_(pa.float64())), b.column(1)], names=["f", "toxic"])
 
-    got = sample.where(~F.col("half")).select("text", "toxic").mapInArrow(run, "f array<double>, toxic boolean").collect()
+    got = sample.where(~F.col("half")).select("text", "toxic").mapInArrow(common.released(run), "f array<double>, toxic boolean").collect()
     y = np.array([r["toxic"] for r in got], dtype=float)
     if len(y) and 0 < y.sum() < len(y):
         weights = fit_logistic(np.array([r["f"] for r in got]), y)
@@ -335,7 +335,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                                              names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").select(
+    return rows.mapInArrow(common.released(run), "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -349,7 +349,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for b in batches:
             yield b.filter(pa.array(_scores(b.column(at).to_pylist(), model) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found[lo:lo + 10_000])],
                                              names=["key", "page", "uri", "at", "length"])
 
-    return common.store(typed.mapInArrow(write, CAPTURES), "captures")
+    return common.store(typed.mapInArrow(common.released(write), CAPTURES), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> list[dict]:
@@ -189,7 +189,7 @@ def write_index(captures: DataFrame, folder: str) -> list[dict]:
 
     ordered = (captures.repartitionByRange(common.shuffle_partitions(spark), "key", "uri", "at")
                .sortWithinPartitions("key", "uri", "at"))
-    manifest = common.store(ordered.mapInArrow(write, "uri string, size long, first string, last string"), "index-manifest")
+    manifest = common.store(ordered.mapInArrow(common.released(write), "uri string, size long, first string, last string"), "index-manifest")
     # one row per index file, as many as partitions
     return [r.asDict() for r in manifest.orderBy("first", "last", "uri").collect()]
 
@@ -280,9 +280,9 @@ def read_captures(wanted: DataFrame, manifest: list[dict]) -> DataFrame:
                     [pa.array(c, type=t) for c, t in zip(columns, types)],
                     names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    requests = (wanted.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(keys, "key string")
+    requests = (wanted.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(common.released(keys), "key string")
                 .distinct().repartitionByRange(common.shuffle_partitions(spark), "key").sortWithinPartitions("key"))
-    return requests.mapInArrow(read, CAPTURED)
+    return requests.mapInArrow(common.released(read), CAPTURED)
 
 
 def archive(pages: DataFrame) -> tuple[str, list[dict]]:
