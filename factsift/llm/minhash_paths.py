@@ -8,18 +8,22 @@ path), and sends each member to the child of its value there. Two sets of simila
 a child with probability ``s``, others are soon parted.
 
 * A node of at most ``LEAF`` members is compared exhaustively.
-* A larger one first compares all members with one of them, the pivot, on full
-  sets. The pivot is then done. A member linked to it is done as well if the
-  triangle inequality of the Jaccard distance rules out a link to any member
-  that is not linked to the pivot. Members that remain carry the pivot they are
-  linked to; a node whose members all share one is done. So a dense group costs
-  a pass, not all its pairs, whatever its size.
+* A larger one first compares all members with up to ``PIVOTS`` of them, the
+  pivots, on full sets. Pivots are then done. A member linked to one is done as
+  well if the triangle inequality of the Jaccard distance rules out a link to
+  any member that is not linked to that pivot. Members that remain carry a pivot
+  they are linked to; a node whose members all share one is done. So a dense
+  group costs a pass, not all its pairs, whatever its size.
 * Nodes with the same members (in other trees too) are one.
 
-A pair of similarity t = 0.85 meets in a leaf of one tree with probability of at
-least ``t (1 - q)``, q = (1 - t + t q)^2 being the chance that its branching
-dies out (0.03): over 6 trees all but 1 in 30,000 such pairs are compared, and
-a group's other links make up for a lost one. Only leaf pairs whose signatures
+A pair of similarity t stays together in a root's child with probability t, and
+below it with 1 - q, where q = a (1 + a) / 2 with a = 1 - t + t q is the chance
+that its branching dies out: q is 0.24 at t = 0.85 and 0.38 at 0.80, in the limit
+of deep trees. Roots of at most LEAF members, the usual case, are compared
+outright (q = 0): ``TREES`` trees then miss (1 - t)^TREES, 3 pairs in 10 million
+at 0.85 and 3 in a million at 0.80. Where every root branches deeply they miss
+(1 - t (1 - q))^TREES, 1 pair in 4,000 at 0.85 and 1 in 250 at 0.80, but for what
+pivots link; a group's other links make up for most of these. Only leaf pairs whose signatures
 agree in too few places (4.4 deviations) are not looked at. Links are decided
 on full sets, ``100 |A & B| >= 85 |A | B|``, and only as many are emitted as
 connect a leaf's members. Signatures, tokens and nodes are shuffled; texts are
@@ -49,7 +53,9 @@ PERCENT = 85
 TOKENS = 64
 TREES = 8
 SECOND = 0.5
+PIVOTS = 4
 LEAF = 1_000
+BLOCK_VALUES = 1_000_000
 SEPARATORS = words.separators("space")
 _MULTIPLY = np.array([common.seed64("minwise", i) | 1 for i in range(TOKENS)], dtype=np.uint64)
 
@@ -175,25 +181,46 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
         if hot is None:
             packed = sets.join(large.select("sid"), "sid", "left_semi").select("sid", "sig", "shingles")
             hot = common.store(packed.mapInArrow(common.released(_unpacked), "sid long, sig binary, members array<long>"), "hot-sets")
-        order = F.struct(F.col("linked").isNotNull(), F.xxhash64("node", "sid"))
-        pivots = large.groupBy("node").agg(F.min_by("sid", order).alias("sid"))
-        pivots = pivots.join(hot, "sid").select("node", F.col("sid").alias("pivot"), F.col("members").alias("pivot_members"))
-        shared = F.size(F.array_intersect("members", "pivot_members"))
-        union = F.size("members") + F.size("pivot_members") - F.col("shared")
-        met = (large.join(hot, "sid").join(pivots, "node").withColumn("shared", shared).withColumn("union", union)
-               .select("node", "sid", "linked", "sig", "pivot", (1 - F.col("shared") / F.col("union")).alias("distance"),
-                       (F.col("shared") * 100 >= F.col("union") * percent).alias("close")))
+        picks = [F.min_by("sid", F.struct(F.col("linked").isNotNull(), F.xxhash64("node", "sid", F.lit(i)))) for i in range(PIVOTS)]
+        pivots = large.groupBy("node").agg(F.array(*picks).alias("p")).select("node", F.explode(F.array_distinct("p")).alias("sid"))
+        pivots = (pivots.join(hot, "sid").groupBy("node")
+                  .agg(F.collect_list(F.struct(F.col("sid").alias("pivot"), "members")).alias("p")))        # PIVOTS at most
+
+        def close(x: Column, y: Column) -> Column:
+            shared = F.size(F.array_intersect(x, y))
+            return shared * 100 >= (F.size(x) + F.size(y) - shared) * percent
+
+        # each pivot with the lower ones that it is linked to
+        pivots = pivots.select("node", F.transform("p", lambda x: F.struct(x["pivot"].alias("pivot"), x["members"].alias("members"), F.transform(
+            F.filter("p", lambda y: (y["pivot"] < x["pivot"]) & close(x["members"], y["members"])), lambda y: y["pivot"]).alias("near"))).alias("pivots"))
+
+        def test(p: Column) -> Column:
+            shared = F.size(F.array_intersect(F.col("members"), p["members"]))
+            return F.struct(p["pivot"].alias("pivot"), p["near"].alias("near"), shared.alias("shared"),
+                            (F.size(F.col("members")) + F.size(p["members"]) - shared).alias("union"))
+
+        met = (large.join(hot, "sid").join(pivots, "node").select("node", "sid", "linked", "sig", F.transform("pivots", test).alias("t"))
+               .withColumn("t", F.transform("t", lambda x: F.struct(
+                   x["pivot"].alias("pivot"), x["near"].alias("near"), (1 - x["shared"] / x["union"]).alias("distance"),
+                   (x["shared"] * 100 >= x["union"] * percent).alias("close")))))
         met = common.store(met, "pivots")
-        links.append(met.where("close and sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")))
-        edge = met.where(~F.col("close")).groupBy("node").agg(F.min("distance").alias("nearest"))
-        rest = met.join(edge, "node", "left").where(
-            (F.col("sid") != F.col("pivot"))
-            & (~F.col("close") | (F.col("distance") + far + 1e-9 >= F.col("nearest"))))
+        # a link to a pivot goes without saying beside one to a lower pivot it is linked to
+        new = F.filter("t", lambda x: x["close"] & (x["pivot"] != F.col("sid")) & ~F.exists(
+            "t", lambda y: y["close"] & F.array_contains(x["near"], y["pivot"])))
+        links.append(met.select(F.explode(F.transform(new, lambda x: x["pivot"])).alias("a"), F.col("sid").alias("b")))
+        tests = met.select("node", F.explode("t").alias("t")).select("node", "t.*")
+        edge = (tests.where(~F.col("close")).groupBy("node", "pivot").agg(F.min("distance").alias("nearest"))
+                .groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "nearest"))).alias("nearest")))
+        # done: a pivot, and a member linked to one that no link leads away from
+        done = F.exists("t", lambda x: (x["pivot"] == F.col("sid")) | x["close"] & F.coalesce(
+            x["distance"] + far + 1e-9 < F.try_element_at("nearest", x["pivot"]), F.lit(True)))
+        rest = met.join(edge, "node", "left").where(~done)
+        to = F.array_min(F.transform(F.filter("t", lambda x: x["close"]), lambda x: x["pivot"]))
         child = [F.xxhash64("node", F.lit(j), _token("sig", F.pmod(F.xxhash64("node", F.lit(-j - 1)), F.lit(TOKENS)).cast("int")))
                  for j in range(2)]
         forks = F.pmod(F.xxhash64("node", F.lit(-9)), F.lit(1000)) < int(1000 * SECOND)
         rows = rest.select(F.explode(F.when(forks, F.array(*child)).otherwise(F.array(child[0]))).alias("node"), "sid",
-                           F.when(F.col("close"), F.col("pivot")).otherwise(F.col("linked")).alias("linked"))
+                           F.coalesce(to, "linked").alias("linked"))
         rows = common.store(rows, "children")
         level = common.store(rows.join(_nodes(rows), "node"), "paths")
         leaves.append(level.where(F.col("size") <= LEAF).select("node", "sid"))
@@ -261,21 +288,26 @@ def agreement(s: np.ndarray) -> np.ndarray:
 
 
 def shared_counts(sets_: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of some sets: products of their incidence
-    tables, in blocks of the members that more than one set has."""
-    n = len(sets_)
-    member = np.repeat(np.arange(n), [len(x) for x in sets_])
-    _, column, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-    use = times[column] > 1
-    _, column = np.unique(column[use], return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    column, member = column[order], member[use][order]
+    """Sizes of all intersections of some sorted sets: products of their incidence
+    tables, over ranges of values that hold some BLOCK_VALUES members together."""
+    n, total = len(sets_), sum(map(len, sets_))
     shared, width = np.zeros((n, n)), 4096
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        u, v = np.searchsorted(column, [lo, lo + width])
-        grid = np.zeros((n, width), dtype=np.float32)
-        grid[member[u:v], column[u:v] - lo] = 1
-        shared += grid @ grid.T
+    blocks = -(-total // BLOCK_VALUES) or 1
+    edges = [k * (1 << 64) // blocks for k in range(1, blocks)]   # values are hashes: ranges of a size hold alike many
+    cuts = np.stack([np.concatenate([[0], np.searchsorted(x, np.array(edges, dtype=np.uint64)), [len(x)]]) for x in sets_]).astype(np.int64)
+    for k in range(blocks):
+        parts = [x[a:b] for x, a, b in zip(sets_, cuts[:, k].tolist(), cuts[:, k + 1].tolist())]
+        member = np.repeat(np.arange(n), cuts[:, k + 1] - cuts[:, k])
+        _, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        use = times[column] > 1
+        _, column = np.unique(column[use], return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        column, member = column[order], member[use][order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            u, v = np.searchsorted(column, [lo, lo + width])
+            grid = np.zeros((n, width), dtype=np.float32)
+            grid[member[u:v], column[u:v] - lo] = 1
+            shared += grid @ grid.T
     return shared
 
 
