@@ -208,13 +208,13 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
         new = F.filter("t", lambda x: x["close"] & (x["pivot"] != F.col("sid")) & ~F.exists(
             "t", lambda y: y["close"] & F.array_contains(x["near"], y["pivot"])))
         links.append(met.select(F.explode(F.transform(new, lambda x: x["pivot"])).alias("a"), F.col("sid").alias("b")))
-        tests = met.select("node", F.explode("t").alias("t")).select("node", "t.*")
-        edge = (tests.where(~F.col("close")).groupBy("node", "pivot").agg(F.min("distance").alias("nearest"))
-                .groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "nearest"))).alias("nearest")))
+        # by place: a node's members list its pivots in one order
+        apart = [F.min(F.when(~F.get("t", i)["close"], F.get("t", i)["distance"])) for i in range(PIVOTS)]
+        edge = met.groupBy("node").agg(F.array(*apart).alias("nearest"))
         # done: a pivot, and a member linked to one that no link leads away from
-        done = F.exists("t", lambda x: (x["pivot"] == F.col("sid")) | x["close"] & F.coalesce(
-            x["distance"] + far + 1e-9 < F.try_element_at("nearest", x["pivot"]), F.lit(True)))
-        rest = met.join(edge, "node", "left").where(~done)
+        done = F.exists(F.transform("t", lambda x, i: (x["pivot"] == F.col("sid")) | x["close"] & F.coalesce(
+            x["distance"] + far + 1e-9 < F.get("nearest", i), F.lit(True))), lambda x: x)
+        rest = met.join(edge, "node").where(~done)
         to = F.array_min(F.transform(F.filter("t", lambda x: x["close"]), lambda x: x["pivot"]))
         child = [F.xxhash64("node", F.lit(j), _token("sig", F.pmod(F.xxhash64("node", F.lit(-j - 1)), F.lit(TOKENS)).cast("int")))
                  for j in range(2)]
