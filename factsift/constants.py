@@ -15,6 +15,10 @@ ERROR = "ERROR"          # the scorer raised
 UNKNOWN = "UNKNOWN"      # lenient extraction found no label
 NO_LABEL = "NO_LABEL"    # strict extraction found no label
 
+# ---- fixed values: label patterns (around the alternation of a domain's labels) ----
+LENIENT_PATTERN = r"(ANSWER[:：]?)?\s*({labels})"   # group 2, any case; the prefix changes nothing
+STRICT_PATTERN = r"\b({labels})\b"                # group 1, of the upper-cased text
+
 # ---- fixed values: evidence placeholders -----------------------------------
 NO_EVIDENCE = "[No evidence provided]"
 PAGE_NOT_FOUND_PREFIX = "[Page not found: "

@@ -30,13 +30,11 @@ def _alternation(domain: Sequence[str]) -> str:
 
 def lenient_pattern(domain: Sequence[str]) -> str:
     # (?iu): Unicode-aware case folding, matching Python's re.IGNORECASE on str.
-    # The optional "ANSWER:" prefix (ASCII or full-width colon) does not change
-    # which label is captured.
-    return r"(?iu)(ANSWER[:：]?)?\s*(" + _alternation(domain) + ")"
+    return "(?iu)" + K.LENIENT_PATTERN.format(labels=_alternation(domain))
 
 
 def strict_pattern(domain: Sequence[str]) -> str:
-    return r"\b(" + _alternation(domain) + r")\b"
+    return K.STRICT_PATTERN.format(labels=_alternation(domain))
 
 
 def extract_lenient(raw: Column, domain: Sequence[str] = K.FEVER_LABELS,

@@ -123,10 +123,10 @@ def sql_label(raw: str, policy: str, domain=K.FEVER_LABELS) -> str:
     if policy == "raw":
         body = f"upper(regexp_replace({raw}, '^\\s+|\\s+$', '', 'g'))"
     elif policy == "lenient":
-        m = f"upper(regexp_extract({raw}, '(?i)(ANSWER[:：]?)?\\s*({alt})', 2))"
+        m = f"upper(regexp_extract({raw}, '(?i){K.LENIENT_PATTERN.format(labels=alt)}', 2))"
         body = f"CASE WHEN {m} = '' THEN {_q(K.UNKNOWN)} ELSE {m} END"
     else:
-        m = f"regexp_extract(upper({raw}), '\\b({alt})\\b', 1)"
+        m = f"regexp_extract(upper({raw}), '{K.STRICT_PATTERN.format(labels=alt)}', 1)"
         body = f"CASE WHEN {m} = '' THEN {_q(K.NO_LABEL)} ELSE {m} END"
     return f"CASE WHEN {raw} IS NULL THEN {_q(K.ERROR)} ELSE {body} END"
 
