@@ -53,14 +53,14 @@ def cmd_run(args) -> None:
         if not args.pages:
             raise SystemExit("--pages is required for JSON-lines presets")
         raw = SC.read_claims_jsonl(spark, args.claims, limit=args.limit)  # F7
-        clean, rejects = SC.split_rejects(raw)
+        clean, rejects = V.split_once(raw)
         pages = read_page_store(spark, args.pages, fmt=args.pages_format)
         # a line is its own row, whether its id is missing, repeated or neither
         claims = resolve_evidence(clean, pages, keep=["claim", "label"], key="seq").withColumnRenamed("seq", "claim_id")
     else:
-        clean, rejects = V.validate(SC.read_claims_tsv(spark, args.claims, limit=args.limit), preset.labels)
+        clean, rejects = V.validate(SC.read_claims_tsv(spark, args.claims, limit=args.limit), preset.labels, once=True)
         claims = clean.withColumnRenamed("seq", "claim_id")
-    rejects.write.mode("overwrite").parquet(f"{args.out}/rejects")
+    rejects.select("seq", "reject_reason").write.mode("overwrite").parquet(f"{args.out}/rejects")
     results, counters = scored_run(spark, claims, preset, f"{args.out}/results",
                                    _factory(args.scorer, preset.dataset), args.parallelism,
                                    Calls(retries=args.retries, per_second=args.calls_per_second))

@@ -12,8 +12,10 @@ Plan shape (all DataFrame built-ins, no UDF):
 4. ordered concat per claim (A1) and a left join back to the claims, so claims
    without groups or without usable references survive.
 
-Scale notes: the page store is touched by one join and one aggregate over the
-cited pages only. Every join is an equi join on a hash-partitioned key.
+Scale notes: the page store is read once; a filter of fixed size (``title_filter``)
+drops nearly all uncited pages in the scanning tasks, so the join and the
+aggregate behind it move text in proportion to the cited titles, not to the
+store. Every join is an equi join on a hash-partitioned key.
 The resolved keys are written to the shared folder before the references
 join them, so that join is planned from files: broadcast when the table is
 small, otherwise a sort-merge join whose hot ``(title, idx)`` partition (one
@@ -34,6 +36,7 @@ from factsift.session import shared_dir
 
 
 ROW_HASH = "row_hash"
+FILTER_BITS = 1 << 26  # of the title filter: at most FILTER_BITS / 64 rows of 16 bytes are broadcast
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -84,17 +87,39 @@ def page_sentences(pages: DataFrame) -> DataFrame:
     return first_sentence(page_lines(pages))
 
 
+def title_filter(titles: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of one hash as a table: ``(word, mask)``, 64 bits a row.
+
+    Its size is bounded by ``bits`` however many titles there are, so it can be
+    broadcast; a page that no title cites passes with a chance of at most
+    (titles / bits), a cited one always.
+    """
+    at = F.pmod(F.xxhash64("title"), F.lit(bits))
+    return (titles.select(F.floor(at / 64).alias("word"), (at % 64).cast("int").alias("bit"))
+            .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
+
+
+def cited_pages(pages: DataFrame, titles: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The pages whose id passes the filter of ``titles``: no exchange of the store,
+    and a bucketed store stays bucketed. NULL ids, which nothing cites, go."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    bit = F.col("mask").bitwiseAND(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {bits}L) % 64 AS INT))"))
+    found = (F.floor(at / 64) == F.col("word")) & (bit != 0)
+    return pages.where(F.col("id").isNotNull()).join(F.broadcast(title_filter(titles, bits)), found, "left_semi")
+
+
 def resolve_keys(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """Resolve distinct ``(title, idx)`` keys against the page store.
 
-    The wanted indexes are grouped per title first, so the store is read once
-    and joined once, and only cited pages are parsed. A page id that the store
-    repeats counts with one of its rows (the least by its lines), picked after
-    the join among cited pages only. Of lines with the same index the first one
-    wins (J2).
+    The wanted indexes are grouped per title and stored first (they serve the
+    filter of the store and the join), so the store is read once and joined
+    once, pages that are not cited are dropped where they are read, and only
+    cited pages are parsed. A page id that the store repeats counts with one of
+    its rows (the least by its lines), picked after the join among cited pages
+    only. Of lines with the same index the first one wins (J2).
     """
-    wanted = keys.groupBy("title").agg(F.collect_set("idx").alias("idxs"))
-    store = pages.select(F.col("id").alias("found_id"), "lines")
+    wanted = _materialise(keys.groupBy("title").agg(F.collect_set("idx").alias("idxs")), "wanted-titles")
+    store = cited_pages(pages, wanted).select(F.col("id").alias("found_id"), "lines")
     cited = (wanted.join(store, wanted["title"] == store["found_id"], "left")
              .groupBy("title").agg(F.first("idxs").alias("idxs"), F.min("lines").alias("lines"),
                                    F.max(F.col("found_id").isNotNull()).alias("found")))
@@ -117,19 +142,19 @@ def resolve_keys(keys: DataFrame, pages: DataFrame) -> DataFrame:
             .select("title", "idx", text.alias("sentence"), status.alias("status")))
 
 
-def _materialise(df: DataFrame) -> DataFrame:
+def _materialise(df: DataFrame, name: str = "resolved-keys") -> DataFrame:
     """Write ``df`` as a table under the shared checkpoint folder and read it back.
 
-    Used for the resolved keys: read from files, the join back to the
+    Used for the wanted titles and the resolved keys: read from files, the join back to the
     references gets a fresh exchange on both sides, so AQE can split a hot
     ``(title, idx)`` key (skew join needs shuffle stages on both sides, and an
     upstream hash partitioning would otherwise be reused), and the planner
     knows the table's size to broadcast it when it is small.
     """
     spark = df.sparkSession
-    path = shared_dir(spark, "resolved-keys")
+    path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def resolve_refs(refs: DataFrame, pages: DataFrame, key: str = "claim_id") -> DataFrame:

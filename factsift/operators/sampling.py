@@ -62,9 +62,27 @@ def _threshold(size: F.Column, n: int) -> F.Column:
     return F.when(size <= want, F.lit(_U_RANGE)).otherwise(F.floor(F.lit(_U_RANGE * want) / size) + 1).cast("long")
 
 
-def _rank_top(df: DataFrame, n: int, seed, key: str, label: str) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(draw_key(seed, key), F.col(key))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+def _take_least(kept: DataFrame, n: int, seed, key: str, label: str) -> DataFrame:
+    """The ``n`` rows of least draw of each label; ``_t`` bounds a label's draws.
+
+    Draws are uniform, so ``_t`` is cut into about sqrt(n) equal slices of about
+    sqrt(n) candidates: slices are counted, their running sums say which are
+    taken whole and which one holds the n-th draw, and only that slice is ranked.
+    No task ranks more than one slice of a label, or sums more than its slices.
+    """
+    slices = math.isqrt(max(n, 1) - 1) + 1
+    width = F.floor(F.col("_t") / F.lit(slices)) + 1
+    placed = kept.withColumn("_slice", F.floor(uniform_draw(seed, key) / width).cast("long"))
+    counts = placed.groupBy(F.col(label).alias("_l"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("_before", before).where(F.col("_before") < n)
+    rows = placed.join(ends, F.col(label).eqNullSafe(F.col("_l")) & F.col("_slice").eqNullSafe(F.col("_s")))
+    columns = [c for c in kept.columns if c != "_t"]
+    whole = rows.where(F.col("_before") + F.col("_n") <= n).select(*columns)
+    least = Window.partitionBy(label).orderBy(draw_key(seed, key), F.col(key))
+    cut = (rows.where(F.col("_before") + F.col("_n") > n).withColumn("_rn", F.row_number().over(least))
+           .where(F.col("_rn") <= F.lit(n) - F.col("_before")).select(*columns))
+    return whole.unionByName(cut)
 
 
 def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_id",
@@ -77,11 +95,12 @@ def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_i
 
     Plan: class sizes (one aggregate) -> per-label threshold on the uniform
     draw, joined back by label (NULL is a label too) -> a filter keeps about
-    ``n + 10*sqrt(n)`` rows per label -> ``row_number() <= n`` over these. A
-    label holding a third of all rows never reaches a single task; only its
-    candidates do. Should fewer than ``min(size, n)`` rows of a label stay
-    under its threshold (odds below 1e-20), that label is ranked whole, so the
-    result is exact.
+    ``n + 10*sqrt(n)`` rows per label -> the n-th draw by counted slices of the
+    draw's range (``_take_least``), so neither a label holding a third of all
+    rows nor a large ``n`` reaches a single task. Should fewer than
+    ``min(size, n)`` rows of a label stay under its threshold (odds below 1e-20,
+    or rows whose ``key`` is null), all its rows are candidates, so the result is
+    exact. Rows that share a key share their draw.
     """
     if mode not in ("cap", "strict"):
         raise ValueError("mode must be 'cap' or 'strict'")
@@ -97,15 +116,16 @@ def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_i
                                           F.least(F.col("n_rows"), F.lit(n)).alias("_need"))
     drawn = df.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
     checkpoint_root(df.sparkSession)
-    kept = drawn.where(u < F.col("_t")).select(*df.columns).checkpoint(eager=True)
+    kept = drawn.where(u < F.col("_t")).select(*df.columns, "_t").checkpoint(eager=True)
     # one row per label: those whose threshold turned out too low
     got = kept.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_got"))
     short = (sizes.join(got, F.col("_label").eqNullSafe(F.col("_l")), "left")
              .where(F.coalesce("_got", F.lit(0)) < F.col("_need")).select("_label"))
     if not short.isEmpty():
         of_short = F.col(label).eqNullSafe(F.col("_label"))
-        kept = kept.join(short, of_short, "left_anti").unionByName(df.join(short, of_short, "left_semi"))
-    return _rank_top(kept, n, seed, key, label)
+        whole = df.join(short, of_short, "left_semi").withColumn("_t", F.lit(_U_RANGE).cast("long"))
+        kept = kept.join(short, of_short, "left_anti").unionByName(whole)
+    return _take_least(kept, n, seed, key, label)
 
 
 def shuffle_key(seed: int = 42, key: str = "claim_id") -> F.Column:

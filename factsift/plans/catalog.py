@@ -351,6 +351,16 @@ def q2b(spark, sf_dir):
     return rejects
 
 
+@register("f4_one_pass_split", "WITH " + SQL_TSV + """
+SELECT seq, label, CAST(NULL AS VARCHAR) AS reject_reason FROM clean
+UNION ALL SELECT seq, CAST(NULL AS VARCHAR) AS label, reject_reason FROM validated WHERE reject_reason IS NOT NULL""")
+def f4_split(spark, sf_dir):
+    """both sides of one written split, each read from its own folder."""
+    clean, rejects = V.validate(tsv_loaded(spark, sf_dir), once=True)
+    return (clean.select("seq", "label", F.lit(None).cast("string").alias("reject_reason"))
+            .unionByName(rejects.select("seq", F.lit(None).cast("string").alias("label"), "reject_reason")))
+
+
 @register("q2c_reject_counts", "WITH " + SQL_TSV + """
 SELECT CASE WHEN reject_reason LIKE 'invalid label%' THEN 'invalid label' ELSE reject_reason END AS reason,
        CAST(count(*) AS BIGINT) AS n_rows
@@ -889,7 +899,7 @@ def t1(spark, sf_dir):
     source = st.claims_jsonl_path(spark, sf_dir)
     pages = st.load_pages(spark, sf_dir)
     for _ in range(2):
-        stream_score(spark, source, pages, f"{base}/out", f"{base}/checkpoint", max_files_per_trigger=4)
+        stream_score(spark, source, pages, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("strategy", "claim_id", *K.RESULT_COLUMNS)
 
 

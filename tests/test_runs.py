@@ -94,10 +94,13 @@ def test_stream_second_run_adds_nothing(spark, tmp):
     inp, out, ck = (os.path.join(tmp, x) for x in ("in", "out", "ck"))
     write_claims_jsonl(_claims(spark), inp)
     pages = spark.createDataFrame([("P", "0\tw1 text\n1\tother w2")], "id string, lines string")
-    stream_score(spark, inp, pages, out, ck)
-    n1 = spark.read.parquet(out).count()
-    stream_score(spark, inp, pages, out, ck)
-    assert n1 == 23 and spark.read.parquet(out).count() == 23
+    spark.read.text(inp).repartition(7).write.mode("append").text(inp)      # more files of the same claims
+    seen = stream_score(spark, inp, pages, out, ck)
+    n1 = spark.read.parquet(out).select(ROW_HASH).distinct().count()
+    # micro-batches follow bytes: one for all files
+    assert (seen["epochs"], seen["rows"], seen["errors"], seen["rejects"]) == (1, 46, 0, 0)
+    assert stream_score(spark, inp, pages, out, ck)["rows"] == 0
+    assert n1 == 23 and spark.read.parquet(out).count() == 46
 
 
 def test_replayed_epoch_appends_nothing(spark, tmp):
