@@ -5,7 +5,8 @@ block's stop-word density, length, link density and enclosing elements tell:
 navigation, page headers and footers, asides and forms are boilerplate; a long
 block with many stop words and few links is text. A class or id is evidence only:
 within an article an element named like a layout part (``LAYOUT``) is boilerplate
-if no block of it is text by its words (headings stay ambiguous), and elements
+if no block of it is text by its words, or if most of the article's text is outside
+such elements (headings stay ambiguous; a head part with text stays), and elements
 named as adverts, menus or comments are boilerplate unless the page has no text
 outside them; then the one of most text counts as if it had no name. Blocks that are short, or have few stop words, stay ambiguous. In the
 second pass these take the label of the nearest decided block of the same
@@ -26,6 +27,7 @@ read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -57,7 +59,8 @@ NAMES = set("ad ads adv advert adverts advertisement advertising banner breadcru
             "newsletter notice notices overlay pagination pager popup promo promoted related reply replies respond "
             "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 # names that elements of an article's own text have, too
-LAYOUT = set("header masthead banner widget widgets related notice notices social overlay modal disclaimer".split())
+HEAD = {"header", "masthead"}
+LAYOUT = HEAD | set("banner widget widgets related notice notices social overlay modal disclaimer discussion discussions".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 STOP_WORDS = frozenset((
@@ -77,14 +80,26 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+class Name:
+    """An element of a boilerplate name, linked to the next such one around it;
+    ``weak``: all its names are of LAYOUT, ``head``: of HEAD."""
+
+    def __init__(self, number: int, kind: str, around: "Name | None"):
+        self.number, self.weak, self.head = number, kind != "named", kind == "head"
+        self.any_weak = self.weak or around is not None and around.any_weak
+        self.outer = around.strong if around else None           # the nearest around it that is not weak
+        self.strong = self.outer if self.weak else self
+        self.depth = self.outer.depth + 1 if self.outer else 0
+
+
 @dataclass
 class Block:
     text: str
     linked: int
     boilerplate: bool
     container: int            # number of the article it is in; 0: none
-    named: tuple = ()         # enclosing elements of boilerplate names, from the outermost: (number, whether of LAYOUT)
-    layout: int = 0           # number of the enclosing LAYOUT element of its article; 0: none
+    named: Name | None = None     # the innermost enclosing element of a boilerplate name
+    layout: Name | None = None    # the enclosing LAYOUT element of its article
     heading: bool = False
     label: str = field(default="")
 
@@ -95,14 +110,14 @@ class Element:
     boilerplate: bool
     container: int
     linked: bool
-    named: tuple = ()
-    layout: int = 0
+    named: Name | None = None
+    layout: Name | None = None
     heading: bool = False
 
 
 def names_boilerplate(tag: str, attributes: str) -> str:
     """What class, id or role call an element: ``boilerplate`` (hidden, or by its
-    role), ``named`` or ``layout``; else empty."""
+    role), ``named``, ``layout`` or ``head``; else empty."""
     if tag in ("html", "body", "main", "article") or "=" not in attributes and "hidden" not in attributes.lower():
         return ""
     found = set()
@@ -113,7 +128,7 @@ def names_boilerplate(tag: str, attributes: str) -> str:
             return "boilerplate"
         if name in ("class", "id"):
             found.update(p for p in re.split(r"[\s_-]+", value) if p in NAMES or p in LAYOUT)
-    return "" if not found else "layout" if found <= LAYOUT else "named"
+    return "" if not found else "head" if found <= HEAD else "layout" if found <= LAYOUT else "named"
 
 
 def blocks(html: str) -> list[Block]:
@@ -202,18 +217,18 @@ def blocks(html: str) -> list[Block]:
         name = names_boilerplate(tag, attributes)
         boilerplate = top.boilerplate or tag in BOILERPLATE or tag == "header" and not top.container or name == "boilerplate"
         named, layout = top.named, top.layout
-        if name in ("named", "layout"):
+        if name in ("named", "layout", "head"):
             n_named += 1
-            if name == "layout" and top.container:
+            if name != "named" and top.container:
                 # a header of an article is one of its own, with a class or without
-                layout = layout if tag == "header" else n_named
+                layout = layout if tag == "header" else Name(n_named, name, layout)
             else:
-                named = (*named, (n_named, name == "layout"))
+                named = Name(n_named, name, named)
         container = top.container
         if tag in CONTENT and not boilerplate and not container:
             n_articles += 1
             container = n_articles
-        if (boilerplate, named, layout) != (top.boilerplate, top.named, top.layout):
+        if boilerplate != top.boilerplate or named is not top.named or layout is not top.layout:
             flush()
         stack.append(Element(tag, boilerplate, container, top.linked or tag == "a", named, layout, top.heading or tag in HEADINGS))
         opened[tag] += 1
@@ -236,27 +251,65 @@ def first_pass(block: Block) -> str:
     return "ambiguous"
 
 
+def free_names(texts: list[Block]) -> set[Name]:
+    """The elements let off so that some text is in none: from the outermost, that
+    with most text first. Every element is weighed and opened once."""
+    held: Counter = Counter()
+    for b in texts:
+        held[b.named.strong] += len(b.text)
+    direct, names = set(held), set()
+    for x in direct:
+        while x is not None and x not in names:
+            names.add(x)
+            x = x.outer
+    inside: dict[Name | None, list[Name]] = {x: [] for x in (None, *names)}
+    for x in sorted(names, key=lambda x: (-x.depth, x.number)):
+        inside[x.outer].append(x)
+        held[x.outer] += held[x]
+    free, heap = set(), [(-held[x], x.number, x) for x in inside[None]]
+    heapq.heapify(heap)
+    while heap:
+        x = heapq.heappop(heap)[2]
+        free.add(x)
+        if x in direct:
+            break
+        for y in inside[x]:
+            heapq.heappush(heap, (-held[y], y.number, y))
+    return free
+
+
 def weigh_names(found: list[Block]) -> None:
-    """Blocks of elements with boilerplate names become boilerplate, or are let off."""
+    """Blocks of elements with boilerplate names become boilerplate, or are let off.
+
+    Where all text is in such elements, LAYOUT names count no longer, then the
+    elements of most text (``free_names``). Within an article, a head element stays
+    if it has a block of text; other LAYOUT elements (notices, widgets, discussions)
+    go if most of the article's text is outside them."""
     texts = [b for b in found if b.label == "text"]
-    while texts and all(b.named for b in texts):
-        if any(weak for b in texts for _, weak in b.named):
-            for b in found:
-                b.named = tuple(x for x in b.named if not x[1])
-            continue
-        held = Counter()
-        for b in texts:
-            held[b.named[0]] += len(b.text)
-        free = max(held, key=lambda x: (held[x], -x[0]))
-        for b in found:
-            b.named = tuple(x for x in b.named if x != free)
-    own = {b.layout for b in texts if not b.named}
+    free: set[Name] = set()
+    weak_counts = True
+    if texts and all(b.named for b in texts):
+        weak_counts = not any(b.named.any_weak for b in texts)
+        if all(b.named.strong for b in texts):
+            free = free_names(texts)
+
+    def bad(x: Name | None) -> bool:
+        return x is not None and (weak_counts and x.any_weak or x.strong is not None and x.strong not in free)
+
+    of_article: Counter = Counter()
+    outside: Counter = Counter()
+    own = set()
+    for b in texts:
+        if not bad(b.named):
+            of_article[b.container] += len(b.text)
+            if b.layout is None or b.layout.head:
+                outside[b.container] += len(b.text)
+            own.add(b.layout)
     for b in found:
-        if b.named:
+        if bad(b.named) or b.layout and not b.heading and (
+                b.label == "ambiguous" and b.layout not in own
+                or not b.layout.head and 2 * outside[b.container] > of_article[b.container]):
             b.boilerplate, b.label = True, "boilerplate"
-        elif b.layout and b.layout not in own and b.label == "ambiguous" and not b.heading:
-            b.label = "boilerplate"
-            b.boilerplate = True
 
 
 def second_pass(found: list[Block]) -> None:

@@ -3,14 +3,18 @@
 Each task cuts its documents into shards of about ``SHARD_WORDS`` words (whole
 documents; a longer document is a shard of its own), builds the shard's suffix
 array over word hashes by prefix doubling (only suffixes that still tie are
-sorted again, to the depth of the longest benchmark item), and binary-searches
-the windows at every benchmark suffix. Windows that occur on one diagonal in a
-row make a longest verbatim match. All work is local to a shard, so nothing is
-shuffled and a frequent passage costs what its occurrences cost.
+sorted again, to the depth of a window), and binary-searches the windows at
+every benchmark suffix. A longest verbatim match begins where an occurrence and
+a place in an item have different words before them; only such pairs are made
+(not all occurrences times all places) and followed word by word to their end.
+All work is local to a shard, so nothing is shuffled, and a passage costs its
+occurrences and its longest matches, however often its words repeat.
 
 The benchmark goes to the shared folder as files of at most ``BLOCK_ITEMS``
-items; tasks search one block after another, so neither its size nor the
-driver limits it.
+items. A task holds its shard's array and searches one block after another: one
+block is in memory besides the ``BLOCKS_KEPT`` that are kept for the next shard,
+so neither the benchmark's size nor the driver limits it (further blocks are
+read once a shard). An item or document of any length is searched whole.
 
 Words: maximal runs outside ASCII other than 0-9 A-Z a-z, A-Z lower-cased. A
 window is ``window`` consecutive item words; an item of fewer, but not none, is
@@ -35,7 +39,8 @@ from factsift.llm import common, words
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 5_000
+BLOCKS_KEPT = 2
 SEPARATORS = words.separators("alnum")
 
 
@@ -62,17 +67,13 @@ class Block:
         back = back.ravel()
         self.windows, self.lengths = table[first], self.source_len[first]
         order = np.argsort(back, kind="stable")
-        self.source_item = self.source_item[order]
-        self.source_at = (start - offsets[:-1][item_of(start, offsets)])[order] if len(start) else start
+        # the places of each window, and the items' words
+        self.source_item, self.source_word = self.source_item[order], start[order]
         self.source_from = np.searchsorted(back[order], np.arange(len(first) + 1))
-        self.depth = int(np.diff(offsets).max()) if len(offsets) > 1 else 0
+        self.hashes, self.offsets = hashes, offsets
 
 
-def item_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.searchsorted(offsets, positions, side="right") - 1
-
-
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=BLOCKS_KEPT)
 def load_block(uri: str, window: int) -> Block:
     fs, path = common.open_fs(uri)
     with fs.open_input_file(path) as f:
@@ -157,11 +158,54 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + lo[which], which
 
 
-def scan_shard(hashes: np.ndarray, offsets: np.ndarray, blocks: list[Block]):
+def match_starts(array: SuffixArray, block: Block, which: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Where longest matches begin: ``(text position, place in the block, window)``.
+
+    Places are sorted by window and the word before them, so an occurrence takes
+    its window's places but for the run with its own word before (there the match
+    began earlier). At the start of a document or item no word is before."""
+    place, q = spread(block.source_from[which], block.source_from[which + 1])
+    at = block.source_word[place]
+    before = block.hashes[np.maximum(at - 1, 0)]
+    code = np.searchsorted(array.vocab, before)
+    known = (at > block.offsets[block.source_item[place]]) & (array.vocab[np.minimum(code, len(array.vocab) - 1)] == before)
+    code = np.where(known, code + 1, 0)
+    by = np.lexsort((code, q))
+    place, q, code = place[by], q[by], code[by]
+    n_codes = len(array.vocab) + 1
+    key = q * n_codes + code
+    slot, r = spread(lo, hi)
+    p = array.order[slot]
+    own = np.where(p > 0, array.seq[np.maximum(p - 1, 0)], 0)
+    ends = np.searchsorted(q, np.arange(len(which) + 1))
+    same_from = np.where(own > 0, np.searchsorted(key, r * n_codes + own), ends[r])
+    same_to = np.where(own > 0, np.searchsorted(key, r * n_codes + own, side="right"), ends[r])
+    a, i = spread(ends[r], same_from)
+    b, j = spread(same_to, ends[r + 1])
+    i, place = np.concatenate([i, j]), place[np.concatenate([a, b])]
+    return p[i], place, which[r[i]]
+
+
+def follow(array: SuffixArray, block: Block, p: np.ndarray, s: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words of the matches that begin at ``(p, s)`` and have ``n`` words already."""
+    n = n.copy()
+    live = np.arange(len(p))
+    while len(live):
+        there = s[live] + n[live]
+        word = array.seq[np.minimum(p[live] + n[live], len(array.seq) - 1)]
+        inside = (there < end[live]) & (word > 0)
+        live, there, word = live[inside], there[inside], word[inside]
+        live = live[array.vocab[word - 1] == block.hashes[there]]
+        n[live] += 1
+    return n
+
+
+def scan_shard(hashes: np.ndarray, offsets: np.ndarray, blocks, window: int = WINDOW):
     """``n_hit`` of each document, and its longest matches
-    ``(doc, item name, item word, doc word, words)`` as parallel arrays."""
+    ``(doc, item name, item word, doc word, words)`` as parallel arrays; ``blocks``
+    is gone through once."""
     n_docs = len(offsets) - 1
-    array = SuffixArray(hashes, offsets, max([1, *(b.depth for b in blocks)]))
+    array = SuffixArray(hashes, offsets, window)
     cover = np.zeros(len(array.seq) + 1, dtype=np.int32)
     matches = []
     for block in blocks:
@@ -169,21 +213,16 @@ def scan_shard(hashes: np.ndarray, offsets: np.ndarray, blocks: list[Block]):
         if not len(which):
             continue
         slot, r = spread(lo, hi)
-        position, window = array.order[slot], which[r]
-        length = block.lengths[window]
+        position = array.order[slot]
         np.add.at(cover, position, 1)
-        np.add.at(cover, position + length, -1)
-        # one row per occurrence and place in an item, then runs on a diagonal
-        source, o = spread(block.source_from[window], block.source_from[window + 1])
-        p, item, s, length = position[o], block.source_item[source], block.source_at[source], length[o]
-        rows = np.lexsort((p, p - s, item))
+        np.add.at(cover, position + block.lengths[which[r]], -1)
+        p, place, found = match_starts(array, block, which, lo, hi)
+        item, s = block.source_item[place], block.source_word[place]
+        length = follow(array, block, p, s, block.offsets[item + 1], block.lengths[found])
+        rows = np.lexsort((s, p))
         p, item, s, length = p[rows], item[rows], s[rows], length[rows]
-        fresh = np.ones(len(p), dtype=bool)
-        fresh[1:] = (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1] + 1)
-        first = np.flatnonzero(fresh)
-        run = np.diff(first, append=len(p))
-        doc = np.searchsorted(array.begin, p[first], side="right") - 1
-        matches.append((doc, block.names[item[first]], s[first], p[first] - array.begin[doc], length[first] + run - 1))
+        doc = np.searchsorted(array.begin, p, side="right") - 1
+        matches.append((doc, block.names[item], s - block.offsets[item], p - array.begin[doc], length))
     covered = np.append(0, np.cumsum(np.cumsum(cover[:-1]) > 0))
     ends = array.begin + np.diff(offsets)
     n_hit = covered[ends] - covered[array.begin] if n_docs else np.empty(0, dtype=np.int64)
@@ -216,7 +255,7 @@ def _scanned(batches, column: int, uris: list[str], window: int):
     for held, parts in shards(batches, column):
         offsets = np.append(0, np.cumsum(np.concatenate([c for _, c in parts])))
         hashes = np.concatenate([h for h, _ in parts])
-        yield held, offsets, *scan_shard(hashes, offsets, [load_block(u, window) for u in uris])
+        yield held, offsets, *scan_shard(hashes, offsets, (load_block(u, window) for u in uris), window)
 
 
 def benchmark_blocks(benchmark: DataFrame) -> list[str]:

@@ -4,8 +4,11 @@ Five transducers read a clause's tokens side by side: insult, threat, target,
 negation and reported speech. Their composition (the product machine) says for
 every insult whether it is aimed at someone, denied or only quoted, and whether
 the clause threatens. A document's score is a logistic function of its matched
-clauses' weights, so a word alone, outside such a reading, counts as what the
-grammar makes of it.
+clauses' weights, so a word counts as what the grammar makes of it: what is
+denied or only reported adds to no weight and can but lower the score, aimed and
+plain insults and threats can but raise it (``BOUNDS``). Weights are fitted round
+``PRIOR``, so a reading that the labelled rows never show (threats) keeps the
+grammar's own. How much a plain, unaimed insult counts is learned from the rows.
 
 Insult weights are learned: words and word beginnings whose presence tells
 toxic rows from others (log odds, kept by a likelihood-ratio test). The bounded
@@ -14,7 +17,8 @@ among rows whose crc32(doc_id as text) mod 4 is not 2: one half of it gives the
 lexicon, the other the clause weights. Only texts are inputs of a score.
 
 Clauses without any lexicon word cannot match and are skipped by one
-Aho-Corasick pass over the whole text. Null and empty texts have no clause and
+Aho-Corasick pass over the whole text, of any length; its features saturate
+(``MOST``), so a long text's score is no longer a matter of length. Null and empty texts have no clause and
 score as such; null and repeated doc_ids are rows like others (null is never
 held out); labels that are null, or contradict each other, don't teach. With
 no labels or only one kind, the built-in lexicon scores alone. Extra columns
@@ -57,6 +61,10 @@ WORD = re.compile(r"[^\W_]+")
 BREAK = re.compile(r"[.!?;\n]+")
 QUOTES = set("\"“”«»„")
 FEATURES = ("bias", "aimed", "plain", "denied", "quoted", "threats", "log_clauses", "log_weight", "top", "density")
+RAISES = ("aimed", "plain", "threats", "log_clauses", "log_weight", "top", "density")
+BOUNDS = {**{f: (0.0, np.inf) for f in RAISES}, "denied": (-np.inf, 0.0), "quoted": (-np.inf, 0.0)}
+PRIOR = {"threats": 5.0, "aimed": 0.5, "denied": -0.3, "quoted": -0.3}
+MOST = {"top": 10.0, "density": 5.0}      # others: 30
 
 
 # ---- the grammar ---------------------------------------------------------------
@@ -70,10 +78,11 @@ class Transducer:
         self.start, self.step = start, step
 
 
-def within(symbol: str, reach: int, flag: str) -> Transducer:
-    """Outputs ``flag`` at the tokens up to ``reach`` after ``symbol``."""
+def within(symbol: str, reach: int, flag: str, goes_on: str = "") -> Transducer:
+    """Outputs ``flag`` at the tokens up to ``reach`` after ``symbol``, and after each
+    ``goes_on`` among them ("never a worthless loser")."""
     def step(state, s):
-        state = reach if s == symbol else max(0, state - 1)
+        state = reach if s == symbol or (state > 1 and s == goes_on) else max(0, state - 1)
         return state, {flag} if state else set()
     return Transducer(0, step)
 
@@ -120,7 +129,7 @@ def compose(*machines: Transducer) -> Transducer:
     return Transducer(tuple(m.start for m in machines), step)
 
 
-GRAMMAR = compose(insult(), threat(), within("target", 5, "aimed"), within("negation", 3, "denied"), quoted())
+GRAMMAR = compose(insult(), threat(), within("target", 5, "aimed"), within("negation", 3, "denied", "insult"), quoted())
 CLASSES = ({w: "target" for w in TARGETS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS}
            | {w: "intent" for w in INTENTS} | {w: "harm" for w in HARMS} | {q: "quote" for q in QUOTES})
 
@@ -194,9 +203,10 @@ class Scorer:
                 top = max(top, weight)
                 total.update(read)
             a = b
-        weight = sum(max(0.0, total[x]) for x in ("aimed", "plain", "denied", "quoted"))
-        return [1.0, *(min(30.0, total[x]) for x in ("aimed", "plain", "denied", "quoted", "threats")),
-                math.log1p(clauses), math.log1p(weight), min(top, 10.0), min(5.0, 400.0 * weight / (len(low) + 400.0))]
+        weight = sum(max(0.0, total[x]) for x in ("aimed", "plain", "threats"))
+        found = {"bias": 1.0, **total, "log_clauses": math.log1p(clauses), "log_weight": math.log1p(weight), "top": top,
+                 "density": 400.0 * weight / (len(low) + 400.0)}
+        return [min(MOST.get(f, 30.0), max(0.0, found.get(f, 0.0))) for f in FEATURES]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ self.weights, -30, 30)))
@@ -282,17 +292,23 @@ def _lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Ridge logistic regression by damped Newton steps."""
-    w = np.zeros(x.shape[1])
+    """Logistic regression by damped Newton steps on the weights that are free to
+    move: within ``BOUNDS``, ridge round ``PRIOR``."""
+    prior = np.array([PRIOR.get(f, 0.0) for f in FEATURES])
+    low, high = (np.array([BOUNDS.get(f, (-np.inf, np.inf))[k] for f in FEATURES]) for k in (0, 1))
+    w = prior.copy()
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
+        grad = x.T @ (p - y) + penalty * (w - prior)
         hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(hess, grad)
-        w -= step / max(1.0, np.abs(step).max() / 3)
-        if np.abs(step).max() < 1e-8:
+        free = ~((w <= low) & (grad > 0) | (w >= high) & (grad < 0))
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+        new = np.clip(w - step / max(1.0, np.abs(step).max() / 2), low, high)
+        moved, w = np.abs(new - w).max(), new
+        if moved < 1e-8:
             break
     return w
 
@@ -315,7 +331,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
     if len(y) and 0 < y.sum() < len(y):
         weights = fit_logistic(np.array([r["f"] for r in got]), y)
     else:
-        weights = np.array([-3.0, 1.0, 0.7, 0.2, 0.2, 2.0, 0.5, 0.5, 0.3, 0.2])
+        weights = np.array([-3.0, 1.0, 0.7, -0.3, -0.3, 5.0, 0.5, 0.5, 0.3, 0.2])
     return Model(plain.entries, tuple(float(x) for x in weights))
 
 

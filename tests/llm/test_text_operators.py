@@ -38,6 +38,18 @@ def test_learned_scores_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_the_grammar_decides_on_the_learned_model(spark):
+    d = "/root/testdata/sf0.1"
+    model = toxicity.learn(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    weights = dict(zip(toxicity.FEATURES, model.weights))
+    assert weights["denied"] <= 0 and weights["quoted"] <= 0 and all(weights[f] >= 0 for f in toxicity.RAISES)
+    high = ["You are an idiot, a moron and a worthless loser.", "I will kill you.", "We are going to hurt you tomorrow."]
+    low = ["You are not an idiot, not a moron, never a worthless loser.", 'She said "you are an idiot, a moron and a worthless loser."',
+           "He called them stupid.", "The weather is fine.", "I will not be there.", ""]
+    scores = toxicity._scores(high + low, model)
+    assert all(scores[:len(high)] >= toxicity.THRESHOLD) and all(scores[len(high):] < toxicity.THRESHOLD), (scores, weights)
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.learn(awkward, labels)
@@ -147,6 +159,27 @@ def test_a_name_around_all_text_counts_nothing():
     assert html_rules.main_text(page) == PROSE
 
 
+@pytest.mark.parametrize("name", ["notice", "banner", "widget", "related", "social", "disclaimer", "discussion"])
+def test_notices_and_discussions_of_an_article_go(name):
+    page = f"<body><article><h1>Head</h1><p>{PROSE}</p><div class='{name}'><p>{PROSE} Notice.</p><p>Short.</p></div><p>{PROSE}</p></article></body>"
+    assert html_rules.main_text(page) == f"Head\n\n{PROSE}\n\n{PROSE}"
+    # an article that is all made of such elements is text
+    page = "<body><article>" + f"<div class='{name}'><p>{PROSE}</p></div>" * 4 + "</article></body>"
+    assert html_rules.main_text(page).count(PROSE) == 4
+
+
+def test_nested_names_take_linear_time():
+    import time
+    for name in ("comments", "widget", "comments widget"):
+        page = f"<div class='{name}'>{PROSE}" * 2000 + "</div>" * 2000
+        begin = time.monotonic()
+        assert PROSE in html_rules.main_text(page)
+        assert time.monotonic() - begin < 3
+    page = "<div class=comments>x" * 2000 + f"<div class=reply>{PROSE}"
+    begin = time.monotonic()
+    assert PROSE in html_rules.main_text(page) and time.monotonic() - begin < 1
+
+
 def test_story_beside_teaser_articles():
     cards = "".join(f"<article><p>{PROSE} {i}</p></article>" for i in range(2))
     page = f"<body><div>{(f'<p>{PROSE}</p>') * 5}</div>{cards}</body>"

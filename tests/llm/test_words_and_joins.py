@@ -145,8 +145,47 @@ def test_suffix_array_equals_brute_force(texts, items):
     for k, t in enumerate(texts):
         want = hits(t, named, 3)
         assert (int(n_hit[k]), sorted(set(item[doc == k]))) == (want[1], want[2])
-    for k, name, a, b, size in zip(doc, item, s, p, n):
-        assert split(texts[k], "alnum")[b:b + size] == split(items[int(name)], "alnum")[a:a + size]
+    found = sorted((int(k), int(name), int(a), int(b), int(size)) for k, name, a, b, size in zip(doc, item, s, p, n))
+    assert found == longest(texts, items, 3)
+
+
+def longest(texts, items, window):
+    out = []
+    for k, t in enumerate(texts):
+        w = split(t, "alnum")
+        for i, x in enumerate(items):
+            v = split(x, "alnum")
+            for a in range(len(v)):
+                for b in range(len(w)):
+                    if a and b and v[a - 1] == w[b - 1]:
+                        continue
+                    n = 0
+                    while a + n < len(v) and b + n < len(w) and v[a + n] == w[b + n]:
+                        n += 1
+                    if n >= min(window, len(v)):
+                        out.append((k, i, a, b, n))
+    return sorted(out)
+
+
+def test_repeated_words_and_many_blocks_keep_memory_low():
+    """A word 20,000 times in a document and 800 times in an item; five blocks, one at a time."""
+    import tracemalloc
+    h, o = words.word_hashes(pa.array(["la " * 800], type=pa.string()), suffix_decontam.SEPARATORS)
+    alive = []
+
+    def blocks():
+        for k in range(5):
+            alive.append(k)
+            yield suffix_decontam.Block([str(k)], h, o, 10)
+
+    dh, do = words.word_hashes(pa.array(["la " * 20_000, "la " * 9], type=pa.string()), suffix_decontam.SEPARATORS)
+    tracemalloc.start()
+    n_hit, (doc, item, s, p, n) = suffix_decontam.scan_shard(dh, do, blocks())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_hit.tolist() == [20_000, 0] and alive == [0, 1, 2, 3, 4] and set(doc.tolist()) == {0}
+    # a longest match a diagonal: 20,000 + 800 - 1 of them, less those under ten words
+    assert len(n) == 5 * (20_000 + 800 - 1 - 2 * 9) and n.max() == 800 and peak < 100_000_000
 
 
 def test_decontamination_report(spark, awkward, nothing, monkeypatch):
