@@ -7,8 +7,8 @@ the clause threatens. A document's score is a logistic function of its matched
 clauses' weights, so a word counts as what the grammar makes of it: what is
 denied or only reported adds to no weight and can but lower the score, aimed and
 plain insults and threats can but raise it (``BOUNDS``). Weights are fitted round
-``PRIOR``, so a reading that the labelled rows never show (threats) keeps the
-grammar's own. How much a plain, unaimed insult counts is learned from the rows.
+``PRIOR``, so a reading that the labelled rows never show keeps the grammar's own;
+a threat alone decides unless clean rows of the sample hold threats. How much a plain, unaimed insult counts is learned from the rows.
 
 Insult weights are learned: words and word beginnings whose presence tells
 toxic rows from others (log odds, kept by a likelihood-ratio test). The bounded
@@ -329,7 +329,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
     got = sample.where(~F.col("half")).select("text", "toxic").mapInArrow(run, "f array<double>, toxic boolean").collect()
     y = np.array([r["toxic"] for r in got], dtype=float)
     if len(y) and 0 < y.sum() < len(y):
-        weights = fit_logistic(np.array([r["f"] for r in got]), y)
+        x = np.array([r["f"] for r in got])
+        weights = fit_logistic(x, y)
+        threat_at = FEATURES.index("threats")
+        if not x[y == 0, threat_at].any():
+            # no clean row threatens: a threat alone decides, however rare the labelled rows make toxic ones
+            weights[threat_at] = max(weights[threat_at], 1.0 - weights[0])
     else:
         weights = np.array([-3.0, 1.0, 0.7, -0.3, -0.3, 5.0, 0.5, 0.5, 0.3, 0.2])
     return Model(plain.entries, tuple(float(x) for x in weights))

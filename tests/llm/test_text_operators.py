@@ -38,8 +38,9 @@ def test_learned_scores_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
-def test_the_grammar_decides_on_the_learned_model(spark):
-    d = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("d", ["sf0.1", "check_s"])
+def test_the_grammar_decides_on_the_learned_model(spark, d):
+    d = f"/root/testdata/{d}"
     model = toxicity.learn(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
     weights = dict(zip(toxicity.FEATURES, model.weights))
     assert weights["denied"] <= 0 and weights["quoted"] <= 0 and all(weights[f] >= 0 for f in toxicity.RAISES)
