@@ -5,23 +5,31 @@ numbers, phone numbers, IPv4 addresses, dates (real calendar days; month first
 with slashes and day first with dots, unless only the other order is a date), e-mail
 addresses, IBANs (mod 97) and secret values of 32 or more hex digits given to a
 token, key or secret. Other long digit groups that look like account numbers
-(16 digits that fail Luhn) are replaced too, as numbers of that length. Of a match
-that holds more than the value (a number or word next to it) the part that is valid is
-replaced (``reading``), and if none is, the search goes on from its next group.
+(16 digits that fail Luhn) are replaced too, as numbers of that length. Cards and
+accounts are sought in whole runs of digit groups, however many groups stand beside
+them (``cards``); a card written in the usual groups goes before a phone number. Of another match that holds more than the value (a number or word
+next to it) the part that is valid is replaced (``reading``), and if none is, the
+search goes on from its next group. Not looked for: dates in words, IBANs in lower
+case, IPv6 addresses.
 
 A value is cut into its free parts, these are one number below ``n``, and a
 keyed Feistel network permutes the numbers below ``n`` (cycle walking keeps it
 in range); the result is written back in the same format: same length,
 separators, letter case and kind of character, and valid in the same way (check
 digits are set anew, dates stay dates). Equal values have equal pseudonyms in
-every document, different values of a format different ones. The mapping is
-undone with the key (``reverse=True``). A value whose pseudonym would be read
-otherwise beside what follows it takes the next one of its cycle, there only.
+every document and beside anything, different values of a format different ones.
+The key and the reported places undo every row (``restore``). The key alone
+(``reverse=True``) undoes it too, but for a card or account next to other digit
+groups that happen to be read as a number together with its pseudonym.
+
+The key is the setting ``spark.factsift.pii.key``, where the session has it, or an
+argument; ``KEY`` is for tests.
 
 The work is local to a row; nothing is shuffled. Null texts stay null, empty
-ones empty; null and repeated doc_ids are rows like others; an empty table
-gives no rows. The query reads doc_id and text only, ``pseudonymise`` keeps
-every column as it was but text and n_chars (if there is one).
+ones empty; texts are read whole, in time linear in their length; null and repeated
+doc_ids are rows like others; an empty table gives no rows. The query reads doc_id
+and text only, ``pseudonymise`` keeps every column as it was but text and n_chars
+(if there is one).
 """
 
 from __future__ import annotations
@@ -50,12 +58,15 @@ FORMATS = re.compile(r"""
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))
   | (?P<secret>(?i:(?:token|secret|api[_-]?key|key|password)["']?\s*[=:]\s*["']?)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))
   | (?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))
-  | (?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9]))
+  | (?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+])\+[0-9]{8,15}(?![\w])
+""", re.VERBOSE)
+PHONE = re.compile(r"""
+    (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+])\+[0-9]{8,15}(?![\w])
       |(?<![\w+])\+[0-9]{1,3}(?:[ ./-]?\([0-9]{1,5}\)|[ ./-][0-9]{1,8})(?:[ ./-]?[0-9]{2,8}){1,6}(?![\w]))
-  | (?P<card>(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))
 """, re.VERBOSE)
+# digit groups of 13 or more digits in all, with single spaces or hyphens between
+DIGITS = re.compile(r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,}(?!\w)")
 
 # characters of an account number by country, where it is fixed (ISO 13616)
 IBAN_CHARS = {c: int(n) for n, names in (x.split(":") for x in (
@@ -146,44 +157,53 @@ def iban_rest(text: str) -> int:
 
 
 def valid(kind: str, text: str) -> bool:
-    """Whether a card, account, IBAN or phone number is one."""
+    """Whether an IBAN or phone number is one."""
     bare = "".join(c for c in text if c.isascii() and c.isalnum())
     if kind == "iban":
         return 15 <= len(bare) <= 34 and iban_rest(bare) == 1
-    if kind == "phone":
-        return 7 <= len(bare) <= (15 if text[0] == "+" else 16)
-    return 13 <= len(bare) <= 19 and (luhn(bare) == 0 or len(bare) == 16)
+    return 7 <= len(bare) <= (15 if text[0] == "+" else 16)
+
+
+def cards(text: str, written: bool = False) -> list[tuple[str, int, int]]:
+    """``(kind, start, end)`` of the cards and accounts in a run of digit groups.
+
+    Taken in this order, from the left, where no number taken before lies: valid cards as
+    they are written in groups, the whole run if valid, 16 digits that fail the check (in
+    fours, undivided, or the whole run), other valid runs of groups, the longest first;
+    ``written``: only the first of these."""
+    runs = [m.span() for m in re.finditer(r"[0-9]+", text)]
+    found: list[tuple] = []
+    for i in range(len(runs)):
+        digits = ""
+        for j in range(i, len(runs)):
+            digits += text[runs[j][0]:min(runs[j][1], runs[j][0] + 20)]
+            n = len(digits)
+            if n > 19:
+                break
+            if n < 13:
+                continue
+            usual, whole = tuple(b - a for a, b in runs[i:j + 1]) in CARD_GROUPS, j - i + 1 == len(runs)
+            if luhn(digits) == 0:
+                found.append((0, 0, i, j, "card") if usual else (1, 0, i, j, "card") if whole else (3, -n, i, j, "card"))
+            elif n == 16 and (usual or whole):
+                found.append((2, 0, i, j, "account"))
+    used = [False] * len(runs)
+    out = []
+    for tier, _, i, j, kind in sorted(found):
+        if not any(used[i:j + 1]) and not (written and tier):
+            used[i:j + 1] = [True] * (j - i + 1)
+            out.append((kind, runs[i][0], runs[j][1]))
+    return sorted(out, key=lambda x: x[1])
 
 
 def reading(kind: str, text: str) -> tuple[int, int] | None:
     """Where in a match the value is; None if no reading of it is valid.
 
-    Cards: as they are written in groups, then the whole match, then numbers of 16
-    digits that fail the check, then any valid run of groups, longest and leftmost
-    first. IBANs: the country's length, then others from the longest. Phone numbers:
+    IBANs: the country's length, then others from the longest. Phone numbers:
     as many groups as a number can have."""
-    if kind not in ("card", "iban", "phone"):
+    if kind not in ("iban", "phone"):
         return 0, len(text)
-    runs = [m.span() for m in re.finditer(r"[0-9A-Za-z]+", text)]
-    if kind == "card":
-        sizes = [b - a for a, b in runs]
-        good, written, whole, account = [], [], [], []
-        for i in range(len(runs)):
-            for j in range(i, len(runs)):
-                n = sum(sizes[i:j + 1])
-                if n > 19:
-                    break
-                span = runs[i][0], runs[j][1]
-                if not valid(kind, text[slice(*span)]):
-                    continue
-                usual, all_ = tuple(sizes[i:j + 1]) in CARD_GROUPS, j - i + 1 == len(runs)
-                if luhn("".join(c for c in text[slice(*span)] if c.isdigit())) == 0:
-                    (written if usual else whole if all_ else good).append((-n, span))
-                elif usual or all_:
-                    account.append((0, span))
-        found = [*sorted(written, key=lambda x: x[1]), *whole, *account, *sorted(good)]
-        return found[0][1] if found else None
-    ends = [b for _, b in runs]
+    ends = [m.end() for m in re.finditer(r"[0-9A-Za-z]+", text)]
     if kind == "phone":
         ends = [b + (text[b:b + 1] == ")") for b in ends]
     ends.reverse()
@@ -233,11 +253,11 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, reverse: bool = False) ->
     if kind == "date":
         sep = next(c for c in text if not c.isdigit())
         parts = text.split(sep)
-        day_first = sep == "."
+        day_first, year_first = sep == ".", len(parts[0]) == 4
         # a month over 12 is a day: the other order, among the dates that show it too
-        other = sep != "-" and int(parts[1 if day_first else 0]) > 12
+        other = not year_first and int(parts[1 if day_first else 0]) > 12
         day_first ^= other
-        y, m, d = parts if sep == "-" else (parts[2], parts[1], parts[0]) if day_first else (parts[2], parts[0], parts[1])
+        y, m, d = parts if year_first else (parts[2], parts[1], parts[0]) if day_first else (parts[2], parts[0], parts[1])
         try:
             ordinal = datetime.date(int(y), int(m), int(d)).toordinal() - DAY_ZERO
         except ValueError:
@@ -249,8 +269,8 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, reverse: bool = False) ->
             new = datetime.date.fromordinal(DAY_ZERO + ordinal)
             if not other or new.day > 12:
                 break
-        if sep == "-":
-            return new.isoformat()
+        if year_first:
+            return new.isoformat().replace("-", sep)
         a, b = (new.day, new.month) if day_first else (new.month, new.day)
         return f"{a:02d}{sep}{b:02d}{sep}{new.year}"
     if kind == "email":
@@ -271,12 +291,10 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, reverse: bool = False) ->
     return text[:at] + permute_chars(value, "secret", key, reverse, "upper" if re.search("[A-F]", value) else "lower")
 
 
-def replace(text: str | None, key: bytes = KEY, reverse: bool = False) -> tuple[str | None, list[tuple]]:
-    """The text with pseudonyms, and ``(kind, start, end, new start, new end)`` of each."""
-    if not text or not ANY.search(text):
-        return text, []
-    out, spans, at, grown, pos = [], [], 0, 0, 0
-    while m := FORMATS.search(text, pos):
+def scan(formats: re.Pattern, text: str, pos: int, end: int, key: bytes, reverse: bool) -> list[tuple]:
+    """``(start, end, kind, pseudonym)`` of the values of ``formats`` in a part of the text."""
+    out = []
+    while m := formats.search(text, pos, end):
         kind, match, start = m.lastgroup, m.group(), m.start()
         if kind == "email":
             match = match.rstrip(".-")
@@ -286,23 +304,66 @@ def replace(text: str | None, key: bytes = KEY, reverse: bool = False) -> tuple[
             # go on from the match's next group
             pos = start + max(1, re.match(r"\W*[^\W_]*", match).end())
             continue
-        # read back, the new match must show its value at the same place
-        while span != (0, len(match)) and reading(kind, match[:span[0]] + new + match[span[1]:]) != span:
-            new = pseudonym(kind, new, key, reverse)
-        start, end = start + span[0], start + span[1]
-        if kind == "card" and luhn("".join(filter(str.isdigit, text[start:end]))):
-            kind = "account"
+        pos = start + span[1]
+        out.append((start + span[0], pos, kind, new))
+    return out
+
+
+def numbers(text: str, pos: int, end: int, key: bytes, reverse: bool, written: bool) -> list[tuple]:
+    """The same of the cards and accounts; ``written``: only cards in the usual groups."""
+    return [(m.start() + a, m.start() + b, kind, pseudonym(kind, text[m.start() + a:m.start() + b], key, reverse))
+            for m in DIGITS.finditer(text, pos, end) for kind, a, b in cards(m.group(), written)]
+
+
+def values(text: str, key: bytes, reverse: bool) -> list[tuple]:
+    """``(start, end, kind, pseudonym)`` of a text's values, in order."""
+    found: list[tuple] = []
+    for step in (lambda a, b: scan(FORMATS, text, a, b, key, reverse),
+                 lambda a, b: numbers(text, a, b, key, reverse, True),
+                 lambda a, b: scan(PHONE, text, a, b, key, reverse),
+                 lambda a, b: numbers(text, a, b, key, reverse, False)):
+        # each in the parts that are left
+        borders = zip([0, *(v[1] for v in found)], [*(v[0] for v in found), len(text)])
+        found = sorted([*found, *(v for a, b in list(borders) for v in step(a, b))])
+    return found
+
+
+def replace(text: str | None, key: bytes = KEY, reverse: bool = False) -> tuple[str | None, list[tuple]]:
+    """The text with pseudonyms, and ``(kind, start, end, new start, new end)`` of each."""
+    if not text or not ANY.search(text):
+        return text, []
+    out, spans, at, grown = [], [], 0, 0
+    for start, end, kind, new in values(text, key, reverse):
         out += [text[at:start], new]
         spans.append((kind, start, end, start + grown, start + grown + len(new)))
-        at = pos = end
+        at = end
         grown += len(new) - (end - start)
     return "".join([*out, text[at:]]) if spans else text, spans
 
 
+def undo(text: str | None, spans: list[tuple], key: bytes = KEY) -> str | None:
+    """The text that ``replace`` was given, from its text and spans."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    for kind, _, _, start, end in spans:
+        out += [text[at:start], pseudonym(kind, text[start:end], key, True)]
+        at = end
+    return "".join([*out, text[at:]])
+
+
 # ---- Spark ----------------------------------------------------------------------
-def pseudonymise(docs: DataFrame, key: bytes = KEY, reverse: bool = False) -> DataFrame:
+def _key(spark: SparkSession, key: bytes | None) -> bytes:
+    if key is not None:
+        return key
+    kept = spark.conf.get("spark.factsift.pii.key", None)
+    return kept.encode() if kept else KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, reverse: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; n_chars follows the text, if it is a column."""
     common.prepare(docs.sparkSession)
+    key = _key(docs.sparkSession, key)
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -324,9 +385,10 @@ REPORT = ("doc_id long, text string, n_found long, "
           "spans array<struct<kind:string,old_start:long,old_end:long,start:long,end:long>>")
 
 
-def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """Per row the new text and where its pseudonyms are (and what they replaced)."""
     common.prepare(docs.sparkSession)
+    key = _key(docs.sparkSession, key)
     span = pa.struct([("kind", pa.string()), *((x, pa.int64()) for x in ("old_start", "old_end", "start", "end"))])
 
     def run(batches):
@@ -342,6 +404,20 @@ def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return rows.mapInArrow(run, REPORT)
 
 
+def restore(reported: DataFrame, key: bytes | None = None) -> DataFrame:
+    """``doc_id, text`` as they were before ``report``."""
+    common.prepare(reported.sparkSession)
+    key = _key(reported.sparkSession, key)
+
+    def run(batches):
+        for b in batches:
+            texts = [undo(t, [tuple(s.values()) for s in spans or ()], key)
+                     for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
+
+    return reported.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document with pseudonyms, and how many of each kind."""
     found = report(common.table(spark, sf_dir, "documents"))
