@@ -11,7 +11,10 @@ named as adverts, menus or comments are boilerplate unless the page has no text
 outside them; then the one of most text counts as if it had no name. Blocks that are short, or have few stop words, stay ambiguous. In the
 second pass these take the label of the nearest decided block of the same
 container (``article`` or ``main`` if the page has one). A container without
-any decided block is text if it is an article, else boilerplate. If an article
+any decided block is text if it is an article, else boilerplate. Where a page has
+no article and no text by its stop words (a language without listed ones, or short
+paragraphs), its long blocks of few links under no boilerplate name are text, or if
+there is none such, those that end as sentences do (``by_shape``). If an article
 has decided text, and the articles hold most of the page's, blocks outside them
 are boilerplate.
 
@@ -77,6 +80,8 @@ STOP_WORDS = frozenset((
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)[^>]*>?",
                  re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4][\"'\u2019\u201d\u00bb\u300d)]*$")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -251,6 +256,17 @@ def first_pass(block: Block) -> str:
     return "ambiguous"
 
 
+def by_shape(found: list[Block]) -> None:
+    """On pages without an article or words that decide, blocks become text by length, or as sentences."""
+    if any(b.label == "text" or b.container and not b.boilerplate for b in found):
+        return
+    free = [b for b in found if b.label == "ambiguous" and not b.named and not b.heading]
+    # a character of a script without spaces counts as three
+    long = [b for b in free if len(b.text) + 2 * len(UNSPACED.findall(b.text)) >= LONG_CHARS]
+    for b in long or [b for b in free if SENTENCE_END.search(b.text)]:
+        b.label = "text"
+
+
 def free_names(texts: list[Block]) -> set[Name]:
     """The elements let off so that some text is in none: from the outermost, that
     with most text first. Every element is weighed and opened once."""
@@ -317,6 +333,7 @@ def second_pass(found: list[Block]) -> None:
     by: dict[int, list[Block]] = {}
     for b in found:
         b.label = first_pass(b)
+    by_shape(found)
     weigh_names(found)
     decided = Counter()
     for b in found:

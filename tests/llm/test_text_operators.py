@@ -180,6 +180,18 @@ def test_article_without_its_surroundings():
     assert html_rules.main_text(page) == f"Head & line\n\n{PROSE} and more\n\nShort.\n\na < b"
 
 
+@pytest.mark.parametrize("paragraphs", [
+    ["\u4eca\u5929\u7684\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u3002" * 3] * 2,
+    ["Prezydent poleci jutro do Warszawy, gdzie spotka sie z ministrami dziewieciu panstw regionu."] * 2,
+    ["Rain fell.", "Nobody came."]])
+def test_rules_without_an_article_or_stop_words(paragraphs):
+    menu = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(9))
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f'<body><ul>{menu}</ul><div>{body}</div><ul>{menu}</ul><div class="footer"><p>{paragraphs[0]}</p></div></body>'
+    assert html_rules.main_text(page) == "\n\n".join(paragraphs)
+    assert html_rules.main_text(f'<body><ul>{menu}</ul><div class="footer"><p>{paragraphs[0]}</p></div></body>') == ""
+
+
 def test_rules_without_an_article():
     menu = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(9))
     page = f"<body><ul>{menu}</ul><div>{PROSE}</div><div>near</div><div>{PROSE}</div><ul>{menu}</ul><div>far</div></body>"
@@ -284,7 +296,7 @@ def test_archives_are_read_back_through_the_index(spark, monkeypatch):
 
 # ---- registry and pipeline ----------------------------------------------------------------
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
