@@ -170,10 +170,12 @@ needles AS (SELECT template, license, unnest({cut("string_split(words, ' ')")})
 sizes AS (SELECT template, count(*) AS n FROM needles GROUP BY template),
 d AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') if x <> ''] AS words FROM documents),
 s AS (SELECT doc_id, unnest({cut("words")}) AS shingle FROM d),
-hits AS (SELECT doc_id, template, license, count(*) AS k FROM s JOIN needles USING (shingle) GROUP BY ALL),
-all_good AS (SELECT doc_id, license, split_part(license, '-', 1) AS family, k / n AS containment
+hits AS (SELECT doc_id, template, license, count(*) AS k, list(shingle) AS matched FROM s JOIN needles USING (shingle) GROUP BY ALL),
+all_good AS (SELECT doc_id, license, split_part(license, '-', 1) AS family, k / n AS containment, matched
              FROM hits JOIN sizes USING (template) WHERE k >= {CONTAINMENT} * n),
-good AS (SELECT * FROM all_good QUALIFY containment = max(containment) OVER (PARTITION BY doc_id, family)),
+good AS (SELECT * FROM all_good a WHERE NOT EXISTS (
+             SELECT 1 FROM all_good o WHERE o.doc_id = a.doc_id AND o.family = a.family AND o.containment > a.containment
+                                        AND list_has_all(o.matched, a.matched))),
 per AS (SELECT doc_id, count(DISTINCT license) AS n_licenses, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
                round(max(containment), 6) AS containment FROM good GROUP BY doc_id)
 SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(containment, 0.0) AS containment

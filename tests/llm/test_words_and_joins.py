@@ -1,7 +1,9 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -315,5 +317,24 @@ def test_other_terms_of_a_family_are_reported(spark):
     assert got == {i: (names, names.count(",") + 1) for i, _, names in rows}
 
 
+def test_license_twin_on_mixed_notices(spark):
+    """Texts of several notices, some with a word changed, as the SQL reads them."""
+    rng = np.random.default_rng(3)
+    texts = [t for _, t in license_scan.TEMPLATES]
+    rows = []
+    for i in range(150):
+        parts = [texts[k].split() for k in rng.integers(0, len(texts), rng.integers(0, 4))]
+        for p in parts:
+            if rng.random() < 0.5:
+                p[rng.integers(0, len(p))] = "other"
+        rows.append((i, " and ".join(map(" ".join, parts))))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    got = license_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").toPandas()
+    connection = duckdb.connect()
+    connection.register("documents", documents)
+    want = connection.execute(f"SELECT * FROM ({license_scan.SQL}) ORDER BY doc_id").df()
+    assert got.values.tolist() == want[got.columns].values.tolist() and got.licenses.str.contains(",").sum() > 10
+
+
 def test_license_bands_meet_their_bound():
     assert (1 - 1 / license_scan.STRIDE) ** license_scan.BANDS <= license_scan.MISS
