@@ -3,9 +3,11 @@
 Texts become sets of ``SHINGLE``-word shingles; equal sets are one vertex, so
 exact copies are never compared. The join then grows ``TREES`` independent
 trees. A tree's root branches a vertex by one of its minwise tokens; below, a
-node chooses one token, or two with probability ``SECOND`` (by a hash of its
-path), and sends each member to the child of its value there. Two sets of similarity ``s`` stay together in
-a child with probability ``s``, others are soon parted.
+node chooses ``FORKS`` times ``STEP`` tokens (by a hash of its path) and sends each
+member to the child of its values there. Two sets of similarity ``s`` stay together in
+a child with probability ``s ** STEP``, others are soon parted: at 0.5 a level leaves
+3 / 8 of a node's rows, so rows and levels stay few where many texts share a line
+or are loosely alike.
 
 * A node of at most ``LEAF`` members is compared exhaustively.
 * A larger one first compares all members with up to ``PIVOTS`` of them, the
@@ -17,12 +19,11 @@ a child with probability ``s``, others are soon parted.
 * Nodes with the same members (in other trees too) are one.
 
 A pair of similarity t stays together in a root's child with probability t, and
-below it with 1 - q, where q = a (1 + a) / 2 with a = 1 - t + t q is the chance
-that its branching dies out: q is 0.24 at t = 0.85 and 0.38 at 0.80, in the limit
-of deep trees. Roots of at most LEAF members, the usual case, are compared
+below it with 1 - q, where q = (1 - t^3 (1 - q))^3 is the chance that its branching
+dies out: q is 0.08 at t = 0.85 and 0.21 at 0.80, in the limit of deep trees. Roots of at most LEAF members, the usual case, are compared
 outright (q = 0): ``TREES`` trees then miss (1 - t)^TREES, 3 pairs in 10 million
 at 0.85 and 3 in a million at 0.80. Where every root branches deeply they miss
-(1 - t (1 - q))^TREES, 1 pair in 4,000 at 0.85 and 1 in 250 at 0.80, but for what
+(1 - t (1 - q))^TREES, 1 pair in 175,000 at 0.85 and 1 in 2,800 at 0.80, but for what
 pivots link; a group's other links make up for most of these. Only leaf pairs whose signatures
 agree in too few places (4.4 deviations) are not looked at. Links are decided
 on full sets, ``100 |A & B| >= 85 |A | B|``, and only as many are emitted as
@@ -52,7 +53,8 @@ SHINGLE = 5
 PERCENT = 85
 TOKENS = 64
 TREES = 8
-SECOND = 0.5
+STEP = 3
+FORKS = 3
 PIVOTS = 4
 LEAF = 1_000
 BLOCK_VALUES = 1_000_000
@@ -146,6 +148,14 @@ def _token(sig: str, place: Column | int) -> Column:
     return F.substring(F.col(sig), place * 4 + 1, F.lit(4))
 
 
+def _child(fork: int) -> Column:
+    """The child of ``node`` that a member's ``sig`` goes to: ``STEP`` different places
+    that the node chooses, and the values there."""
+    first, apart = F.xxhash64("node", F.lit(-1 - fork)), 1 + F.pmod(F.xxhash64("node", F.lit(fork)), F.lit(TOKENS // STEP))
+    values = [_token("sig", F.pmod(first + k * apart, F.lit(TOKENS)).cast("int")) for k in range(STEP)]
+    return F.xxhash64("node", F.lit(fork), *values)
+
+
 def _nodes(rows: DataFrame) -> DataFrame:
     """Nodes of two or more members, one of those with the same members, that
     aren't all linked to one pivot: ``node, size``."""
@@ -216,10 +226,7 @@ def grow(docs: DataFrame, verts: DataFrame, percent: int) -> tuple[DataFrame, Da
             x["distance"] + far + 1e-9 < F.get("nearest", i), F.lit(True))), lambda x: x)
         rest = met.join(edge, "node").where(~done)
         to = F.array_min(F.transform(F.filter("t", lambda x: x["close"]), lambda x: x["pivot"]))
-        child = [F.xxhash64("node", F.lit(j), _token("sig", F.pmod(F.xxhash64("node", F.lit(-j - 1)), F.lit(TOKENS)).cast("int")))
-                 for j in range(2)]
-        forks = F.pmod(F.xxhash64("node", F.lit(-9)), F.lit(1000)) < int(1000 * SECOND)
-        rows = rest.select(F.explode(F.when(forks, F.array(*child)).otherwise(F.array(child[0]))).alias("node"), "sid",
+        rows = rest.select(F.explode(F.array(*[_child(j) for j in range(FORKS)])).alias("node"), "sid",
                            F.coalesce(to, "linked").alias("linked"))
         rows = common.store(rows, "children")
         level = common.store(rows.join(_nodes(rows), "node"), "paths")

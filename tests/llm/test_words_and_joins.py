@@ -98,6 +98,27 @@ def test_dense_group_is_done_by_its_pivot(spark, monkeypatch):
     assert components.connected_components(link).select("component").distinct().count() == 1
 
 
+def test_loosely_alike_group_is_parted_in_few_levels(spark, monkeypatch):
+    """Texts that share half their shingles: a row meets few nodes before leaves hold it."""
+    monkeypatch.setattr(minhash_paths, "LEAF", 30)
+    rng = np.random.default_rng(3)
+    shared = [f"o{i}" for i in range(110)]
+    texts = [(i, " ".join([*shared, *(f"s{rng.integers(0, 10_000)}" for _ in range(50))])) for i in range(100)]
+    texts += [(i + 100, t + " end") for i, t in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    made, store = [], minhash_paths.common.store
+
+    def counted(df, name):
+        out = store(df, name)
+        made.extend([(name, out.count())] if name == "paths" else [])
+        return out
+
+    monkeypatch.setattr(minhash_paths.common, "store", counted)
+    got = {r.doc_id: r.component_id for r in minhash_paths.near_duplicates(docs).collect()}
+    assert got == {i: i % 100 for i, _ in texts}
+    assert len(made) <= 6 and sum(n for _, n in made) <= 20 * len(texts)
+
+
 def test_awkward_rows_have_components(spark, awkward, nothing):
     rows = minhash_paths.near_duplicates(awkward).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows), key=str)
