@@ -114,7 +114,8 @@ def stratified(df: DataFrame, n: int | None, seed: int = 42, key: str = "claim_i
     u = uniform_draw(seed, key)
     sizes = class_sizes(df, label).select(F.col(label).alias("_label"), _threshold(F.col("n_rows"), n).alias("_t"),
                                           F.least(F.col("n_rows"), F.lit(n)).alias("_need"))
-    drawn = df.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    # one row a label goes to every task: rows shuffled by label would lie in as few tasks as labels
+    drawn = df.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
     checkpoint_root(df.sparkSession)
     kept = drawn.where(u < F.col("_t")).select(*df.columns, "_t").checkpoint(eager=True)
     # one row per label: those whose threshold turned out too low
