@@ -1,8 +1,8 @@
 """Pluggable claim scoring (D1) with per-row failure isolation.
 
-``score`` runs a user scorer inside ``mapInPandas``: Spark hands each task
-Arrow batches of the claim rows, the scorer is built once per task and
-called once per row (the unit a remote verifier charges for), and any
+``score`` runs a user scorer inside ``mapInArrow``: Spark hands each task
+Arrow batches of the claim rows, of which ``SLICE_ROWS`` at a time become Python
+strings (kept columns never do); the scorer is built once per task and called once per row (the unit a remote verifier charges for), and any
 exception becomes ``(raw=NULL, error=<message>)`` for that row only, so one
 bad row never fails the task. ``Calls`` sets how many calls a task has in
 flight, how failures are retried and how fast calls start.
@@ -27,7 +27,6 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
@@ -186,18 +185,21 @@ class Caller:
             self.pool.shutdown(wait=False, cancel_futures=True)
 
 
+SLICE_ROWS = 256  # rows of an Arrow batch whose texts are Python strings at a time
+
+
 def _score_partitions(factory: ScorerFactory, claim: str, evidence: str, prompt: str | None, keep: list[str], calls: Calls):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caller = Caller(factory, calls)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller, window = Caller(factory, calls), max(SLICE_ROWS, calls.concurrency)
         try:
-            for pdf in batches:
-                prompts = pdf[prompt].tolist() if prompt else [None] * len(pdf)
-                waits = [caller.start(*row) for row in zip(pdf[claim].tolist(), pdf[evidence].tolist(), prompts)]
-                outcomes = [call.result() for call in waits]
-                out = pdf[keep].copy()
-                out["raw"] = pd.Series([raw for raw, _ in outcomes], index=pdf.index, dtype="object")
-                out["error"] = pd.Series([error for _, error in outcomes], index=pdf.index, dtype="object")
-                yield out
+            for record in batches:
+                for at in range(0, record.num_rows, window):
+                    part = record.slice(at, window)
+                    prompts = part.column(prompt).to_pylist() if prompt else [None] * part.num_rows
+                    waits = [caller.start(*row) for row in zip(part.column(claim).to_pylist(), part.column(evidence).to_pylist(), prompts)]
+                    outcomes = [call.result() for call in waits]
+                    said = [pa.array(x, type=pa.string()) for x in zip(*outcomes)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *said], names=[*keep, "raw", "error"])
         finally:
             caller.close()
     return run
@@ -217,7 +219,7 @@ def score(df: DataFrame, factory: ScorerFactory = LexicalVerifier, claim: str =
     ship_package(df.sparkSession)
     used = df.select(*dict.fromkeys([*keep, claim, evidence, *([prompt] if prompt else [])]))
     schema = StructType([df.schema[c] for c in keep] + [StructField("raw", StringType()), StructField("error", StringType())])
-    return used.mapInPandas(_score_partitions(factory, claim, evidence, prompt, keep, calls), schema)
+    return used.mapInArrow(_score_partitions(factory, claim, evidence, prompt, keep, calls), schema)
 
 
 #: What a task stores of each row it scored: the result row and what the scorer said.
