@@ -272,27 +272,33 @@ def _store_batches(factory: ScorerFactory, folder: str, calls: Calls):
     return run
 
 
-def store_scored(prompts: DataFrame, factory: ScorerFactory, folder: str, concurrency: int | None = None,
-                 calls: Calls = Calls()) -> int:
-    """D1 + K1: score ``prompts`` and store every batch under ``folder`` as it ends;
+def store_scored(rows: DataFrame, factory: ScorerFactory, folder: str, concurrency: int | None = None,
+                 calls: Calls = Calls(), prompts: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """D1 + K1: score ``rows`` and store every batch under ``folder`` as it ends;
     the number of rows scored.
 
+    ``prompts`` adds ``strategy`` and ``prompt`` to rows where they are scored, in
+    place (it must leave them in their partition and order): a prompt repeats its
+    claim and evidence, so it isn't shuffled with them. Without it the rows have both.
+
     A batch lies whole in one task, in order of ``seq``; its file appears when
     its last call ends, so a run that dies keeps every finished batch, and a
     task that is tried again leaves out the batches it had finished. With
     ``concurrency`` that many calls are in flight over all tasks, whatever
     their number: tasks share it as windows of ``Calls.concurrency``.
     """
-    spark = prompts.sparkSession
+    spark = rows.sparkSession
     ship_package(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if concurrency:
         tasks = min(tasks, concurrency)
         at_once = min(tasks, spark.sparkContext.defaultParallelism)
         calls = replace(calls, concurrency=-(-concurrency // at_once))
-    rows = prompts.select("strategy", F.col("claim_id").cast("long"), F.col("seq").cast("long"), F.col("batch_id").cast("long"),
-                          "claim", "evidence", "label", "prompt")
+    texts = ["claim", "evidence", "label"]
+    keys = [F.col(c).cast("long") for c in ("claim_id", "seq", "batch_id")]
+    rows = rows.select(*keys, *texts, *([] if prompts else ["strategy", "prompt"]))
     dealt = rows.repartition(tasks, "batch_id").sortWithinPartitions("batch_id", "seq")
+    dealt = (prompts(dealt) if prompts else dealt).select("strategy", "claim_id", "seq", "batch_id", *texts, "prompt")
     marks = dealt.mapInArrow(_store_batches(factory, files.qualified(spark, folder), calls), "batch_id long, rows long")
     return marks.agg(F.sum("rows")).first()[0] or 0
 

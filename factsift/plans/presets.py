@@ -148,10 +148,14 @@ def scored_run(spark: SparkSession, claims: DataFrame, preset: Preset, out_dir:
     work = working_set(claims, preset)
     done = stored_keys(spark, preset, out_dir)
     todo = work if done is None else B.pending(work, done, "claim_id")
-    prompts = render(todo, templates_frame(spark), preset.dataset, [preset.strategy])
+    templates = templates_frame(spark)                  # one row for the strategy: each row stays in place
+
+    def prompts(rows: DataFrame) -> DataFrame:
+        return render(rows, templates, preset.dataset, [preset.strategy])
+
     counters: Counter = Counter(rows=0, errors=0)
     try:
-        store_scored(prompts, factory, f"{_open_folder(out_dir, preset)}/{uuid.uuid4().hex}", parallelism, calls)
+        store_scored(todo, factory, f"{_open_folder(out_dir, preset)}/{uuid.uuid4().hex}", parallelism, calls, prompts)
     finally:
         counters.update({k: v or 0 for k, v in collect_open(spark, preset, out_dir).items()})
     if not counters["rows"] and stored_keys(spark, preset, out_dir) is None:  # nothing to do still makes the table
