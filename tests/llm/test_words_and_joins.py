@@ -1,5 +1,8 @@
+import contextlib
 import hashlib
+import os
 import re
+import threading
 
 import duckdb
 import numpy as np
@@ -9,7 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factsift.llm import components, license_scan, minhash_paths, suffix_decontam, vector_graph, words
+from factsift.llm import common, components, license_scan, minhash_paths, suffix_decontam, vector_graph, words
+from factsift.session import checkpoint_root
 
 from .conftest import LONG, TEXTS
 
@@ -295,6 +299,60 @@ def test_sparse_links_survive_deep_cuts(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in found.collect()} == dict(enumerate((sims >= 0.93).sum(axis=1).tolist()))
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_units_and_rounds_equal_brute_force(spark, monkeypatch, together):
+    """Cells cut within a unit, cells uncut and larger than one, units of several trees and rounds."""
+    for name, value in (("CAP", 40), ("TARGET", 15), ("TOGETHER", together), ("ROUND_ROWS", 0)):
+        monkeypatch.setattr(vector_graph, name, value)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16)
+    rows = [(i, (base + 0.05 * rng.normal(size=16)).tolist(), i % 2) for i in range(260)]
+    rows += [(260 + i, rng.normal(size=16).tolist(), 1) for i in range(200)]
+    rows += [(460 + i, rows[255 + i][1], 1) for i in range(20)]
+    rows += [(480, [0.0] + [1.0] * 15, 1), (481, [-0.0] + [1.0] * 15, 1), (482, [1.0] * 8, 1), (483, [2.0] * 8, 1), (484, None, 1)]
+    vectors = spark.createDataFrame([r for r in rows], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(vectors).collect()}
+    n, comp = brute_vectors(rows)
+    assert {i: r.n_links for i, r in got.items()} == n
+    assert {i: r.component_id for i, r in got.items()} == comp
+
+
+def test_disk_stays_a_few_times_the_vectors(spark, monkeypatch):
+    """Scratch tables and shuffle files, at their peak; each vector has 27 cells here."""
+    for name, value in (("CAP", 60), ("TARGET", 45), ("ROUND_ROWS", 0)):
+        monkeypatch.setattr(vector_graph, name, value, raising=False)
+    x = sparse_vectors(3000, 300).astype(np.float32)
+    vectors = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    common.prepare(spark)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [checkpoint_root(spark).removeprefix("file:"), *disk.localDirsString()]
+
+    def used():
+        total = 0
+        for top in folders:
+            for at, _, names in os.walk(top):
+                for name in names:
+                    with contextlib.suppress(OSError):
+                        total += os.lstat(os.path.join(at, name)).st_size
+        return total
+
+    start, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            most[0] = max(most[0], used() - start)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        links = {r.vec_id: r.n_links for r in vector_graph.near_duplicates(vectors).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert sum(links.values()) == 600
+    assert 0 < most[0] < 4 * x.nbytes
+
+
 def test_cuts_meet_their_bound():
     rng = np.random.default_rng(2)
     a = rng.normal(size=(50_000, 64))
