@@ -519,18 +519,22 @@ def links(verts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             def run(batches, tree=tree):
                 nodes = shared.value
 
-                def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+                def one(held: list[pa.RecordBatch]):
                     t = pa.Table.from_batches(held)
+                    if len(t) < 2:
+                        return
                     t = t.take(np.argsort(t.column("sid").to_numpy(), kind="stable"))
                     sid, copies, side = (t.column(c).to_numpy() for c in ("sid", "copies", "side"))
                     x = unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), dtype=np.float32).reshape(len(t), -1))
                     node, root, depth = (t.column(c)[0].as_py() for c in ("node", "root", "depth"))
                     n, a, b = unit_links(x, sid, copies, side.astype(np.int64), root, (node, tree, depth), nodes, target, threshold)
                     some = np.flatnonzero(n)
-                    return pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([sid[some], sid[a]]), type=pa.int64()),
-                         pa.array(np.concatenate([np.zeros(len(some), dtype=np.int64), sid[b]]), type=pa.int64(), mask=np.arange(len(some) + len(a)) < len(some)),
-                         pa.array(np.concatenate([n[some], np.zeros(len(a), dtype=np.int64)]), type=pa.int64())], ["sid", "other", "n"])
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.concatenate([sid[some], sid[a]]), type=pa.int64()),
+                             pa.array(np.concatenate([np.zeros(len(some), dtype=np.int64), sid[b]]), type=pa.int64(),
+                                      mask=np.arange(len(some) + len(a)) < len(some)),
+                             pa.array(np.concatenate([n[some], np.zeros(len(a), dtype=np.int64)]), type=pa.int64())], ["sid", "other", "n"])
 
                 held, last = [], None
                 for batch in batches:
@@ -540,12 +544,12 @@ def links(verts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                         if lo == hi:
                             continue
                         if held and name[lo] != last:
-                            yield one(held)
+                            yield from one(held)
                             held = []
                         last = name[lo]
                         held.append(batch.slice(lo, hi - lo))
                 if held:
-                    yield one(held)
+                    yield from one(held)
 
             placed = verts.mapInArrow(place, "slot long, unit long, node long, root long, sid long, copies long, depth int, side int, vector binary")
             found.append(common.store(placed.repartition(parts, "slot").sortWithinPartitions("unit")
